@@ -43,3 +43,15 @@ def lower_ascii(col):
 
 def text_or_empty(name: str):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def slices(texts: list, most: int = 1_000_000):
+    """Ranges of a list of texts (or bytes) with about so many characters each, one text at least."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import sharding
+from scriptorium.llm import licenses, packing, sharding, token_files
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -15,7 +16,28 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shard(documents(spark, sf_dir), "doc_id", SHARDS)
 
 
-QUERIES = {"op7_sharding": op7_sharding}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2,048 ids."""
+    made = packing.pack(documents(spark, sf_dir))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to token files and read back."""
+    return token_files.round_trip(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op7_sharding": op7_sharding,
+    "op8_licenses": op8_licenses,
+    "op10_token_files": op10_token_files,
+}
 
 _SLOTS = ",".join(map(str, sharding.fill_table(SHARDS)))
 
