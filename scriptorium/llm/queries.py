@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import licenses, packing, sharding, token_files
+from scriptorium.llm import licenses, line_quality, packing, sharding, token_files
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -16,6 +16,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shard(documents(spark, sf_dir), "doc_id", SHARDS)
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return line_quality.score(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2,048 ids."""
     made = packing.pack(documents(spark, sf_dir))
@@ -33,6 +38,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
