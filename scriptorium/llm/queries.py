@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import licenses, line_quality, packing, sharding, token_files
+from scriptorium.llm import licenses, line_quality, packing, pii, sharding, token_files
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -27,6 +27,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.report(documents(spark, sf_dir))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document."""
     return licenses.scan(documents(spark, sf_dir))
@@ -40,6 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
+    "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
     "op10_token_files": op10_token_files,
