@@ -108,7 +108,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             kind = batch.column(0).type
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(texts):
-                for doc, own in zip(ids[i:j], code.encode(texts[i:j])):
+                for doc, own in zip(ids[i:j], map(code.encode, texts[i:j])):
                     own += end
                     total, at = len(own) // 4, 0
                     for n in pieces_of(total, capacity, least_cut):

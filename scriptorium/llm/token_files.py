@@ -97,7 +97,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(texts):
-                for key, own in zip(keys[i:j], code.encode(texts[i:j])):
+                for key, own in zip(keys[i:j], map(code.encode, texts[i:j])):
                     held.append((key, own + end))
                     held_ids += len(own) // 4 + 1
                     if held_ids >= block_ids:
