@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import licenses, line_quality, packing, pii, sharding, token_files
+from scriptorium.llm import lattice, licenses, line_quality, packing, pii, sharding, token_files
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -16,6 +16,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_shard(documents(spark, sf_dir), "doc_id", SHARDS)
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and base log10 probability of every document."""
+    return lattice.score(documents(spark, sf_dir))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return line_quality.score(documents(spark, sf_dir))
@@ -43,6 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice": op1_lattice,
     "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
     "op6_pii": op6_pii,
