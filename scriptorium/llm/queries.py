@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import lattice, licenses, line_quality, packing, pii, sharding, token_files
+from scriptorium.llm import jaccard_join, lattice, licenses, line_quality, packing, pii, sharding, token_files
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -42,6 +42,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to token files and read back."""
     return token_files.round_trip(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -54,6 +59,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 
