@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import jaccard_join, lattice, licenses, line_quality, packing, pii, sharding, token_files
+from scriptorium.llm import jaccard_join, lattice, licenses, line_quality, metric_join, mixing, packing, pii, sharding, token_files
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
@@ -32,6 +32,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector."""
+    return metric_join.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block and slot of every document, by source weights."""
+    made = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return made.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.report(documents(spark, sf_dir))
@@ -56,6 +67,8 @@ QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_line_quality": op2_line_quality,
     "op3_packing": op3_packing,
+    "op4_metric_join": op4_metric_join,
+    "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_sharding": op7_sharding,
     "op8_licenses": op8_licenses,
