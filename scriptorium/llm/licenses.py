@@ -105,15 +105,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     where a base phrase stands, else the best share of a template's weight that
     aligns at one relative position.
     """
-    idf, postings, weight = _index()
     low = lower_ascii(text_or_empty(text_col))
-    starts = sorted({*idf} - {"free", "use", "source", "public", "version", "general", "terms", "form", "forms", "code", "either", "person", "files", "under", "made", "met", "0", "1", "2", "3", "4", "v"})
-    likely = "|".join([*(p.replace(" ", GAP) for p in BASE_PHRASES), *(w for w in starts if len(w) > 5)])
     rows = docs.select(F.col(id_col), low.alias("_low"))
     rows = rows.withColumn("n_words", F.regexp_count("_low", F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("_w", F.when(F.col("_low").rlike(likely), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0))))
-    words = F.col("_w")
+    rows = rows.withColumn("_w", F.when(_likely(F.col("_low")), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0)))).drop("_low")
+    return rows.filter("_w is null").select(id_col, "n_words", *_nothing()).union(_looked_up(rows.filter("_w is not null"), id_col))
+
+
+def _likely(low: Column) -> Column:
+    """Holds wherever a base phrase or the key phrases of a template can stand."""
+    loose = [F.contains(low, F.lit(x)) for x in ("license", "cc0", "permission", "redistribution", "unencumbered")]
+    return reduce(lambda a, b: a | b, loose) | (F.contains(low, F.lit("cc")) & low.rlike(f"cc{GAP}by"))
+
 
+def _nothing() -> list[Column]:
+    none = F.lit(None).cast("long")
+    return [F.lit(0).cast("long").alias("n_base"), none.alias("first_word"), none.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")]
+
+
+def _looked_up(rows: DataFrame, id_col: str) -> DataFrame:
+    """Labels of rows with words ``_w``."""
+    idf, postings, weight = _index()
+    words = F.col("_w")
     bases = {label: _places(words, phrase) for phrase, label in BASE_PHRASES.items()}
     rows = rows.withColumns({f"_p{k}": F.coalesce(v, F.array().cast("array<int>")) for k, v in enumerate(bases.values())})
     every = F.flatten(F.array(*(F.col(f"_p{k}") for k in range(len(bases)))))
@@ -123,8 +136,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = F.filter(F.array_distinct(words), lambda x: F.array_contains(licence, x))
     ranked = F.array_sort(F.transform(found, lambda x: F.struct((-F.element_at(idf_map, x)).alias("neg"), x.alias("word"))))
     top = F.transform(F.slice(ranked, 1, LOOKUPS), lambda s: s["word"])
-    rows = rows.withColumn("_top", top)
-    hits = F.array_compact(F.transform(words, lambda x, i: F.when(F.array_contains("_top", x), F.struct(x.alias("word"), i.alias("at")))))
+    # bound by a lambda: a column that is named inside one would be computed again for each word
+    hit = lambda t: F.transform(words, lambda x, i: F.when(F.array_contains(t, x), F.struct(x.alias("word"), i.alias("at"))))
+    hits = F.array_compact(F.flatten(F.transform(F.array(top), hit)))
     rows = rows.withColumn("_hits", hits).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
 
     scores = []
