@@ -1,4 +1,425 @@
 """The registered queries of the engine and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as T
+from scriptorium.operators import names, search, transitions, verdict
+from scriptorium.plans import projections as P
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+# ------------------------------------------------------------------ SQL that the oracles share
+
+_SEP = r"[\x{09}-\x{0d}\x{20}-\x{2f}\x{3a}-\x{40}\x{5b}-\x{60}\x{7b}-\x{7e}\x{85}\x{a0}\x{ad}\x{b7}\x{2000}-\x{206f}\x{3000}-\x{303f}]+"
+
+
+def _ident(x: str) -> str:
+    return f"replace(lower(nfc_normalize({x})), 'ß', 'ss')"
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({_ident(x)}, '{_SEP}'), lambda t: t <> '')"
+
+
+_PAGES = """pages_ AS (
+  SELECT 'wiki/' || source || '/Doc ' || d.doc_id || '.md' AS path, 'Doc ' || d.doc_id AS base, lang AS type, source, string_split(text, chr(10))[1] AS title,
+         CASE WHEN quality = 0 THEN 'retired' ELSE 'active' END AS status, text AS body
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+_INDEX = f"""{_PAGES}, words_ AS (
+  SELECT path, {_tokens("body")} AS own, {_tokens("base || chr(10) || source || chr(10) || type || chr(10) || title")} AS names FROM pages_),
+len_ AS (SELECT path, len(own) + 3 * len(names) AS length FROM words_),
+postings_ AS (SELECT path, term, sum(w)::BIGINT AS tf FROM (
+  SELECT path, unnest(own) AS term, 1 AS w FROM words_ UNION ALL SELECT path, unnest(names), 3 FROM words_) GROUP BY ALL)"""
+_BM25 = """stats_ AS (SELECT count(*) AS n, avg(length) AS al FROM len_),
+df_ AS (SELECT term, count(*) AS df FROM postings_ GROUP BY term),
+parts_ AS (SELECT q.query_id, p.path, p.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al)) AS part
+  FROM asked_ q JOIN postings_ p USING (term) JOIN df_ USING (term) JOIN len_ USING (path), stats_),
+scores_ AS (SELECT query_id, path, round(list_reduce(list_prepend(0.0::DOUBLE, list(part::DOUBLE ORDER BY term)), lambda a, b: a + b), 6) AS score FROM parts_ GROUP BY ALL)"""
+_ENTITIES = """entities_ AS (
+  SELECT 'wiki/region/' || r_regionkey || '.md' AS path, 'region' AS type, 'region ' || r_regionkey AS alias, r_name AS title FROM region
+  UNION ALL SELECT 'wiki/nation/' || n_nationkey || '.md', 'nation', 'nation ' || n_nationkey, n_name FROM nation
+  UNION ALL SELECT 'wiki/customer/' || c_custkey || '.md', 'customer', 'customer ' || c_custkey, c_name FROM customer
+  UNION ALL SELECT 'wiki/supplier/' || s_suppkey || '.md', 'supplier', 'supplier ' || s_suppkey, s_name FROM supplier
+  UNION ALL SELECT 'wiki/part/' || p_partkey || '.md', 'part', 'part ' || p_partkey, p_name FROM part
+  UNION ALL SELECT 'wiki/order/' || o_orderkey || '.md', 'order', 'order ' || o_orderkey, o_orderkey::VARCHAR FROM orders)"""
+_CHAINS = "chains_ AS (SELECT unnest(['region','nation','customer','supplier','part','order']) AS type, unnest([['region','place','entity'],['nation','place','entity'],['customer','party','entity'],['supplier','party','entity'],['part','entity'],['order','entity']]) AS chain)"
+_RELATIONS = """relations_ AS (
+  SELECT 'wiki/nation/' || n_nationkey || '.md' AS page, 'part-of' AS label, 'wiki/region/' || n_regionkey || '.md' AS target FROM nation
+  UNION ALL SELECT 'wiki/customer/' || c_custkey || '.md', 'located-in', 'wiki/nation/' || c_nationkey || '.md' FROM customer
+  UNION ALL SELECT 'wiki/supplier/' || s_suppkey || '.md', 'located-in', 'wiki/nation/' || s_nationkey || '.md' FROM supplier
+  UNION ALL SELECT 'wiki/order/' || o_orderkey || '.md', 'placed-by', 'wiki/customer/' || o_custkey || '.md' FROM orders
+  UNION ALL SELECT 'wiki/order/' || l_orderkey || '.md', 'contains', 'wiki/part/' || l_partkey || '.md' FROM lineitem)"""
+_CLAIMS = """claims_ AS (SELECT 'wiki/order/' || l_orderkey || '.md' AS path, l_linenumber AS pos, l_returnflag AS category, l_linestatus AS provenance,
+  'part ' || l_partkey || ' from ' || l_suppkey || ' quantity ' || l_quantity::INTEGER AS core, l_linestatus = 'F' AS closed FROM lineitem)"""
+_TURNS = "turns_ AS (SELECT conv_id, turn, role, (generate_subscripts(p, 1) - 1)::INTEGER AS pos, unnest(p) AS text FROM (SELECT *, string_split(text, '. ') AS p FROM conversations))"
+
+QUESTION = "the ation of"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ names and search
+
+
+@_query(f"WITH {_PAGES}, o AS (SELECT path, {_ident('trim(title)')} AS ident, min(path) OVER (PARTITION BY {_ident('trim(title)')}) AS owner FROM pages_) SELECT * FROM o WHERE path <> owner")
+def q01_title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose title's identity key another, earlier page has."""
+    pages = P.doc_pages(spark, sf_dir).select("path", T.ident(F.trim("title")).alias("ident"))
+    return pages.withColumn("owner", F.min("path").over(Window.partitionBy("ident"))).filter("path <> owner")
+
+
+@_query(f"WITH {_INDEX} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, (SELECT round(avg(length), 6) FROM len_) AS avg_length FROM postings_ GROUP BY term")
+def q02_term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and collection frequency of every term, and the mean length."""
+    pages = P.doc_pages(spark, sf_dir)
+    mean = search.lengths(pages).select(F.round("avg_length", 6).alias("avg_length"))
+    return search.frequencies(search.index(pages)).join(F.broadcast(mean))  # one row
+
+
+@_query(f"""WITH {_INDEX}, asked_ AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens("text")}) AS term FROM benchmark), {_BM25}
+SELECT query_id, path, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path))::INTEGER AS rank FROM scores_) WHERE rank <= 10""")
+def q03_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best pages of each benchmark item."""
+    asked = P.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.top(search.bm25(P.doc_pages(spark, sf_dir), asked), 10)
+
+
+_Q = QUESTION
+_LADDER = f"""ladder_ AS (SELECT path, status = 'retired' AS retired, i_body, i_title,
+    CASE WHEN {_ident("base")} = '{_Q}' THEN 8192 ELSE 0 END + CASE WHEN i_title = '{_Q}' THEN 1024 WHEN contains(i_title, '{_Q}') THEN 512 ELSE 0 END
+    + CASE WHEN '{_Q}' IN (source, type) THEN 128 ELSE 0 END + CASE WHEN contains(i_body, '{_Q}') THEN 32 ELSE 0 END AS raw
+  FROM (SELECT *, {_ident("title")} AS i_title, {_ident("body")} AS i_body FROM pages_)),
+ranked_ AS (SELECT path, CASE WHEN i_title = '{_Q}' THEN 'identity' ELSE 'relevance' END AS band, CASE WHEN retired AND raw > 0 THEN greatest(1, raw // 2) ELSE raw END AS ladder FROM ladder_)"""
+
+
+@_query(f"""WITH {_INDEX}, asked_ AS (SELECT DISTINCT 0 AS query_id, unnest(string_split('{_Q}', ' ')) AS term), {_BM25}, {_LADDER},
+a_ AS (SELECT path, row_number() OVER (ORDER BY ladder DESC, path) AS r1 FROM ranked_ WHERE ladder > 0),
+b_ AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS r2 FROM scores_)
+SELECT path, band, ladder::INTEGER AS ladder, coalesce(b_.score, 0) AS lexical, round(coalesce(1 / (60 + r1), 0) + coalesce(1 / (60 + r2), 0), 6) AS score,
+  (row_number() OVER (ORDER BY CASE WHEN band = 'identity' THEN 0 ELSE 1 END, CASE WHEN band = 'identity' THEN ladder ELSE 0 END DESC, round(coalesce(1 / (60 + r1), 0) + coalesce(1 / (60 + r2), 0), 6) DESC, path))::INTEGER AS rank
+FROM ranked_ LEFT JOIN a_ USING (path) LEFT JOIN b_ USING (path) WHERE r1 IS NOT NULL OR r2 IS NOT NULL""")
+def q04_fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity ladder and BM25 fused by reciprocal rank."""
+    return search.search(P.doc_pages(spark, sf_dir), QUESTION).drop("reasons")
+
+
+_GRAMS = "list_distinct(list_transform(generate_series(1, length({0})), lambda i: substring(' ' || {0} || ' ', i, 3)))"
+_NEAR = "The and attion to thanedble the anea"
+
+
+@_query(f"""WITH {_PAGES}, forms_ AS (SELECT path, f, display, regexp_replace({_ident("display")}, '{_SEP}', '', 'g') AS c, {_ident("display")} AS normal, list_sort(list_distinct({_tokens("display")})) AS w
+  FROM (SELECT path, 0 AS f, base AS display FROM pages_ UNION ALL SELECT path, 1, title FROM pages_)),
+uniq_ AS (SELECT * FROM forms_ WHERE c <> '' QUALIFY row_number() OVER (PARTITION BY path, normal ORDER BY f) = 1),
+q_ AS (SELECT regexp_replace({_ident(f"'{_NEAR}'")}, '{_SEP}', '', 'g') AS qc, list_sort(list_distinct({_tokens(f"'{_NEAR}'")})) AS qw),
+sim_ AS (SELECT path, f, display, CASE WHEN c = qc OR w = qw THEN 1.0::DOUBLE ELSE len(list_intersect(g, qg)) / (len(g) + len(qg) - len(list_intersect(g, qg))) END AS s
+  FROM (SELECT *, {_GRAMS.format("c")} AS g, {_GRAMS.format("qc")} AS qg FROM uniq_, q_))
+SELECT path, display AS name, round(s, 6) AS score FROM (SELECT * FROM sim_ WHERE s >= 0.4 QUALIFY row_number() OVER (PARTITION BY path ORDER BY s DESC, f) = 1) ORDER BY score DESC, path LIMIT 20""")
+def q05_near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty pages with the most similar name."""
+    return search.near(P.doc_pages(spark, sf_dir), _NEAR)
+
+
+@_query(f"""WITH {_PAGES}, t_ AS (SELECT path, {_tokens("body")} AS w, {_ident("body")} AS i FROM pages_)
+SELECT path FROM t_ WHERE (contains(i, 'onthw') OR contains(i, 'erst')) AND NOT list_has_any(w, ['onthw', 'erst'])""")
+def q06_inside_longer_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that hold a term only inside longer words."""
+    return search.contains_terms(P.doc_pages(spark, sf_dir), "onthw erst")
+
+
+@_query(r"""WITH l_ AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target_name FROM pages),
+n_ AS (SELECT lower(url) AS ident, max(url) AS target FROM pages GROUP BY 1)
+SELECT page_id, target_name, target, CASE WHEN target IS NULL THEN 'unresolved' ELSE 'resolved' END AS verdict FROM l_ LEFT JOIN n_ ON lower(trim(target_name)) = ident""")
+def q07_link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of web pages resolved by the page's address."""
+    pages = P.table(spark, sf_dir, "pages")
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("target_name"))
+    index = pages.groupBy(T.ident(F.col("url")).alias("ident")).agg(F.max("url").alias("target")).withColumn("via_alias", F.lit(False))
+    return names.resolve(links, index).select("page_id", "target_name", "target", "verdict")
+
+
+@_query(f"""WITH {_ENTITIES}, {_CHAINS}, refs_ AS (
+  SELECT 'wiki/order/' || o_orderkey || '.md' AS path, 'order ' || o_custkey AS target_name, 'party' AS required FROM orders UNION ALL
+  SELECT 'wiki/customer/' || c_custkey || '.md', 'Nation ' || (c_nationkey + 3), 'place' FROM customer)
+SELECT r.path, 'ref' AS field, target_name, e.path AS target, CASE WHEN e.path IS NULL THEN 'unresolved' ELSE 'wrong-type' END AS kind
+FROM refs_ r LEFT JOIN entities_ e ON lower(target_name) = e.alias LEFT JOIN chains_ c ON e.type = c.type WHERE e.path IS NULL OR NOT list_contains(chain, required)""")
+def q08_reference_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that name no page or a page outside the required type's chain."""
+    orders, customers = P.table(spark, sf_dir, "orders"), P.table(spark, sf_dir, "customer")
+    path = lambda kind, key: F.concat(F.lit(f"wiki/{kind}/"), F.col(key).cast("string"), F.lit(".md")).alias("path")
+    refs = orders.select(path("order", "o_orderkey"), F.lit("ref").alias("field"), F.concat(F.lit("order "), F.col("o_custkey").cast("string")).alias("target_name"), F.lit("party").alias("required"))
+    refs = refs.union(customers.select(path("customer", "c_custkey"), F.lit("ref"), F.concat(F.lit("Nation "), (F.col("c_nationkey") + 3).cast("string")), F.lit("place")))
+    pages = P.entity_pages(spark, sf_dir)
+    return names.reference_findings(refs, names.name_index(pages), P.chains(spark))
+
+
+@_query("""WITH v_ AS (SELECT unnest(['1-URGENT','2-HIGH','3-MEDIUM']) AS entry, unnest(['active','retired','active']) AS status, unnest([NULL,'1-URGENT',NULL]) AS successor)
+SELECT o_orderkey, o_orderpriority AS value, CASE WHEN status = 'retired' THEN 'vocabulary-retired' ELSE 'vocabulary-unknown' END AS code, successor
+FROM orders LEFT JOIN v_ ON o_orderpriority = entry WHERE status = 'retired' OR entry IS NULL""")
+def q09_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are retired or no entry of a registered vocabulary."""
+    vocabulary = spark.createDataFrame([("1-URGENT", "active", None), ("2-HIGH", "retired", "1-URGENT"), ("3-MEDIUM", "active", None)], "entry string, status string, successor string")
+    values = P.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("value"))
+    return names.vocabulary_findings(values, vocabulary)
+
+
+@_query("""SELECT 'event' AS vocabulary, event_type AS value, count(*) AS uses FROM events GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2""")
+def q10_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of every vocabulary value."""
+    return names.census(("event", P.table(spark, sf_dir, "events").select(F.col("event_type").alias("value"))), ("priority", P.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value"))))
+
+
+@_query(f"""WITH {_ENTITIES}, {_CHAINS}, c_ AS (SELECT unnest(chain) AS t, n FROM (SELECT type, count(*) AS n FROM entities_ GROUP BY 1) JOIN chains_ USING (type)),
+s_ AS (SELECT t, sum(n)::BIGINT AS pages FROM c_ GROUP BY 1), b_ AS (SELECT unnest(['place','party','nation','draft']) AS type, unnest([1,5,0,1]) AS least, unnest([10,1000000000,25,9]) AS most)
+SELECT type, coalesce(pages, 0)::BIGINT AS pages, CASE WHEN coalesce(pages, 0) < least THEN 'instances-min' ELSE 'instances-max' END AS code FROM b_ LEFT JOIN s_ ON type = t WHERE coalesce(pages, 0) < least OR coalesce(pages, 0) > most""")
+def q11_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types with too few or too many pages, subtypes counted."""
+    bounds = spark.createDataFrame([("place", 1, 10), ("party", 5, 1_000_000_000), ("nation", 0, 25), ("draft", 1, 9)], "type string, least long, most long")
+    return names.instance_findings(P.entity_pages(spark, sf_dir), P.chains(spark), bounds)
+
+
+@_query(f"""WITH {_RELATIONS}, n_ AS (SELECT page, count(*) AS n FROM relations_ WHERE label = 'contains' GROUP BY 1)
+SELECT 'wiki/order/' || o_orderkey || '.md' AS page, coalesce(n, 0)::BIGINT AS n FROM orders LEFT JOIN n_ ON page = 'wiki/order/' || o_orderkey || '.md' WHERE coalesce(n, 0) < 3""")
+def q12_required_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with fewer than three contained parts."""
+    owners = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/order/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("page"))
+    return transitions.require_findings(P.relations(spark, sf_dir), owners, ["contains"], 3)
+
+
+# ------------------------------------------------------------------ sections, graph
+
+
+@_query("""WITH d_ AS (SELECT unnest(['A','N','R']) AS heading, unnest([0,1,2]) AS p, unnest([1,1,0]) AS least, unnest([2,9,1]) AS most),
+s_ AS (SELECT l_orderkey AS page, l_linenumber AS line, l_returnflag AS heading FROM lineitem),
+w_ AS (SELECT s_.*, p, most, row_number() OVER (PARTITION BY page, heading ORDER BY line) AS n, max(p) OVER (PARTITION BY page ORDER BY line, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM s_ JOIN d_ USING (heading))
+SELECT page, heading, line, 'section-count' AS code FROM w_ WHERE n = most + 1 UNION ALL SELECT page, heading, line, 'section-order' FROM w_ WHERE p < hi
+UNION ALL SELECT g.page, d_.heading, 0, 'section-count' FROM (SELECT DISTINCT page FROM s_) g, d_ LEFT JOIN (SELECT page, heading, count(*) AS n FROM s_ GROUP BY ALL) c ON c.page = g.page AND c.heading = d_.heading WHERE least > 0 AND coalesce(n, 0) < least""")
+def q13_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order and count of lines as sections."""
+    declared = spark.createDataFrame([("A", 0, 1, 2, True), ("N", 1, 1, 9, True), ("R", 2, 0, 1, True)], "heading string, pos int, least int, most int, ordered boolean")
+    sections = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("heading"))
+    return transitions.section_findings(sections, declared).withColumn("line", F.coalesce("line", F.lit(0)))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rel = P.relations(spark, sf_dir).select(F.col("page").alias("from"), F.col("target").alias("to"), F.lit("relation").alias("kind"), "label")
+    tagged = P.table(spark, sf_dir, "customer").select(F.concat(F.lit("wiki/customer/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("from"), F.concat(F.lit("tag:"), F.col("c_mktsegment")).alias("to"), F.lit("tagged").alias("kind"), F.lit(None).cast("string").alias("label"))
+    return names.edges(rel, tagged)
+
+
+_GRAPH = f"""{_RELATIONS}, graph_ AS (SELECT DISTINCT page AS "from", target AS "to", 'relation' AS kind, label FROM relations_ WHERE page <> target
+  UNION ALL SELECT DISTINCT 'wiki/customer/' || c_custkey || '.md', 'tag:' || c_mktsegment, 'tagged', NULL FROM customer)"""
+
+
+@_query(f"WITH {_GRAPH} SELECT kind, NULL::VARCHAR AS label, count(*) AS edges FROM graph_ GROUP BY kind UNION ALL SELECT kind, label, count(*) FROM graph_ WHERE kind = 'relation' GROUP BY kind, label")
+def q14_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the graph by kind and label."""
+    return names.edge_counts(_graph(spark, sf_dir))
+
+
+@_query(f"""WITH {_GRAPH}, b_ AS (SELECT "from" AS page, 'out' AS direction, kind, label, "to" AS other FROM graph_ UNION ALL SELECT "to", 'in', kind, label, "from" FROM graph_)
+SELECT page, direction, kind, label, count(DISTINCT other) AS n, md5(string_agg(DISTINCT other, ',' ORDER BY other)) AS neighbours FROM b_ GROUP BY ALL""")
+def q15_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every page by direction, kind and label."""
+    adj = names.adjacency(_graph(spark, sf_dir))
+    return adj.select("page", "direction", "kind", "label", F.size("neighbours").cast("long").alias("n"), F.md5(F.array_join("neighbours", ",").cast("binary")).alias("neighbours"))
+
+
+# ------------------------------------------------------------------ snapshots
+
+
+@_query(f"""WITH {_TURNS}, j_ AS (SELECT a.conv_id, a.turn, a.pos, a.text AS before, b.text AS after FROM turns_ a LEFT JOIN turns_ b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.pos = b.pos WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn = a.turn + 1))
+SELECT conv_id, turn, pos, before, after FROM j_ WHERE before IS DISTINCT FROM after QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) = 1""")
+def q16_append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First line of each turn that the next turn doesn't keep in place."""
+    lines = P.turns(spark, sf_dir)
+    now = lines.withColumn("turn", F.col("turn") - 1)
+    follows = now.select("conv_id", "turn").distinct()
+    return transitions.entries_edited(lines.join(follows, ["conv_id", "turn"], "left_semi"), now, ["conv_id", "turn"])
+
+
+def _claim_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Open claims, and a later state: some dropped, some with another last digit's spelling, some with a typing error."""
+    base = P.claims(spark, sf_dir).filter("not closed")
+    pick = (F.regexp_extract("path", "([0-9]+)", 1).cast("long") + F.col("pos")) % 10
+    fixed = F.when(pick == 2, F.replace("core", F.lit("quantity"), F.lit("qantity"))).when(pick == 3, F.concat("core", F.lit("7"))).otherwise(F.col("core"))
+    return base, base.filter(pick != 1).withColumn("core", fixed)
+
+
+@_query(f"""WITH {_CLAIMS}, base_ AS (SELECT *, (regexp_extract(path, '([0-9]+)', 1)::BIGINT + pos) % 10 AS pick FROM claims_ WHERE NOT closed),
+now_ AS (SELECT path, pos, category, provenance, CASE pick WHEN 2 THEN replace(core, 'quantity', 'qantity') WHEN 3 THEN core || '7' ELSE core END AS core FROM base_ WHERE pick <> 1),
+gone_ AS (SELECT * FROM base_ ANTI JOIN (SELECT path, category, core FROM now_) USING (path, category, core)), fresh_ AS (SELECT * FROM now_ ANTI JOIN (SELECT path, category, core FROM base_) USING (path, category, core))
+SELECT path, pos, category, '#' || substr(sha256(lower(core)), 1, 8) AS handle, core FROM gone_ g WHERE NOT EXISTS (SELECT 1 FROM fresh_ f WHERE f.path = g.path AND f.category = g.category AND f.provenance = g.provenance
+  AND levenshtein(f.core, g.core) <= 3 AND regexp_replace(f.core, '[^0-9]', '', 'g') = regexp_replace(g.core, '[^0-9]', '', 'g'))""")
+def q17_claims_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims that neither stay nor are corrected."""
+    base, now = _claim_states(spark, sf_dir)
+    return transitions.claims_lost(base, now)
+
+
+@_query(f"""WITH {_CLAIMS}, e_ AS (SELECT path, 'closed ' || core || case when pos % 2 = 0 then '.' else '5' end AS entry FROM claims_ WHERE pos <= 4)
+SELECT DISTINCT c.path, c.pos FROM claims_ c JOIN e_ e ON c.path = e.path WHERE NOT closed AND regexp_matches(entry, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(core) || '($|[^\\p{{L}}\\p{{N}}_])')""")
+def q18_landing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose core an entry of their page quotes as a whole segment."""
+    claims = P.claims(spark, sf_dir)
+    end = F.when(F.col("pos") % 2 == 0, ".").otherwise("5")
+    entries = claims.filter("pos <= 4").select("path", F.concat(F.lit("closed "), "core", end).alias("text"))
+    return transitions.landed(claims.filter("not closed"), entries)
+
+
+@_query(f"""WITH {_TURNS}, a_ AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn, pos) AS k FROM turns_ WHERE turn % 2 = 0),
+b_ AS (SELECT conv_id, turn, pos, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn, pos) AS k FROM turns_ WHERE turn % 2 = 1)
+SELECT b_.conv_id, turn, pos, b_.text FROM b_ JOIN a_ USING (conv_id, text, k)""")
+def q19_inherited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of odd turns whose k-th equal stands in an even turn of the conversation."""
+    lines = P.turns(spark, sf_dir).select("conv_id", "turn", "pos", "text")
+    return transitions.inherited(lines.filter("turn % 2 = 0"), lines.filter("turn % 2 = 1"), ["conv_id", "text"], ["turn", "pos"]).select("conv_id", "turn", "pos", "text")
+
+
+@_query("""WITH b_ AS (SELECT 'wiki/order/' || l_orderkey || '.md' AS path, l_linenumber AS pos, l_returnflag AS label, l_shipmode AS target FROM (SELECT *, 'p' || (l_partkey % 5) AS l_shipmode FROM lineitem)),
+x_ AS (SELECT path, pos, lower(label) AS label, target, row_number() OVER (PARTITION BY path, lower(label), target ORDER BY pos) AS k FROM b_),
+y_ AS (SELECT path, lower(label) AS label, target, row_number() OVER (PARTITION BY path, lower(label), target ORDER BY pos) AS k FROM b_ WHERE pos <> 2)
+SELECT path, pos, label, target FROM x_ ANTI JOIN y_ USING (path, label, target, k)""")
+def q20_relations_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of the base beyond their k-th equal of the current state."""
+    rows = P.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("wiki/order/"), F.col("l_orderkey").cast("string"), F.lit(".md")).alias("path"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("label"), F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string")).alias("target"))
+    return transitions.relations_removed(rows, rows.filter("pos <> 2")).select("path", "pos", "label", "target")
+
+
+@_query(f"""WITH {_GRAPH} SELECT DISTINCT "from" AS path, "to" AS via FROM graph_ WHERE kind <> 'tagged' AND "to" IN (SELECT 'wiki/part/' || p_partkey || '.md' FROM part WHERE p_size > 45)""")
+def q21_stale_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages one hop before a stale page."""
+    stale = P.table(spark, sf_dir, "part").filter("p_size > 45").select(F.concat(F.lit("wiki/part/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+    return names.stale_propagation(_graph(spark, sf_dir), stale)
+
+
+# ------------------------------------------------------------------ findings
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings over order lines: a discount is a warning's place, a return an error's, an own rule for large quantities."""
+    line = P.table(spark, sf_dir, "lineitem").withColumn("path", F.concat(F.lit("wiki/order/"), F.col("l_orderkey").cast("string"), F.lit(".md")))
+    own = lambda rule, cond, severity: line.filter(cond).select("path", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("l_linenumber").alias("line"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("occurrence"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("message"))
+    return own("item-unparsed", "l_returnflag = 'R'", "error").union(own("wikilink-unresolved", "l_discount > 0.08", "error")).union(own("large-quantity", "l_quantity > 48", "warning")).union(own("unevaluated", "l_linenumber = 7", "error"))
+
+
+_FINDINGS = """f_ AS (SELECT 'wiki/order/' || l_orderkey || '.md' AS path, r AS rule, s AS severity, q AS queue, l_linenumber AS line, 'part ' || l_partkey AS message FROM lineitem,
+ (VALUES ('item-unparsed', 'error', 'grammar-review'), ('wikilink-unresolved', 'warning', 'link-review'), ('large-quantity', 'warning', 'rule-review'), ('unevaluated', 'info', NULL)) v(r, s, q)
+ WHERE CASE r WHEN 'item-unparsed' THEN l_returnflag = 'R' WHEN 'wikilink-unresolved' THEN l_discount > 0.08 WHEN 'large-quantity' THEN l_quantity > 48 ELSE l_linenumber = 7 END)"""
+
+
+@_query(f"""WITH {_FINDINGS}, w_ AS (SELECT 'wiki/order/' || o_orderkey || '.md' AS path, unnest(['item-unparsed', 'large-quantity', 'unevaluated', 'no-such-rule']) AS waived FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT path, waived, CASE WHEN waived IN ('unevaluated', 'no-such-rule') THEN 'exception-illegal' WHEN EXISTS (SELECT 1 FROM f_ WHERE f_.path = w_.path AND f_.rule = waived) THEN 'exception-applied' ELSE 'exception-stale' END AS rule FROM w_""")
+def q22_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waivers that apply, are stale or are illegal."""
+    orders = P.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    waivers = orders.select(F.concat(F.lit("wiki/order/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.explode(F.array(*map(F.lit, ("item-unparsed", "large-quantity", "unevaluated", "no-such-rule")))).alias("rule"))
+    known = verdict.routes(spark).select("rule", "severity").union(spark.createDataFrame([("large-quantity", "warning")], "rule string, severity string"))
+    return verdict.exceptions(_findings(spark, sf_dir), waivers, known)[1]
+
+
+@_query(f"WITH {_FINDINGS} SELECT rule, severity, queue, count(*) AS findings FROM f_ GROUP BY ALL")
+def q23_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by rule after routing."""
+    routed = verdict.route(_findings(spark, sf_dir), verdict.routes(spark))
+    return routed.groupBy("rule", "severity", "queue").agg(F.count("*").alias("findings"))
+
+
+@_query(f"""WITH {_ENTITIES}, g_ AS (SELECT unnest(['customer','supplier','order']) AS type, unnest(['party-rule','party-rule','order-rule']) AS rule),
+u_ AS (SELECT 'wiki/order/' || o_orderkey || '.md' AS path, 'order-rule' AS rule FROM orders WHERE o_orderstatus = 'P'), r_ AS (SELECT unnest(['party-rule','order-rule','idle-rule']) AS rule),
+h_ AS (SELECT rule, count(*) AS held FROM entities_ JOIN g_ USING (type) GROUP BY 1), m_ AS (SELECT rule, count(*) AS missed FROM u_ GROUP BY 1)
+SELECT rule, (coalesce(held, 0) - coalesce(missed, 0))::BIGINT AS evaluated, ((SELECT count(*) FROM entities_) - coalesce(held, 0))::BIGINT AS not_applicable, coalesce(missed, 0)::BIGINT AS unevaluated FROM r_ LEFT JOIN h_ USING (rule) LEFT JOIN m_ USING (rule)""")
+def q24_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages on which each rule was evaluated, didn't apply or couldn't be evaluated."""
+    pages = P.entity_pages(spark, sf_dir).select("path", "type")
+    governed = spark.createDataFrame([("customer", "party-rule"), ("supplier", "party-rule"), ("order", "order-rule")], "type string, rule string")
+    rules = spark.createDataFrame([("party-rule",), ("order-rule",), ("idle-rule",)], "rule string")
+    unjudged = P.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("wiki/order/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.lit("order-rule").alias("rule"))
+    return verdict.coverage(pages, rules, governed, unjudged)
+
+
+@_query(f"WITH {_FINDINGS} SELECT path, rule, severity, line, message FROM f_ ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, path, line, rule, message LIMIT 50")
+def q25_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifty findings, errors first."""
+    routed = verdict.route(_findings(spark, sf_dir), verdict.routes(spark))
+    return verdict.cap(routed, 50).select("path", "rule", "severity", "line", "message")
+
+
+@_query("SELECT conv_id, turn, used::BIGINT AS used FROM (SELECT conv_id, turn, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 600")
+def q26_budgeted_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation that fit a budget of bytes."""
+    rows = P.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("size"))
+    return verdict.budget(rows, "conv_id", "turn", "size", 600).select("conv_id", "turn", F.col("used").cast("long").alias("used"))
+
+
+@_query("SELECT sha256(string_agg(line, '' ORDER BY line)) AS digest FROM (SELECT 'wiki/' || source || '/Doc ' || doc_id || '.md' || chr(0) || sha256(text) || chr(10) AS line FROM documents)")
+def q27_content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of all pages' contents."""
+    return verdict.content_digest(P.doc_pages(spark, sf_dir).select("path", F.col("body").cast("binary").alias("content")))
+
+
+@_query("""WITH a_ AS (SELECT p_brand, max(p_size) AS m, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b_ AS (SELECT p_brand, max(p_size) AS m, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+SELECT p_brand, CASE WHEN a_.n IS NULL THEN 'added' WHEN b_.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a_ FULL JOIN b_ USING (p_brand) WHERE a_.n IS NULL OR b_.n IS NULL OR a_.m <> b_.m OR a_.n <> b_.n""")
+def q28_law_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations that were added, removed or changed."""
+    part = P.table(spark, sf_dir, "part")
+    of = lambda cond: part.filter(cond).groupBy("p_brand").agg(F.max("p_size").alias("m"), F.count("*").alias("n"))
+    return verdict.diff(of("p_partkey % 2 = 0"), of("p_partkey % 3 = 0"), ["p_brand"], F.struct("m", "n"))
+
+
+@_query("""SELECT o_orderkey, o_orderstatus IN ('O', 'P') AND (o_totalprice > 1000 OR o_orderpriority LIKE '1-%') AS known,
+ list_bool_and(list_transform(lines, lambda l: l <= 45)) AS small FROM orders JOIN (SELECT l_orderkey, list(l_quantity) AS lines FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+def q29_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two expression rules compiled to columns."""
+    from scriptorium.functions.cel import compile_rule
+
+    lines = P.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("lines"))
+    rows = P.table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    page = {"status": "o_orderstatus", "price": "o_totalprice", "priority": "o_orderpriority", "lines": "lines"}
+    known = compile_rule('page.status in ["O", "P"] && (page.price > 1000.0 || page.priority.startsWith("1-"))', {"page": page})
+    small = compile_rule("page.lines.all(l, l <= 45.0)", {"page": page})
+    return rows.select("o_orderkey", known.alias("known"), small.alias("small"))
+
+
+@_query("""WITH v_ AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-31') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 3 THEN strftime(ts, '%Y-%m') WHEN 4 THEN 'https://A.Example:8443/x/' || event_id || '?q=1' ELSE strftime(ts, '%Y-%-m-%-d') END AS v FROM events)
+SELECT event_id, v, regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_strptime(v, '%Y-%m-%d') IS NOT NULL AS is_date, regexp_full_match(v, '[0-9-]{10}T[0-9:]{8}Z') AS is_date_time,
+ CASE WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_strptime(v, '%Y-%m-%d') IS NOT NULL THEN 'day' WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}') THEN 'month' END AS precision,
+ CASE WHEN v LIKE 'https:%' THEN 'a.example:8443' END AS host FROM v_""")
+def q30_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Date, date-time and URI predicates."""
+    e, kind = P.table(spark, sf_dir, "events"), F.col("event_id") % 6
+    fmt = lambda f: F.date_format("ts", f)
+    v = F.when(kind == 0, fmt("yyyy-MM-dd")).when(kind == 1, F.concat(fmt("yyyy-MM"), F.lit("-31"))).when(kind == 2, fmt("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(kind == 3, fmt("yyyy-MM")).when(kind == 4, F.concat(F.lit("https://A.Example:8443/x/"), F.col("event_id").cast("string"), F.lit("?q=1"))).otherwise(fmt("yyyy-M-d"))
+    rows = e.select("event_id", v.alias("v"))
+    return rows.select("event_id", "v", T.is_date(F.col("v")).alias("is_date"), T.is_date_time(F.col("v")).alias("is_date_time"), T.precision(F.col("v")).alias("precision"), T.parse_uri(F.col("v"))["host"].alias("host"))
+
+
+@_query(f"""WITH t_ AS (SELECT conv_id, turn, role, text, {_tokens("text")} AS w, {_ident("text")} AS i FROM conversations),
+s_ AS (SELECT count(*) AS n, avg(len(w)) AS al, count_if(list_contains(w, 'the')) AS d1, count_if(list_contains(w, 'of')) AS d2 FROM t_),
+u_ AS (SELECT *, len(list_filter(w, lambda x: x = 'the')) AS f1, len(list_filter(w, lambda x: x = 'of')) AS f2 FROM t_, s_),
+p_ AS (SELECT *, CASE WHEN f2 > 0 THEN ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len(w) / al)) ELSE 0 END + CASE WHEN f1 > 0 THEN ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len(w) / al)) ELSE 0 END AS s FROM u_)
+SELECT conv_id::VARCHAR AS path, turn AS line, 'core' AS matched_in, CASE WHEN f1 + f2 = 0 THEN 0 ELSE round(CASE WHEN role = 'system' THEN s / 2 ELSE s END, 6) END AS score, CASE WHEN f1 + f2 = 0 THEN 'text:contains' ELSE 'bm25' END AS tier FROM p_ WHERE f1 + f2 > 0 OR contains(i, 'the') OR contains(i, 'of')""")
+def q31_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as items, ranked."""
+    rows = P.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), F.col("text").alias("core"), F.lit(None).cast("string").alias("rationale"), (F.col("role") == "system").alias("retired"))
+    return search.items(rows, "the of")
+
+
+@_query("""WITH c_ AS (SELECT user_id AS page, event_id AS pos, CASE WHEN event_type = 'purchase' THEN 'file' || (event_id % 7) END AS file, (event_id % 50)::INTEGER AS line FROM events)
+SELECT page, pos, line, last_value(file IGNORE NULLS) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING) AS file FROM c_""")
+def q32_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare line citations with the last cited file."""
+    e = P.table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("page"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("file"), (F.col("event_id") % 7).cast("string"))).alias("file"), (F.col("event_id") % 50).cast("int").alias("line"))
+    return transitions.carried_paths(rows).select("page", "pos", "line", "file")
