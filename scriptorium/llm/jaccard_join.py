@@ -181,14 +181,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     copies = known.join(firsts.filter("copies > 1").select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v").filter("u <> v")
 
     postings = _postings(docs, firsts, grams, id_col, text_col, width, percent)
-    # only lists with two sets or more; each with its most central set (ties: the smallest id)
-    per_gram = postings.repartition("gram")
-    counted = per_gram.selectExpr("gram", "id", "n", "central", "rest", "count(*) over (partition by gram) as _held", "max(struct(central, -id as neg)) over (partition by gram) as _top")
-    lists = written(counted.filter("_held > 1").select("gram", "id", "n", "rest", (-F.col("_top.neg")).alias("p")), "jaccard-lists")
+    # only lists with two sets or more, each set with the most central set (ties: the smallest id) of its size band;
+    # the bands of both rows of half-shifted bands, so that sets of near sizes share one
+    scale = f"ln(n) / ln({100 / percent})"
+    per_gram = postings.repartition("gram").selectExpr("*", f"cast(floor({scale}) as int) as band", f"cast(floor({scale} + 0.5) as int) as half")
+    top = "max(struct(central, -id as neg, n, rest)) over (partition by gram, {0}) as _{0}"
+    counted = per_gram.selectExpr("gram", "id", "n", "rest", "band", "count(*) over (partition by gram) as _held", top.format("band"), top.format("half"))
+    lists = written(counted.filter("_held > 1").drop("_held"), "jaccard-lists")
     active = lists.select("id").distinct()
-    texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"]).join(active, "id", "left_semi"), "jaccard-texts")
+    texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(active, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
 
-    stars = lists.filter("id <> p").select("p", F.col("id").alias("m")).distinct()
+    fits = "100 * least(n, t.n) >= {0} * greatest(n, t.n) and {0} * (n + t.n) <= (100 + {0}) * least(rest, t.rest)".format(percent)
+    stars = lists.select("id", "n", "rest", F.explode(F.array("_band", "_half")).alias("t")).filter("id <> -t.neg").filter(fits)
+    stars = stars.select((-F.col("t.neg")).alias("p"), F.col("id").alias("m")).distinct()
     first = written(_compare(stars, texts, width), "jaccard-first")
     linked = first.filter(_linked(percent)).select(F.col("p").alias("u"), F.col("m").alias("v"))
     labels = components(linked, "jaccard-labels")
@@ -199,7 +204,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     ends = active.join(labels, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("label"))
     mixed = lists.join(ends, "id")
     open_lists = mixed.groupBy("gram").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("gram")
-    mixed = mixed.join(open_lists, "gram").withColumn("band", F.floor(F.log(100 / percent, F.col("n"))).cast("int"))
+    mixed = mixed.join(open_lists, "gram")
     left = mixed.select("gram", *(F.col(c).alias(f"{c}_1") for c in ("id", "n", "rest", "label", "band")))
     right = mixed.select("gram", *(F.col(c).alias(f"{c}_2") for c in ("id", "n", "rest", "label", "band")))
     need = F.expr(f"{percent} * (n_1 + n_2) <= (100 + {percent}) * least(rest_1, rest_2)")
