@@ -165,9 +165,14 @@ def name_forms(pages: DataFrame) -> DataFrame:
 def near(pages: DataFrame, query: str, limit: int | None = NEAR_LIMIT) -> DataFrame:
     """(path, name, score) of the pages whose best name form is like the query: equal form or words 1.0, else trigram Jaccard of 0.40 or more."""
     words = sorted(set(T.tokenize(query)))
-    q_compact, q_words = F.lit("".join(T._SEP_PY.split(T.fold(query)))), F.array(*map(F.lit, words)).cast("array<string>")
+    compact = "".join(T._SEP_PY.split(T.fold(query)))
+    padded = f" {compact} "
+    grams = sorted({padded[k : k + 3] for k in range(len(padded) - 2)}) if compact else []
+    q_compact, q_words, q_grams = F.lit(compact), F.array(*map(F.lit, words)).cast("array<string>"), F.array(*map(F.lit, grams)).cast("array<string>")
     forms = name_forms(pages)
-    like = F.when((F.col("compact") == q_compact) | ((F.col("words") == q_words) & (F.size("words") > 0)), F.lit(1.0)).otherwise(T.jaccard(F.col("grams"), T.trigrams(q_compact)))
+    # bound by a lambda: the form's trigrams are made once
+    shared = F.get(F.transform(F.array("grams"), lambda g: T.jaccard(g, q_grams)), 0)
+    like = F.when((F.col("compact") == q_compact) | ((F.col("words") == q_words) & (F.size("words") > 0)), F.lit(1.0)).otherwise(shared)
     best = forms.withColumn("score", like).filter(F.col("score") >= NEAR_LEAST).groupBy("path").agg(F.max(F.struct("score", (-F.col("form")).alias("f"), "display")).alias("m"))
     out = best.select("path", F.col("m.display").alias("name"), F.round("m.score", 6).alias("score"))
     return out.orderBy(F.desc("score"), "path").limit(limit) if limit else out
