@@ -27,6 +27,7 @@ so no group grows with the number of copies.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -181,13 +182,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     copies = known.join(firsts.filter("copies > 1").select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v").filter("u <> v")
 
     postings = _postings(docs, firsts, grams, id_col, text_col, width, percent)
-    # only lists with two sets or more, each set with the most central set (ties: the smallest id) of its size band;
-    # the bands of both rows of half-shifted bands, so that sets of near sizes share one
-    scale = f"ln(n) / ln({100 / percent})"
+    # index lists in bands of set size, and in bands shifted by half. A band is more than twice as wide, in logarithms, as
+    # the sizes of linked sets can differ, so these share one of either. Rows that are alone in both bands have no
+    # partner; the others get the bands' most central sets (ties: the smallest id).
+    scale = f"ln(n) / ({2.02 * math.log(100 / percent)})"
     per_gram = postings.repartition("gram").selectExpr("*", f"cast(floor({scale}) as int) as band", f"cast(floor({scale} + 0.5) as int) as half")
-    top = "max(struct(central, -id as neg, n, rest)) over (partition by gram, {0}) as _{0}"
-    counted = per_gram.selectExpr("gram", "id", "n", "rest", "band", "count(*) over (partition by gram) as _held", top.format("band"), top.format("half"))
-    lists = written(counted.filter("_held > 1").drop("_held"), "jaccard-lists")
+    top, many = "max(struct(central, -id as neg, n, rest)) over (partition by gram, {0}) as _{0}", "count(*) over (partition by gram, {0}) as _n_{0}"
+    counted = per_gram.selectExpr("gram", "id", "n", "rest", "band", *(x.format(b) for b in ("band", "half") for x in (top, many)))
+    lists = written(counted.filter("_n_band > 1 or _n_half > 1").drop("_n_band", "_n_half"), "jaccard-lists")
     active = lists.select("id").distinct()
     texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(active, "id", "left_semi").dropDuplicates(["id"]), "jaccard-texts")
 

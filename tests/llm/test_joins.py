@@ -67,6 +67,15 @@ def corpus(seed):
     return [(k * 3, t) for k, t in enumerate(texts)]
 
 
+def test_jaccard_of_sets_whose_sizes_differ_most(spark):
+    rows = []
+    for n in range(4, 60):  # a text and its prefix at or just beyond the threshold, for many sizes
+        words = [f"w{n}x{k}" for k in range(n + 3)]
+        rows += [(n * 10, " ".join(words)), (n * 10 + 1, " ".join(words[: -(-85 * n // 100) + 3])), (n * 10 + 2, " ".join(words[: 85 * n // 100 + 2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_join.classes(docs).collect()), key=str) == brute(rows, 4, 85)
+
+
 @pytest.mark.parametrize("seed,width,percent", [(1, 4, 85), (2, 5, 80)])
 def test_jaccard_classes(spark, odd_docs, seed, width, percent):
     rows = corpus(seed) + [(10_000 + (r.doc_id or 0) if r.doc_id is not None else None, r.text) for r in odd_docs.collect()]
