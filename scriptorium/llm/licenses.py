@@ -1,11 +1,11 @@
-"""License scan by a positional index of rare licence words.
+"""License scan by a positional index of licence words.
 
 Templates are short public notices. An index holds, for each word of a
 template, its positions; a word's weight is its inverse document frequency over
-the templates. Of a file's licence words the ones of highest weight are looked
-up; each hit votes for (template, position in file - position in template), the
-largest sum of weights at one relative position is the template's alignment, and
-a template counts only when its mandatory key phrases stand in the file too.
+the templates. A template counts only when its mandatory key phrases stand in the
+file. Then every place of each of its words in the file votes for position in file
+- position in template, and the largest sum of weights at one relative position is
+the template's alignment. So what else a file holds takes no label away.
 Besides, fixed phrases are located word by word (the base labels).
 
 All is column expressions on the row itself: no shuffle, no join, no Python, so
@@ -56,8 +56,8 @@ TEMPLATES = [
 #: Words that also stand in ordinary prose: no index entries.
 COMMON = "a and any are as by for in is of or that the this to with".split()
 
-#: Highest-weight distinct licence words looked up per file, and the share of a template's weight that must align.
-LOOKUPS, LEAST_SCORE = 24, 0.5
+#: The share of a template's weight that must align.
+LEAST_SCORE = 0.5
 
 
 def _index():
@@ -131,18 +131,14 @@ def _looked_up(rows: DataFrame, id_col: str) -> DataFrame:
     rows = rows.withColumns({f"_p{k}": F.coalesce(v, F.array().cast("array<int>")) for k, v in enumerate(bases.values())})
     every = F.flatten(F.array(*(F.col(f"_p{k}") for k in range(len(bases)))))
 
-    licence = F.array(*map(F.lit, sorted(idf)))
     idf_map = F.create_map(*(x for w in sorted(idf) for x in (F.lit(w), F.lit(idf[w]))))
-    found = F.filter(F.array_distinct(words), lambda x: F.array_contains(licence, x))
-    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-F.element_at(idf_map, x)).alias("neg"), x.alias("word"))))
-    top = F.transform(F.slice(ranked, 1, LOOKUPS), lambda s: s["word"])
-    # bound by a lambda: a column that is named inside one would be computed again for each word
-    hit = lambda t: F.transform(words, lambda x, i: F.when(F.array_contains(t, x), F.struct(x.alias("word"), i.alias("at"))))
-    hits = F.array_compact(F.flatten(F.transform(F.array(top), hit)))
-    rows = rows.withColumn("_hits", hits).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
+    rows = rows.withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
+    rows = rows.withColumn("_keys", F.array(*(_all([F.contains("_joined", F.lit(f" {k} ")) for k in keys]) for _, _, keys in TEMPLATES))).drop("_joined")
+    hits = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin(*sorted(idf)), F.struct(x.alias("word"), i.alias("at")))))
+    rows = rows.withColumn("_hits", F.when(F.array_contains("_keys", True), hits))
 
     scores = []
-    for label, _, keys in TEMPLATES:
+    for k, (label, _, _) in enumerate(TEMPLATES):
         votes = _votes(label, postings, idf_map)
         zero = F.struct(F.lit(None).cast("int").alias("d"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
@@ -151,10 +147,9 @@ def _looked_up(rows: DataFrame, id_col: str) -> DataFrame:
             return F.struct(v["d"].alias("d"), total.alias("sum"), F.greatest(acc["best"], total).alias("best"))
 
         best = F.aggregate(F.array_sort(votes), zero, fold, lambda acc: acc["best"])
-        verified = _all([F.contains("_joined", F.lit(f" {k} ")) for k in keys])
         share = F.least(F.lit(1.0), F.round(best / weight[label], 6))
-        scores.append(F.when(words.isNotNull() & verified & (share >= LEAST_SCORE), F.struct(F.lit(label).alias("label"), share.alias("score"))))
-    rows = rows.withColumn("_found", F.array_compact(F.array(*scores)))
+        scores.append(F.when(F.get("_keys", F.lit(k)), F.struct(F.lit(label).alias("label"), share.alias("score"))))
+    rows = rows.withColumn("_found", F.filter(F.array_compact(F.array(*scores)), lambda s: s["score"] >= LEAST_SCORE))
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, label in enumerate(bases))))
     own = F.transform("_found", lambda s: s["label"])
     has_base = F.size(base_labels) > 0

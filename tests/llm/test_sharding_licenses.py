@@ -55,3 +55,31 @@ def test_scan(spark, odd_docs):
     assert got[100].labels == "cc-by,cc-by-nc,mit" and got[101].labels == "gpl,gpl-3"
     assert got[102].labels == "mit-text" and got[102].score == 1 and got[105].labels == "" and got[1].score == 0
     assert licenses.scan(odd_docs.limit(0)).count() == 0
+
+
+def aligned(text):
+    """label -> best share of the template's weight at one relative position, by trying every position."""
+    words = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    idf, _, weight = licenses._index()
+    joined, out = f" {' '.join(words)} ", {}
+    for label, template, keys in licenses.TEMPLATES:
+        t = template.split()
+        at = range(-len(t), len(words))
+        best = max(sum(idf.get(w, 0) for k, w in enumerate(t) if 0 <= d + k < len(words) and words[d + k] == w) for d in at)
+        if all(f" {k} " in joined for k in keys) and best / weight[label] >= licenses.LEAST_SCORE - 1e-9:
+            out[label] = best / weight[label]
+    return out
+
+
+def test_other_text_takes_no_label_away(spark):
+    prose = " ".join(licenses._index()[0]) + " and the river "
+    notices = [f"{words}. " for _, words, _ in licenses.TEMPLATES]
+    texts = notices + [prose + n for n in notices] + [n + prose * 3 for n in notices] + ["".join(notices), "".join(notices[::-1]) + prose, prose]
+    texts += ["licensed gnu general public license version 3 " + prose, "license version 3 of the gnu general public license version 3"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        base, want = brute(text)[4], aligned(text)
+        assert got[k].labels == ",".join(sorted(set(want) | set(filter(None, base.split(","))))), text
+        assert abs(got[k].score - (1 if base else max(want.values(), default=0))) < 1e-5, text
+    for k, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert all(label in got[j].labels.split(",") for j in (k, k + len(notices), k + 2 * len(notices), 3 * len(notices)))
