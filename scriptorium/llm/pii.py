@@ -2,8 +2,9 @@
 
 The patterns give the base spans. The network reads overlapping windows of
 characters, gives each character a score per tag (outside, or one of the kinds),
-and a Viterbi pass with learnt transitions decodes each window; the spans of all
-windows are then reconciled over the whole text by weighted interval scheduling,
+and a Viterbi pass with learnt transitions decodes each window; where a span is cut
+and is too long for the neighbours to hold it whole, a window that grows until it
+holds the span is decoded besides. The spans of all windows are then reconciled over the whole text by weighted interval scheduling,
 so that the set of disjoint spans with the largest total margin stays. Spans that
 touch a base span give way to it.
 
@@ -27,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE = 64, 32
+#: Characters of a window and from one start to the next: spans below their difference stand whole in a window.
+WINDOW, STRIDE = 128, 32
+#: Longest text that the network is trained on.
+TRAIN_CHARS = 64
 #: Margin per window, in log units against the all-outside labelling, that a span of the network needs.
 LEAST_MARGIN = 4.0
 
@@ -116,7 +120,7 @@ def _luhn_number(rng) -> str:
 
 
 def generated_texts(count: int, seed: int):
-    """(text of one window's length or less, [(start, kind index, end)]) with personal data in many spellings, and look-alikes without labels."""
+    """(text of TRAIN_CHARS or less, [(start, kind index, end)]) with personal data in many spellings, and look-alikes without labels."""
     import random
 
     rng = random.Random(seed)
@@ -163,11 +167,11 @@ def generated_texts(count: int, seed: int):
             else:
                 item = word() if rng.random() < 0.85 else word().capitalize()
             text += item + rng.choice([" ", " ", " ", ", ", ". ", "\n"])
-        cut = rng.randint(0, max(0, len(text) - WINDOW)) if rng.random() < 0.5 else 0
-        own = [(a - cut, k, b - cut) for a, k, b in spans if a >= cut and b - cut <= WINDOW]
-        if any(a < cut < b or a - cut < WINDOW < b - cut for a, _, b in spans):  # windows that cut a span teach nothing certain
+        cut = rng.randint(0, max(0, len(text) - TRAIN_CHARS)) if rng.random() < 0.5 else 0
+        own = [(a - cut, k, b - cut) for a, k, b in spans if a >= cut and b - cut <= TRAIN_CHARS]
+        if any(a < cut < b or a - cut < TRAIN_CHARS < b - cut for a, _, b in spans):  # windows that cut a span teach nothing certain
             continue
-        yield text[cut : cut + WINDOW], own
+        yield text[cut : cut + TRAIN_CHARS], own
 
 
 def _sigmoid(x):
@@ -355,11 +359,11 @@ def decode(p: dict, texts: list[str]) -> list[list[tuple[int, str, int, float]]]
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an at sign; windows overlap by half."""
+    """Starts of the windows that hold a digit or an at sign; windows overlap by all but STRIDE."""
     starts = set()
     for m in re.finditer(r"[0-9@]", text):
         k = m.start() // STRIDE
-        starts.update(x * STRIDE for x in (k - 1, k) if x >= 0)
+        starts.update(x * STRIDE for x in range(k - WINDOW // STRIDE + 1, k + 1) if x >= 0)
     return sorted(starts)
 
 
@@ -399,29 +403,64 @@ def reconcile(candidates, base) -> list[tuple[int, str, int]]:
     return out[::-1]
 
 
+def _batches(jobs):
+    """Jobs (row, start, end) of similar length, at most 512 windows' characters at once, or one job."""
+    some: list = []
+    for job in sorted(jobs, key=lambda j: j[2] - j[1]):
+        if some and (len(some) + 1) * (job[2] - job[1]) > 512 * WINDOW:
+            yield some
+            some = []
+        some.append(job)
+    if some:
+        yield some
+
+
+def _may_go_on(kind: str, part: str) -> bool:
+    """Whether a cut span is part of one that is plausible and that no window of the usual length holds."""
+    if len(part) < WINDOW - STRIDE or not re.search(r"[0-9@]", part):
+        return False
+    return kind == "email" or (len(_DIGIT.findall(part)) <= 19 and not re.search(r"[^0-9+() .,;:\n-]", part))
+
+
+def _merged(jobs):
+    """Jobs (row, start, end) with those of a row that overlap as one."""
+    out: list = []
+    for row, a, b in sorted(jobs):
+        if out and out[-1][0] == row and a < out[-1][2]:
+            out[-1] = (row, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((row, a, b))
+    return out
+
+
 def find(texts: list[str | None], p: dict) -> list[tuple[list, list]]:
     """(base spans, spans that the network adds) of each text."""
     jobs, out = [], []
     for row, text in enumerate(texts):
         text = text or ""
         out.append((base_spans(text), []))
-        jobs += [(row, a, text[a : a + WINDOW]) for a in windows(text)]
+        jobs += [(row, a, min(a + WINDOW, len(text))) for a in windows(text)]
     candidates: dict[int, list] = {}
-    jobs.sort(key=lambda j: len(j[2]))
-    for at in range(0, len(jobs), 512):
-        some = jobs[at : at + 512]
-        for (row, a, part), spans in zip(some, decode(p, [x for _, _, x in some])):
-            text = texts[row]
-            for x, kind, y, margin in spans:
-                # a span at the edge of a window may go on beyond it; the neighbour holds it whole
-                if (x == 0 and a > 0) or (y == len(part) and a + y < len(text)):
-                    continue
-                while x < y and part[x] in " .,;:\n":
-                    x += 1
-                while y > x and part[y - 1] in " .,;:\n":
-                    y -= 1
-                if plausible(kind, part[x:y]):
-                    candidates.setdefault(row, []).append((a + x, kind, a + y, margin))
+    while jobs:
+        wider = []
+        for some in _batches(jobs):
+            parts = [texts[row][a:b] for row, a, b in some]
+            for (row, a, b), part, spans in zip(some, parts, decode(p, parts)):
+                text = texts[row]
+                for x, kind, y, margin in spans:
+                    # a span at the edge of a window may go on beyond it; a neighbour holds it whole, or a wider window
+                    left, right = x == 0 and a > 0, y == len(part) and b < len(text)
+                    if left or right:
+                        if _may_go_on(kind, part[x:y]):
+                            wider.append((row, max(0, a - len(part) * left), min(len(text), b + len(part) * right)))
+                        continue
+                    while x < y and part[x] in " .,;:\n":
+                        x += 1
+                    while y > x and part[y - 1] in " .,;:\n":
+                        y -= 1
+                    if plausible(kind, part[x:y]):
+                        candidates.setdefault(row, []).append((a + x, kind, a + y, margin))
+        jobs = _merged(wider)
     for row, own in candidates.items():
         out[row][1].extend(reconcile(own, out[row][0]))
     return out
