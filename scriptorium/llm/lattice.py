@@ -169,35 +169,73 @@ class Lattice:
         return self.by_piece
 
     def expected(self, words: list[bytes], counts):
-        """Expected counts of pieces and of byte fallbacks over all segmentations (words over BULK_BYTES are left to their bytes)."""
+        """Expected counts of pieces and of byte fallbacks over all segmentations, for words of any length."""
         import numpy as np
 
-        pieces, octets = np.zeros(len(self.pieces)), np.zeros(256)
+        pieces, octets, long = np.zeros(len(self.pieces)), np.zeros(256), []
         counts = np.asarray(counts, float)
         for at, block in _blocks(words):
             if block is None:
-                np.add.at(octets, np.frombuffer(words[at], np.uint8), counts[at])
-                continue
-            arcs, own = self._arcs(block), counts[at]
-            alpha = self.forward(block, arcs)
-            n, size = block.shape
-            beta = np.full((n, size + 1), -np.inf)
-            beta[:, size] = 0
-            for s in range(size - 1, -1, -1):
-                parts = [beta[:, s + 1] + self.byte_log[block[:, s]]]
-                for l in range(1, min(self.longest, size - s) + 1):
-                    parts.append(beta[:, s + l] + self.log[arcs[l][:, s]])
-                beta[:, s] = _logsum(np.stack(parts))
-            z = alpha[:, -1:]
-            p = np.exp(alpha[:, :-1] + self.byte_log[block] + beta[:, 1:] - z) * own[:, None]
-            octets += np.bincount(block.reshape(-1), p.reshape(-1), 256)
-            for l, ids in arcs.items():
-                row, start = np.nonzero(ids >= 0)
-                k = ids[row, start]
-                p = np.exp(alpha[row, start] + self.log[k] + beta[row, start + l] - z[row, 0]) * own[row]
-                pieces += np.bincount(k, p, len(pieces))
+                long.append(at)
+            else:
+                self._add_expected(block, np.full(len(block), block.shape[1]), counts[at], pieces, octets)
+        for at, block in _padded_blocks(words, long):
+            if block is None:
+                self._add_long_expected(b" " + words[at], counts[at], pieces, octets)
+            else:
+                self._add_expected(block, np.array([len(words[k]) + 1 for k in at]), counts[at], pieces, octets)
         return pieces, octets
 
+    def _add_expected(self, block, ends, own, pieces, octets):
+        """Adds the expected counts of the block's words, each of which ends at its place in ``ends``."""
+        import numpy as np
+
+        arcs = self._arcs(block)
+        alpha = self.forward(block, arcs)
+        n, size = block.shape
+        beta = np.full((n, size + 1), -np.inf)
+        beta[np.arange(n), ends] = 0
+        for s in range(size - 1, -1, -1):
+            parts = [beta[:, s + 1] + self.byte_log[block[:, s]]]
+            for l in range(1, min(self.longest, size - s) + 1):
+                parts.append(beta[:, s + l] + self.log[arcs[l][:, s]])
+            beta[:, s] = np.where(ends == s, 0, _logsum(np.stack(parts)))
+        z = alpha[np.arange(n), ends][:, None]
+        p = np.exp(alpha[:, :-1] + self.byte_log[block] + beta[:, 1:] - z) * own[:, None]
+        octets += np.bincount(block.reshape(-1), p.reshape(-1), 256)
+        for l, ids in arcs.items():
+            row, start = np.nonzero(ids >= 0)
+            k = ids[row, start]
+            p = np.exp(alpha[row, start] + self.log[k] + beta[row, start + l] - z[row, 0]) * own[row]
+            pieces += np.bincount(k, p, len(pieces))
+
+    def _add_long_expected(self, word: bytes, count: float, pieces, octets):
+        """The same for one word of any length."""
+        from math import exp, inf, log
+
+        index, logs, byte_logs, size = self._index(), self.log.tolist(), self.byte_log.tolist(), len(word)
+
+        def total(parts):
+            top = max(parts)
+            return top if top == -inf else top + log(sum(exp(x - top) for x in parts))
+
+        alpha, beta = [0.0] * (size + 1), [0.0] * (size + 1)
+        for e in range(1, size + 1):
+            parts = [alpha[e - 1] + byte_logs[word[e - 1]]]
+            for s in range(max(0, e - self.longest), e):
+                if (k := index.get(word[s:e])) is not None:
+                    parts.append(alpha[s] + logs[k])
+            alpha[e] = total(parts)
+        z = alpha[size]
+        for s in range(size - 1, -1, -1):
+            parts = [beta[s + 1] + byte_logs[word[s]]]
+            octets[word[s]] += count * exp(alpha[s] + parts[0] - z)
+            for e in range(s + 1, min(size, s + self.longest) + 1):
+                if (k := index.get(word[s:e])) is not None:
+                    parts.append(beta[e] + logs[k])
+                    pieces[k] += count * exp(alpha[s] + parts[-1] - z)
+            beta[s] = total(parts)
+
 
 def _logsum(parts):
     """Log of the sum of exponentials over the first axis; -inf where all are."""
@@ -227,6 +265,25 @@ def _blocks(words: list[bytes]):
             yield own, np.frombuffer(raw, np.uint8).reshape(len(own), length + 1)
 
 
+def _padded_blocks(words: list[bytes], places: list[int]):
+    """(places, bytes of " " + word as a matrix, padded at the end) of long words of similar length, as many bytes at once as a block's; (place, None) of one with fewer than 16 such."""
+    import numpy as np
+
+    order, at = sorted(places, key=lambda k: len(words[k])), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (size := len(words[order[end]])) <= 1.25 * len(words[order[at]]) and (end + 1 - at) * size <= 20_000 * BULK_BYTES:
+            end += 1
+        own = order[at:end]
+        at = end
+        if len(own) < 16:
+            yield from ((k, None) for k in own)
+            continue
+        size = len(words[own[-1]]) + 1
+        raw = b"".join([(b" " + words[k]).ljust(size, b"\0") for k in own])
+        yield own, np.frombuffer(raw, np.uint8).reshape(len(own), size)
+
+
 def held_out_tenth(id_col: str) -> Column:
     """Rows whose id's text has a CRC32 divisible by 10 (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0

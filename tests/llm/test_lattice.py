@@ -46,6 +46,32 @@ def test_scores_and_expected_counts_against_all_segmentations():
     assert np.allclose(got[0], pieces) and np.allclose(got[1], octets)
 
 
+@pytest.mark.parametrize("bulk", [1, 3])
+def test_long_words_against_all_segmentations(monkeypatch, bulk):
+    lat, words = small(), WORDS + [b"ab" * 3, b"zab"] * 10
+    counts = np.arange(1, len(words) + 1)
+    want = lat.expected(words, counts)
+    monkeypatch.setattr(m, "BULK_BYTES", bulk)
+    for got, x in zip(lat.expected(words, counts), want):
+        assert np.allclose(got, x)
+
+
+def test_expected_counts_of_long_words(monkeypatch):
+    rng = np.random.default_rng(7)
+    lat = m.Lattice.from_file(m.VOCABULARY)
+    texts = ["的人在是不了有我他这" * 3, "https://example.org/the/path/of/a/page.html?query=other", "a" * 41, "the" * 300]
+    words = [t.encode() for t in texts] + ["".join(rng.choice(list("人民日报abcdeer"), rng.integers(30, 60))).encode() for _ in range(80)]
+    words = [w for w in words if len(w) > m.BULK_BYTES]
+    counts = rng.integers(1, 9, len(words))
+    pieces, octets = lat.expected(words, counts)
+    own = sum(pieces * [len(p) for p in lat.pieces]) + octets.sum()
+    assert np.isclose(own, ((np.array(list(map(len, words))) + 1) * counts).sum())
+    assert any(pieces[k] > 1 for k, p in enumerate(lat.pieces) if p == "人".encode())
+    monkeypatch.setattr(m, "BULK_BYTES", 2000)
+    bulk = lat.expected(words, counts)
+    assert np.allclose(pieces, bulk[0]) and np.allclose(octets, bulk[1])
+
+
 def test_whole_vocabulary_is_found():
     lat = m.Lattice.from_file(m.VOCABULARY)
     assert (lat.find(lat.keys) == np.arange(len(lat.pieces))).all()
