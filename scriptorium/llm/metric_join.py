@@ -2,8 +2,8 @@
 
 Normalized vectors of one label and length lie in the cell of their nearest pivot.
 With r the distance of two unit vectors at the threshold, a vector x can have
-partners in the cell of pivot i only if (d(x, i)^2 - d(x, home)^2) / (2 d(i, home)) <= r,
-so it is replicated to those cells and no other (triangle inequality), and cells
+partners in the cell of pivot i only if d(x, i)^2 - d(x, home)^2 <= 2 r d(i, home), with
+room for rounding, so it is replicated to those cells and no other (triangle inequality), and cells
 join independently. A cell is cut into blocks of at most about a thousand home
 vectors; a block holds its homes and streams the cell's candidates, so memory is
 bounded whatever the label's share. Equal vectors are one beforehand. A block
@@ -30,6 +30,20 @@ def _unit(rows):
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _homes_and_reach(x, p, r: float):
+    """Nearest pivot of each unit vector, and the pivots in whose cells vectors within r of it can be at home."""
+    import numpy as np
+
+    # above the rounding error of a squared distance; pivots can be equal but for rounding, so nothing is divided by their distance
+    slack = 16 * (p.shape[1] + 8) * np.finfo(np.float64).eps
+    rows, d2 = np.arange(len(x)), np.maximum(0, 2 - 2 * x @ p.T)
+    between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T) + slack)
+    home = d2.argmin(1)
+    reach = d2 - d2[rows, home][:, None] <= 2 * between[home] * (r + 1e-9) + slack
+    reach[rows, home] = True
+    return home, reach
+
+
 class _Forest:
     def __init__(self):
         self.up, self.edges = {}, []
@@ -119,11 +133,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
                 if p is None:
                     continue
                 x = _unit([flat[offsets[k] - base : offsets[k + 1] - base] for k in own])
-                d2 = np.maximum(0, 2 - 2 * x @ p.T)
-                between = np.sqrt(np.maximum(1e-300, 2 - 2 * p @ p.T))
-                home = d2.argmin(1)
-                reach = (d2 - d2[np.arange(len(own)), home][:, None]) / (2 * between[home]) <= r + 1e-9
-                reach[np.arange(len(own)), home] = True
+                home, reach = _homes_and_reach(x, p, r)
                 for k, h, t in zip(own, home, reach):
                     cells[k], targets[k] = h, np.flatnonzero(t).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(targets, pa.list_(pa.int32()))], [*batch.schema.names, "cell", "targets"])

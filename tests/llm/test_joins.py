@@ -117,3 +117,18 @@ def test_metric_join(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.link(table).collect()}
     assert got == {k: (links[k], comp[k], comp[k] == k) for k in range(len(rows))}
     assert metric_join.link(table.limit(0)).count() == 0
+
+
+def test_pivots_that_are_scaled_copies_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 50)
+    rng = np.random.default_rng(3)
+    base, n = rng.normal(size=16), 1200
+    x = base * rng.uniform(0.5, 2, n)[:, None]
+    x[::2] = x[::2].astype(np.float32)
+    x[1::5] += rng.normal(size=(n // 5, 16)) * 0.3
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = unit @ unit.T
+    assert np.abs(cos - 0.93).min() > 1e-9
+    rows = [(k, "a", v) for k, v in enumerate(x.tolist())]
+    got = {r.vec_id: r.n_links for r in metric_join.link(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert [got[k] for k in range(n)] == ((cos >= 0.93).sum(1) - 1).tolist()
