@@ -44,18 +44,15 @@ LEAST_CONTENT = 0.5
 def line_features(line: bytes, words: list[bytes], seen: bool, first: bool) -> list[float]:
     """Features of one line with words; shares are of its words."""
     n = len(words)
-    marks = symbols = shouts = again = digits = menu = 0
+    marks = symbols = again = 0
     if _MARK.search(line):
         marks = sum(map(words.count, MARKS))
         symbols = len(_MARKED.findall(line)) - sum(map(words.count, (b"|", b"<", b">")))
     if len(set(words)) < n:
         again = sum(map(eq, words, words[1:]))
-    if line.isupper():
-        shouts = sum(len(w) > 1 and w.isupper() for w in words)
-    if n <= 12:
-        menu = sum(w.lower().strip(b".,:!") in MENU for w in words)
-    if n <= 40:
-        digits = len(_DIGITS.findall(line)) / len(line)
+    shouts = sum(len(w) > 1 and w.isupper() for w in words)
+    menu = sum(w.strip(b".,:!") in MENU for w in line.lower().split())
+    digits = len(_DIGITS.findall(line)) / len(line)
     last = words[-1]
     return [1.0, 2 * marks / n, symbols / n, shouts / n, again / n, float(last.endswith(ENDS) and not last.endswith(b"!!")), float(n <= 2), digits, float(seen), float(words[0][:1].islower()), float(first), menu / n]
 
@@ -136,7 +133,7 @@ def generated_texts(count: int = 400, seed: int = 7):
             return " ".join(w.upper() + "!!" for w in ws)
         if kind == 3:
             return " ".join(w for w in ws for _ in range(rng.randint(4, 12)))
-        return " ".join(x.decode() for x in rng.sample(sorted(MENU), rng.randint(1, 5))).capitalize()
+        return " ".join(x.decode() for x in (rng.choices(sorted(MENU), k=rng.randint(6, 60)) if rng.random() < 0.3 else rng.sample(sorted(MENU), rng.randint(1, 5)))).capitalize()
 
     for _ in range(count):
         text, kind = [], rng.randrange(5)

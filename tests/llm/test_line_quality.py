@@ -76,3 +76,18 @@ def test_score(spark, odd_docs):
     assert by[50].kept and by[52].kept and not by[51].kept and not by[53].kept and not by[1].kept
     assert {r.doc_id for r in q.keep(docs).collect()} == {r.doc_id for r in got if r.kept}
     assert q.keep(odd_docs).columns == odd_docs.columns and q.score(odd_docs.limit(0)).count() == 0
+
+
+def test_features_hold_for_lines_of_any_length():
+    line = b"Home LOGIN menu 12 " * 15
+    got = dict(zip(q.FEATURES, q.line_features(line, line.split(), False, False)))
+    assert got["menu words"] == 0.75 and got["shouting words"] == 0.25 and np.isclose(got["digits"], 2 / 19)
+
+
+def test_long_menu_lines_are_boilerplate():
+    rng = random.Random(6)
+    weights, trans = q.trained()
+    for n in (13, 20, 45, 120):
+        words = rng.choices([w.decode() for w in sorted(q.MENU)], k=n)
+        flat, short = q.judge(" ".join(words), weights, trans.tolist()), q.judge("\n".join(words), weights, trans.tolist())
+        assert flat[-1] == 0 and not flat[6] and not short[6], n
