@@ -30,13 +30,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in an order that interleaves their sources by weight."""
-    return mixing.ordered(docs)
+    """All documents in an order that interleaves their sources by weight, and their _slot in it: files are read again in any order."""
+    return mixing.ordered(docs, keep_slot=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2,048 ids."""
-    made = packing.pack(docs)
+    """Pieces of all documents in sequences of at most 2,048 ids; ranges of slots follow each other in the sequences."""
+    made = packing.pack(docs.repartitionByRange("_slot").sortWithinPartitions("_slot"))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

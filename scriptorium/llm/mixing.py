@@ -108,6 +108,7 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "d
     return found.select("row.*", F.col("block").alias("_block"), slot.cast("long").alias("_slot"))
 
 
-def ordered(docs: DataFrame, **options) -> DataFrame:
-    """The rows and columns of ``docs`` in mixed order (range partitions by slot, sorted inside)."""
-    return mix(docs, **options).repartitionByRange("_slot", "_block").sortWithinPartitions("_slot").drop("_slot", "_block")
+def ordered(docs: DataFrame, keep_slot: bool = False, **options) -> DataFrame:
+    """The rows and columns of ``docs``, and _slot if wanted, in mixed order (range partitions by slot, sorted inside)."""
+    made = mix(docs, **options).repartitionByRange("_slot", "_block").sortWithinPartitions("_slot").drop("_block")
+    return made if keep_slot else made.drop("_slot")

@@ -81,3 +81,25 @@ def test_pipeline(spark, tmp_path):
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
     assert got == want and 10 <= len(want) <= 13
     assert len(corpus_pipeline.STAGES) == 5 and set(itertools.chain(map(type, corpus_pipeline.STAGES))) == {tuple}
+
+
+def test_sequences_follow_the_slots(spark):
+    rows = [(k, f"word{k} " * 2500, f"s{k % 2}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slot = {r.doc_id: r._slot for r in mixing.mix(docs).collect()}
+    names = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = [spark.conf.get(k) for k in names]
+    for k, v in zip(names, ("false", "4")):
+        spark.conf.set(k, v)
+    try:
+        again = corpus_pipeline.mixed(spark, docs, "").orderBy("doc_id").repartition(3)  # as files that are read in another order
+        made = corpus_pipeline.packed(spark, again, "").collect()
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
+    parts: dict = {}
+    for r in made:
+        parts.setdefault(r.sequence_id >> 40, []).append(slot[r.doc_id])
+    ranges = [(min(v), max(v)) for _, v in sorted(parts.items())]
+    assert {r.doc_id for r in made} == set(slot) and len(ranges) > 1
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(ranges))
