@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary one is set.
+    Only where the session names none and runs in one process, as in local tests, a temporary one is set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -33,7 +36,39 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path, None
+    return out
+
+
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """Write to a table of the shared folder in buckets of the key, in its order: joins by the key read it without a shuffle."""
+    spark = df.sparkSession
+    name, parts = f"{what}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).sortBy(key).option("compression", "zstd")
+    path = f"{shared_dir(spark)}/{name}"
+    made.option("path", path).saveAsTable(name)
+    out = spark.read.table(name)
+    out._stored = path, name
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` or ``bucketed`` made, once nothing reads it any more."""
+    for df in tables:
+        (path, name), sc = df._stored, df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def lower_ascii(col):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(u, v) with v the smallest node of u's component, for every node of an edge but the smallest ones.
 
-    ``edges``: columns u and v of one integer type; loops, doubled and nulls don't matter.
+    ``edges``: columns u and v of one integer type; loops, doubled and nulls don't matter. No edges give an empty table.
     """
     least, most = F.least("u", "v"), F.greatest("u", "v")
     now = written(edges.filter("u <> v").select(most.alias("u"), least.alias("v")).distinct(), name)
@@ -45,4 +45,5 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         if seen.n == 0 or mark == (seen.n, seen.s):
             return now
         mark = (seen.n, seen.s)
-        now = written(_small_star(_large_star(now)), name)
+        before, now = now, written(_small_star(_large_star(now)), name)
+        discard(before)

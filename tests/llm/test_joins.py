@@ -2,11 +2,12 @@ import itertools
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from scriptorium.llm import components, jaccard_join, metric_join
+from scriptorium.llm import common, components, jaccard_join, metric_join
 
 
 def reach(nodes, edges):
@@ -84,6 +85,39 @@ def test_jaccard_classes(spark, odd_docs, seed, width, percent):
     assert got == brute(rows, width, percent)
 
 
+def test_sketch_distance_is_a_lower_bound():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, m, both = rng.integers(0, 400, 3)
+        pool = rng.integers(0, 1 << 63, n + m + both, dtype=np.uint64)
+        a, b = np.unique(pool[: n + both]), np.unique(pool[n:])
+        d = jaccard_join.sketch_distance(jaccard_join.sketch(a), jaccard_join.sketch(b))
+        assert d <= len(np.setxor1d(a, b)) and (len(np.setxor1d(a, b)) or d == 0)
+    for percent in (80, 85, 100):
+        for n, m in itertools.product(range(1, 40), repeat=2):
+            linked = [n + m - 2 * k for k in range(min(n, m) + 1) if 100 * k >= percent * (n + m - k)]
+            assert not linked or max(linked) <= jaccard_join.most_difference(n + m, percent)
+
+
+def test_jaccard_of_an_id_with_several_texts(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    near = [t.rpartition(" ")[0] + " other" for t in texts]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, near[0]), (3, near[1]), (4, texts[2]), (5, texts[3]), (4, texts[3]), (6, near[2]), (7, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7}
+
+
+def test_jaccard_leaves_nothing_behind_but_what_the_result_reads(spark):
+    docs = spark.createDataFrame(corpus(3), "doc_id long, text string").withColumnsRenamed({"doc_id": "u", "text": "_kept"})
+    shared = Path(common.shared_dir(spark).removeprefix("file:"))
+    before, tables = {p.name for p in shared.iterdir()}, spark.catalog.listTables()
+    out = jaccard_join.keep_first(docs, "u", "_kept")
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+    left = {p.name for p in shared.iterdir()} - before  # the sets and the components
+    assert len(left) == 2 and spark.catalog.listTables() == tables
+
+
 def test_jaccard_keep_first(spark, odd_docs):
     kept = jaccard_join.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
