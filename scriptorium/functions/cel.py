@@ -182,11 +182,20 @@ def _path(node) -> list[str] | None:
         return [node[1]]
     if node[0] == "select" and (up := _path(node[1])) is not None:
         return [*up, node[2]]
-    if node[0] == "index" and node[2][0] == "lit" and (up := _path(node[1])) is not None:
-        return [*up, str(node[2][1])]
+    if node[0] == "index" and (up := _path(node[1])) is not None:
+        return [*up, str(node[2][1]) if node[2][0] == "lit" else "*"]
     return None
 
 
+def _members(config, path: list[str]) -> int:
+    """Most members of a configured list or mapping at a path; * stands for any key."""
+    for name in path:
+        if name == "*":
+            return max((_members(x, path[path.index(name) + 1 :]) for x in (config.values() if isinstance(config, dict) else config)), default=0)
+        config = config.get(name, ()) if isinstance(config, dict) else ()
+    return len(config)
+
+
 def admit(source: str, config: dict | None = None):
     """The tree of an admitted rule; RuleRefused otherwise."""
     if len(source.encode()) > LIMITS["bytes"]:
@@ -209,15 +218,16 @@ def admit(source: str, config: dict | None = None):
             if node[1] == "matches" and node[2][-1][0] == "lit" and re.search(r"\(\?[=!<]|\\[1-9]", str(node[2][-1][1])):
                 raise RuleRefused("lookaround and back references are refused")
         if node[0] != "macro":
-            return 1 + sum(cost(x, bound, nested) for x in children(node))
+            return sum(cost(x, bound, nested) for x in children(node))
         macros += 1
         if nested + 1 > LIMITS["nesting"]:
             raise RuleRefused("comprehensions are nested too deeply")
         path = _path(node[2])
         if path is None:
             raise RuleRefused("a comprehension ranges over an interface path")
-        size = len((config or {}).get(path[1], ())) if path[0] == "config" and len(path) > 1 else RANGES.get(path[-1], LIST_BOUND)
-        return 1 + size * cost(node[4], bound | {node[3]}, nested + 1)
+        named = [x for x in path if x != "*"]
+        size = _members(config or {}, path[1:]) if path[0] == "config" else RANGES["ancestry"] if "ancestry" in path else RANGES.get(named[-1], LIST_BOUND)
+        return size + size * cost(node[4], bound | {node[3]}, nested + 1)
 
     total = cost(tree, set(), 0)
     if nodes > LIMITS["nodes"]:
@@ -225,7 +235,7 @@ def admit(source: str, config: dict | None = None):
     if macros > LIMITS["siblings"] * LIMITS["nesting"]:
         raise RuleRefused("too many comprehensions")
     if total > LIMITS["cost"]:
-        raise RuleRefused(f"static cost {total}")
+        raise RuleRefused(f"static cost {total}: iterations over the largest page")
     return tree
 
 
@@ -236,10 +246,83 @@ _STRING = {
 }
 
 
+class Const:
+    """A value of the law: lists and mappings that become literals where they are used."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def column(self, _=None) -> Column:
+        return _literal(self.value)
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.create_map(*(c for k, v in value.items() for c in (F.lit(str(k)), _literal(v)))) if value else F.create_map().cast("map<string,array<string>>")
+    if isinstance(value, (list, tuple)):
+        return F.array(*map(_literal, value)) if value else F.array().cast("array<string>")
+    return F.lit(value)
+
+
+class Json:
+    """A value inside a VARIANT column at a path; it gets a type where it is used."""
+
+    def __init__(self, variant: str, path: tuple, schema: dict):
+        self.variant, self.path, self.schema = variant, path, schema
+
+    def child(self, name: str) -> Json:
+        return Json(self.variant, (*self.path, name), (self.schema.get("properties") or {}).get(name) or {})
+
+    def kind(self) -> str:
+        own = self.schema.get("type")
+        simple = {"integer": "long", "number": "double", "boolean": "boolean", "string": "string"}
+        if own == "array":
+            return f"array<{simple.get((self.schema.get('items') or {}).get('type'), 'string')}>"
+        return simple.get(own if isinstance(own, str) else "", "string")
+
+    def column(self, kind: str | None = None) -> Column:
+        at = "$" + "".join(f"['{k}']" for k in self.path)
+        got = F.try_variant_get(F.col(self.variant), at, kind or self.kind())
+        return F.coalesce(got, _literal(self.schema["default"])) if "default" in self.schema and kind != "variant" else got
+
+
+class Struct:
+    """A record column with the fields that it has; another field is no value, not an error of the query."""
+
+    def __init__(self, column: Column, fields: dict):
+        self._column, self.fields = column, fields
+
+    def child(self, name: str):
+        if name not in self.fields:
+            return F.lit(None)
+        inner = self.fields[name]
+        return Struct(self._column[name], inner) if isinstance(inner, dict) else self._column[name]
+
+    def column(self, _=None) -> Column:
+        return self._column
+
+
+class Records(Struct):
+    """An array of records."""
+
+
+def as_column(value, kind: str | None = None) -> Column:
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, str):
+        return F.col(value)
+    if isinstance(value, dict):
+        raise RuleRefused("a mapping of the interface is no value")
+    return value.column(kind) if hasattr(value, "column") else _literal(value)
+
+
 class _Compiler:
     def __init__(self, env: dict):
         self.env = env
 
+    def column(self, node, scope: dict, kind: str | None = None) -> Column:
+        return as_column(self.value(node, scope), kind)
+
     def value(self, node, scope: dict):
         """A column, or a dict of an environment's names."""
         kind = node[0]
@@ -251,73 +334,96 @@ class _Compiler:
                 raise RuleRefused(f"unknown name {node[1]}")
             return F.col(found) if isinstance(found, str) else found
         if kind == "select":
-            up = self.value(node[1], scope)
-            if isinstance(up, dict):
-                if node[2] not in up:
-                    raise RuleRefused(f"unknown field {node[2]}")
-                found = up[node[2]]
-                if isinstance(found, list):
-                    return F.array(*map(F.lit, found))
-                return F.col(found) if isinstance(found, str) else found if isinstance(found, (dict, Column)) else F.lit(found)
-            return up[node[2]]
+            return self.inside(self.value(node[1], scope), node[2])
         if kind == "has":
             try:
                 found = self.value(node[1], scope)
             except RuleRefused:
                 return F.lit(False)
-            return F.lit(True) if isinstance(found, dict) else found.isNotNull()
+            return F.lit(True) if isinstance(found, (dict, Const)) else as_column(found, "variant").isNotNull()
         if kind == "index":
-            up, key = self.value(node[1], scope), self.value(node[2], scope)
-            return F.try_element_at(up, key) if node[2][0] == "lit" and isinstance(node[2][1], str) else F.get(up, key) if node[2][0] == "lit" else F.try_element_at(up, key)
+            up, key = self.value(node[1], scope), node[2]
+            if key[0] == "lit" and isinstance(key[1], str) and isinstance(up, (dict, Const, Json)):
+                return self.inside(up, key[1])
+            at = self.column(key, scope)
+            return F.get(as_column(up), at) if key[0] == "lit" and isinstance(key[1], int) else F.try_element_at(as_column(up), at)
         if kind == "list":
-            return F.array(*(self.value(x, scope) for x in node[1]))
+            return F.array(*(self.column(x, scope) for x in node[1]))
         if kind == "map":
-            return F.create_map(*(self.value(x, scope) for pair in node[1] for x in pair))
+            return F.create_map(*(self.column(x, scope) for pair in node[1] for x in pair))
         if kind == "un":
-            e = self.value(node[2], scope)
+            e = self.column(node[2], scope, "boolean" if node[1] == "!" else None)
             return ~e if node[1] == "!" else -e
         if kind == "if":
-            test = self.value(node[1], scope)
-            return F.when(test, self.value(node[2], scope)).when(~test, self.value(node[3], scope))
+            test = self.column(node[1], scope, "boolean")
+            return F.when(test, self.column(node[2], scope)).when(~test, self.column(node[3], scope))
         if kind == "macro":
             return self.macro(node, scope)
         if kind == "call":
             return self.call(node, scope)
         return self.binary(node, scope)
 
+    @staticmethod
+    def inside(up, name: str):
+        if isinstance(up, dict):
+            if name not in up:
+                raise RuleRefused(f"unknown field {name}")
+            found = up[name]
+            return F.col(found) if isinstance(found, str) else Const(found) if isinstance(found, list) else found
+        if isinstance(up, Const):
+            if not isinstance(up.value, dict) or name not in up.value:
+                raise RuleRefused(f"unknown field {name}")
+            return Const(up.value[name])
+        if isinstance(up, (Json, Struct)):
+            return up.child(name)
+        return up[name]
+
     def macro(self, node, scope):
         _, name, source, var, body = node
-        over = self.value(source, scope)
-        inner = lambda x: self.value(body, scope | {var: x})
+        found = self.value(source, scope)
+        over = F.map_keys(as_column(found)) if isinstance(found, Const) and isinstance(found.value, dict) else as_column(found, f"array<{found.kind()[6:-1]}>" if isinstance(found, Json) and found.kind().startswith("array") else "array<string>" if isinstance(found, Json) else None)
+        bind = (lambda x: Struct(x, found.fields)) if isinstance(found, Records) else (lambda x: x)
+        inner = lambda x: self.column(body, scope | {var: bind(x)})
         if name == "map":
             return F.transform(over, inner)
         if name == "exists_one":
             return F.size(F.filter(over, inner)) == 1
-        return {"all": F.forall, "exists": F.exists, "filter": F.filter}[name](over, inner)
+        out = {"all": F.forall, "exists": F.exists, "filter": F.filter}[name](over, inner)
+        return Records(out, found.fields) if name == "filter" and isinstance(found, Records) else out
 
     def call(self, node, scope):
         _, name, raw = node
-        args = [self.value(x, scope) for x in raw]
-        if name == "size" and len(args) == 1:
-            kind = raw[0]
-            return F.length(args[0]) if kind[0] == "lit" or (kind[0] == "call" and kind[1] in _STRING) else F.size(args[0])
+        if name == "size" and len(raw) == 1:
+            found = self.value(raw[0], scope)
+            text = raw[0][0] == "lit" or (raw[0][0] == "call" and raw[0][1] in _STRING) or (isinstance(found, Json) and found.kind() == "string")
+            return F.length(as_column(found, "string")) if text else F.size(as_column(found))
         if name in _STRING:
-            return _STRING[name](*args)
+            return _STRING[name](*(self.column(x, scope, "string") for x in raw))
         raise RuleRefused(f"unknown function {name}")
 
     def binary(self, node, scope):
         _, op, left, right = node
         if op == "in":
-            a, b = self.value(left, scope), self.value(right, scope)
+            b = self.value(right, scope)
             if isinstance(b, dict):
-                return a.isin(*b)
-            if right[0] == "map" or (right[0] == "select" and right[2] in ("links", "frontmatter")):
-                return F.map_contains_key(b, a)
-            return F.array_contains(b, a)
+                if left[0] == "lit":
+                    return as_column(b[left[1]], "variant").isNotNull() if left[1] in b else F.lit(False)
+                return self.column(left, scope).isin(*b)
+            a = self.column(left, scope, "string")
+            if isinstance(b, Const):
+                return a.isin(*b.value) if b.value else F.lit(False)
+            if right[0] == "map" or (right[0] == "select" and right[2] in ("links", "frontmatter", "urls")):
+                return F.map_contains_key(as_column(b), a)
+            return F.array_contains(as_column(b, "array<string>" if isinstance(b, Json) else None), a)
         a, b = self.value(left, scope), self.value(right, scope)
         if op in ("==", "!=") and ("lit", None) in (left, right):
-            same = (a if right == ("lit", None) else b).isNull()
+            x = as_column(a if right == ("lit", None) else b, "variant")
+            same = x.isNull() if not isinstance(a if right == ("lit", None) else b, Json) else x.isNull() | F.is_variant_null(x)
             return same if op == "==" else ~same
+        logic = "boolean" if op in ("&&", "||") else None
+        kinds = {str: "string", bool: "boolean", int: "long", float: "double"}
+        of = lambda other: logic or (kinds.get(type(other[1])) if other[0] == "lit" else "string" if other[0] == "call" and other[1] in _STRING else None)
+        a, b = as_column(a, of(right)), as_column(b, of(left))
         if op == "+" and any(x[0] == "lit" and isinstance(x[1], str) or x[0] == "call" and x[1] in _STRING for x in (left, right)):
             return F.concat(a, b)
         return {
@@ -329,7 +435,16 @@ class _Compiler:
 def compile_rule(source: str, env: dict, config: dict | None = None) -> Column:
     """Boolean column of an admitted rule; null where it has no value. ``env``: names to columns, column names or dicts of them."""
     tree = admit(source, config)
-    return _Compiler(env | ({"config": config} if config is not None else {})).value(tree, {})
+    return _Compiler(env | ({"config": Const(config)} if config is not None else {})).column(tree, {}, "boolean")
+
+
+def reads(source: str, name: str) -> bool:
+    """Whether an expression uses a name of its environment."""
+
+    def walk(node) -> bool:
+        return node == ("id", name) or any(walk(x) for x in children(node)) or (node[0] == "has" and walk(node[1]))
+
+    return walk(parse(source))
 
 
 def findings(rows: DataFrame, rule: str, source: str, env: dict, message: str, severity: str = "error", config: dict | None = None) -> DataFrame:

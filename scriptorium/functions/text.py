@@ -98,6 +98,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def text_similarity(a: Column, b: Column) -> Column:
+    """Trigram Jaccard of two texts as they stand; 1 when neither has a trigram."""
+    x, y = trigrams(a), trigrams(b)
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(jaccard(x, y))
+
+
+def utf16_length(col: Column) -> Column:
+    return F.length(col) + F.length(F.regexp_replace(col, "[^\\x{10000}-\\x{10ffff}]", ""))
+
+
 def strip_qualifier(col: Column) -> Column:
     """The name before its last trailing " (...)"; null if there is none."""
     stem = F.rtrim(F.regexp_extract(F.rtrim(col), r"(?s)^(.+) \(.*\)$", 1))
@@ -153,16 +163,24 @@ def lede(body: Column) -> Column:
 
 
 def path_refusal(path: Column) -> Column:
-    """The first reason for which a path is refused, null if none."""
-    part = F.split(path, "/")
-    has = lambda name: F.exists(part, lambda x: x == name)
+    """The first reason for which a path is refused, null if none. A drive or share is named before the absolute path that it also is; segments are read left to right."""
+    kind = lambda x: F.when(x == "", "empty-segment").when(x == ".", "dot-segment").when(x == "..", "traversal")
+    segment = F.get(F.filter(F.transform(F.split(path, "/"), kind), lambda x: x.isNotNull()), 0)
     return (
-        F.when(path.isNull() | (path == ""), "empty").when(path.contains("\\"), "backslash").when(path.rlike(r"[\x{00}-\x{1f}\x{7f}]"), "control-character")
-        .when(path.startswith("/"), "absolute").when(path.rlike("^[A-Za-z]:"), "drive").when(path.endswith("/"), "trailing-slash")
-        .when(has(""), "empty-segment").when(has("."), "dot-segment").when(has(".."), "dot-dot-segment")
+        F.when(path.isNull() | (path == ""), "empty").when(path.rlike("^[A-Za-z]:"), "drive").when(path.rlike(r"^(\\\\|//)"), "unc")
+        .when(path.startswith("/"), "absolute").when(path.contains("\\"), "backslash").when(path.rlike(r"[\x{00}-\x{1f}\x{7f}]"), "control-character")
+        .when(path.endswith("/"), "trailing-slash").otherwise(segment)
     )
 
 
+def refused_path(path: str) -> str | None:
+    """``path_refusal`` of one path, on the driver."""
+    for pattern, reason in ((r"^$", "empty"), (r"^[A-Za-z]:", "drive"), (r"^(\\\\|//)", "unc"), (r"^/", "absolute"), (r"\\", "backslash"), (r"[\x00-\x1f\x7f]", "control-character"), (r"/\Z", "trailing-slash")):
+        if re.search(pattern, path):
+            return reason
+    return next((r for x in path.split("/") if (r := {"": "empty-segment", ".": "dot-segment", "..": "traversal"}.get(x))), None)
+
+
 def is_content_path(path: Column, roots: list[str]) -> Column:
     under = F.exists(F.array(*map(F.lit, roots)), lambda r: path.startswith(F.concat(r, F.lit("/"))))
     return path_refusal(path).isNull() & under & path.endswith(".md")
@@ -181,19 +199,113 @@ def retract_clause(day: Column) -> Column:
     return F.concat(F.lit("retracted "), day)
 
 
+def supersede_clause(day: Column, by: Column) -> Column:
+    return F.concat(F.lit("valid →"), day_before(day), F.lit(", superseded "), day, F.lit(" by "), by)
+
+
 def day_before(day: Column) -> Column:
     return F.date_format(F.date_sub(F.to_date(day, "yyyy-MM-dd"), 1), "yyyy-MM-dd")
 
 
 def commit_prefix(message: Column) -> Column:
-    """type of a Conventional Commits opening; empty if it has none."""
-    return F.regexp_extract(message, r"^([a-z]+)(?:\([^()\r\n]+\))?!?: \S", 1)
+    """Prefix of a message whose first line opens with "name:", "name(scope):" or "name!:"; none otherwise."""
+    found = F.regexp_extract(F.trim(F.split(message, "\n")[0]), r"^([A-Za-z][A-Za-z0-9-]*)(?:\([^()]+\))?!?:", 1)
+    return F.when(found == "", "none").otherwise(found)
 
 
 def law_change_reason(message: Column) -> Column:
-    body = F.regexp_replace(message, r"(?s)^[^\n]*\n?", "")
-    return F.regexp_extract(body, r"(?m)^law-change:[ \t]*(\S.*)$", 1)
+    """Reason of the first line "law-change: reason" after the subject, comment lines aside; null if there is none."""
+    lines = F.filter(F.transform(F.split(message, "\n"), lambda x: F.regexp_replace(x, r"\r$", "")), lambda x: ~x.startswith("#"))
+    said = F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), lambda x: x.rlike(r"^law-change:[ \t]*\S"))
+    return F.trim(F.regexp_extract(F.get(said, 0), r"^law-change:[ \t]*(\S.*)$", 1))
 
 
 def table_cell(col: Column) -> Column:
     return F.replace(F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def pointer_key(pointer: Column) -> Column:
+    """First key of a JSON pointer, its escapes read."""
+    return F.replace(F.replace(F.get(F.split(pointer, "/"), 1), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+
+
+def normalized(raw: Column) -> Column:
+    """struct<text, mark, crlf>: the text without byte order mark and with bare line feeds, and whether it had them."""
+    mark = raw.startswith("\ufeff")
+    body = F.when(mark, F.substring(raw, F.lit(2), F.length(raw))).otherwise(raw)
+    return F.struct(F.replace(body, F.lit("\r\n"), F.lit("\n")).alias("text"), mark.alias("mark"), body.contains("\r\n").alias("crlf"))
+
+
+def byte_spans(text: Column) -> Column:
+    """Array of struct<line, start, end>: byte offsets of each line, its end exclusive of the line feed."""
+    sizes = F.transform(F.split(text, "\n"), lambda x: F.octet_length(x))
+    return F.aggregate(
+        sizes, F.array().cast("array<struct<line:int,start:int,end:int>>"),
+        lambda a, n: F.concat(a, F.array(F.struct((F.size(a) + 1).alias("line"), F.coalesce(F.get(a, F.size(a) - 1)["end"] + 1, F.lit(0)).alias("start"), (F.coalesce(F.get(a, F.size(a) - 1)["end"] + 1, F.lit(0)) + n).alias("end")))),
+    )
+
+
+def canonical_json(value) -> str:
+    """JSON with keys in code unit order, integers as digits and floats as ECMAScript writes them."""
+    import json
+
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: str(k).encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{json.dumps(str(k), ensure_ascii=False)}:{canonical_json(value[k])}" for k in keys) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(canonical_json, value)) + "]"
+    if isinstance(value, float):
+        if value != value or value in (float("inf"), float("-inf")):
+            return "null"
+        if value.is_integer() and abs(value) < 1e21:
+            return str(int(value))
+        mantissa, e, power = repr(value).partition("e")
+        if not e:
+            return mantissa
+        return _plain(value) if -7 < int(power) < 0 else f"{mantissa.removesuffix('.0')}e{int(power):+d}"
+    if value is None or isinstance(value, (bool, int, str)):
+        return json.dumps(value, ensure_ascii=False)
+    return json.dumps(str(value), ensure_ascii=False)
+
+
+def _plain(value: float) -> str:
+    from decimal import Decimal
+
+    return format(Decimal(repr(value)), "f")
+
+
+@F.pandas_udf(StringType())
+def _page_head(front: pd.Series, meta: pd.Series) -> pd.Series:
+    import json
+
+    return pd.Series([canonical_json({k: v for k, v in json.loads(f or "{}").items() if k not in (m if m is not None else ())}) for f, m in zip(front, meta)])
+
+
+def page_digest(front: Column, meta: Column, body: Column) -> Column:
+    """SHA-256 of the canonical frontmatter (JSON) without its meta keys, a NUL and the body."""
+    return F.sha2(F.concat(_page_head(front, meta), F.lit("\0"), body).cast("binary"), 256)
+
+
+def satisfies(version: str, wanted: str) -> bool:
+    """Whether a version lies in a range of space-separated comparators (< <= > >= = ^ ~); an unreadable term is false."""
+    read = lambda x: tuple(map(int, m.groups())) if (m := re.fullmatch(r"(\d+)\.(\d+)\.(\d+)(?:[-+].*)?", x)) else None
+    own, terms = read(version), wanted.split()
+    if own is None or not terms:
+        return False
+    for term in terms:
+        op, at = re.fullmatch(r"(>=|<=|[<>=^~])?(.*)", term).groups()
+        at = read(at)
+        if at is None:
+            return False
+        above = (at[0], at[1] + 1, 0) if op == "~" or at[0] == 0 else (at[0] + 1, 0, 0)
+        if not {"<": own < at, "<=": own <= at, ">": own > at, ">=": own >= at, "^": at <= own < above, "~": at <= own < above}.get(op, own == at):
+            return False
+    return True
+
+
+def today(environment: str = "SCRIPTORIUM_TODAY") -> str:
+    """The date that a run works with: read once, from the environment or the clock."""
+    import datetime
+    import os
+
+    return os.environ.get(environment) or datetime.date.today().isoformat()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -35,6 +35,12 @@ def resolve(links: DataFrame, index: DataFrame, target: str = "target_name") ->
     return keyed.join(index, "ident", "left").withColumn("verdict", verdict)
 
 
+def resolve_as(rows: DataFrame, index: DataFrame, name: str, column: str) -> DataFrame:
+    """``rows`` with the path that a name column stands for in ``column``, null if it names no page."""
+    keyed = rows.withColumn("_ident", T.ident(F.trim(F.col(name))))
+    return keyed.join(index.select(F.col("ident").alias("_ident"), F.col("target").alias(column)), "_ident", "left").drop("_ident")
+
+
 def collisions(pages: DataFrame, title_is_name: bool = False) -> DataFrame:
     """(ident, path, kind, owner): spellings that another page owns; base names own before aliases, aliases before titles, then the smaller path."""
     s = spellings(pages, title_is_name)
@@ -114,9 +120,3 @@ def stale_propagation(graph: DataFrame, stale: DataFrame) -> DataFrame:
     """(path, via) of pages one hop before a stale page, tags aside."""
     return graph.filter("kind <> 'tagged'").join(stale.select(F.col("path").alias("to")), "to", "left_semi").select(F.col("from").alias("path"), F.col("to").alias("via")).distinct()
 
-
-def any_of(columns: list[Column]) -> Column:
-    out = F.lit(False)
-    for c in columns:
-        out = out | c
-    return out

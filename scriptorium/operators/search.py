@@ -23,16 +23,24 @@ def column_or(pages: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in pages.columns else F.lit(None).cast(kind)
 
 
-def index(pages: DataFrame) -> DataFrame:
-    """(path, term, tf, length): body terms count once, names, aliases, tags, title and headings three times."""
+def _terms(pages: DataFrame) -> DataFrame:
+    """(path, length, term, w): each token once, by one look at each text; names, aliases, tags, title and headings weigh three. One row a page with w = -1 and no term carries its length."""
     empty = F.array().cast("array<string>")
     lists = [F.coalesce(column_or(pages, c, "array<string>"), empty) for c in ("aliases", "tags", "headings")]
     boosted = F.concat_ws("\n", T.basename(F.col("path")), lists[0], lists[1], column_or(pages, "title", "string"), lists[2])
     terms = pages.select("path", T.tokens("body").alias("body"), T.tokens(boosted).alias("names"))
-    terms = terms.withColumn("length", F.size("body") + BOOST * F.size("names"))
-    one = terms.select("path", "length", F.explode("body").alias("term"), F.lit(1).alias("w"))
-    many = terms.select("path", "length", F.explode("names").alias("term"), F.lit(BOOST).alias("w"))
-    return one.union(many).groupBy("path", "length", "term").agg(F.sum("w").alias("tf"))
+    weighed = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    every = F.concat(weighed("body", 1), weighed("names", BOOST), F.array(F.struct(F.lit("").alias("term"), F.lit(-1).alias("w"))))
+    return terms.select("path", (F.size("body") + BOOST * F.size("names")).alias("length"), F.inline(every))
+
+
+def _counted(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("path", "length", "term").agg(F.sum("w").alias("tf"))
+
+
+def index(pages: DataFrame) -> DataFrame:
+    """(path, length, term, tf) of every term of every page."""
+    return _counted(_terms(pages)).filter("tf > 0")
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -40,30 +48,60 @@ def frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _means(counted: DataFrame) -> DataFrame:
+    """One row: n pages and their mean weighted length, from the rows that carry the lengths. The filter is on an aggregate, so the shuffle below is the one that the postings use."""
+    return counted.filter("tf < 0").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+
+
 def lengths(pages: DataFrame) -> DataFrame:
     """One row: n pages and their mean weighted length."""
-    empty = F.array().cast("array<string>")
-    lists = [F.coalesce(column_or(pages, c, "array<string>"), empty) for c in ("aliases", "tags", "headings")]
-    boosted = F.concat_ws("\n", T.basename(F.col("path")), lists[0], lists[1], column_or(pages, "title", "string"), lists[2])
-    size = F.size(T.tokens("body")) + BOOST * F.size(T.tokens(boosted))
-    return pages.agg(F.count("*").alias("n"), F.avg(size).alias("avg_length"))
+    return _means(_counted(_terms(pages)))
+
+
+def statistics(pages: DataFrame) -> DataFrame:
+    """(term, df, cf, avg_length) of every term."""
+    counted = _counted(_terms(pages))
+    return frequencies(counted.filter("tf > 0")).join(F.broadcast(_means(counted).select("avg_length")))  # one row
 
 
 def bm25(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, path, score) of every page that holds a term of a query (query_id, text)."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
-    postings = index(pages)
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    looked_up = wanted.select("term").distinct().union(pages.sparkSession.sql("SELECT '' AS term"))
+    counted = _counted(_terms(pages).join(looked_up, "term", "left_semi"))
+    hits = counted.filter("tf > 0")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    # one row of statistics
-    scored = hits.join(df, "term").join(F.broadcast(lengths(pages)))
+    scored = hits.join(df, "term").join(F.broadcast(_means(counted)))  # one row of statistics
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     parts = scored.select("term", "path", part.alias("part")).join(wanted, "term")
-    summed = parts.groupBy("query_id", "path").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("parts"))
+    summed = parts.groupBy("query_id", "path").agg(F.array_sort(F.collect_list(F.struct("term", "part"))).alias("parts"))  # as many as the query has terms
     return summed.select("query_id", "path", F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["part"]), 6).alias("score"))
 
 
+#: Rows by which ``ranked`` learns where to cut, and pieces that it cuts into.
+SAMPLE, PIECES = 2048, 128
+
+
+def ranked(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``rows`` with their number, from 1, in the descending order of the first keys and the ascending one of the last (a text), without one task for all of them.
+
+    Keys at even distances in a sample (the rows of smallest hash) cut the rows into pieces; a row's number is its number
+    in its piece plus the rows of the pieces before. Any cuts give the same numbers.
+    """
+    at = F.struct(*((-F.col(k)).alias(k) if k != keys[-1] else F.col(k) for k in keys))
+    keyed = rows.withColumn("_at", at)
+    sample = sorted(tuple(r["_at"]) for r in keyed.orderBy(F.xxhash64(keys[-1])).limit(SAMPLE).select("_at").collect())
+    cuts = sample[:: SAMPLE // PIECES][1:] if len(sample) == SAMPLE else []
+    kind = keyed.schema["_at"].dataType
+    bounds = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind))) for c in cuts)) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+    pieces = keyed.withColumn("_piece", F.size(F.filter(bounds, lambda x: x <= F.col("_at")))) if cuts else keyed.withColumn("_piece", F.lit(0))
+    n = pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # at most PIECES rows
+    numbered = pieces.withColumn("_k", F.row_number().over(Window.partitionBy("_piece").orderBy("_at")))
+    return numbered.join(F.broadcast(before), "_piece").withColumn(column, (F.col("_before") + F.col("_k")).cast("int")).drop("_piece", "_before", "_k", "_at")
+
+
 def top(ranked: DataFrame, k: int, group: str = "query_id", order: str = "score") -> DataFrame:
     """The k best rows of each group, ties by path, with their rank."""
     w = Window.partitionBy(group).orderBy(F.desc(order), "path")
@@ -110,28 +148,41 @@ def search(pages: DataFrame, query: str, keep: Column | None = None, band: str |
     """Fused search: (path, band, ladder, lexical, score, reasons, rank) in rank order.
 
     ``keep`` filters pages (columns of ``pages``) after the statistics are taken.
-    Ranks are over the pages that match one query; they are a search's own result,
-    found with a top-k where a limit is given.
+    Ranks are over all pages that match the query, cut into pieces of the order.
     """
     spark = pages.sparkSession
     asked = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
     kept = pages if keep is None else pages.filter(keep)
     lexical = bm25(pages, asked).join(kept.select("path"), "path", "left_semi").select("path", F.col("score").alias("lexical"))
     names = ladder(kept, query)
-    by = lambda c: Window.partitionBy("_one").orderBy(F.desc(c), "path")
-    first = names.filter("ladder > 0").withColumn("_one", F.lit(1)).select("path", F.row_number().over(by("ladder")).alias("r1"))
-    second = lexical.withColumn("_one", F.lit(1)).select("path", "lexical", F.row_number().over(by("lexical")).alias("r2"))
+    first = ranked(names.filter("ladder > 0").select("path", "ladder"), ["ladder", "path"], "r1").select("path", "r1")
+    second = ranked(lexical, ["lexical", "path"], "r2")
     fused = first.join(second, "path", "full").join(names, "path")
     part = lambda r: F.coalesce(1 / (RRF_K + F.col(r)), F.lit(0.0))
     why = F.array_compact(F.array(F.concat(F.lit("rrf:identity#"), F.col("r1").cast("string")), F.concat(F.lit("rrf:bm25#"), F.col("r2").cast("string"))))
     out = fused.select("path", "band", "ladder", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.round(part("r1") + part("r2"), 6).alias("score"), F.concat("reasons", why).alias("reasons"))
-    order = [F.when(F.col("band") == "identity", 0).otherwise(1), F.desc(F.when(F.col("band") == "identity", F.col("ladder")).otherwise(0)), F.desc("score"), F.col("path")]
-    out = out.withColumn("_one", F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("_one").orderBy(*order))).drop("_one")
+    own = F.col("band") == "identity"
+    out = ranked(out.withColumns({"_band": F.when(own, 1).otherwise(0), "_ladder": F.when(own, F.col("ladder")).otherwise(0)}), ["_band", "_ladder", "score", "path"], "rank").drop("_band", "_ladder")
     if band:
         out = out.filter(F.col("band") == band)
     return out.orderBy("rank").limit(limit) if limit else out
 
 
+def only_filtered(pages: DataFrame, keep: Column) -> DataFrame:
+    """Search without a query: the pages that the filters keep, in path order."""
+    retired = F.coalesce(column_or(pages, "status", "string") == "retired", F.lit(False))
+    weight = WEIGHTS["filter:match"]
+    score = F.when(retired, weight // 2).otherwise(weight)
+    why = F.when(retired, F.array(F.lit("filter:match"), F.lit("status:retired"))).otherwise(F.array(F.lit("filter:match")))
+    return ranked(pages.filter(keep).select("path", F.lit("relevance").alias("band"), score.alias("ladder"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("score"), why.alias("reasons")), ["ladder", "path"], "rank")
+
+
+def coverage_block(query: str | None, pages: int, limit: int, found: int, near: bool = False) -> dict:
+    """What a search ran: tiers, pages, tokenization, fusion, and whether its limit cut."""
+    tiers = ["filter"] if query is None else [*(k for k in WEIGHTS if k != "filter:match"), "bm25", *(["near"] if near else [])]
+    return {"tiers_executed": tiers, "corpus_size": pages, "tokenization": "words, Han characters and pairs", "fusion": {"method": "rrf", "k": RRF_K, "lists": ["ladder"] if query is None else ["ladder", "bm25"]}, "caps": {"limit": limit, "found": found, "hit": found > limit}}
+
+
 def contains_terms(pages: DataFrame, query: str) -> DataFrame:
     """Pages that hold a term of the query only inside longer words."""
     from scriptorium.functions.text import tokenize

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Findings whose severity or lane is fixed: rule, severity (E, W or I) and lane ("fix": an attached command).
+#: Every finding code with its severity (E, W or I) and lane ("fix": an attached command).
 ROUTES = """
 source-path-missing E source-review
 source-path-kind E source-review
@@ -65,7 +65,12 @@ citation-unresolved W source-review
 stale-source-cited W source-review
 """.split("\n")[1:-1]
 
-NEVER_WAIVED = ("exception-applied", "exception-stale", "exception-illegal", "unevaluated", "rule-error", "law-changed", "law-relaxed", "generated-drift")
+#: Codes that a page may not waive, that the gate never demotes, whose findings depend on names, that stand on no one page.
+NEVER_WAIVED = "page-too-large page-not-utf8 malformed-frontmatter frontmatter-not-mapping duplicate-key identity-collision instances-min instances-max rule-error exception-stale exception-illegal rule-untested rule-test-fails example-fails law-relaxed".split()
+NEVER_DEMOTED = "page-too-large page-not-utf8 malformed-frontmatter frontmatter-not-mapping duplicate-key identity-collision instances-min instances-max exception-illegal".split()
+NAME_READERS = "wikilink-unresolved wikilink-alias-target relation-target-unresolved page-ref-type rule-error".split()
+VAULT_WIDE = "identity-collision instances-min instances-max path-skipped".split()
+TRANSITIONS = "renamed-without-alias entry-edited claims-transition relation-removed former-folder-tags-review".split()
 SEVERITIES = {"E": "error", "W": "warning", "I": "info"}
 
 
@@ -126,26 +131,105 @@ def unevaluated_reasons(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rule").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def filtered(findings: DataFrame, rule: str | None = None, path: str | None = None) -> DataFrame:
+    """Findings of one rule, of one path or below one folder; taken before any cap."""
+    if rule:
+        findings = findings.filter(F.col("rule") == rule)
+    if path:
+        findings = findings.filter((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
+    return findings
+
+
+def excepted(findings: DataFrame) -> DataFrame:
+    """(rule, excepted): applied exceptions by the rule that they waive."""
+    return findings.filter("rule = 'exception-applied'").groupBy(F.col("details")["rule"].alias("rule")).agg(F.count("*").alias("excepted"))
+
+
+def judged_waivers(waivers: DataFrame, known_rules: DataFrame) -> DataFrame:
+    """Waivers with ``illegal``: no rule of this law, a census, or a rule that a page may not waive; null if legal."""
+    known = known_rules.select("rule", F.col("severity").alias("_severity"), F.lit(True).alias("_known"))
+    why = F.when(F.col("_known").isNull(), "names no rule this law has").when(F.col("_severity") == "info", "names a census").when(F.col("rule").isin(*NEVER_WAIVED), "names a law that a page may not waive")
+    return waivers.join(F.broadcast(known), "rule", "left").withColumn("illegal", why).drop("_severity", "_known")  # rules: bounded by the law
+
+
 def exceptions(findings: DataFrame, waivers: DataFrame, known_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings left, rows on the waivers): applied, stale or illegal. Waivers: (path, rule); illegal ones waive nothing."""
-    fixed = F.col("rule").isin(*NEVER_WAIVED)
-    known = known_rules.select("rule", F.lit(True).alias("known"), F.col("severity").alias("rule_severity"))
-    judged = waivers.join(known, "rule", "left").withColumn("illegal", F.col("known").isNull() | fixed | (F.col("rule_severity") == "info"))
-    legal = judged.filter("not illegal").select("path", "rule").distinct()
+    judged = judged_waivers(waivers, known_rules)
+    legal = judged.filter("illegal is null").select("path", "rule").distinct()
     left = findings.join(legal, ["path", "rule"], "left_anti")
     hit = findings.select("path", "rule").distinct().withColumn("hit", F.lit(True))
     told = judged.join(hit, ["path", "rule"], "left")
-    code = F.when(F.col("illegal"), "exception-illegal").when(F.col("hit").isNull(), "exception-stale").otherwise("exception-applied")
+    code = F.when(F.col("illegal").isNotNull(), "exception-illegal").when(F.col("hit").isNull(), "exception-stale").otherwise("exception-applied")
     return left, told.select("path", F.col("rule").alias("waived"), code.alias("rule"))
 
 
+def apply_exceptions(findings: DataFrame, waivers: DataFrame, known_rules: DataFrame, unjudged: DataFrame) -> DataFrame:
+    """Findings with each waived one turned into ``exception-applied``, and rows for stale and illegal waivers.
+
+    Waivers: (path, rule, reason, index), the first of a rule holds. One whose rule couldn't be judged on the page
+    (``unjudged``: path, rule) is neither applied nor stale. Info findings can't be waived.
+    """
+    judged = judged_waivers(waivers, known_rules)
+    legal = judged.filter("illegal is null").join(unjudged.select("path", "rule").distinct(), ["path", "rule"], "left_anti")
+    first = legal.groupBy("path", "rule").agg(F.min(F.struct("index", "reason")).alias("_w"))
+    hit = findings.join(first, ["path", "rule"], "left").withColumn("_on", F.col("_w").isNotNull() & (F.col("severity") != "info"))
+    details = F.create_map(F.lit("rule"), F.col("rule"), F.lit("reason"), F.col("_w.reason"), F.lit("pointer"), F.concat(F.lit("/exceptions/"), F.col("_w.index").cast("string")), F.lit("severity"), F.col("severity"), F.lit("message"), F.col("message"))
+    swap = {
+        "details": F.when(F.col("_on"), details).otherwise(F.col("details")), "message": F.when(F.col("_on"), F.concat("rule", F.lit(", waived: "), "_w.reason")).otherwise(F.col("message")),
+        "severity": F.when(F.col("_on"), "info").otherwise(F.col("severity")), "rule": F.when(F.col("_on"), "exception-applied").otherwise(F.col("rule")),
+    }
+    out = hit.select(*(swap.get(c, F.col(c)).alias(c) for c in findings.columns))
+    held = findings.filter("severity <> 'info'").select("path", "rule").distinct()
+    stale = legal.join(held, ["path", "rule"], "left_anti").select("path", F.lit("exception-stale").alias("code"), F.lit("warning").alias("s"), "rule", "index", F.lit("closes no finding on this page").alias("why"))
+    illegal = judged.filter("illegal is not null").select("path", F.lit("exception-illegal"), F.lit("error"), "rule", "index", "illegal")
+    told = stale.union(illegal)
+    place = [F.lit(None).cast(findings.schema[c].dataType).alias(c) for c in ("line", "heading", "occurrence")]
+    about = F.create_map(F.lit("rule"), F.col("rule"), F.lit("pointer"), F.concat(F.lit("/exceptions/"), F.col("index").cast("string")))
+    rows = told.select("path", F.col("code").alias("rule"), F.col("s").alias("severity"), *place, F.concat(F.lit("the exception for "), "rule", F.lit(" "), "why").alias("message"), about.alias("details"))
+    return out.unionByName(rows)
+
+
+def key() -> Column:
+    """What makes two findings of two runs the same: rule, path, place, details."""
+    return F.concat_ws("\0", "rule", "path", F.coalesce(F.col("line").cast("string"), F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce(F.col("occurrence").cast("string"), F.lit("")), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("details", F.create_map().cast("map<string,string>")))))))
+
+
 def gate_scope(findings: DataFrame, inherited: DataFrame, touched: DataFrame, vault_wide: list[str]) -> DataFrame:
-    """Findings of touched pages and vault-wide rules; queued errors on an inherited line become warnings with ``demoted_from``."""
+    """Findings of touched pages and vault-wide rules; queued errors on an inherited line become warnings with ``demoted_from``.
+
+    Transitions and findings that no page can inherit keep their severity. A column ``caused`` (boolean), if there is one,
+    keeps a finding of an untouched page, undemoted: a name or a source path changed elsewhere.
+    """
+    caused = F.col("caused") if "caused" in findings.columns else F.lit(False)
     wide = F.col("rule").isin(*vault_wide)
-    kept = findings.join(touched.select("path", F.lit(True).alias("_t")), "path", "left").filter(F.col("_t").isNotNull() | wide).drop("_t")
+    kept = findings.withColumn("_c", caused).join(touched.select("path", F.lit(True).alias("_t")), "path", "left").filter(F.col("_t").isNotNull() | wide | F.col("_c")).drop("_t")
     old = kept.join(inherited.select("path", "line", F.lit(True).alias("_old")), ["path", "line"], "left")
-    demote = F.col("_old").isNotNull() & (F.col("severity") == "error") & F.col("queue").isNotNull()
-    return old.withColumn("demoted_from", F.when(demote, "error")).withColumn("severity", F.when(demote, "warning").otherwise(F.col("severity"))).drop("_old")
+    fixed = F.col("rule").isin(*NEVER_DEMOTED, *TRANSITIONS)
+    demote = F.col("_old").isNotNull() & (F.col("severity") == "error") & F.col("queue").isNotNull() & ~fixed & ~F.col("_c")
+    return old.withColumn("demoted_from", F.when(demote, "error")).withColumn("severity", F.when(demote, "warning").otherwise(F.col("severity"))).drop("_old", "_c", "caused")
+
+
+def drift(planned: DataFrame, held: DataFrame) -> DataFrame:
+    """(path, missing) of generated files (path, content) that are absent or differ from what is held."""
+    own = held.select("path", F.col("content").alias("_held"), F.lit(True).alias("_is"))
+    return planned.join(own, "path", "left").filter(~F.col("content").eqNullSafe(F.col("_held"))).select("path", F.col("_is").isNull().alias("missing"))
+
+
+def regressions(now: DataFrame, before: DataFrame, touched: DataFrame) -> DataFrame:
+    """Findings of a judged write that count: those on touched pages, and those that the state before didn't have."""
+    old = before.select(key().alias("_k")).distinct()
+    keyed = now.withColumn("_k", key()).join(touched.select("path", F.lit(True).alias("_t")), "path", "left")
+    new = keyed.filter("_t is null").join(old, "_k", "left_anti")
+    return keyed.filter("_t is not null").unionByName(new).drop("_k", "_t")
+
+
+def scope_coverage(sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: sections by mode (governed, prose, unbound), records read, items not read, pages with text before their first heading."""
+    by = sections.agg(
+        *(F.count_if(c).alias(n) for n, c in (("governed", ~F.col("mode").isin("prose", "unbound")), ("prose", F.col("mode") == "prose"), ("unbound", F.col("mode") == "unbound"))),
+        F.coalesce(F.sum("records"), F.lit(0)).alias("parsed_records"), F.coalesce(F.sum("unread"), F.lit(0)).alias("malformed_items"),
+    )
+    return by.join(F.broadcast(pages.agg(F.count_if(F.trim(F.coalesce("preamble", F.lit(""))) != "").alias("unbound_preambles"))))  # one row each
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], shape: Column) -> DataFrame:
@@ -157,13 +241,25 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], shape: Column) ->
 
 
 def content_digest(pages: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted "path NUL sha256(content)" lines of pages (path, content).
+    """One row, digest: SHA-256 over the sorted "path NUL sha256(content)" lines of pages (path, content).
 
-    The digest is defined over one sorted list, 65 bytes and a path per page, so one row gathers it; give a
-    group column first (``group``) to keep digests per folder and combine those.
+    The digest is defined over one sorted list, so one task takes it; it sorts on disk where it must and hashes the lines
+    in a stream, so its memory doesn't grow with the pages.
     """
-    line = F.concat("path", F.lit("\0"), F.sha2("content", 256), F.lit("\n"))
-    return pages.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "").cast("binary"), 256).alias("digest"))
+    lines = pages.select(F.concat("path", F.lit("\0"), F.sha2("content", 256), F.lit("\n")).cast("binary").alias("line"))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        own = hashlib.sha256()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                own.update(x)
+        yield pa.RecordBatch.from_arrays([pa.array([own.hexdigest()])], ["digest"])
+
+    return lines.repartition(1).sortWithinPartitions("line").mapInArrow(run, "digest string")
 
 
 def budget(rows: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:

@@ -48,7 +48,7 @@ def close_line(text: str, line: int, clause: str) -> str:
     if not 1 <= line <= len(lines):
         raise SpliceRefused(f"no line {line}")
     own = lines[line - 1].rstrip("\r")
-    lines[line - 1] = f"{own} ({clause})" + lines[line - 1][len(own) :]
+    lines[line - 1] = f"{own.rstrip()} ({clause})" + lines[line - 1][len(own) :]
     return "\n".join(lines)
 
 

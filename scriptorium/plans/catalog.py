@@ -77,15 +77,14 @@ def _query(sql: str | None = None):
 def q01_title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose title's identity key another, earlier page has."""
     pages = P.doc_pages(spark, sf_dir).select("path", T.ident(F.trim("title")).alias("ident"))
-    return pages.withColumn("owner", F.min("path").over(Window.partitionBy("ident"))).filter("path <> owner")
+    owners = pages.groupBy("ident").agg(F.min("path").alias("owner"))
+    return pages.join(owners, "ident").filter("path <> owner").select("path", "ident", "owner")
 
 
 @_query(f"WITH {_INDEX} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, (SELECT round(avg(length), 6) FROM len_) AS avg_length FROM postings_ GROUP BY term")
 def q02_term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term, and the mean length."""
-    pages = P.doc_pages(spark, sf_dir)
-    mean = search.lengths(pages).select(F.round("avg_length", 6).alias("avg_length"))
-    return search.frequencies(search.index(pages)).join(F.broadcast(mean))  # one row
+    return search.statistics(P.doc_pages(spark, sf_dir)).withColumn("avg_length", F.round("avg_length", 6))
 
 
 @_query(f"""WITH {_INDEX}, asked_ AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens("text")}) AS term FROM benchmark), {_BM25}

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import subprocess
+import tempfile
+import threading
+import unicodedata
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +18,26 @@ class GitAnswerRefused(RuntimeError):
     """An answer without its terminator, or cut short."""
 
 
+#: At most so many git processes at a time.
+_SLOTS = threading.BoundedSemaphore(4)
+
+
 def git(root: str, *args: str, data: bytes | None = None) -> bytes:
-    done = subprocess.run(["git", "-C", root, *args], input=data, capture_output=True, timeout=TIMEOUT)
-    if done.returncode:
-        raise RuntimeError(done.stderr.decode(errors="replace").strip() or f"git {args[0]} failed")
-    return done.stdout
+    """Output of a git command, by way of a file, so a long answer takes no memory twice."""
+    with _SLOTS, tempfile.TemporaryFile() as out:
+        done = subprocess.run(["git", "-C", root, *args], input=data, stdout=out, stderr=subprocess.PIPE, timeout=TIMEOUT)
+        if done.returncode:
+            raise RuntimeError(done.stderr.decode(errors="replace").strip() or f"git {args[0]} failed")
+        out.seek(0)
+        return out.read()
+
+
+def ask(root: str, *args: str) -> str | None:
+    """One line of a git command's answer, None where git refuses."""
+    try:
+        return git(root, *args).decode().rstrip("\n")
+    except RuntimeError:
+        return None
 
 
 def _fields(raw: bytes) -> list[str]:
@@ -86,10 +105,76 @@ def tree_entries(root: str, rev: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def parse_batch_check(raw: bytes) -> list[tuple[str, str | None, int | None]]:
+    """(name, type, size) of ``cat-file --batch-check`` lines; type and size None where missing."""
+    if raw and not raw.endswith(b"\n"):
+        raise GitAnswerRefused("the answer isn't terminated")
+    out = []
+    for line in raw.decode().split("\n")[:-1]:
+        parts = line.split(" ")
+        if parts[-1] == "missing":
+            out.append((" ".join(parts[:-1]), None, None))
+        elif len(parts) == 3 and parts[2].isdigit():
+            out.append((parts[0], parts[1], int(parts[2])))
+        else:
+            raise GitAnswerRefused(f"no batch-check line: {line}")
+    return out
+
+
+def blob_chunks(root: str, oids: list[str], most: int = 64 << 20) -> Iterator[dict[str, bytes | None]]:
+    """Objects in chunks of about ``most`` bytes: sizes first, then one batch a chunk."""
+    sizes = parse_batch_check(git(root, "cat-file", "--batch-check", data="".join(f"{o}\n" for o in sorted(set(oids))).encode())) if oids else []
+    chunk, held = [], 0
+    for name, _, size in [*sizes, (None, None, 0)]:
+        if chunk and (name is None or held + (size or 0) > most):
+            yield dict(zip(chunk, parse_batch(git(root, "cat-file", "--batch", data="".join(f"{o}\n" for o in chunk).encode()), len(chunk))))
+            chunk, held = [], 0
+        chunk.append(name)
+        held += size or 0
+
+
 def blobs(root: str, oids: list[str]) -> dict[str, bytes | None]:
-    names = sorted(set(oids))
-    raw = git(root, "cat-file", "--batch", data="".join(f"{o}\n" for o in names).encode())
-    return dict(zip(names, parse_batch(raw, len(names))))
+    return {k: v for chunk in blob_chunks(root, oids) for k, v in chunk.items()}
+
+
+def staged_text(root: str, path: str) -> str:
+    """A file's text as staged."""
+    return git(root, "show", f":./{path}").decode()
+
+
+def head(root: str, ref: str = "HEAD") -> str | None:
+    """Object of a ref, None before the first commit."""
+    return ask(root, "rev-parse", "-q", "--verify", ref)
+
+
+def top_level(root: str) -> str | None:
+    return ask(root, "rev-parse", "--show-toplevel")
+
+
+def is_shallow(root: str) -> bool:
+    return ask(root, "rev-parse", "--is-shallow-repository") == "true"
+
+
+def root_names(root: str, rev: str) -> list[str]:
+    """Names at the top of a tree."""
+    return _fields(git(root, "ls-tree", "--full-tree", "--name-only", "-z", rev))
+
+
+def object_type(root: str, spec: str) -> str | None:
+    return ask(root, "cat-file", "-t", spec)
+
+
+def line_count(root: str, spec: str) -> int:
+    """Lines of a blob; a last line without a line feed counts."""
+    raw = git(root, "cat-file", "-p", spec)
+    return raw.count(b"\n") + bool(raw and not raw.endswith(b"\n"))
+
+
+def checkout(root: str) -> tuple[str | None, bool]:
+    """(commit of HEAD, whether anything differs from it)."""
+    lines = _fields(git(root, "status", "--porcelain=v2", "-z", "--branch"))
+    oid = next((x.split(" ", 2)[2] for x in lines if x.startswith("# branch.oid ")), "(initial)")
+    return (None if oid == "(initial)" else oid), any(not x.startswith("#") for x in lines)
 
 
 def commit_known(root: str, rev: str) -> bool:
@@ -114,24 +199,61 @@ def pin_state(root: str, commit: str, covers: list[str]) -> tuple[str, int | Non
     if not commit_known(root, commit) or not is_ancestor(root, commit):
         return "unknown", None
     behind = commits_behind(root, commit)
-    if behind == 0:
-        return "current", 0
-    return ("stale" if changed_since(root, commit, covers) else "unchanged"), behind
+    touched = changed_since(root, commit, covers)
+    return ("stale" if touched else "current" if behind == 0 else "unchanged"), behind
+
+
+def _rows(spark: SparkSession, root: str, entries, roots: list[str], prefix: str = "") -> DataFrame:
+    """(path, content) of the pages among entries; paths are relative to ``prefix``. Executors read the objects where they reach the repository, in chunks."""
+    cut = f"{prefix}/" if prefix else ""
+    own = [(unicodedata.normalize("NFC", p[len(cut) :]), o) for mode, o, p in entries if p.startswith(cut) and p.endswith(".md") and mode[:3] == "100" and any(p[len(cut) :].startswith(r + "/") for r in roots)]
+    listed = spark.createDataFrame(own, "path string, oid string")
+
+    def read(frames):
+        import pandas as pd
+
+        for f in frames:
+            for chunk in blob_chunks(root, f["oid"].tolist()):
+                part = f[f["oid"].isin(chunk)]
+                yield pd.DataFrame({"path": part["path"], "content": [chunk[o] or b"" for o in part["oid"]]})
+
+    return listed.mapInPandas(read, "path string, content binary")
+
+
+def prefix_of(root: str) -> str:
+    """The directory inside its repository, "" at the top."""
+    return (ask(root, "rev-parse", "--show-prefix") or "").rstrip("/")
 
 
-def _rows(spark: SparkSession, root: str, entries, roots: list[str]) -> DataFrame:
-    own = [(p, o) for mode, o, p in entries if p.endswith(".md") and mode[:3] == "100" and any(p.startswith(r + "/") for r in roots)]
-    data = blobs(root, [o for _, o in own])
-    return spark.createDataFrame([(p, bytearray(data[o] or b"")) for p, o in own], "path string, content binary")
+def disagreements(index: DataFrame, base: DataFrame, named: DataFrame) -> DataFrame:
+    """(path, side) where the listings (path, oid, mode) of index and HEAD and the paths that the diff names don't tell the same story."""
+    a = index.select("path", F.struct("oid", "mode").alias("_a"))
+    b = base.select("path", F.struct("oid", "mode").alias("_b"))
+    differ = a.join(b, "path", "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("path")
+    own = named.select("path").distinct()
+    return differ.join(own, "path", "left_anti").withColumn("side", F.lit("not-named")).union(own.join(differ, "path", "left_anti").withColumn("side", F.lit("not-differing")))
 
 
 def revision_state(spark: SparkSession, root: str, rev: str, content_roots: list[str]) -> DataFrame:
-    return _rows(spark, root, tree_entries(root, rev), content_roots)
+    return _rows(spark, root, tree_entries(root, rev), content_roots, prefix_of(root))
 
 
 def index_state(spark: SparkSession, root: str, content_roots: list[str]) -> DataFrame:
-    """(path, content, base_content, renamed_from): the index against HEAD; a rename keeps its source as base."""
-    now = _rows(spark, root, index_entries(root), content_roots)
+    """(path, content, base_content, renamed_from): the index against HEAD; a rename keeps its source as base.
+
+    Before the first commit no page has a base. A listing that the staged diff doesn't explain raises GitAnswerRefused.
+    """
+    prefix, entries = prefix_of(root), index_entries(root)
+    cut = len(prefix) + 1 if prefix else 0
+    now = _rows(spark, root, [(m, o, p) for m, o, p in ((m, o, f"{prefix}/{p}" if prefix else p) for m, o, p in entries)], content_roots, prefix)
+    changes = staged(root)
+    moved = spark.createDataFrame([(unicodedata.normalize("NFC", p), unicodedata.normalize("NFC", o)) for s, p, o in changes if s == "R"], "path string, renamed_from string")
+    if head(root) is None:
+        return now.withColumns({"base_content": F.lit(None).cast("binary"), "renamed_from": F.lit(None).cast("string")})
+    at_head = [(m, o, p[cut:]) for m, o, p in tree_entries(root, "HEAD") if not prefix or p.startswith(prefix + "/")]
+    listing = "mode string, oid string, path string"
+    odd = disagreements(spark.createDataFrame(entries, listing), spark.createDataFrame(at_head, listing), spark.createDataFrame([(x,) for s, p, o in changes for x in (p, o if s == "R" else None) if x], "path string")).first()
+    if odd:
+        raise GitAnswerRefused(f"{odd.path}: the staged diff and the listings disagree ({odd.side})")
     base = revision_state(spark, root, "HEAD", content_roots).select(F.col("path").alias("base_path"), F.col("content").alias("base_content"))
-    moved = spark.createDataFrame([(p, o) for s, p, o in staged(root) if s == "R"], "path string, renamed_from string")
     return now.join(moved, "path", "left").join(base, F.coalesce("renamed_from", "path") == F.col("base_path"), "left").drop("base_path")

@@ -10,12 +10,16 @@ grammars; the law's section decides which reading holds.
 from __future__ import annotations
 
 import datetime
+import hashlib
 import json
+import os
 import re
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import fold
 from scriptorium.sources.yamlcore import YamlRefused, read_yaml
 
 #: Bytes of a page; sections, items of a section, members of a frontmatter list, links.
@@ -91,12 +95,36 @@ def parse_entry(line: str) -> dict | None:
     return {"date": m[1], "precision": _date(m[1]), "text": m[2].strip()} if m and _date(m[1]) else None
 
 
+def _keyed_claim(claim: dict | None) -> dict | None:
+    """A claim with its handle, the identity key of the page or the folder-free path that it cites, and whether it is closed."""
+    if claim is None:
+        return None
+    value = claim.get("prov_value")
+    key = fold(value) if claim["prov_kind"] == "page" else unicodedata.normalize("NFC", value.removesuffix("/")) if claim["prov_kind"] == "path" else None
+    return claim | {"handle": "#" + hashlib.sha256(fold(claim["core"]).encode()).hexdigest()[:8], "prov_key": key, "closed": bool(claim.get("retracted") or claim.get("superseded"))}
+
+
+def _keyed_relation(relation: dict | None) -> dict | None:
+    return relation and relation | {"ident": fold(relation["target_name"]), "label_ident": fold(relation["label"])}
+
+
 def _blank(text: str) -> str:
     return re.sub(r"[^\n]", " ", text)
 
 
-def parse_page(path: str, content: bytes, roots: tuple = (), depth: int = 2) -> dict:
-    """The nested row of one page; ``code`` is set when it can't be read."""
+def _too_long(value, at: str = "") -> str | None:
+    """Pointer of the first list or mapping of a frontmatter with too many members."""
+    if isinstance(value, (list, dict)):
+        if at and len(value) > LIST:
+            return at
+        for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+            if found := _too_long(v, f"{at}/{str(k).replace('~', '~0').replace('/', '~1')}"):
+                return found
+    return None
+
+
+def parse_page(path: str, content: bytes, roots: tuple = (), depths: dict | None = None) -> dict:
+    """The nested row of one page; ``code`` is set when it can't be read. ``depths``: type to the depth of its sections, 2 for others."""
     page = {"path": path, "code": None, "code_line": None, "message": None, "sections": [], "items": [], "links": [], "tags": [], "aliases": [], "headings": [], "preamble": "", "has_preamble": False}
     if len(content) > PAGE_BYTES:
         return page | {"code": "page-too-large", "message": "bytes"}
@@ -120,8 +148,9 @@ def parse_page(path: str, content: bytes, roots: tuple = (), depth: int = 2) ->
                 return page | {"code": "frontmatter-not-mapping", "code_line": 1}
         except YamlRefused as e:
             return page | {"code": e.code, "code_line": e.line + 1, "message": str(e)}
-        if any(isinstance(v, list) and len(v) > LIST for v in front.values()):
-            return page | {"code": "page-too-large", "message": "list"}
+        if at := _too_long(front):
+            return page | {"code": "page-too-large", "message": f"list {at}"}
+    depth = (depths or {}).get(front.get("type") if isinstance(front.get("type"), str) else None, 2)
     texts = lambda v: [x for x in v if isinstance(x, str)] if isinstance(v, list) else []
     word = lambda k: front[k] if isinstance(front.get(k), str) else None
     page |= {
@@ -158,7 +187,7 @@ def parse_page(path: str, content: bytes, roots: tuple = (), depth: int = 2) ->
     shown = "\n".join(_blank(x) if i < start or i in opaque else x for i, x in enumerate(lines))
     shown = _CODE.sub(lambda m: _blank(m[0]), shown)
     for m in _LINK.finditer(shown):
-        page["links"].append({"target": m[1].strip(), "heading": m[2], "alias": m[3], "line": shown.count("\n", 0, m.start()) + 1})
+        page["links"].append({"target": m[1].strip(), "ident": fold(m[1].strip()), "heading": m[2], "alias": m[3], "line": shown.count("\n", 0, m.start()) + 1})
     if len({x["target"] for x in page["links"]}) > LINKS:
         return page | {"code": "page-too-large", "message": "links"}
 
@@ -177,7 +206,7 @@ def parse_page(path: str, content: bytes, roots: tuple = (), depth: int = 2) ->
         stack.append((level, title, address))
         deeper = next((a for a, l, _ in headings[n + 1 :] if l <= level), len(lines))
         direct = headings[n + 1][0] if n + 1 < len(headings) else len(lines)
-        page["sections"].append({"seq": n, "heading": title, "depth": level, "heading_path": [x[1] for x in stack], "section_path": [x[1] for x in stack if x[0] >= depth], "address": "/".join([*parent, address]), "line": at + 1, "raw": "\n".join(lines[at + 1 : deeper]).strip("\n"), "direct": "\n".join(lines[at + 1 : direct]).strip("\n")})
+        page["sections"].append({"seq": n, "occurrence": sum(t == title for _, _, t in headings[:n]), "heading": title, "depth": level, "heading_path": [x[1] for x in stack], "section_path": [x[1] for x in stack if x[0] >= depth], "address": "/".join([*parent, address]), "line": at + 1, "raw": "\n".join(lines[at + 1 : deeper]).strip("\n"), "direct": "\n".join(lines[at + 1 : direct]).strip("\n")})
         page["items"] += _items(lines, at + 1, direct, opaque, n, roots)
         if sum(x["seq"] == n for x in page["items"][-ITEMS - 1 :]) > ITEMS:
             return page | {"code": "page-too-large", "message": "items"}
@@ -195,7 +224,7 @@ def _items(lines, start, end, opaque, seq, roots) -> list[dict]:
         if not _THEMATIC.match(line) and _BULLET.match(line):
             raw = re.sub(r"^ {0,3}(?:[*+]|[0-9]{1,9}[.)])\s+", "- ", line.strip())
             now = {"seq": seq, "pos": len(out), "line": k + 1, "raw": raw, "rationale": []}
-            now |= {"claim": parse_claim(raw, roots), "relation": parse_relation(raw), "entry": parse_entry(raw)}
+            now |= {"claim": _keyed_claim(parse_claim(raw, roots)), "relation": _keyed_relation(parse_relation(raw)), "entry": parse_entry(raw)}
             out.append(now)
         elif line.startswith((" ", "\t")) and line.strip() and now is not None:
             now["rationale"].append(line.strip())
@@ -204,15 +233,15 @@ def _items(lines, start, end, opaque, seq, roots) -> list[dict]:
     return out
 
 
-_CLAIM_T = "struct<category: string, core: string, prov_kind: string, prov_value: string, retracted: string, superseded: string, superseded_by: string, valid_from: string, valid_to: string>"
-_REL_T = "struct<label: string, target_name: string, target_heading: string, target_alias: string>"
+_CLAIM_T = "struct<category: string, core: string, prov_kind: string, prov_value: string, retracted: string, superseded: string, superseded_by: string, valid_from: string, valid_to: string, handle: string, prov_key: string, closed: boolean>"
+_REL_T = "struct<label: string, target_name: string, target_heading: string, target_alias: string, ident: string, label_ident: string>"
 _ENTRY_T = "struct<date: string, precision: string, text: string>"
 PAGE = (
     "path string, code string, code_line int, message string, type string, title string, description string, status string, tags array<string>, aliases array<string>, headings array<string>, "
     "frontmatter string, key_lines map<string, int>, body string, preamble string, "
-    "sections array<struct<seq: int, heading: string, depth: int, heading_path: array<string>, section_path: array<string>, address: string, line: int, raw: string, direct: string>>, "
+    "sections array<struct<seq: int, occurrence: int, heading: string, depth: int, heading_path: array<string>, section_path: array<string>, address: string, line: int, raw: string, direct: string>>, "
     f"items array<struct<seq: int, pos: int, line: int, raw: string, rationale: array<string>, claim: {_CLAIM_T}, relation: {_REL_T}, entry: {_ENTRY_T}>>, "
-    "links array<struct<target: string, heading: string, alias: string, line: int>>"
+    "links array<struct<target: string, ident: string, heading: string, alias: string, line: int>>"
 )
 
 
@@ -225,7 +254,35 @@ def read_files(spark: SparkSession, root: str, content_roots: list[str]) -> Data
     return files.select(F.substring(plain, inside, F.length("path")).alias("path"), "content")
 
 
-def parse(files: DataFrame, source_roots: tuple = ()) -> DataFrame:
+def walk(root: str, content_roots: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """(paths of pages, skipped (path, reason)): links are never followed, folders that hold a repository never entered."""
+    pages, skipped = [], []
+    for top in content_roots:
+        for at, folders, names in os.walk(os.path.join(root, top)):
+            inside = os.path.relpath(at, root)
+            for n in list(folders):
+                full = os.path.join(at, n)
+                if os.path.islink(full) or os.path.exists(os.path.join(full, ".git")):
+                    folders.remove(n)
+                    skipped.append((f"{inside}/{n}", "link" if os.path.islink(full) else "repository"))
+            for n in names:
+                if os.path.islink(os.path.join(at, n)):
+                    if n.endswith(".md"):
+                        skipped.append((f"{inside}/{n}", "link"))
+                elif n.endswith(".md"):
+                    pages.append(f"{inside}/{n}")
+    return sorted(unicodedata.normalize("NFC", p) for p in pages), sorted(skipped)
+
+
+def without(files: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Files (path, ...) that neither are nor lie below a skipped path (at)."""
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hidden = files.select("path", F.explode(prefixes).alias("at")).join(skipped.select("at"), "at", "left_semi").select("path").distinct()
+    return files.join(hidden, "path", "left_anti")
+
+
+def parse(files: DataFrame, source_roots: tuple = (), depths: dict | None = None) -> DataFrame:
     """Nested rows (PAGE) of (path, content)."""
 
     def run(frames):
@@ -233,7 +290,7 @@ def parse(files: DataFrame, source_roots: tuple = ()) -> DataFrame:
 
         names = re.findall(r"(?:^|, )([a-z_]+) (?=string|int|array|map)", PAGE)
         for f in frames:
-            rows = [parse_page(p, bytes(c or b""), source_roots) for p, c in zip(f["path"], f["content"])]
+            rows = [parse_page(p, bytes(c or b""), source_roots, depths) for p, c in zip(f["path"], f["content"])]
             yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names).astype({"code_line": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, PAGE)
@@ -247,7 +304,7 @@ def items(pages: DataFrame) -> DataFrame:
     """Items with the heading and address of their section."""
     rows = pages.select("path", "type", "sections", F.explode("items").alias("i"))
     own = F.get(F.col("sections"), F.col("i.seq"))
-    return rows.select("path", "type", own["heading"].alias("heading"), own["address"].alias("address"), own["section_path"].alias("section_path"), "i.*")
+    return rows.select("path", "type", *(own[c].alias(c) for c in ("heading", "occurrence", "address", "section_path")), "i.*")
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def test_formats(spark):
     assert column(spark, ["2024", "2024-05", "2024-13", "2024-05-06"], T.precision) == ["year", "month", None, "day"]
     got = column(spark, ["https://A.Example:8443/x?q", "https://b.org:443", "nope", "mailto:a@b"], T.parse_uri)
     assert [tuple(g) if g else None for g in got] == [("https", "a.example:8443", "/x"), ("https", "b.org", "/"), None, ("mailto", "", "a@b")]
-    assert column(spark, ["a/b.md", "/a.md", "a//b.md", "a/../b.md", "a\\b"], T.path_refusal) == [None, "absolute", "empty-segment", "dot-dot-segment", "backslash"]
-    assert column(spark, ["feat(x): y", "nothing", "fix!: z"], T.commit_prefix) == ["feat", "", "fix"]
+    assert column(spark, ["a/b.md", "/a.md", "a//b.md", "a/../b.md", "a\\b"], T.path_refusal) == [None, "absolute", "empty-segment", "traversal", "backslash"]
+    assert column(spark, ["feat(x): y", "nothing", "fix!: z"], T.commit_prefix) == ["feat", "none", "fix"]
     assert column(spark, ["fix: a\n\nlaw-change: because\n"], T.law_change_reason) == ["because"]
 
 
