@@ -19,7 +19,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import evidence as E
 from scriptorium.operators import folders, names, search, transitions, verdict
 from scriptorium.plans import law as L
-from scriptorium.sources import git, markdown
+from scriptorium.sources import git, markdown, store
 
 _PLACE = {"line": "int", "heading": "string", "occurrence": "int"}
 #: Fields of the records that rules read.
@@ -50,7 +50,8 @@ def _union(rows: list[DataFrame]) -> DataFrame:
 class Bundle:
     """``state``: by default the files under the law's content roots. ``sources``: rows (path, kind) of the source roots, None if not measured.
 
-    Pages that were parsed stay cached until ``close`` (or the end of a ``with`` block).
+    Pages are parsed once into a table of the shared folder, as is what several checks read; ``close`` (or the end of a
+    ``with`` block) deletes these tables.
     """
 
     def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None):
@@ -62,7 +63,7 @@ class Bundle:
             state = markdown.without(state, spark.createDataFrame(skipped, "at string, reason string")) if skipped else state
             sources = E.facts_of(spark, E.walk_sources(root, list(self.source_roots))) if sources is None else sources
         self.state, self.sources, self.skipped = state, sources, skipped or []
-        self._pages: dict[str, DataFrame] = {}
+        self._tables: dict[str, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Bundle:
         return self
@@ -71,9 +72,9 @@ class Bundle:
         self.close()
 
     def close(self) -> None:
-        for df in self._pages.values():
-            df.unpersist()
-        self._pages = {}
+        for _, path in self._tables.values():
+            store.drop(self.spark, path)
+        self._tables = {}
 
     @property
     def has_base(self) -> bool:
@@ -81,11 +82,12 @@ class Bundle:
 
     def pages(self, column: str = "content") -> DataFrame:
         """Parsed pages; every operator shares this one parse."""
-        if column not in self._pages:
-            rows = self.state if column == "content" else self.state.filter("base_content is not null").select("path", F.col("base_content").alias("content"))
-            depths = {t.name: t.depth for t in self.law.types.values() if t.depth != 2}
-            self._pages[column] = markdown.parse(rows, self.source_roots, depths).persist()
-        return self._pages[column]
+
+        def rows() -> DataFrame:
+            own = self.state if column == "content" else self.state.filter("base_content is not null").select("path", F.col("base_content").alias("content"))
+            return markdown.parse(own, self.source_roots, {t.name: t.depth for t in self.law.types.values() if t.depth != 2})
+
+        return self._kept(f"pages {column}", rows)
 
     def readable(self, column: str = "content") -> DataFrame:
         return self.pages(column).filter("code is null").drop("code", "message")
@@ -99,10 +101,20 @@ class Bundle:
 
     def judged(self, column: str = "content") -> DataFrame:
         """Pages of a declared, concrete type."""
-        return self.typed(column).filter("chain is not null and not abstract")
+        return self._kept(f"judged {column}", lambda: self.typed(column).filter("chain is not null and not abstract"))
+
+    def records(self) -> DataFrame:
+        """Items of the judged pages."""
+        return self._kept("records", lambda: self.items(self.judged()))
+
+    def _kept(self, name: str, rows) -> DataFrame:
+        """``rows()``, written once: what several checks read is neither planned nor made again."""
+        if name not in self._tables:
+            self._tables[name] = store.kept(rows(), name)
+        return self._tables[name][0]
 
     def names(self, column: str = "content") -> DataFrame:
-        return names.name_index(self.readable(column).select("path", "type", "aliases"))
+        return self._kept(f"names {column}", lambda: names.name_index(self.readable(column).select("path", "type", "aliases")))
 
     # ---------------------------------------------------------------- sections and records
 
@@ -130,8 +142,8 @@ class Bundle:
 
     # ---------------------------------------------------------------- checks
 
-    def findings(self, index: DataFrame | None = None, routed: bool = True) -> DataFrame:
-        """Every finding of the state. ``index``: another name index, to judge the pages under other names."""
+    def findings(self, index: DataFrame | None = None, under: str = "own names") -> DataFrame:
+        """Every finding of the state, routed. ``index``: another name index, to judge the pages ``under`` other names."""
         law, pages = self.law, self.pages()
         index = index if index is not None else self.names()
         ok, typed, judged = self.readable(), self.typed(), self.judged()
@@ -143,18 +155,18 @@ class Bundle:
             _finding(typed.filter("abstract"), "abstract-type", F.col("type")),
         ]
         own = [
-            self._shapes(judged), self._references(judged, index), *self._tags(judged), self._links(judged, index), *self._sections(judged), *self._items(judged, index), *self._rules(judged, index), self._source_paths(judged), *self._unevaluated(judged),
+            self._shapes(judged), self._references(judged, index), *self._tags(judged), self._links(judged, index), *self._sections(judged), *self._items(judged, index), *self._rules(judged, index), self._source_paths(), *self._unevaluated(judged),
         ]
         if self.has_base:
             own += self._renames(judged) + self._transitions(judged, index)
-        on_pages = self._waived(judged, _union(own))
+        on_pages = self._waived(judged, self._kept(f"on pages {under}", lambda: _union(own)))
         wide = [
             _finding(names.collisions(ok, law.title_is_name).filter("path <> owner"), "identity-collision", F.concat("ident", F.lit(" belongs to "), "owner")),
             self._instances(ok),
             _finding(self.spark.createDataFrame(self.skipped, "path string, reason string"), "path-skipped", F.col("reason"), "warning"),
         ]
         rows = _union([*first, on_pages, *wide])
-        return verdict.route(rows, verdict.routes(self.spark)) if routed else rows
+        return self._kept(f"findings {under}", lambda: verdict.route(rows, verdict.routes(self.spark)))
 
     def _shapes(self, pages: DataFrame) -> DataFrame:
         law, registered = self.law, self.law.engine.get("extensions", {}).get("mode", "registered") == "registered"
@@ -236,8 +248,8 @@ class Bundle:
         carried = moved.select("path", F.explode("aliases").alias("a")).select("path", T.ident("a").alias("_old"))
         return [_finding(moved.join(carried, ["path", "_old"], "left_anti"), "renamed-without-alias", F.col("renamed_from"), details={"from": F.col("renamed_from")})]
 
-    def _source_paths(self, pages: DataFrame) -> DataFrame:
-        cited = self.items(pages).filter("claim.prov_kind = 'path'").select("path", "line", "heading", "occurrence", F.col("claim.prov_value").alias("source"))
+    def _source_paths(self) -> DataFrame:
+        cited = self.records().filter("claim.prov_kind = 'path'").select("path", "line", "heading", "occurrence", F.col("claim.prov_value").alias("source"))
         facts = self.sources if self.sources is not None else None
         told = E.source_status(cited, facts) if facts is not None else cited.withColumn("status", F.lit("unmeasured"))
         bad = told.filter("status <> 'present'")
@@ -274,7 +286,7 @@ class Bundle:
         return F.when(g == "claims", F.col("claim").isNotNull()).when(g == "relations", F.col("relation").isNotNull()).when(g == "entries", F.col("entry").isNotNull()).otherwise(True)
 
     def _items(self, pages: DataFrame, index: DataFrame) -> list[DataFrame]:
-        rows = self.items(pages)
+        rows = self.records()
         at = {"line": F.col("line"), "heading": F.col("heading"), "occurrence": F.col("occurrence")}
         claims, relations = rows.filter("grammar = 'claims' and claim is not null"), rows.filter("grammar = 'relations' and relation is not null")
         # one row a claim, with an array of what is wrong with it
@@ -433,8 +445,8 @@ class Bundle:
     def _transitions(self, pages: DataFrame, index: DataFrame) -> list[DataFrame]:
         """Base against current of changed pages only."""
         changed = self.state.filter("base_content is not null and base_content <> content").select("path")
-        now = self.items(pages.join(changed, "path", "left_semi"))
-        base = self.items(self.judged("base_content").join(changed, "path", "left_semi"))
+        now = self._kept("changed now", lambda: self.items(pages.join(changed, "path", "left_semi")))
+        base = self._kept("changed base", lambda: self.items(self.judged("base_content").join(changed, "path", "left_semi")))
         entry = lambda d: d.filter("grammar = 'entries' and lifecycle = 'append-only' and entry is not null").select("path", "address", "heading", "pos", F.col("raw").alias("text"))
         dated = lambda d: d.filter("grammar = 'entries' and entry is not null").select("path", "section", "line", F.col("raw").alias("text"))
         edited = transitions.entries_edited(entry(base), entry(now), ["path", "address", "heading"])
@@ -478,7 +490,7 @@ class Bundle:
     def statuses(self, pins: DataFrame | None = None) -> DataFrame:
         """(path, stale, reason) of every page, from its pins, citations and source paths and those of the pages that it names."""
         pins = pins if pins is not None else self.pins()
-        source = self._source_paths(self.judged()).groupBy("path").agg(F.min("rule").alias("source"))
+        source = self._source_paths().groupBy("path").agg(F.min("rule").alias("source"))
         held = pins.groupBy("path").agg(
             F.bool_or(F.col("state") == "stale").alias("stale"), F.bool_or(F.size(F.coalesce("unresolved", F.array())) > 0).alias("lost"),
             F.min(F.when(F.col("state") == "unmeasured", F.coalesce("reason", F.lit("pin-unmeasured")))).alias("unmeasured"), F.min(F.when(F.col("state") == "unknown", F.coalesce("reason", F.lit("pin-unknown")))).alias("unknown"),
@@ -531,19 +543,19 @@ class Bundle:
         found = self.findings()
         has_pins = any(r["kind"] == "pin" for t in self.law.types.values() for r in t.refs.values())
         pins = self.pins().persist() if evidence and has_pins else None
+        parts = [found]
         if pins is not None:
-            found = found.unionByName(self.evidence_findings(pins))
+            parts.append(self.evidence_findings(pins))
         if generated:
-            found = found.unionByName(artifacts.drift_findings(self))
+            parts.append(artifacts.drift_findings(self))
         if tests:
-            found = found.unionByName(lawtests.findings(self.spark, self.root, self.law))
-        found = found.persist()
+            parts.append(lawtests.findings(self.spark, self.root, self.law))
+        found = self._kept("verdict", lambda: _union(parts)) if len(parts) > 1 else found
         out = self.report(found, limit, rule, path)
         out |= {"coverage": [r.asDict() for r in self.coverage(found).orderBy("rule").collect()], "scope": self.scope().first().asDict(), "unevaluated": {r.rule: r.reasons for r in verdict.unevaluated_reasons(found.filter("rule = 'unevaluated'").select(F.col("details")["rule"].alias("rule"), F.col("details")["reason"].alias("reason"))).collect()}}
         if pins is not None:
             out["pins"] = {r.state: r.pins for r in E.state_counts(pins).collect()}
             pins.unpersist()
-        found.unpersist()
         return out
 
     def gate(self, limit: int | None = 100, message: str | None = None, rule: str | None = None, path: str | None = None) -> dict:
@@ -562,22 +574,19 @@ class Bundle:
             found = other.findings()
             staged = lawdiff.law_staged(self.root, law, head_law)
             if git.head(self.root) is None or staged:
-                out = other.report(found.persist(), limit, rule, path) | {"scoped": False}
-                found.unpersist()
-                return out
+                return other.report(found, limit, rule, path) | {"scoped": False}
             lines = lambda c: state.filter(f"{c} is not null").select("path", F.posexplode(F.split(F.regexp_replace(F.regexp_replace(F.decode(c, "UTF-8"), "^﻿", ""), "\r\n", "\n"), "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
             old = transitions.inherited(lines("base_content"), lines("content"), ["path", "text"], ["line"])
             touched = state.filter("base_content is null or base_content <> content or renamed_from is not null").select("path")
             # findings that the same pages didn't have under the base's names are the names' doing
             readers = [*verdict.NAME_READERS, *law.rules()]
             base_names = names.name_index(other.readable("base_content").select("path", "type", "aliases"))
-            before = other.findings(base_names).select(verdict.key().alias("_k")).distinct().withColumn("_same", F.lit(True))
+            before = other._kept("under base names", lambda: other.findings(base_names, "base names").filter(F.col("rule").isin(*readers)).select(verdict.key().alias("_k")).distinct().withColumn("_same", F.lit(True)))
             caused = F.col("rule").isin(*readers) & F.col("_same").isNull() & (F.col("path") != "")
             marked = found.withColumn("_k", verdict.key()).join(before, "_k", "left").withColumn("caused", caused).drop("_k", "_same")
             marked = self._source_caused(marked, other.sources, listing(git.tree_entries(self.root, "HEAD")))
-            scoped = verdict.gate_scope(marked, old, touched, verdict.VAULT_WIDE).persist()
+            scoped = other._kept("scoped", lambda: verdict.gate_scope(marked, old, touched, verdict.VAULT_WIDE))
             out = other.report(scoped, limit, rule, path) | {"scoped": True, "refusals": {r.rule: r.findings for r in verdict.by_rule(scoped.filter("severity = 'error'")).collect()}}
-            scoped.unpersist()
         state.unpersist()
         return out
 
