@@ -110,10 +110,15 @@ def edge_counts(graph: DataFrame) -> DataFrame:
     return by_kind.union(graph.filter("kind = 'relation'").groupBy("kind", "label").agg(F.count("*").alias("edges")))
 
 
+def neighbours(graph: DataFrame) -> DataFrame:
+    """Distinct (page, direction, kind, label, other): each edge from both of its ends."""
+    out = graph.select(F.col("from").alias("page"), F.lit("out").alias("direction"), "kind", "label", F.col("to").alias("other"))
+    return out.union(graph.select("to", F.lit("in"), "kind", "label", "from")).distinct()
+
+
 def adjacency(graph: DataFrame) -> DataFrame:
-    """(page, direction, kind, label, neighbours sorted)."""
-    both = graph.select(F.col("from").alias("page"), F.lit("out").alias("direction"), "kind", "label", F.col("to").alias("other")).union(graph.select("to", F.lit("in"), "kind", "label", "from"))
-    return both.groupBy("page", "direction", "kind", "label").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+    """(page, direction, kind, label, neighbours sorted), for a rendered manifest; a corpus with hubs keeps ``neighbours`` as rows."""
+    return neighbours(graph).groupBy("page", "direction", "kind", "label").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
 
 
 def stale_propagation(graph: DataFrame, stale: DataFrame) -> DataFrame:

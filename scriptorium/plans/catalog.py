@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import names, search, transitions, verdict
+from scriptorium.operators import evidence, folders, names, search, transitions, verdict
 from scriptorium.plans import projections as P
+from scriptorium.sources import git, states
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -228,11 +229,12 @@ def q14_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_GRAPH}, b_ AS (SELECT "from" AS page, 'out' AS direction, kind, label, "to" AS other FROM graph_ UNION ALL SELECT "to", 'in', kind, label, "from" FROM graph_)
-SELECT page, direction, kind, label, count(DISTINCT other) AS n, md5(string_agg(DISTINCT other, ',' ORDER BY other)) AS neighbours FROM b_ GROUP BY ALL""")
+SELECT page, direction, kind, label, count(*) AS n, min(other) AS first_neighbour, max(other) AS last_neighbour, sum(('0x' || substr(md5(other), 1, 8))::BIGINT)::BIGINT AS checksum FROM (SELECT DISTINCT * FROM b_) GROUP BY ALL""")
 def q15_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of every page by direction, kind and label."""
-    adj = names.adjacency(_graph(spark, sf_dir))
-    return adj.select("page", "direction", "kind", "label", F.size("neighbours").cast("long").alias("n"), F.md5(F.array_join("neighbours", ",").cast("binary")).alias("neighbours"))
+    """Neighbours of every page by direction, kind and label: how many, the first, the last and a checksum; no hub gathers its neighbours."""
+    key = F.conv(F.substring(F.md5(F.col("other").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = names.neighbours(_graph(spark, sf_dir))
+    return rows.groupBy("page", "direction", "kind", "label").agg(F.count("*").alias("n"), F.min("other").alias("first_neighbour"), F.max("other").alias("last_neighbour"), F.sum(key).alias("checksum"))
 
 
 # ------------------------------------------------------------------ snapshots
@@ -252,38 +254,48 @@ def _claim_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Open claims, and a later state: some dropped, some with another last digit's spelling, some with a typing error."""
     base = P.claims(spark, sf_dir).filter("not closed")
     pick = (F.regexp_extract("path", "([0-9]+)", 1).cast("long") + F.col("pos")) % 10
-    fixed = F.when(pick == 2, F.replace("core", F.lit("quantity"), F.lit("qantity"))).when(pick == 3, F.concat("core", F.lit("7"))).otherwise(F.col("core"))
+    swap = lambda a, b: F.replace("core", F.lit(a), F.lit(b))
+    fixed = F.when(pick == 2, swap("quantity", "qantity")).when(pick == 3, F.concat("core", F.lit("7"))).when(pick == 4, swap("quantity", "unquantity")).when(pick == 5, F.concat("core", F.lit(" in"))).when(pick == 6, F.concat(swap("from", "form"), F.lit(" now and here"))).otherwise(F.col("core"))
     return base, base.filter(pick != 1).withColumn("core", fixed)
 
 
+_TRI = "list_distinct(list_transform(generate_series(1, length({0})), lambda i: substring(' ' || {0} || ' ', i, 3)))"
+
+
 @_query(f"""WITH {_CLAIMS}, base_ AS (SELECT *, (regexp_extract(path, '([0-9]+)', 1)::BIGINT + pos) % 10 AS pick FROM claims_ WHERE NOT closed),
-now_ AS (SELECT path, pos, category, provenance, CASE pick WHEN 2 THEN replace(core, 'quantity', 'qantity') WHEN 3 THEN core || '7' ELSE core END AS core FROM base_ WHERE pick <> 1),
-gone_ AS (SELECT * FROM base_ ANTI JOIN (SELECT path, category, core FROM now_) USING (path, category, core)), fresh_ AS (SELECT * FROM now_ ANTI JOIN (SELECT path, category, core FROM base_) USING (path, category, core))
-SELECT path, pos, category, '#' || substr(sha256(lower(core)), 1, 8) AS handle, core FROM gone_ g WHERE NOT EXISTS (SELECT 1 FROM fresh_ f WHERE f.path = g.path AND f.category = g.category AND f.provenance = g.provenance
-  AND levenshtein(f.core, g.core) <= 3 AND regexp_replace(f.core, '[^0-9]', '', 'g') = regexp_replace(g.core, '[^0-9]', '', 'g'))""")
+now_ AS (SELECT path, pos, category, provenance, CASE pick WHEN 2 THEN replace(core, 'quantity', 'qantity') WHEN 3 THEN core || '7' WHEN 4 THEN replace(core, 'quantity', 'unquantity') WHEN 5 THEN core || ' in' WHEN 6 THEN replace(core, 'from', 'form') || ' now and here' ELSE core END AS core FROM base_ WHERE pick <> 1),
+gone_ AS (SELECT * FROM base_ ANTI JOIN (SELECT path, category, core FROM now_) USING (path, category, core)), fresh_ AS (SELECT * FROM now_ ANTI JOIN (SELECT path, category, core FROM base_) USING (path, category, core)),
+pairs_ AS (SELECT g.path, g.pos, list_sort(string_split(g.core, ' ')) AS w, list_sort(string_split(f.core, ' ')) AS v, {_TRI.format("g.core")} AS a, {_TRI.format("f.core")} AS b,
+  levenshtein(f.core, g.core) <= 3 AND length(f.core) >= 12 AND length(g.core) >= 12 AS near FROM gone_ g JOIN fresh_ f ON f.path = g.path AND f.category = g.category AND f.provenance = g.provenance
+  WHERE regexp_replace(f.core, '[^0-9]', '', 'g') = regexp_replace(g.core, '[^0-9]', '', 'g')),
+kept_ AS (SELECT path, pos FROM pairs_ WHERE (near OR len(list_intersect(a, b)) >= 0.9 * (len(a) + len(b) - len(list_intersect(a, b))))
+  AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(['un', 'non', 'dis', 'in', 'im', 'ir', 'il', 'anti']) AS p) WHERE len(list_intersect(list_transform(list_filter(w, lambda x: NOT list_contains(v, x)), lambda x: p || x), v)) + len(list_intersect(list_transform(list_filter(v, lambda x: NOT list_contains(w, x)), lambda x: p || x), w)) > 0)
+  AND NOT list_has_any(list_concat(list_filter(w, lambda x: NOT list_contains(v, x)), list_filter(v, lambda x: NOT list_contains(w, x))), ['not', 'no', 'never', 'none', 'nor', 'without', 'cannot', 'un', 'non', 'anti']))
+SELECT path, pos, category, '#' || substr(sha256(lower(core)), 1, 8) AS handle, core FROM gone_ ANTI JOIN kept_ USING (path, pos)""")
 def q17_claims_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that neither stay nor are corrected."""
+    """Claims that neither stay nor are corrected: by few edits or great likeness, with the same digits and polarity."""
     base, now = _claim_states(spark, sf_dir)
     return transitions.claims_lost(base, now)
 
 
-@_query(f"""WITH {_CLAIMS}, e_ AS (SELECT path, 'closed ' || core || case when pos % 2 = 0 then '.' else '5' end AS entry FROM claims_ WHERE pos <= 4)
+@_query(f"""WITH {_CLAIMS}, e_ AS (SELECT path, 'closed ' || core || case when pos % 2 = 0 then '.' else '5' end AS entry FROM claims_)
 SELECT DISTINCT c.path, c.pos FROM claims_ c JOIN e_ e ON c.path = e.path WHERE NOT closed AND regexp_matches(entry, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(core) || '($|[^\\p{{L}}\\p{{N}}_])')""")
 def q18_landing_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims whose core an entry of their page quotes as a whole segment."""
     claims = P.claims(spark, sf_dir)
     end = F.when(F.col("pos") % 2 == 0, ".").otherwise("5")
-    entries = claims.filter("pos <= 4").select("path", F.concat(F.lit("closed "), "core", end).alias("text"))
+    entries = claims.select("path", F.concat(F.lit("closed "), "core", end).alias("text"))
     return transitions.landed(claims.filter("not closed"), entries)
 
 
-@_query(f"""WITH {_TURNS}, a_ AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn, pos) AS k FROM turns_ WHERE turn % 2 = 0),
-b_ AS (SELECT conv_id, turn, pos, text, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn, pos) AS k FROM turns_ WHERE turn % 2 = 1)
-SELECT b_.conv_id, turn, pos, b_.text FROM b_ JOIN a_ USING (conv_id, text, k)""")
+@_query("""WITH a_ AS (SELECT l_orderkey, l_returnflag AS text, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS k FROM lineitem),
+n_ AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'N' ELSE l_returnflag END AS text FROM lineitem), b_ AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, text ORDER BY l_linenumber) AS k FROM n_)
+SELECT l_orderkey, l_linenumber, b_.text FROM b_ JOIN a_ USING (l_orderkey, text, k)""")
 def q19_inherited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of odd turns whose k-th equal stands in an even turn of the conversation."""
-    lines = P.turns(spark, sf_dir).select("conv_id", "turn", "pos", "text")
-    return transitions.inherited(lines.filter("turn % 2 = 0"), lines.filter("turn % 2 = 1"), ["conv_id", "text"], ["turn", "pos"]).select("conv_id", "turn", "pos", "text")
+    """Lines of each order's later state whose k-th equal stands in the earlier one; large quantities changed their flag between the two."""
+    base = P.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("text"), "l_quantity")
+    now = base.withColumn("text", F.when(F.col("l_quantity") > 25, "N").otherwise(F.col("text")))
+    return transitions.inherited(base, now, ["l_orderkey", "text"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "text")
 
 
 @_query("""WITH b_ AS (SELECT 'wiki/order/' || l_orderkey || '.md' AS path, l_linenumber AS pos, l_returnflag AS label, l_shipmode AS target FROM (SELECT *, 'p' || (l_partkey % 5) AS l_shipmode FROM lineitem)),
@@ -368,13 +380,14 @@ def q27_content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.content_digest(P.doc_pages(spark, sf_dir).select("path", F.col("body").cast("binary").alias("content")))
 
 
-@_query("""WITH a_ AS (SELECT p_brand, max(p_size) AS m, count(*) AS n FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b_ AS (SELECT p_brand, max(p_size) AS m, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@_query("""WITH a_ AS (SELECT p_brand, max(p_size) AS m, count(*) AS n FROM part GROUP BY 1), b_ AS (SELECT p_brand || CASE WHEN p_size = 7 THEN ' new' ELSE '' END AS p_brand, max(p_size) AS m, count(*) AS n FROM part GROUP BY 1)
 SELECT p_brand, CASE WHEN a_.n IS NULL THEN 'added' WHEN b_.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a_ FULL JOIN b_ USING (p_brand) WHERE a_.n IS NULL OR b_.n IS NULL OR a_.m <> b_.m OR a_.n <> b_.n""")
 def q28_law_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations that were added, removed or changed."""
-    part = P.table(spark, sf_dir, "part")
-    of = lambda cond: part.filter(cond).groupBy("p_brand").agg(F.max("p_size").alias("m"), F.count("*").alias("n"))
-    return verdict.diff(of("p_partkey % 2 = 0"), of("p_partkey % 3 = 0"), ["p_brand"], F.struct("m", "n"))
+    """Declarations that were added, removed or changed: brands, before and after parts of one size moved to a new one."""
+    part = P.table(spark, sf_dir, "part").select("p_brand", "p_size")
+    after = part.withColumn("p_brand", F.concat("p_brand", F.when(F.col("p_size") == 7, " new").otherwise("")))
+    of = lambda d: d.groupBy("p_brand").agg(F.max("p_size").alias("m"), F.count("*").alias("n"))
+    return verdict.diff(of(part), of(after), ["p_brand"], F.struct("m", "n"))
 
 
 @_query("""SELECT o_orderkey, o_orderstatus IN ('O', 'P') AND (o_totalprice > 1000 OR o_orderpriority LIKE '1-%') AS known,
@@ -422,3 +435,129 @@ def q32_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = P.table(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").alias("page"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("file"), (F.col("event_id") % 7).cast("string"))).alias("file"), (F.col("event_id") % 50).cast("int").alias("line"))
     return transitions.carried_paths(rows).select("page", "pos", "line", "file")
+
+
+# ------------------------------------------------------------------ evidence, folders, states
+
+
+@_query("""WITH c_ AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN 'src/part/' || l_partkey || '.txt' WHEN 1 THEN 'src/part/' || l_partkey || '.txt/' WHEN 2 THEN 'src/gone/' || l_partkey WHEN 3 THEN 'src/hidden/a/' || l_partkey ELSE 'src/part/' END AS source FROM lineitem)
+SELECT l_orderkey, l_linenumber, source, CASE WHEN source LIKE 'src/hidden/%' THEN 'unmeasured' WHEN source = 'src/part/' THEN 'present' WHEN source IN (SELECT 'src/part/' || p_partkey || '.txt' FROM part) THEN 'present'
+ WHEN source IN (SELECT 'src/part/' || p_partkey || '.txt/' FROM part) THEN 'kind' ELSE 'missing' END AS status FROM c_""")
+def q33_source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that order lines cite, against the files and folders of the source roots."""
+    key = F.col("l_partkey").cast("string")
+    pick = F.col("l_partkey") % 5
+    file = F.concat(F.lit("src/part/"), key, F.lit(".txt"))
+    source = F.when(pick == 0, file).when(pick == 1, F.concat(file, F.lit("/"))).when(pick == 2, F.concat(F.lit("src/gone/"), key)).when(pick == 3, F.concat(F.lit("src/hidden/a/"), key)).otherwise(F.lit("src/part/"))
+    cited = P.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", source.alias("source"))
+    listing = P.table(spark, sf_dir, "part").select(F.lit("100644").alias("mode"), F.concat(F.lit("src/part/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"))
+    facts = evidence.listed_sources(listing, ["src"]).union(spark.createDataFrame([("src/hidden", "skipped")], "path string, kind string"))
+    return evidence.source_status(cited, facts)
+
+
+@_query(f"""WITH {_GRAPH}, p_ AS (SELECT 'wiki/order/' || o_orderkey || '.md' AS path, CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN false ELSE o_totalprice > 300000 END AS stale, CASE WHEN o_orderstatus = 'P' THEN 'pin-unknown' WHEN o_orderstatus <> 'F' AND o_totalprice > 300000 THEN 'pin-stale' END AS reason FROM orders
+  UNION ALL SELECT 'wiki/part/' || p_partkey || '.md', CASE WHEN p_size < 5 THEN NULL ELSE p_size > 47 END, CASE WHEN p_size < 5 THEN 'citation-unresolved' WHEN p_size > 47 THEN 'pin-stale' END FROM part),
+n_ AS (SELECT "from" AS path, bool_or(coalesce(stale, false)) AS there, bool_or(stale IS NULL) AS unsure FROM (SELECT DISTINCT "from", "to" FROM graph_ WHERE kind <> 'tagged') JOIN p_ ON "to" = path GROUP BY 1)
+SELECT path, CASE WHEN stale OR coalesce(there, false) THEN true WHEN stale IS NULL OR coalesce(unsure, false) THEN NULL ELSE false END AS stale,
+ CASE WHEN stale THEN reason WHEN coalesce(there, false) THEN 'stale-source-cited' WHEN stale IS NULL THEN reason WHEN coalesce(unsure, false) THEN 'source-unverified-cited' END AS reason FROM p_ LEFT JOIN n_ USING (path)""")
+def q34_page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freshness of orders and parts, from their own and that of the pages that they name."""
+    size, price, state = F.col("p_size"), F.col("o_totalprice"), F.col("o_orderstatus")
+    path = lambda kind, key: F.concat(F.lit(f"wiki/{kind}/"), F.col(key).cast("string"), F.lit(".md")).alias("path")
+    orders = P.table(spark, sf_dir, "orders").select(path("order", "o_orderkey"), F.when(state == "P", F.lit(None)).when(state == "F", False).otherwise(price > 300000).alias("stale"), F.when(state == "P", "pin-unknown").when((state != "F") & (price > 300000), "pin-stale").alias("reason"))
+    own = orders.union(P.table(spark, sf_dir, "part").select(path("part", "p_partkey"), F.when(size >= 5, size > 47), F.when(size < 5, "citation-unresolved").when(size > 47, "pin-stale")))
+    return evidence.page_status(own.select("path"), own, _graph(spark, sf_dir))
+
+
+@_query("""SELECT state, count(o_orderkey) AS pins FROM (SELECT unnest(['current', 'unchanged', 'stale', 'unknown', 'unmeasured']) AS state) LEFT JOIN (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'current' WHEN 'O' THEN 'stale' ELSE 'unmeasured' END AS state FROM orders) USING (state) GROUP BY 1""")
+def q35_pin_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins by state, states without one included."""
+    s = F.col("o_orderstatus")
+    return evidence.state_counts(P.table(spark, sf_dir, "orders").select(F.when(s == "F", "current").when(s == "O", "stale").otherwise("unmeasured").alias("state")))
+
+
+@_query("""SELECT path, missing FROM (SELECT 'generated/' || doc_id || '.md' AS path, text, CASE WHEN lang = 'de' THEN text || '!' WHEN n_chars > 3000 THEN NULL ELSE text END AS held, lang <> 'de' AND n_chars > 3000 AS missing FROM documents) WHERE text IS DISTINCT FROM held""")
+def q36_generated_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated files that are missing or differ from a fresh render."""
+    docs = P.table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("generated/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    held = docs.filter("lang = 'de' or n_chars <= 3000").select("path", F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    return verdict.drift(docs.select("path", F.col("text").alias("content")), held)
+
+
+_CUSTOMERS = """k_ AS (SELECT 'wiki/' || c_mktsegment || '/n_' || c_nationkey || '/' || c_custkey || '.md' AS path, replace(lower(c_mktsegment), ' ', '-') AS a, 'n-' || c_nationkey AS b, c_mktsegment AS s, c_custkey FROM customer)"""
+
+
+@_query(f"""WITH {_CUSTOMERS} SELECT path, 'folder-segment-registered' AS rule, s AS segment FROM k_ WHERE a NOT IN ('automobile', 'building', 'household') UNION ALL
+SELECT path, 'folder-segment-registered', 'n_' || substr(b, 3) FROM k_ WHERE b <> 'n-7' UNION ALL SELECT path, 'folder-tags-present', CASE WHEN c_custkey % 2 = 0 THEN '' WHEN a IN ('automobile', 'building', 'household') THEN a || ',' ELSE s || ',' END || CASE WHEN b = 'n-7' THEN 'N 7' ELSE 'n_' || substr(b, 3) END FROM k_""")
+def q37_folder_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that are no registered tag, and folder tags that pages lack: customers below segment and nation, every second tagged with its segment."""
+    c = P.table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("wiki/"), "c_mktsegment", F.lit("/n_"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md"))
+    pages = c.select(path.alias("path"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.upper("c_mktsegment"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    entries = spark.createDataFrame([("automobile",), ("building",), ("household",), ("N 7",)], "entry string")
+    rows = folders.folder_rows(pages, ["wiki"], {})
+    a = folders.unregistered(rows, entries).select("path", F.lit("folder-segment-registered").alias("rule"), "segment")
+    return a.union(folders.missing(rows, folders.tag_keys(pages), entries).select("path", F.lit("folder-tags-present"), F.array_join("missing", ",")))
+
+
+@_query("""WITH r_ AS (SELECT 'wiki/order/' || l_orderkey || '.md' AS path, l_linenumber AS pos, l_returnflag AS label, 'Part ' || l_partkey AS target FROM lineitem)
+SELECT path, pos, lower(label) AS label, lower(target) AS target FROM r_ x WHERE pos > 2 AND NOT EXISTS (SELECT 1 FROM r_ y WHERE y.path = x.path AND y.pos % 3 = 0 AND y.label = x.label AND y.target = x.target)""")
+def q38_relations_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that left their page and that no new entry quotes: all but the first two leave, every third is quoted."""
+    line = P.table(spark, sf_dir, "lineitem")
+    rows = line.select(F.concat(F.lit("wiki/order/"), F.col("l_orderkey").cast("string"), F.lit(".md")).alias("path"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("label"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("target"))
+    entries = rows.filter("pos % 3 = 0").select("path", F.concat(F.lit("no longer "), "label", F.lit(" [["), F.upper("target"), F.lit("#facts|it]].")).alias("text"))
+    left = transitions.multiset_except(rows, rows.filter("pos <= 2"), ["path", "pos"], ["pos"])
+    return transitions.relations_removed(left, rows.limit(0), entries).select("path", "pos", "label", "target")
+
+
+@_query(f"""WITH {_FINDINGS}, now_ AS (SELECT * FROM f_ WHERE rule <> 'unevaluated'), old_ AS (SELECT * FROM f_ WHERE line <> 2)
+SELECT path, rule, severity, line FROM now_ WHERE path IN (SELECT 'wiki/order/' || o_orderkey || '.md' FROM orders WHERE o_orderstatus = 'P') OR NOT EXISTS (SELECT 1 FROM old_ WHERE old_.path = now_.path AND old_.rule = now_.rule AND old_.line = now_.line)""")
+def q39_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that a write answers for: those on pages that it touches, and those that the disk's own verdict lacks."""
+    found = verdict.route(_findings(spark, sf_dir), verdict.routes(spark)).withColumn("details", F.lit(None).cast("map<string,string>"))
+    touched = P.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("wiki/order/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"))
+    return verdict.regressions(found.filter("rule <> 'unevaluated'"), found.filter("line <> 2"), touched).select("path", "rule", "severity", "line")
+
+
+@_query(f"""WITH {_FINDINGS}, w_ AS (SELECT 'wiki/order/' || o_orderkey || '.md' AS path FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT path, CASE WHEN rule = 'item-unparsed' AND path IN (SELECT path FROM w_) THEN 'exception-applied' ELSE rule END AS rule, CASE WHEN rule = 'item-unparsed' AND path IN (SELECT path FROM w_) THEN 'info' ELSE severity END AS severity, line FROM f_
+UNION ALL SELECT path, 'exception-stale', 'warning', 0 FROM w_ WHERE path NOT IN (SELECT path FROM f_ WHERE rule = 'item-unparsed') UNION ALL SELECT path, 'exception-illegal', 'error', 0 FROM w_""")
+def q40_applied_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the waived ones applied, and the waivers that are stale or illegal."""
+    found = verdict.route(_findings(spark, sf_dir), verdict.routes(spark)).withColumn("details", F.lit(None).cast("map<string,string>")).select("path", "rule", "severity", "line", "heading", "occurrence", "message", "details")
+    orders = P.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("wiki/order/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"))
+    waivers = orders.select("path", F.posexplode(F.array(F.lit("item-unparsed"), F.lit("identity-collision"))).alias("index", "rule"), F.lit("why").alias("reason")).select("path", "rule", "reason", "index")
+    known = verdict.routes(spark).select("rule", "severity").union(spark.createDataFrame([("large-quantity", "warning")], "rule string, severity string"))
+    return verdict.apply_exceptions(found, waivers, known, orders.limit(0).withColumn("rule", F.lit(""))).select("path", "rule", "severity", F.coalesce("line", F.lit(0)).alias("line"))
+
+
+@_query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'drive' WHEN 1 THEN 'unc' WHEN 2 THEN 'absolute' WHEN 3 THEN 'backslash' WHEN 4 THEN 'trailing-slash' WHEN 5 THEN 'empty-segment' WHEN 6 THEN 'dot-segment' WHEN 7 THEN 'traversal' END AS refusal FROM events""")
+def q41_path_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reason for which a path is refused."""
+    n = F.col("event_id") % 9
+    forms = ["C:/wiki/x\\y.md", "//wiki/x.md", "/wiki/../x.md", "wiki\\x/./y.md", "wiki/../x/", "wiki//../x.md", "wiki/./../x.md", "wiki/../x.md", "wiki/x.md"]
+    return P.table(spark, sf_dir, "events").select("event_id", T.path_refusal(F.get(F.array(*map(F.lit, forms)), n)).alias("refusal"))
+
+
+@_query("""SELECT * FROM (SELECT 'wiki/' || o_orderkey || '.md' AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'draft' ELSE o_orderstatus END AS content, o_orderstatus AS base_content FROM orders UNION ALL SELECT 'wiki/new.md', 'draft', NULL)""")
+def q42_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts laid over the disk: content and base of every page."""
+    disk = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.col("o_orderstatus").cast("binary").alias("content"), "o_orderkey")
+    drafts = disk.filter("o_orderkey % 5 = 0").select("path", F.lit("draft").cast("binary").alias("content")).union(spark.createDataFrame([("wiki/new.md", bytearray(b"draft"))], "path string, content binary"))
+    return states.overlay(disk.drop("o_orderkey"), drafts).select("path", F.decode("content", "UTF-8").alias("content"), F.decode("base_content", "UTF-8").alias("base_content"))
+
+
+@_query("""SELECT doc_id, sha256('{"lang":"' || lang || '","n":' || n_chars || ',"source":"' || source || '"}' || chr(0) || text) AS digest FROM documents""")
+def q43_page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each page's canonical frontmatter without its meta keys, and its body."""
+    front = F.to_json(F.struct("source", F.col("n_chars").alias("n"), "lang", F.col("doc_id").alias("updated")))
+    return P.table(spark, sf_dir, "documents").select("doc_id", T.page_digest(front, F.array(F.lit("updated")), F.col("text")).alias("digest"))
+
+
+@_query("""SELECT 'wiki/' || o_orderkey AS path, CASE o_orderkey % 7 WHEN 6 THEN 'not-named' ELSE 'not-differing' END AS side FROM orders WHERE o_orderkey % 7 IN (3, 6)""")
+def q44_listing_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths on which two listings and the diff between them tell different stories: those of remainder 2 differ, of 6 are new; the diff names 2 and 3."""
+    index = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").cast("long").alias("oid"), F.lit("m").alias("mode"), (F.col("o_orderkey") % 7).alias("r"))
+    base = index.filter("r <> 6").withColumn("oid", F.when(F.col("r") == 2, F.col("oid") + 1).otherwise(F.col("oid")))
+    return git.disagreements(index, base, index.filter("r in (2, 3)").select("path"))
