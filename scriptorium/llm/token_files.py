@@ -26,7 +26,7 @@ from scriptorium.llm.common import shared_dir, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Ids gathered for a block, and characters of text per file.
-BLOCK_IDS, FILE_CHARS = 1 << 20, 64_000_000
+BLOCK_IDS, FILE_CHARS = 1 << 19, 24_000_000
 
 BLOCK = "file int, block int, start long, doc_ids binary, doc_nulls binary, doc_lengths binary, table binary, control binary, data binary, n long"
 
@@ -114,7 +114,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids (little-endian)."""
+    """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids (little-endian).
+
+    Null ids come back null, repeated rows each as their row, files without a block as an empty table. The ids before a
+    file are summed over one row a file.
+    """
     blocks = spark.read.schema(BLOCK).parquet(path)
     # one row per file: the ids of the files before it
     sums = blocks.groupBy("file").agg(F.sum("n").alias("_n"))
