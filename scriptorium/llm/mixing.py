@@ -21,6 +21,8 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import fresh
+
 #: Characters per block, documents per chunk, and most chunks.
 BLOCK_CHARS, CHUNK_DOCS, CHUNKS = 1 << 18, 512, 100_000
 
@@ -82,8 +84,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "d
     thousandths. A null or empty text takes no room; a document longer than a block
     takes as many as it covers and stands in its first. Ties and repeated ids stay in
     any order within their block. An empty table gives an empty table. One row per
-    source reaches the driver.
+    source reaches the driver. If ``docs`` has a column of one of the two names, the
+    new one gets underscores before it (``names_of``).
     """
+    block_name, slot_name = names_of(docs)
     spark = docs.sparkSession
     if weights and min(weights.values()) < 1:
         raise ValueError("weights must be positive integers")
@@ -102,13 +106,22 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, id_col: str = "d
     placed = rows.withColumn("inside", inside).join(before, (F.col("source") == F.col("s2")) & (F.col("chunk") == F.col("c2")))
     placed = placed.withColumn("block", F.floor((F.col("inside") + F.col("base")) / F.lit(block_chars)).cast("long"))
     table = spark.createDataFrame(plan, "s3 string, first long, end long, slot0 long, per long, total long, places array<int>")
-    found = placed.join(F.broadcast(table), (F.col("source") == F.col("s3")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
+    found = placed.join(table, (F.col("source") == F.col("s3")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
     k = F.col("block") - F.col("first")
     slot = F.col("slot0") + F.floor(k / F.col("per")) * F.col("total") + F.element_at("places", (k % F.col("per") + 1).cast("int"))
-    return found.select("row.*", F.col("block").alias("_block"), slot.cast("long").alias("_slot"))
+    return found.select("row.*", F.col("block").alias(block_name), slot.cast("long").alias(slot_name))
+
+
+def names_of(docs: DataFrame) -> tuple[str, str]:
+    """Names of the block and slot columns that ``mix`` adds to a table."""
+    return fresh("_block", docs), fresh("_slot", docs)
 
 
-def ordered(docs: DataFrame, keep_slot: bool = False, **options) -> DataFrame:
-    """The rows and columns of ``docs``, and _slot if wanted, in mixed order (range partitions by slot, sorted inside)."""
-    made = mix(docs, **options).repartitionByRange("_slot", "_block").sortWithinPartitions("_slot").drop("_block")
-    return made if keep_slot else made.drop("_slot")
+def ordered(docs: DataFrame, **options) -> DataFrame:
+    """The rows and columns of ``docs`` in mixed order (range partitions by slot, sorted inside).
+
+    Nulls, ties, repeated rows, clashing names and empty tables as in ``mix``. A reader of files may deal their rows anew;
+    ``mix`` gives the same slots again from the same rows.
+    """
+    block, slot = names_of(docs)
+    return mix(docs, **options).repartitionByRange(slot, block).sortWithinPartitions(slot).drop(block, slot)

@@ -83,6 +83,21 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5 and set(itertools.chain(map(type, corpus_pipeline.STAGES))) == {tuple}
 
 
+def test_pipeline_of_odd_tables(spark, odd_docs, tmp_path):
+    """Empty tables, nulls, repeated rows, very long texts and clashing names pass every stage but the last with their columns."""
+    clash = odd_docs.selectExpr("*", "1 as _slot", "2 as _block", "'x' as _kept", "3 as id", "4 as lang", "5L as n_chars")
+    for docs in (clash, clash.limit(0)):
+        got = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, got, "")
+            assert got.columns == docs.columns, name
+            got.write.mode("overwrite").parquet(str(tmp_path / name.replace(" ", "-")))
+            got = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
+        last = corpus_pipeline.STAGES[-1][1](spark, got, "").collect()
+        assert {r.doc_id for r in last} == {r.doc_id for r in got.collect()}
+    assert corpus_pipeline.mixed(spark, clash, "").count() == clash.count() and corpus_pipeline.near_duplicates(spark, clash, "").columns == clash.columns
+
+
 def test_sequences_follow_the_slots(spark):
     rows = [(k, f"word{k} " * 2500, f"s{k % 2}") for k in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

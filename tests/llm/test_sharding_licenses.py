@@ -83,3 +83,26 @@ def test_other_text_takes_no_label_away(spark):
         assert abs(got[k].score - (1 if base else max(want.values(), default=0))) < 1e-5, text
     for k, (label, _, _) in enumerate(licenses.TEMPLATES):
         assert all(label in got[j].labels.split(",") for j in (k, k + len(notices), k + 2 * len(notices), 3 * len(notices)))
+
+
+def test_table_filling_against_preference_lists():
+    """Each shard's whole preference list, and turns taken over them one claim at a time."""
+    import hashlib
+
+    for names, size in ((["a", "b", "c"], 7), ([f"s{k}" for k in range(9)], 101), (["one"], 2)):
+        lists = []
+        for n in names:
+            d = hashlib.md5(n.encode()).digest()
+            start, step = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:], "big") % (size - 1) + 1 if size > 2 else 1
+            lists.append([(start + k * step) % size for k in range(size)])
+            assert sorted(lists[-1]) == list(range(size))
+        owner: dict = {}
+        while len(owner) < size:
+            for s, wanted in enumerate(lists):
+                free = [x for x in wanted if x not in owner]
+                if free:
+                    owner[free[0]] = s
+        table = sharding.fill_table(names, size)
+        assert table == [owner[k] for k in range(size)]
+        counts = [table.count(s) for s in range(len(names))]
+        assert max(counts) - min(counts) <= 1
