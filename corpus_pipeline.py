@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, near duplicates, personal data, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and is
-written as Parquet in the shared folder, which the next stage reads again.
+written as Parquet in the shared folder, which the next stage reads again. All but the
+last return the columns that they get, whatever else these are called; an empty table
+goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -14,29 +16,36 @@ from scriptorium.llm.common import documents, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null, empty and very short texts go, each of several equal rows is judged alike."""
     return line_quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies, the one of the smallest id: five-word shingles, Jaccard similarity 0.8 or more.
+
+    Documents without words and rows with a null id stay; rows that repeat an id stay or go together.
+    """
     return jaccard_join.keep_first(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text, a null text stays null."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in an order that interleaves their sources by weight, and their _slot in it: files are read again in any order."""
-    return mixing.ordered(docs, keep_slot=True)
+    """All documents in an order that interleaves their sources by weight; a null source is one of its own, ties keep any order in their block."""
+    return mixing.ordered(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2,048 ids; ranges of slots follow each other in the sequences."""
-    made = packing.pack(docs.repartitionByRange("_slot").sortWithinPartitions("_slot"))
+    """Pieces of all documents in sequences of at most 2,048 ids; a null or empty text is the end id alone.
+
+    Files are read again in any order, so the slots are derived again from the same documents: ranges of slots follow each other in the sequences.
+    """
+    _, slot = mixing.names_of(docs)
+    made = packing.pack(mixing.mix(docs).repartitionByRange(slot).sortWithinPartitions(slot))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
