@@ -31,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Write to a table of the shared folder and read it: cuts the lineage and survives lost executors."""
+#: Rows of a narrow table that are worth a file.
+FILE_ROWS = 100_000
+
+
+def written(df: DataFrame, what: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write to a table of the shared folder and read it: cuts the lineage and survives lost executors.
+
+    ``rows``: about how many narrow rows there are; they go to no more files than that is worth, so small tables make few.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    made = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    made.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path, None
     return out

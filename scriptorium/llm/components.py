@@ -32,18 +32,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
+def components(edges: DataFrame, name: str = "stars", rows: int | None = None) -> DataFrame:
     """(u, v) with v the smallest node of u's component, for every node of an edge but the smallest ones.
 
-    ``edges``: columns u and v of one integer type; loops, doubled and nulls don't matter. No edges give an empty table.
+    ``edges``: columns u and v of one integer type; loops, doubled and nulls don't matter. No edges give an empty table. ``rows``: at most so many edges, if that is known.
     """
     least, most = F.least("u", "v"), F.greatest("u", "v")
-    now = written(edges.filter("u <> v").select(most.alias("u"), least.alias("v")).distinct(), name)
+    now = written(edges.filter("u <> v").select(most.alias("u"), least.alias("v")).distinct(), name, rows=rows)
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("s")).first()
         if seen.n == 0 or mark == (seen.n, seen.s):
             return now
         mark = (seen.n, seen.s)
-        before, now = now, written(_small_star(_large_star(now)), name)
+        before, now = now, written(_small_star(_large_star(now)), name, rows=2 * seen.n)
         discard(before)

@@ -230,8 +230,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     rows, grams = _sets(docs, id_col, text_col, width, path)
-    known = rows.filter("n > 0 and id is not null")
-    firsts = written(known.groupBy("digest", "n", "sketch").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "jaccard-firsts")
+    known, many_rows = rows.filter("n > 0 and id is not null"), rows.count()
+    firsts = written(known.groupBy("digest", "n", "sketch").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "jaccard-firsts", rows=many_rows)
     copies = known.join(firsts.filter("copies > 1").select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v").filter("u <> v")
 
     postings = _postings(docs, firsts, grams, id_col, text_col, width, percent)
@@ -249,10 +249,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     fits = "100 * least(n, t.n) >= {0} * greatest(n, t.n) and {0} * (n + t.n) <= (100 + {0}) * least(rest, t.rest)".format(percent)
     stars = lists.select("id", "n", "rest", F.explode(F.array("_band", "_half")).alias("t")).filter("id <> -t.neg").filter(fits)
-    stars = written(_possible(stars.select((-F.col("t.neg")).alias("p"), F.col("id").alias("m")).distinct(), firsts, percent), "jaccard-stars")
+    stars = written(_possible(stars.select((-F.col("t.neg")).alias("p"), F.col("id").alias("m")).distinct(), firsts, percent), "jaccard-stars", rows=many_rows)
     first = written(_compare(stars, texts, width), "jaccard-first")
     linked = first.filter(_linked(percent)).select(F.col("p").alias("u"), F.col("m").alias("v"))
-    labels = components(linked, "jaccard-labels")
+    labels = components(linked, "jaccard-labels", many_rows)
 
     # what is left: pairs of a list in two components, not compared yet and not ruled out. A pair of ids with several
     # texts has several distances, which rule nothing out
@@ -274,10 +274,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     b = known_from.select(F.col("_m").alias("m"), F.col("pds").alias("b"))
     near = near.join(a, "p", "left").join(b, "m", "left")
     far = F.expr(f"exists(coalesce(a, array()), x -> exists(coalesce(b, array()), y -> x.p = y.p and abs(x.d - y.d) > 1 - {percent} / 100D + 1e-9))")
-    rest = written(_possible(near.filter(~far).select("p", "m"), firsts, percent), "jaccard-rest")
+    rest = written(_possible(near.filter(~far).select("p", "m"), firsts, percent), "jaccard-rest", rows=many_rows)
     second = written(_compare(rest, texts, width), "jaccard-second")
     links = labels.select("u", "v").union(second.filter(_linked(percent)).select(F.col("p").alias("u"), F.col("m").alias("v"))).union(copies)
-    final = components(links, "jaccard-components")
+    final = components(links, "jaccard-components", many_rows)
     discard(firsts, lists, texts, stars, first, labels, rest, second)
     out = rows.join(final, F.col("id") == F.col("u"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("v", "id").alias("component_id"))
