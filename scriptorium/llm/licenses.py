@@ -27,6 +27,9 @@ from scriptorium.llm.common import lower_ascii, text_or_empty
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The same runs before lower-casing.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: Phrase and label.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -105,34 +108,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     where a base phrase stands, else the best share of a template's weight that
     aligns at one relative position.
     """
-    low = lower_ascii(text_or_empty(text_col))
-    rows = docs.select(F.col(id_col), low.alias("_low"))
-    rows = rows.withColumn("n_words", F.regexp_count("_low", F.lit(WORD)).cast("long"))
-    rows = rows.withColumn("_w", F.when(_likely(F.col("_low")), F.regexp_extract_all("_low", F.lit(WORD), F.lit(0)))).drop("_low")
-    return rows.filter("_w is null").select(id_col, "n_words", *_nothing()).union(_looked_up(rows.filter("_w is not null"), id_col))
+    text = text_or_empty(text_col)
+    words = F.regexp_extract_all(lower_ascii(F.col("_text")), F.lit(WORD), F.lit(0))
+    rows = docs.select(F.col(id_col), text.alias("_text")).withColumn("_w", F.when(_likely(F.lower("_text")), words))
+    rows = rows.withColumn("n_words", F.when(F.col("_w").isNull(), F.regexp_count("_text", F.lit(RAW_WORD))).otherwise(F.size("_w")).cast("long"))
+    return _looked_up(rows.drop("_text"), id_col)
 
 
 def _likely(low: Column) -> Column:
-    """Holds wherever a base phrase or the key phrases of a template can stand."""
+    """Holds wherever a base phrase or the key phrases of a template can stand; ``low`` may lower-case other letters too."""
     loose = [F.contains(low, F.lit(x)) for x in ("license", "cc0", "permission", "redistribution", "unencumbered")]
     return reduce(lambda a, b: a | b, loose) | (F.contains(low, F.lit("cc")) & low.rlike(f"cc{GAP}by"))
 
 
-def _nothing() -> list[Column]:
-    none = F.lit(None).cast("long")
-    return [F.lit(0).cast("long").alias("n_base"), none.alias("first_word"), none.alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score")]
-
-
 def _looked_up(rows: DataFrame, id_col: str) -> DataFrame:
-    """Labels of rows with words ``_w``."""
+    """Labels of rows with words ``_w``, null where none can stand."""
     idf, postings, weight = _index()
     words = F.col("_w")
-    bases = {label: _places(words, phrase) for phrase, label in BASE_PHRASES.items()}
+    rows = rows.withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
+    bases = {label: F.when(F.contains("_joined", F.lit(f" {phrase} ")), _places(words, phrase)) for phrase, label in BASE_PHRASES.items()}
     rows = rows.withColumns({f"_p{k}": F.coalesce(v, F.array().cast("array<int>")) for k, v in enumerate(bases.values())})
     every = F.flatten(F.array(*(F.col(f"_p{k}") for k in range(len(bases)))))
 
     idf_map = F.create_map(*(x for w in sorted(idf) for x in (F.lit(w), F.lit(idf[w]))))
-    rows = rows.withColumn("_joined", F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))
     rows = rows.withColumn("_keys", F.array(*(_all([F.contains("_joined", F.lit(f" {k} ")) for k in keys]) for _, _, keys in TEMPLATES))).drop("_joined")
     hits = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin(*sorted(idf)), F.struct(x.alias("word"), i.alias("at")))))
     rows = rows.withColumn("_hits", F.when(F.array_contains("_keys", True), hits))
