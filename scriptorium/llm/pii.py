@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and from one start to the next: spans below their difference stand whole in a window.
 WINDOW, STRIDE = 128, 32
@@ -383,9 +385,15 @@ def plausible(kind: str, text: str) -> bool:
 
 def reconcile(candidates, base) -> list[tuple[int, str, int]]:
     """Disjoint candidates (start, kind, end, margin) of largest total margin that touch no base span."""
+    starts: list[int] = []
+    reach: list[int] = []  # largest end of the base spans up to each start
+    for x, _, y in sorted(base):
+        starts.append(x)
+        reach.append(max(y, reach[-1] if reach else 0))
     best: dict[tuple, float] = {}
     for a, k, b, m in candidates:
-        if m >= LEAST_MARGIN and not any(a < y and x < b for x, _, y in base):
+        before = bisect_left(starts, b)
+        if m >= LEAST_MARGIN and not (before and reach[before - 1] > a):
             best[a, k, b] = max(best.get((a, k, b), 0), m)
     items = sorted(best, key=lambda s: (s[2], s[0], KINDS.index(s[1])))
     ends = [s[2] for s in items]
@@ -483,8 +491,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
         struct = lambda own: [{"start": a, "kind": k, "end": b} for a, k, b in own]
         for batch in batches:
-            found = find(batch.column(1).to_pylist(), p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([struct(b) for b, _ in found], span), pa.array([struct(x) for _, x in found], span)], [id_col, "base", "added"])
+            texts = batch.column(1).to_pylist()
+            for i, j in slices(texts):
+                found = find(texts[i:j], p)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([struct(b) for b, _ in found], span), pa.array([struct(x) for _, x in found], span)], [id_col, "base", "added"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     spans = "array<struct<start: int, kind: string, end: int>>"
@@ -509,7 +519,11 @@ def _is(kind: str):
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span (overlapping ones as one) replaced by its kind in square brackets; all other columns stay."""
+    """``docs`` with each span (overlapping ones as one) replaced by its kind in square brackets; all other columns stay.
+
+    A null text stays null and an empty one empty; repeated rows are cleaned alike; an empty table gives an empty table;
+    the names of other columns don't matter. Texts are decoded whole, about a million characters of them at once.
+    """
     p = trained()
     names = [f"_c{k}" for k in range(len(docs.columns))]
     own = docs.toDF(*names)
@@ -529,7 +543,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         k = names.index(text)
         for batch in batches:
             texts = batch.column(k).to_pylist()
-            new = [t if t is None else cleaned(t, *found) for t, found in zip(texts, find(texts, p))]
-            yield pa.RecordBatch.from_arrays([pa.array(new, batch.column(k).type) if i == k else c for i, c in enumerate(batch.columns)], names)
+            for i, j in slices(texts):
+                own = texts[i:j]
+                new = [t if t is None else cleaned(t, *found) for t, found in zip(own, find(own, p))]
+                columns = [c.slice(i, j - i) for c in batch.columns]
+                columns[k] = pa.array(new, columns[k].type)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return own.mapInArrow(run, own.schema).toDF(*docs.columns)

@@ -144,3 +144,38 @@ def test_operators(spark, odd_docs, weights):
     assert clean[60].startswith("Write to [email], or [phone]") and clean[61] == texts[1] and clean[1] is None
     assert pii.redact(odd_docs).columns == odd_docs.columns and pii.redact(odd_docs).count() == odd_docs.count()
     assert pii.report(odd_docs.limit(0)).count() == 0
+
+
+spans_ = st.lists(st.tuples(st.integers(0, 12), st.sampled_from(pii.KINDS), st.integers(1, 6)), max_size=7)
+
+
+@settings(max_examples=300, deadline=None)
+@given(spans_, spans_)
+def test_reconcile_takes_the_largest_margin(candidates, base):
+    """Against all subsets of the candidates; margins are distinct powers of two, so the best subset is unique."""
+    own = [(a, k, a + n, pii.LEAST_MARGIN + 2.0**i) for i, (a, k, n) in enumerate(candidates)]
+    fixed = [(a, k, a + n) for a, k, n in base]
+    free = [c for c in own if not any(c[0] < y and x < c[2] for x, _, y in fixed)]
+    most = 0.0
+    for r in range(len(free) + 1):
+        for some in itertools.combinations(free, r):
+            if all(x[2] <= y[0] for x, y in itertools.pairwise(sorted(some))):
+                most = max(most, sum(c[3] for c in some))
+    got = pii.reconcile(own, fixed)
+    margins = {}
+    for a, k, b, m in own:
+        margins[a, k, b] = max(m, margins.get((a, k, b), 0))
+    assert all(x[2] <= y[0] for x, y in itertools.pairwise(got))
+    assert abs(sum(margins[s] for s in got) - most) < 1e-9
+
+
+def test_slices_change_no_result(spark, monkeypatch):
+    texts = ["Mail a.b@example.com or call +44 20 7946 0958. " * 40, None, "", "card 4111 1111 1111 1111"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = pii.find(texts, pii.trained())
+    real = pii.slices
+    monkeypatch.setattr(pii, "slices", lambda t: real(t, 100))
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    for k, (base, added) in enumerate(whole):
+        assert [tuple(s) for s in got[k].base] == base and [tuple(s) for s in got[k].added] == added
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()][1:3] == [None, ""]
