@@ -561,3 +561,125 @@ def q44_listing_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").cast("long").alias("oid"), F.lit("m").alias("mode"), (F.col("o_orderkey") % 7).alias("r"))
     base = index.filter("r <> 6").withColumn("oid", F.when(F.col("r") == 2, F.col("oid") + 1).otherwise(F.col("oid")))
     return git.disagreements(index, base, index.filter("r in (2, 3)").select("path"))
+
+
+# ------------------------------------------------------------------ places, names, texts, totals
+
+
+@_query("""SELECT CASE doc_id % 4 WHEN 0 THEN 'wiki/' || source || '/Sub_' || lang || '/' || doc_id || '.md' WHEN 1 THEN 'raw/' || source || '/' || doc_id || '.md' WHEN 2 THEN 'wiki/' || doc_id || '.txt' ELSE 'wiki/../' || doc_id || '.md' END AS path,
+doc_id % 4 = 0 AS content, CASE doc_id % 4 WHEN 0 THEN source || ',Sub_' || lang END AS folders, CASE doc_id % 4 WHEN 0 THEN 'sub-' || lang END AS key FROM documents""")
+def q45_folder_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths are pages of the content root, their folders, and the identity of the second."""
+    key, pick = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    path = (
+        F.when(pick == 0, F.concat(F.lit("wiki/"), "source", F.lit("/Sub_"), "lang", F.lit("/"), key, F.lit(".md"))).when(pick == 1, F.concat(F.lit("raw/"), "source", F.lit("/"), key, F.lit(".md")))
+        .when(pick == 2, F.concat(F.lit("wiki/"), key, F.lit(".txt"))).otherwise(F.concat(F.lit("wiki/../"), key, F.lit(".md")))
+    )
+    rows = P.table(spark, sf_dir, "documents").select(path.alias("path")).withColumn("content", T.is_content_path(F.col("path"), ["wiki"]))
+    held = rows.withColumn("f", F.when(F.col("content"), T.folder_segments(F.col("path"), "wiki")))
+    return held.select("path", "content", F.array_join("f", ",").alias("folders"), T.segment_identity(F.get("f", F.lit(1))).alias("key"))
+
+
+@_query(f"""WITH {_FINDINGS} SELECT scope, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'info') AS infos
+FROM f_, (VALUES ('all', '', ''), ('rule', 'large-quantity', ''), ('folder', '', 'wiki/order/'), ('page', '', 'wiki/order/7.md')) v(scope, r, p) WHERE (r = '' OR rule = r) AND starts_with(path, p) GROUP BY scope""")
+def q46_severity_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by severity: all, those of a rule, below a folder, of a page."""
+    found = verdict.route(_findings(spark, sf_dir), verdict.routes(spark))
+    out = None
+    for scope, rule, path in (("all", None, None), ("rule", "large-quantity", None), ("folder", None, "wiki/order"), ("page", None, "wiki/order/7.md")):
+        own = verdict.totals(verdict.filtered(found, rule, path)).select(F.lit(scope).alias("scope"), "errors", "warnings", "infos").filter("errors + warnings + infos > 0")
+        out = own if out is None else out.union(own)
+    return out
+
+
+@_query("""SELECT event_type AS rule, string_agg(DISTINCT 'reason ' || (user_id % 3), ',' ORDER BY 'reason ' || (user_id % 3)) AS reasons FROM events GROUP BY 1""")
+def q47_unevaluated_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why rules were not evaluated, each reason once."""
+    rows = P.table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), F.concat(F.lit("reason "), (F.col("user_id") % 3).cast("string")).alias("reason"))
+    return verdict.unevaluated_reasons(rows).select("rule", F.array_join("reasons", ",").alias("reasons"))
+
+
+@_query("""WITH h_ AS (SELECT conv_id, turn, 'Topic ' || (turn % 4) AS heading, row_number() OVER (PARTITION BY conv_id, turn % 4 ORDER BY turn) - 1 AS occurrence FROM conversations WHERE role = 'user')
+SELECT p.conv_id::VARCHAR AS path, p.turn AS line, h.heading, h.occurrence::INTEGER AS occurrence FROM (FROM conversations WHERE role <> 'user') p ASOF LEFT JOIN h_ h ON p.conv_id = h.conv_id AND p.turn >= h.turn""")
+def q48_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heading that each answer stands under and its number among equal headings; questions are headings."""
+    rows = P.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), "role")
+    headings = rows.filter("role = 'user'").select("path", "line", F.concat(F.lit("Topic "), (F.col("line") % 4).cast("string")).alias("heading"))
+    return names.location_at(rows.filter("role <> 'user'").select("path", "line"), headings)
+
+
+@_query("""WITH d_ AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS eve FROM orders)
+SELECT o_orderkey, 'retracted ' || day AS retracted, 'valid →' || eve || ', superseded ' || day || ' by [[Order ' || o_orderkey || ']]' AS superseded FROM d_""")
+def q49_closing_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses that close a claim on a day."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    by = F.concat(F.lit("[[Order "), F.col("o_orderkey").cast("string"), F.lit("]]"))
+    return P.table(spark, sf_dir, "orders").select("o_orderkey", T.retract_clause(day).alias("retracted"), T.supersede_clause(day, by).alias("superseded"))
+
+
+@_query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'fix' WHEN 1 THEN 'feat' WHEN 3 THEN 'docs' WHEN 4 THEN 'law-change' WHEN 5 THEN 'chore' ELSE 'none' END AS prefix,
+CASE event_id % 6 WHEN 1 THEN 'because ' || user_id WHEN 5 THEN 'second' END AS reason FROM events""")
+def q50_commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix of a message and the reason that it gives for a change of the law."""
+    user = F.col("user_id").cast("string")
+    forms = [
+        F.lit("fix: a value"), F.concat(F.lit("feat(core)!: more\n\nlaw-change: because "), user), F.lit("no prefix here"), F.lit("docs:x\n# law-change: commented out"),
+        F.lit("law-change: in the subject only"), F.lit("  chore!: y\r\nlaw-change:  \r\nlaw-change: second\r\nlaw-change: third"),
+    ]
+    message = F.get(F.array(*forms), (F.col("event_id") % 6).cast("int"))
+    return P.table(spark, sf_dir, "events").select("event_id", T.commit_prefix(message).alias("prefix"), T.law_change_reason(message).alias("reason"))
+
+
+@_query("""SELECT doc_id, replace(replace(replace(text, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), chr(10), ' ') AS cell,
+list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS lede FROM documents""")
+def q51_cells_and_ledes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a table cell, and its first line of prose."""
+    return P.table(spark, sf_dir, "documents").select("doc_id", T.table_cell(F.col("text")).alias("cell"), T.lede(F.col("text")).alias("lede"))
+
+
+@_query("""WITH e_ AS (SELECT 'region' AS kind, r_regionkey AS key FROM region UNION ALL SELECT 'nation', n_nationkey FROM nation UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier UNION ALL SELECT 'part', p_partkey FROM part UNION ALL SELECT 'order', o_orderkey FROM orders)
+SELECT key::VARCHAR AS ident, path, owner FROM (SELECT key, 'wiki/' || kind || '/' || key || '.md' AS path, min('wiki/' || kind || '/' || key || '.md') OVER (PARTITION BY key) AS owner FROM e_) WHERE path <> owner""")
+def q52_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose name another page owns: entities of several kinds share their keys as base names."""
+    return names.collisions(P.entity_pages(spark, sf_dir)).filter("kind = 0").select("ident", "path", "owner")
+
+
+@_query("""WITH l_ AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+e_ AS (SELECT doc_id, line, strlen(x) AS n, sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM l_)
+SELECT doc_id, line::INTEGER AS line, (stop - n - 1)::INTEGER AS start, (stop - 1)::INTEGER AS "end" FROM e_""")
+def q53_byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offsets of every line."""
+    return P.table(spark, sf_dir, "documents").select("doc_id", F.inline(T.byte_spans(F.col("text"))))
+
+
+@_query("""SELECT governed, prose, unbound, parsed_records, malformed_items, unbound_preambles FROM (SELECT count_if(l_returnflag NOT IN ('R', 'N')) AS governed, count_if(l_returnflag = 'R') AS prose, count_if(l_returnflag = 'N') AS unbound,
+ sum(l_linenumber)::BIGINT AS parsed_records, count_if(l_quantity > 48) AS malformed_items FROM lineitem), (SELECT count_if(o_orderstatus NOT IN ('P', 'F')) AS unbound_preambles FROM orders)""")
+def q54_scope_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by how they are governed, records read, and pages with text before their first heading."""
+    flag, state = F.col("l_returnflag"), F.col("o_orderstatus")
+    mode = F.when(flag == "R", "prose").when(flag == "N", "unbound").otherwise("record")
+    sections = P.table(spark, sf_dir, "lineitem").select(mode.alias("mode"), F.col("l_linenumber").cast("long").alias("records"), (F.col("l_quantity") > 48).cast("long").alias("unread"))
+    return verdict.scope_coverage(sections, P.table(spark, sf_dir, "orders").select(F.when(state == "P", "  ").when(state != "F", "text").alias("preamble")))
+
+
+@_query("""SELECT event_type AS rule, count(*) AS excepted FROM events WHERE user_id % 2 = 0 GROUP BY 1""")
+def q55_excepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applied exceptions by the rule that they waive: those of even users apply."""
+    rule = F.when(F.col("user_id") % 2 == 0, "exception-applied").otherwise("exception-stale")
+    return verdict.excepted(P.table(spark, sf_dir, "events").select(rule.alias("rule"), F.create_map(F.lit("rule"), F.col("event_type")).alias("details")))
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 2 THEN c_name || ' (a)' END AS stem, lower(replace(c_name, '#', '')) || CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) WHEN 2 THEN 'ab' ELSE '' END AS compact FROM customer""")
+def q56_name_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names before their last qualifier, and without separators."""
+    pick = F.col("c_custkey") % 3
+    name = F.when(pick == 0, F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))).when(pick == 2, F.concat("c_name", F.lit(" (a) (b)"))).otherwise(F.col("c_name"))
+    return P.table(spark, sf_dir, "customer").select("c_custkey", T.strip_qualifier(name).alias("stem"), T.compact(name).alias("compact"))
+
+
+@_query("""SELECT doc_id, text, doc_id % 2 = 0 AS mark, doc_id % 3 = 0 AND contains(text, chr(10)) AS crlf FROM documents""")
+def q57_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are read: every second has a byte order mark, every third carriage returns."""
+    lines = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "\ufeff").otherwise(""), lines)
+    return P.table(spark, sf_dir, "documents").select("doc_id", T.normalized(raw).alias("n")).select("doc_id", "n.text", "n.mark", "n.crlf")
