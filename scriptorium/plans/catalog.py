@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import evidence, folders, names, search, transitions, verdict
+from scriptorium.operators import evidence, folders, names, search, transitions, verdict, writer
 from scriptorium.plans import projections as P
 from scriptorium.sources import git, states
 
@@ -683,3 +683,70 @@ def q57_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
     raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "\ufeff").otherwise(""), lines)
     return P.table(spark, sf_dir, "documents").select("doc_id", T.normalized(raw).alias("n")).select("doc_id", "n.text", "n.mark", "n.crlf")
+
+
+# ------------------------------------------------------------------ pins, sections, splices, the gate
+
+
+@_query("""SELECT 'wiki/customer/' || o_custkey || '.md' AS path, bool_and(o_orderstatus <> 'P') AS evaluated FROM orders GROUP BY 1""")
+def q58_pinned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose pins were all measured: orders are the pins of their customer."""
+    s = F.col("o_orderstatus")
+    pins = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/customer/"), F.col("o_custkey").cast("string"), F.lit(".md")).alias("path"), F.when(s == "F", "current").when(s == "O", "stale").otherwise("unmeasured").alias("state"))
+    return evidence.page_cells(pins)
+
+
+_SECTIONS = "li_ AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)"
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line, flag, quantity): one section a line number of an order."""
+    path = F.concat(F.lit("wiki/order/"), F.col("l_orderkey").cast("string"), F.lit(".md"))
+    return P.table(spark, sf_dir, "lineitem").groupBy(path.alias("path"), F.col("l_linenumber").cast("int").alias("line")).agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+
+
+@_query(f"""WITH {_SECTIONS} SELECT 'wiki/order/' || l_orderkey || '.md' AS path, l_linenumber AS line, l_returnflag AS heading, 'max' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM li_) WHERE n = 2
+UNION ALL SELECT 'wiki/order/' || o_orderkey || '.md', NULL, 'A', 'min' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM li_ WHERE l_returnflag = 'A')
+UNION ALL SELECT 'wiki/order/' || l_orderkey || '.md', l_linenumber, 'x', 'min' FROM li_ WHERE l_returnflag = 'R' AND l_quantity <= 25""")
+def q59_section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that occur too often or too seldom in their parent: an order has one section a flag and needs an A, each R needs an x below it."""
+    line = _sections(spark, sf_dir)
+    address = F.concat("flag", F.lit("#"), F.col("line").cast("string"))
+    top = line.select("path", F.array("flag").alias("section_path"), F.lit("").alias("parent"), "line", F.col("flag").alias("heading"), F.lit(0).alias("occurrence"), F.lit(1).alias("most"))
+    inner = line.filter("flag = 'R' and quantity > 25").select("path", F.array("flag", F.lit("x")), address, "line", F.lit("x"), F.lit(0), F.lit(1))
+    declared = F.array(*(F.struct(F.array(*map(F.lit, p)).alias("path"), F.lit(p[-1]).alias("heading"), F.lit(1).alias("least")) for p in (["A"], ["R", "x"])))
+    pages = P.table(spark, sf_dir, "orders").select(F.concat(F.lit("wiki/order/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), declared.alias("declared"))
+    parents = line.select("path", F.array("flag").alias("section_path"), address.alias("address"), "line", F.col("flag").alias("heading"), F.lit(0).alias("occurrence"))
+    return transitions.section_counts(top.union(inner), pages, parents).select("path", "line", "heading", "kind")
+
+
+@_query(f"""WITH {_SECTIONS} SELECT path, line, rank FROM (SELECT *, max(rank) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+FROM (SELECT 'wiki/order/' || l_orderkey || '.md' AS path, l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS rank FROM li_)) WHERE rank < m""")
+def q60_section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that come after one that is declared later: flags are declared in the order A, N, R."""
+    rank = F.when(F.col("flag") == "A", 1).when(F.col("flag") == "N", 2).otherwise(3)
+    return transitions.out_of_order(_sections(spark, sf_dir).select("path", "line", rank.alias("rank")))
+
+
+@_query("""WITH t_ AS (SELECT p_partkey, '---' || chr(10) || 'type: part' || chr(10) || 'tags: [a]' || chr(10) || '---' || chr(10) || '# ' || p_name || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || '- first' || chr(10) AS text FROM part)
+SELECT 'wiki/part/' || p_partkey || '.md' AS path, CASE p_partkey % 4 WHEN 0 THEN replace(text, '[a]', '[a, b]') WHEN 1 THEN text || '- second' || chr(10) WHEN 2 THEN replace(text, 'type: part' || chr(10), '') ELSE text END AS text,
+CASE p_partkey % 4 WHEN 3 THEN '0 sections Gone' END AS refused FROM t_""")
+def q61_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages after an operation each: a tag more, an item more, a field less, or an unknown section."""
+    part, pick = P.table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    path = F.concat(F.lit("wiki/part/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path")
+    pages = part.select(path, F.concat(F.lit("---\ntype: part\ntags: [a]\n---\n# "), "p_name", F.lit("\n\n## Notes\n\n- first\n")).alias("text"))
+    of = lambda *v: F.when(pick == 0, v[0]).when(pick == 1, v[1]).when(pick == 2, v[2]).otherwise(v[3])
+    ops = part.select(path, F.lit(0).alias("seq"), of("append", "under", "remove", "under").alias("op"), of("tags", "Notes", "type", "Gone").alias("key"), of("b", "- second", "", "- lost").alias("value"))
+    return writer.apply(pages, ops)
+
+
+@_query(f"""WITH {_FINDINGS}, s_ AS (SELECT *, line % 2 = 1 AND severity = 'error' AS demoted FROM f_ WHERE rule = 'large-quantity' OR path IN (SELECT 'wiki/order/' || o_orderkey || '.md' FROM orders WHERE o_orderstatus <> 'F'))
+SELECT path, rule, line, CASE WHEN demoted THEN 'warning' ELSE severity END AS severity, CASE WHEN demoted THEN 'error' END AS demoted_from FROM s_""")
+def q62_gate_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that a commit answers for: open orders are touched, odd lines inherited, large quantities concern the whole corpus."""
+    path = lambda c: F.concat(F.lit("wiki/order/"), F.col(c).cast("string"), F.lit(".md")).alias("path")
+    found = verdict.route(_findings(spark, sf_dir), verdict.routes(spark))
+    inherited = P.table(spark, sf_dir, "lineitem").filter("l_linenumber % 2 = 1").select(path("l_orderkey"), F.col("l_linenumber").alias("line")).distinct()
+    touched = P.table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select(path("o_orderkey"))
+    return verdict.gate_scope(found, inherited, touched, ["large-quantity"]).select("path", "rule", "line", "severity", "demoted_from")
