@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import jaccard_join, lattice, licenses, line_quality, metric_join, mixing, packing, pii, sharding, token_files
+from scriptorium.llm import filter_audit, jaccard_join, lattice, licenses, line_quality, link_trust, metric_join, mixing, packing, pii, sharding, token_files, word_runs
 from scriptorium.llm.common import documents
 
 SHARDS = [f"shard-{k:02d}" for k in range(32)]
 
+#: The rules of op11: host, start of the path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot and shard of every document."""
@@ -63,6 +66,41 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page, with the trust and distrust of its host."""
+    return link_trust.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), URL_RULES).drop("url", "html")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in each language, by order and step."""
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id's checksum ends in 0 repeat some of their words up to the end."""
+    h, text = F.crc32(F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))
+    planted = docs.filter(F.coalesce(h % 10 == 0, F.lit(False))).withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    g, n = F.floor(h / 10), F.size("_words")
+    planted = planted.withColumns({"_n": n, "_a": F.when(n > 0, g % n).cast("int"), "_parts": (3 + g % 8).cast("int")})
+    planted = planted.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / F.col("_parts"))).cast("int"))
+    rest = F.col("_n") - F.col("_a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    text = F.when(F.col("_n") > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ")).otherwise("")
+    return docs.filter(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text").union(planted.select("doc_id", text.alias("text")))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document: their number, the longest one, and digests of all of them and of what they leave."""
+    made = word_runs.find(with_planted_runs(documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("back"), (-r.period).alias("short"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return made.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.back")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.short")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.short")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_line_quality": op2_line_quality,
@@ -74,11 +112,58 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_files": op10_token_files,
+    "op11_link_trust": op11_link_trust,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_word_runs": op13_word_runs,
 }
 
+
+
+def _link_trust_sql() -> str:
+    """The rounds of op11 one after another, in whole numbers as there."""
+    url, lower, unit = r"regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1)", "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", link_trust.UNIT
+    host = lambda x: lower.format(url.format(x))
+    rules = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    case = lambda k: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{(h + p, v)[k]}'" for h, p, v in rules) + " END"
+    rounds = ", ".join(
+        f"v{k + 1} AS MATERIALIZED (SELECT side, host, sum(value)::BIGINT AS value FROM (SELECT * FROM v0 UNION ALL SELECT f.side, f.dst, floor({link_trust.DAMPING}::DOUBLE * v.value * f.share)::BIGINT FROM flows f JOIN v{k} v ON f.side = v.side AND f.src = v.host) GROUP BY ALL HAVING sum(value) > 0)"
+        for k in range(link_trust.ROUNDS)
+    )
+    pattern = link_trust.LINK.replace("'", "''")
+    return f"""
+        WITH p AS MATERIALIZED (SELECT page_id, html, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r AS MATERIALIZED (SELECT page_id, host, path, {case(0)} AS rule, {case(1)} AS verdict FROM p),
+        l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{pattern}', 1), lambda x: {host("regexp_replace(x, '^//', '://')")}))) AS dst FROM p),
+        e AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+        flows AS MATERIALIZED (SELECT 0 AS side, src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM e UNION ALL SELECT 1, dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
+        s AS (SELECT host, floor({unit}::DOUBLE * (count(*) FILTER (verdict = 'allow') / count(*)))::BIGINT AS t, floor({unit}::DOUBLE * (count(*) FILTER (verdict = 'block') / count(*)))::BIGINT AS d FROM r WHERE host <> '' GROUP BY host),
+        v0 AS MATERIALIZED (SELECT * FROM (SELECT 0 AS side, host, t AS value FROM s UNION ALL SELECT 1, host, d FROM s) WHERE value > 0), {rounds},
+        h AS (SELECT host, coalesce(sum(value) FILTER (side = 0), 0)::BIGINT AS trust, coalesce(sum(value) FILTER (side = 1), 0)::BIGINT AS distrust FROM v{link_trust.ROUNDS} GROUP BY host)
+        SELECT page_id, r.host, path, rule, coalesce(verdict, CASE WHEN distrust >= {int(link_trust.LIMIT * unit)} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+          coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM r LEFT JOIN h ON r.host = h.host
+    """
+
+
 _SLOTS = ",".join(map(str, sharding.fill_table(SHARDS)))
 
 ORACLES = {
+    "op11_link_trust": _link_trust_sql(),
+    "op12_filter_audit": r"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        m AS (SELECT part, doc_id, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t))::INT
+          + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w),
+        c AS MATERIALIZED (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM m LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+        o(f) AS (SELECT '' UNION ALL SELECT f || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(f, x)),
+        s AS (SELECT f AS filter_order, step, 1 << (ascii(f[step]) - 65) AS bit, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(f[i]) - 65))), 0)::INT AS before
+          FROM o, unnest([1, 2, 3, 4, 5]) AS u(step) WHERE len(f) = 5),
+        r AS (SELECT * FROM s, c)
+        SELECT part, filter_order, step::INTEGER AS step, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+          coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+          coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+          coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost, coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit > 0), 0)::BIGINT AS shapley
+        FROM r GROUP BY part, filter_order, step
+    """,
     "op7_sharding": f"""
         SELECT doc_id, slot::INTEGER AS slot, 'shard-' || lpad(string_split('{_SLOTS}', ',')[slot + 1], 2, '0') AS shard
         FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.TABLE_SIZE} AS slot FROM documents)
