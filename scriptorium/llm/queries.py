@@ -79,14 +79,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Documents whose id's checksum ends in 0 repeat some of their words up to the end."""
     h, text = F.crc32(F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))
-    planted = docs.filter(F.coalesce(h % 10 == 0, F.lit(False))).withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    g, n = F.floor(h / 10), F.size("_words")
-    planted = planted.withColumns({"_n": n, "_a": F.when(n > 0, g % n).cast("int"), "_parts": (3 + g % 8).cast("int")})
-    planted = planted.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / F.col("_parts"))).cast("int"))
-    rest = F.col("_n") - F.col("_a")
+    words = F.when(h % 10 == 0, F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    g, rest = F.floor(h / 10), F.col("_n") - F.col("_a")
+    made = docs.select("doc_id", text.alias("text"), words.alias("_words"), g.alias("_g")).withColumn("_n", F.when(F.col("_words").isNotNull(), F.size("_words")))
+    made = made.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    made = made.withColumn("_p", (1 + F.floor(rest / (3 + F.col("_g") % 8))).cast("int"))
     tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
-    text = F.when(F.col("_n") > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ")).otherwise("")
-    return docs.filter(F.coalesce(h % 10 != 0, F.lit(True))).select("doc_id", "text").union(planted.select("doc_id", text.alias("text")))
+    return made.select("doc_id", F.when(F.col("_n") > 0, F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
