@@ -296,6 +296,8 @@ class Struct:
         if name not in self.fields:
             return F.lit(None)
         inner = self.fields[name]
+        if isinstance(inner, tuple):  # the fields of records
+            return Records(self._column[name], inner[0])
         return Struct(self._column[name], inner) if isinstance(inner, dict) else self._column[name]
 
     def column(self, _=None) -> Column:

@@ -25,6 +25,24 @@ def name_index(pages: DataFrame) -> DataFrame:
     return best.select("ident", F.coalesce("own", "alias").alias("target"), F.when(F.col("own").isNotNull(), F.col("own_type")).otherwise(F.col("alias_type")).alias("target_type"), F.col("own").isNull().alias("via_alias"))
 
 
+def name_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(ident, change) of the keys that two name indexes don't answer alike: added, removed or moved to another page, type or way."""
+    side = lambda d, name: d.select("ident", F.struct("target", "target_type", "via_alias").alias(name))
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("moved")
+    return side(now, "_a").join(side(before, "_b"), "ident", "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("ident", change.alias("change"))
+
+
+def base_pages(pages: DataFrame, moves: DataFrame, removed: DataFrame) -> DataFrame:
+    """Pages of the state before, at the paths that they had there: pages (path, ...) as they stand now, moves (path, renamed_from), and those that are gone."""
+    was = pages.join(moves.filter("renamed_from is not null").select("path", "renamed_from"), "path", "left")
+    return was.withColumn("path", F.coalesce("renamed_from", "path")).drop("renamed_from").unionByName(removed)
+
+
+def name_users(written: DataFrame, changes: DataFrame) -> DataFrame:
+    """(path) of the pages that write one of the changed keys; written: (path, ident)."""
+    return written.join(changes.select("ident"), "ident", "left_semi").select("path").distinct()
+
+
 def resolve(links: DataFrame, index: DataFrame, target: str = "target_name") -> DataFrame:
     """``links`` with target, target_type, via_alias and verdict (resolved, alias, unresolved).
 

@@ -194,19 +194,36 @@ def key() -> Column:
     return F.concat_ws("\0", "rule", "path", F.coalesce(F.col("line").cast("string"), F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce(F.col("occurrence").cast("string"), F.lit("")), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("details", F.create_map().cast("map<string,string>")))))))
 
 
-def gate_scope(findings: DataFrame, inherited: DataFrame, touched: DataFrame, vault_wide: list[str]) -> DataFrame:
-    """Findings of touched pages and vault-wide rules; queued errors on an inherited line become warnings with ``demoted_from``.
-
-    Transitions and findings that no page can inherit keep their severity. A column ``caused`` (boolean), if there is one,
-    keeps a finding of an untouched page, undemoted: a name or a source path changed elsewhere.
+def caused_by_names(findings: DataFrame, before: DataFrame, users: DataFrame, readers: list[str]) -> DataFrame:
+    """Findings with ``caused``: those of ``readers`` on pages (users: path) that write a changed name, which the same pages don't have under the base's names (``before``)."""
+    old = before.select(key().alias("_k")).distinct().withColumn("_same", F.lit(True))
+    named = findings.join(users.select("path", F.lit(True).alias("_user")), "path", "left").withColumn("_k", key()).join(old, "_k", "left")
+    caused = F.col("rule").isin(*readers) & F.col("_user").isNotNull() & F.col("_same").isNull()
+    return named.withColumn("caused", caused).select(*findings.columns, "caused")
+
+
+def gate_scope(findings: DataFrame, inherited: DataFrame, touched: DataFrame, vault_wide: list[str], sections: DataFrame | None = None, transitions: list[str] = ()) -> DataFrame:
+    """Findings of touched pages and vault-wide rules; queued errors that a page inherits become warnings with ``demoted_from``.
+
+    A finding on the line of a section's heading is the section's: it is inherited if the section is unchanged
+    (``sections``: path, heading, occurrence, line, unchanged). Any other is if its line is (``inherited``: path, line).
+    Transitions, own rules among them (``transitions``), and findings that no page can inherit keep their severity. A
+    column ``caused`` (boolean), if there is one, keeps a finding of an untouched page, undemoted: a name or a source path
+    changed elsewhere.
     """
     caused = F.col("caused") if "caused" in findings.columns else F.lit(False)
     wide = F.col("rule").isin(*vault_wide)
     kept = findings.withColumn("_c", caused).join(touched.select("path", F.lit(True).alias("_t")), "path", "left").filter(F.col("_t").isNotNull() | wide | F.col("_c")).drop("_t")
     old = kept.join(inherited.select("path", "line", F.lit(True).alias("_old")), ["path", "line"], "left")
-    fixed = F.col("rule").isin(*NEVER_DEMOTED, *TRANSITIONS)
-    demote = F.col("_old").isNotNull() & (F.col("severity") == "error") & F.col("queue").isNotNull() & ~fixed & ~F.col("_c")
-    return old.withColumn("demoted_from", F.when(demote, "error")).withColumn("severity", F.when(demote, "warning").otherwise(F.col("severity"))).drop("_old", "_c", "caused")
+    by_line = F.col("_old").isNotNull()
+    if sections is not None:
+        old = old.join(sections.select("path", "heading", "occurrence", "line", F.col("unchanged").alias("_same")), ["path", "heading", "occurrence", "line"], "left")
+        by_line = F.coalesce("_same", by_line)
+    fixed = F.col("rule").isin(*NEVER_DEMOTED, *TRANSITIONS, *transitions)
+    if transitions:
+        fixed = fixed | ((F.col("rule") == "rule-error") & F.coalesce(F.col("details")["rule"].isin(*transitions), F.lit(False)))
+    demote = by_line & (F.col("severity") == "error") & F.col("queue").isNotNull() & ~fixed & ~F.col("_c")
+    return old.withColumn("demoted_from", F.when(demote, "error")).withColumn("severity", F.when(demote, "warning").otherwise(F.col("severity"))).select(*(c for c in findings.columns if c != "caused"), "demoted_from")
 
 
 def drift(planned: DataFrame, held: DataFrame) -> DataFrame:

@@ -49,12 +49,13 @@ def _union(rows: list[DataFrame]) -> DataFrame:
 
 class Bundle:
     """``state``: by default the files under the law's content roots. ``sources``: rows (path, kind) of the source roots, None if not measured.
+    ``removed``: pages (path, content) that the base of the state had and the state has not.
 
     Pages are parsed once into a table of the shared folder, as is what several checks read; ``close`` (or the end of a
     ``with`` block) deletes these tables.
     """
 
-    def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None):
+    def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None, removed: DataFrame | None = None):
         self.spark, self.root, self.law = spark, root, law or L.load(root)
         self.source_roots = tuple(self.law.engine.get("source_roots", ()))
         if state is None:
@@ -62,7 +63,7 @@ class Bundle:
             skipped = markdown.walk(root, self.law.content_roots)[1] if skipped is None else skipped
             state = markdown.without(state, spark.createDataFrame(skipped, "at string, reason string")) if skipped else state
             sources = E.facts_of(spark, E.walk_sources(root, list(self.source_roots))) if sources is None else sources
-        self.state, self.sources, self.skipped = state, sources, skipped or []
+        self.state, self.sources, self.skipped, self.removed = state, sources, skipped or [], removed
         self._tables: dict[str, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Bundle:
@@ -84,7 +85,10 @@ class Bundle:
         """Parsed pages; every operator shares this one parse."""
 
         def rows() -> DataFrame:
-            own = self.state if column == "content" else self.state.filter("base_content is not null").select("path", F.col("base_content").alias("content"))
+            if column == "removed":
+                own = self.removed if self.removed is not None else self.state.select("path", "content").limit(0)
+            else:
+                own = self.state if column == "content" else self.state.filter("base_content is not null").select("path", F.col("base_content").alias("content"))
             return markdown.parse(own, self.source_roots, {t.name: t.depth for t in self.law.types.values() if t.depth != 2})
 
         return self._kept(f"pages {column}", rows)
@@ -113,8 +117,17 @@ class Bundle:
             self._tables[name] = store.kept(rows(), name)
         return self._tables[name][0]
 
-    def names(self, column: str = "content") -> DataFrame:
-        return self._kept(f"names {column}", lambda: names.name_index(self.readable(column).select("path", "type", "aliases")))
+    def names(self) -> DataFrame:
+        return self._kept("names", lambda: names.name_index(self.readable().select("path", "type", "aliases")))
+
+    def base_names(self) -> DataFrame:
+        """The name index of the base: its pages at the paths that they had there, those among them that are gone by now."""
+
+        def rows() -> DataFrame:
+            own = lambda c: self.readable(c).select("path", "type", "aliases")
+            return names.name_index(names.base_pages(own("base_content"), self.state.select("path", "renamed_from"), own("removed")))
+
+        return self._kept("names of the base", rows)
 
     # ---------------------------------------------------------------- sections and records
 
@@ -142,11 +155,12 @@ class Bundle:
 
     # ---------------------------------------------------------------- checks
 
-    def findings(self, index: DataFrame | None = None, under: str = "own names") -> DataFrame:
-        """Every finding of the state, routed. ``index``: another name index, to judge the pages ``under`` other names."""
-        law, pages = self.law, self.pages()
-        index = index if index is not None else self.names()
-        ok, typed, judged = self.readable(), self.typed(), self.judged()
+    def findings(self, only: DataFrame | None = None) -> DataFrame:
+        """Every finding of the state, routed. ``only``: paths; of other pages, just what is found on no single page is told."""
+        part = "all" if only is None else "some"
+        own_part = lambda rows: rows if only is None else rows.join(only.select("path"), "path", "left_semi")
+        pages, ok, typed, judged = map(own_part, (self.pages(), self.readable(), self.typed(), self.judged()))
+        records, index = own_part(self.records()), self.names()
         blank = F.trim(F.coalesce("type", F.lit(""))) == ""
         first = [
             _finding(pages.filter("code is not null"), F.col("code"), F.col("message"), line=F.col("code_line")),
@@ -155,18 +169,52 @@ class Bundle:
             _finding(typed.filter("abstract"), "abstract-type", F.col("type")),
         ]
         own = [
-            self._shapes(judged), self._references(judged, index), *self._tags(judged), self._links(judged, index), *self._sections(judged), *self._items(judged, index), *self._rules(judged, index), self._source_paths(), *self._unevaluated(judged),
+            self._shapes(judged), self._references(judged, index), *self._tags(judged), self._links(judged, index), *self._sections(judged), *self._items(judged, records), self._relations(records, index), *self._rules(judged, index), self._source_paths(records), *self._unevaluated(judged),
         ]
         if self.has_base:
             own += self._renames(judged) + self._transitions(judged, index)
-        on_pages = self._waived(judged, self._kept(f"on pages {under}", lambda: _union(own)))
-        wide = [
-            _finding(names.collisions(ok, law.title_is_name).filter("path <> owner"), "identity-collision", F.concat("ident", F.lit(" belongs to "), "owner")),
+        on_pages = self._waived(judged, self._kept(f"on pages {part}", lambda: _union(own)))
+        return self._kept(f"findings {part}", lambda: self._routed(_union([*first, on_pages, *self._wide()])))
+
+    def _routed(self, rows: DataFrame) -> DataFrame:
+        return verdict.route(rows, verdict.routes(self.spark))
+
+    def _wide(self) -> list[DataFrame]:
+        """What several pages are to each other, and what isn't read: names with two owners, numbers of pages of a type, skipped paths."""
+        ok = self.readable()
+        return [
+            _finding(names.collisions(ok, self.law.title_is_name).filter("path <> owner"), "identity-collision", F.concat("ident", F.lit(" belongs to "), "owner")),
             self._instances(ok),
             _finding(self.spark.createDataFrame(self.skipped, "path string, reason string"), "path-skipped", F.col("reason"), "warning"),
         ]
-        rows = _union([*first, on_pages, *wide])
-        return self._kept(f"findings {under}", lambda: verdict.route(rows, verdict.routes(self.spark)))
+
+    def wide_findings(self) -> DataFrame:
+        return self._kept("wide", lambda: self._routed(_union(self._wide())))
+
+    # ---------------------------------------------------------------- what changed names do
+
+    def written_names(self) -> DataFrame:
+        """(path, ident) of every name that the judged pages write: links, relations, cited pages, fields that name pages."""
+        idents = F.concat(F.transform("links", lambda x: x["ident"]), F.transform(F.filter("items", lambda i: i["relation"].isNotNull()), lambda i: i["relation"]["ident"]), F.transform(F.filter("items", lambda i: i["claim"]["prov_kind"] == "page"), lambda i: i["claim"]["prov_key"]))
+        rows, fields = self.judged().select("path", F.explode(F.array_distinct(idents)).alias("ident")), self._reference_rows(self.judged())
+        return rows if fields is None else rows.union(fields.select("path", T.ident(F.trim("target_name"))))
+
+    def renamed_users(self) -> DataFrame:
+        """(path) of the pages that write a name which the base's index answers otherwise; what other pages' findings say of names is the same under both."""
+        return self._kept("users of changed names", lambda: names.name_users(self.written_names(), names.name_changes(self.names(), self.base_names())))
+
+    def name_readers(self) -> list[str]:
+        return [*verdict.NAME_READERS, *self.law.rules()]
+
+    def name_findings(self, paths: DataFrame, index: DataFrame, under: str) -> DataFrame:
+        """Findings that depend on names, of the pages at ``paths`` judged under a name index."""
+
+        def rows() -> DataFrame:
+            judged = self.judged().join(paths.select("path"), "path", "left_semi")
+            found = [self._references(judged, index), self._links(judged, index), self._relations(self.records().join(paths.select("path"), "path", "left_semi"), index), *self._rules(judged, index)]
+            return self._routed(self._waived(judged, self._kept(f"read under {under}", lambda: _union(found)))).filter(F.col("rule").isin(*self.name_readers()))
+
+        return self._kept(f"findings under {under}", rows)
 
     def _shapes(self, pages: DataFrame) -> DataFrame:
         law, registered = self.law, self.law.engine.get("extensions", {}).get("mode", "registered") == "registered"
@@ -183,6 +231,20 @@ class Bundle:
 
     def _references(self, pages: DataFrame, index: DataFrame) -> DataFrame:
         """Fields that name pages: the target exists, is of the type and below the root that the field asks for."""
+        rows = self._reference_rows(pages)
+        if rows is None:
+            return _finding(pages.limit(0), "page-ref-type", "")
+        found = names.resolve(rows, index).join(self._types.select(F.col("type").alias("target_type"), "chain"), "target_type", "left")
+        chain = F.coalesce("chain", F.array("target_type"))
+        wrong = F.filter("required", lambda r: ~F.array_contains(chain, r))
+        outside = (F.size("roots") > 0) & ~F.exists("roots", lambda r: F.col("target").startswith(F.concat(r, F.lit("/"))))
+        is_path = F.col("target_name").contains("/") | F.col("target_name").endswith(".md")
+        kinds = F.when(F.col("target").isNull(), F.array(F.when(is_path, "path").otherwise("unresolved"))).otherwise(F.concat(F.transform(wrong, lambda _: F.lit("type")), F.when(outside, F.array(F.lit("root"))).otherwise(F.array().cast("array<string>"))))
+        bad = found.withColumn("kind", F.explode(kinds))
+        return _finding(bad, "page-ref-type", F.concat_ws(" ", "field", "target_name", "kind"), details={"kind": F.col("kind"), "field": F.col("field"), "target": F.coalesce("target", "target_name")})
+
+    def _reference_rows(self, pages: DataFrame) -> DataFrame | None:
+        """(path, field, target_name, required, roots) of each name in a field that names pages, None if no type has one."""
         parts = []
         fields: dict[tuple, list[str]] = {}
         for t in self.law.types.values():
@@ -195,16 +257,7 @@ class Bundle:
             value = text if kind == "page-ref-list" else F.array_compact(F.array(text))
             rows = pages.filter(F.col("type").isin(*of)).select("path", F.lit(key).alias("field"), F.explode(value).alias("target_name"), F.array(*map(F.lit, types)).cast("array<string>").alias("required"), F.array(*map(F.lit, [r for x in roots for r in (self.law.content_roots if x == "content" else [x])])).cast("array<string>").alias("roots"))
             parts.append(rows)
-        if not parts:
-            return _finding(pages.limit(0), "page-ref-type", "")
-        found = names.resolve(_union(parts), index).join(self._types.select(F.col("type").alias("target_type"), "chain"), "target_type", "left")
-        chain = F.coalesce("chain", F.array("target_type"))
-        wrong = F.filter("required", lambda r: ~F.array_contains(chain, r))
-        outside = (F.size("roots") > 0) & ~F.exists("roots", lambda r: F.col("target").startswith(F.concat(r, F.lit("/"))))
-        is_path = F.col("target_name").contains("/") | F.col("target_name").endswith(".md")
-        kinds = F.when(F.col("target").isNull(), F.array(F.when(is_path, "path").otherwise("unresolved"))).otherwise(F.concat(F.transform(wrong, lambda _: F.lit("type")), F.when(outside, F.array(F.lit("root"))).otherwise(F.array().cast("array<string>"))))
-        bad = found.withColumn("kind", F.explode(kinds))
-        return _finding(bad, "page-ref-type", F.concat_ws(" ", "field", "target_name", "kind"), details={"kind": F.col("kind"), "field": F.col("field"), "target": F.coalesce("target", "target_name")})
+        return _union(parts) if parts else None
 
     @staticmethod
     def _reserved_refs() -> dict:
@@ -248,8 +301,8 @@ class Bundle:
         carried = moved.select("path", F.explode("aliases").alias("a")).select("path", T.ident("a").alias("_old"))
         return [_finding(moved.join(carried, ["path", "_old"], "left_anti"), "renamed-without-alias", F.col("renamed_from"), details={"from": F.col("renamed_from")})]
 
-    def _source_paths(self) -> DataFrame:
-        cited = self.records().filter("claim.prov_kind = 'path'").select("path", "line", "heading", "occurrence", F.col("claim.prov_value").alias("source"))
+    def _source_paths(self, records: DataFrame | None = None) -> DataFrame:
+        cited = (records if records is not None else self.records()).filter("claim.prov_kind = 'path'").select("path", "line", "heading", "occurrence", F.col("claim.prov_value").alias("source"))
         facts = self.sources if self.sources is not None else None
         told = E.source_status(cited, facts) if facts is not None else cited.withColumn("status", F.lit("unmeasured"))
         bad = told.filter("status <> 'present'")
@@ -285,8 +338,12 @@ class Bundle:
         g = F.col("grammar")
         return F.when(g == "claims", F.col("claim").isNotNull()).when(g == "relations", F.col("relation").isNotNull()).when(g == "entries", F.col("entry").isNotNull()).otherwise(True)
 
-    def _items(self, pages: DataFrame, index: DataFrame) -> list[DataFrame]:
-        rows = self.records()
+    def _relations(self, records: DataFrame, index: DataFrame) -> DataFrame:
+        relations = records.filter("grammar = 'relations' and relation is not null")
+        unresolved = names.resolve(relations.select("path", "line", "heading", "occurrence", F.col("relation.target_name").alias("target_name")), index).filter("verdict = 'unresolved'")
+        return _finding(unresolved, "relation-target-unresolved", F.col("target_name"), details={"target": F.col("target_name"), "line": F.col("line")}, line=F.col("line"), heading=F.col("heading"), occurrence=F.col("occurrence"))
+
+    def _items(self, pages: DataFrame, rows: DataFrame) -> list[DataFrame]:
         at = {"line": F.col("line"), "heading": F.col("heading"), "occurrence": F.col("occurrence")}
         claims, relations = rows.filter("grammar = 'claims' and claim is not null"), rows.filter("grammar = 'relations' and relation is not null")
         # one row a claim, with an array of what is wrong with it
@@ -301,7 +358,6 @@ class Bundle:
         used = used.join(modes, F.col("vocabulary") == F.col("_m"), "left").join(vocabulary, (F.col("vocabulary") == F.col("_v")) & (F.col("value") == F.col("entry")), "left")
         known = F.when(F.col("status") == "retired", "vocabulary-retired").when(F.col("entry").isNull() & (F.col("own_mode") == "registered"), "vocabulary-unknown")
         code = F.coalesce(known, F.when(F.col("categories").isNotNull() & ~F.array_contains("categories", F.col("value")), "category-not-allowed"))
-        unresolved = names.resolve(relations.select("path", "line", "heading", "occurrence", F.col("relation.target_name").alias("target_name")), index).filter("verdict = 'unresolved'")
         needs = self.spark.createDataFrame([(t.name, list(s.path), r["labels"], r["min"]) for t in self.law.types.values() for s in t.sections for r in s.params.get("require", [])], "type string, section array<string>, labels array<string>, least int")
         held = relations.groupBy("path", "address").agg(F.collect_list("relation.label").alias("own"))  # a section holds at most 5,000 items
         short = self.sections(pages).filter("policy is not null").select("path", "type", "address", "line", "heading", "occurrence", F.col("policy.path").alias("section")).join(F.broadcast(needs), ["type", "section"]).join(held, ["path", "address"], "left")
@@ -309,7 +365,6 @@ class Bundle:
         return [
             _finding(rows.filter(~self._read()), "item-unparsed", F.col("raw"), details={"line": F.col("line")}, **at),
             _finding(wrong, F.col("code"), F.col("raw"), details={"line": F.col("line")}, **at),
-            _finding(unresolved, "relation-target-unresolved", F.col("target_name"), details={"target": F.col("target_name"), "line": F.col("line")}, **at),
             _finding(used.withColumn("code", code).filter("code is not null"), F.col("code"), F.col("value"), details={"value": F.col("value"), "line": F.col("line")}, **at),
             _finding(short, "require-unmet", F.array_join("labels", ","), details={"labels": F.array_join("labels", ",")}, **at),
         ]
@@ -369,16 +424,20 @@ class Bundle:
         held = [(t, r) for t in self.law.types.values() if not t.abstract for r in t.rules]
         if not held:
             return [_finding(pages.limit(0), "rule-error", "")]
-        if any("target" in r["expr"] or "links" in r["expr"] or "provenance" in r["expr"] for _, r in held):
+        by_names = any("target" in r["expr"] or "links" in r["expr"] or "provenance" in r["expr"] for _, r in held)
+        if by_names:
             pages = self._resolved(pages, index)
         else:
             pages = pages.withColumn("resolved", F.create_map().cast("map<string,struct<resolved:boolean,path:string,type:string>>"))
         governed = pages.filter(F.col("type").isin(*{t.name for t, _ in held})).withColumn("_front", F.try_parse_json("frontmatter"))
         governed = governed.drop("declared").join(self._types.select("type", "declared"), "type")
         if any(cel.reads(r["expr"], "before") for _, r in held):
-            governed = self._with_before(governed)
+            governed = self._with_before(governed, by_names)
         facts = {"vocabularies": cel.Const({n: list(v["entries"]) for n, v in self.law.vocabularies.items()}), "ancestry": cel.Const({t.name: t.ancestry for t in self.law.types.values()}), "links": F.col("resolved")}
         sections = governed.select("*", F.posexplode("sections").alias("_n", "_s")).withColumn("_policy", self._policy(F.col("_s.section_path"), F.col("declared"))["d"]["path"])
+        if "_b_sections" in sections.columns:  # the base's section at the same address under the same declaration
+            own = F.filter("_b_sections", lambda s: (s["address"] == F.col("_s.address")) & self._policy(s["section_path"], F.col("_b_declared"))["d"]["path"].eqNullSafe(F.col("_policy")))
+            sections = sections.withColumn("_bs", F.get(own, 0))
         out = []
         for rows, wanted in ((governed, [(t, r) for t, r in held if r.get("section") is None]), (sections, [(t, r) for t, r in held if r.get("section") is not None])):
             by_section = rows is sections
@@ -389,13 +448,18 @@ class Bundle:
                 if cel.reads(r["expr"], "before"):
                     if not self.has_base:
                         continue  # told as unevaluated
-                    env["before"] = {"present": F.col("_b_path").isNotNull(), "page": self._page_env(t, "_b_")}
+                    env["before"] = {"present": F.col("_b_path").isNotNull(), "page": self._page_env(t, "_b_") | {"type": F.coalesce("_b_type", F.lit(t.name))}}
                     on = on & F.col("_base_reads")
                 if by_section:
                     path = L.section_path(r["section"])
                     grammar = next((s.grammar for s in t.sections if s.path == path), "prose")
-                    records = cel.Records(self._records(grammar, F.col("_n")), RECORDS[grammar]) if grammar in RECORDS else F.array().cast("array<string>")
-                    env["section"] = {"items": records, "heading": F.col("_s.heading"), "raw": F.col("_s.raw"), "direct": F.col("_s.direct"), "path": F.col("_s.heading_path"), "mode": F.lit(grammar), "location": {"line": F.col("_s.line")}}
+                    env["section"] = self._section_env(grammar, "_s", F.col("_n"))
+                    if "before" in env:
+                        was = self._section_env(grammar, "_bs", F.col("_bs.seq"), "_b_items", "_b_resolved")
+                        items, line = cel.as_column(was["items"]), was["location"]["line"]
+                        whole = F.struct(items.alias("items"), F.struct(line.alias("line")).alias("location"), *(was[c].alias(c) for c in ("heading", "raw", "direct", "path", "mode")))
+                        fields = {"items": (RECORDS[grammar],) if grammar in RECORDS else None, "location": {"line": None}, "heading": None, "raw": None, "direct": None, "path": None, "mode": None}
+                        env["before"]["section"] = cel.Struct(F.when(F.col("_bs").isNotNull(), whole), fields)
                     on = on & (F.col("_policy") == F.array(*map(F.lit, path)))
                 told = lambda rule, severity, message, kind, r=r: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(r["id"]).alias("own"), F.lit(kind).alias("kind"))
                 failed = told(r["id"], r.get("severity", "error"), r["message"], None)
@@ -412,12 +476,22 @@ class Bundle:
             out.append(_finding(bad, F.col("f.rule"), F.col("f.message"), F.col("f.severity"), details={"rule": F.col("f.own"), "kind": F.col("f.kind")}, **place))
         return out or [_finding(pages.limit(0), "rule-error", "")]
 
-    def _with_before(self, pages: DataFrame) -> DataFrame:
-        """Pages with their base page's columns under the prefix _b_, null for a new page; _base_reads is false where the base isn't a page."""
+    def _section_env(self, grammar: str, at: str, seq: Column, items: str = "items", resolved: str = "resolved") -> dict:
+        """What rules read of a section: its column, its number, and the items and names of its page."""
+        records = cel.Records(self._records(grammar, seq, items, resolved), RECORDS[grammar]) if grammar in RECORDS else F.array().cast("array<string>")
+        return {"items": records, "heading": F.col(f"{at}.heading"), "raw": F.col(f"{at}.raw"), "direct": F.col(f"{at}.direct"), "path": F.col(f"{at}.heading_path"), "mode": F.lit(grammar), "location": {"line": F.col(f"{at}.line")}}
+
+    def _with_before(self, pages: DataFrame, by_names: bool = True) -> DataFrame:
+        """Pages with their base page's columns under the prefix _b_, null for a new page; _base_reads is false where the base isn't a page.
+
+        The names that a base page writes stand for what they stood for at the base.
+        """
         if not self.has_base:
             return pages
-        cols = ("path", "frontmatter", "body", "tags", "aliases")
-        base = self.pages("base_content").select(F.col("path").alias("_p"), "code", *(F.col(c).alias(f"_b_{c}") for c in cols))
+        cols = ("path", "type", "frontmatter", "body", "tags", "aliases", "sections", "items", "declared", "resolved")
+        base = self.pages("base_content").join(self._types.select("type", "declared"), "type", "left")
+        base = self._resolved(base, self.base_names()) if by_names else base.withColumn("resolved", F.create_map().cast("map<string,struct<resolved:boolean,path:string,type:string>>"))
+        base = base.select(F.col("path").alias("_p"), "code", *(F.col(c).alias(f"_b_{c}") for c in cols))
         out = pages.join(base, F.col("path") == F.col("_p"), "left").withColumn("_base_reads", F.col("code").isNull())
         return out.withColumn("_b__front", F.try_parse_json("_b_frontmatter")).drop("_p", "code")
 
@@ -570,7 +644,7 @@ class Bundle:
         prefix = git.prefix_of(self.root)
         listing = lambda rows: E.listed_sources(self.spark.createDataFrame([(m, p[len(prefix) + 1 :] if prefix else p) for m, _, p in rows if not prefix or p.startswith(prefix + "/")], "mode string, path string"), list(law.engine.get("source_roots", []))) if law.engine.get("source_roots") else None
         index_rows = [(m, o, f"{prefix}/{p}" if prefix else p) for m, o, p in git.index_entries(self.root)]
-        with Bundle(self.spark, self.root, state, law, listing(index_rows)) as other:
+        with Bundle(self.spark, self.root, state, law, listing(index_rows), removed=git.removed_pages(self.spark, self.root, law.content_roots)) as other:
             found = other.findings()
             staged = lawdiff.law_staged(self.root, law, head_law)
             if git.head(self.root) is None or staged:
@@ -579,13 +653,13 @@ class Bundle:
             old = transitions.inherited(lines("base_content"), lines("content"), ["path", "text"], ["line"])
             touched = state.filter("base_content is null or base_content <> content or renamed_from is not null").select("path")
             # findings that the same pages didn't have under the base's names are the names' doing
-            readers = [*verdict.NAME_READERS, *law.rules()]
-            base_names = names.name_index(other.readable("base_content").select("path", "type", "aliases"))
-            before = other._kept("under base names", lambda: other.findings(base_names, "base names").filter(F.col("rule").isin(*readers)).select(verdict.key().alias("_k")).distinct().withColumn("_same", F.lit(True)))
-            caused = F.col("rule").isin(*readers) & F.col("_same").isNull() & (F.col("path") != "")
-            marked = found.withColumn("_k", verdict.key()).join(before, "_k", "left").withColumn("caused", caused).drop("_k", "_same")
-            marked = self._source_caused(marked, other.sources, listing(git.tree_entries(self.root, "HEAD")))
-            scoped = other._kept("scoped", lambda: verdict.gate_scope(marked, old, touched, verdict.VAULT_WIDE))
+            users = other.renamed_users()
+            before = other.name_findings(users, other.base_names(), "base names")
+            marked = self._source_caused(verdict.caused_by_names(found, before, users, other.name_readers()), other.sources, listing(git.tree_entries(self.root, "HEAD")))
+            flat = lambda c: other.readable(c).select("path", F.inline("sections")).select("path", "heading", "occurrence", "line", "raw")
+            same = transitions.unchanged_sections(flat("content"), flat("base_content"))
+            own = sorted({r for t in law.types.values() for r in other._transition_rules(t)})
+            scoped = other._kept("scoped", lambda: verdict.gate_scope(marked, old, touched, verdict.VAULT_WIDE, same, own))
             out = other.report(scoped, limit, rule, path) | {"scoped": True, "refusals": {r.rule: r.findings for r in verdict.by_rule(scoped.filter("severity = 'error'")).collect()}}
         state.unpersist()
         return out

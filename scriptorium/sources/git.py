@@ -238,6 +238,13 @@ def revision_state(spark: SparkSession, root: str, rev: str, content_roots: list
     return _rows(spark, root, tree_entries(root, rev), content_roots, prefix_of(root))
 
 
+def removed_pages(spark: SparkSession, root: str, content_roots: list[str]) -> DataFrame:
+    """(path, content) of the pages at HEAD that the staged diff deletes."""
+    prefix = prefix_of(root)
+    gone = {f"{prefix}/{p}" if prefix else p for s, p, _ in staged(root) if s == "D"}
+    return _rows(spark, root, [x for x in tree_entries(root, "HEAD") if x[2] in gone] if gone else [], content_roots, prefix)
+
+
 def index_state(spark: SparkSession, root: str, content_roots: list[str]) -> DataFrame:
     """(path, content, base_content, renamed_from): the index against HEAD; a rename keeps its source as base.
 

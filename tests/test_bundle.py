@@ -115,6 +115,75 @@ def test_gate(spark, root):
     assert git.revision_state(spark, str(root), head, ["wiki"]).count() == 2
 
 
+PLOT = """
+type: plot
+role: concept
+description: A plot.
+fields:
+  type: object
+  properties: { beside: { $ref: "#/$defs/page-ref" } }
+sections:
+  list:
+    - { heading: Notes }
+    - { heading: Facts, grammar: claims, provenance: optional }
+rules:
+  - { id: no-frost, section: Notes, expr: '!section.raw.contains("frost")', message: frost }
+  - { id: facts-stay, section: Facts, expr: '!before.present || !has(before.section) || before.section.items.size() <= section.items.size()', message: facts went }
+  - { id: cites-page, section: Facts, expr: '!before.present || before.section.items.all(i, i.provenance.kind != "page" || i.provenance.page.resolved)', severity: warning, message: cited nothing }
+"""
+
+
+def _plots(root, files):
+    import shutil
+
+    shutil.rmtree(root / "wiki")
+    for name, text in files.items():
+        (root / "wiki" / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / "wiki" / name).write_text(text)
+
+
+def test_gate_follows_names_and_sections(spark, root):
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    (root / "constitution/types/plot.yaml").write_text(PLOT)
+    plot = lambda beside, notes, facts="": f"---\ntype: plot\n{beside}---\n\n## Notes\n\n{notes}\n\n## Facts\n\n{facts}"
+    names = {"B.md": plot("", "Chalk and flint up to the hedge."), "Old.md": plot("", "Dry."), "D.md": plot("", "Peat below, gravel above.")}
+    files = names | {
+        "A.md": plot("beside: B\n", "Wet."), "C.md": plot("", "Warm."), "E.md": plot("beside: Old\n", "Sandy."), "Cold.md": plot("", "Late frost."), "F.md": plot("beside: D\n", "Clay.", "- [soil] One ([[B]])\n- [soil] Two ([[Nobody]])\n"),
+    }
+    _plots(root, files)
+    run("init", "-q")
+    run("add", "-A")
+    run("commit", "-qm", "start")
+    # B goes although A names it, Old moves without an alias although E names it, C's section changes below its heading,
+    # Cold keeps its old frost and gains a line elsewhere, F loses a fact
+    (root / "wiki/B.md").unlink()
+    run("mv", "wiki/Old.md", "wiki/sub-new.md")
+    (root / "wiki/C.md").write_text(files["C.md"].replace("Warm.", "Early frost."))
+    (root / "wiki/Cold.md").write_text(files["Cold.md"] + "- [soil] New\n")
+    (root / "wiki/F.md").write_text(files["F.md"].replace("- [soil] Two ([[Nobody]])\n", ""))
+    run("add", "-A")
+    with Bundle(spark, str(root)) as bundle:
+        assert {r.path for r in git.removed_pages(spark, str(root), ["wiki"]).collect()} == {"wiki/B.md"}
+        out = bundle.gate(None)
+    got = {(f["path"].rpartition("/")[2], f["rule"], f["severity"]) for f in out["findings"]}
+    assert out["exit"] == 5 and out["scoped"]
+    assert {("A.md", "page-ref-type", "error"), ("E.md", "page-ref-type", "error"), ("C.md", "no-frost", "error"), ("Cold.md", "no-frost", "warning"), ("F.md", "facts-stay", "error"), ("F.md", "cites-page", "warning"), ("sub-new.md", "renamed-without-alias", "error")} <= got
+    assert not {r for p, r, _ in got if p in ("A.md", "E.md")} - {"page-ref-type"} and ("F.md", "page-ref-type", "error") not in got
+    # without a base a rule on the section before can't be judged
+    with Bundle(spark, str(root)) as bundle:
+        told = bundle.check(None)
+    assert {"facts-stay", "cites-page"} <= set(told["unevaluated"]) and told["unevaluated"]["facts-stay"] == ["no-base"]
+    # an alias that keeps the old name, and A no longer naming B, let the commit through
+    (root / "wiki/sub-new.md").write_text(plot("aliases: [Old]\n", "Dry."))
+    (root / "wiki/A.md").write_text(plot("beside: D\n", "Wet."))
+    (root / "wiki/C.md").write_text(files["C.md"])
+    (root / "wiki/F.md").write_text(files["F.md"])
+    run("add", "-A")
+    with Bundle(spark, str(root)) as bundle:
+        out = bundle.gate(None)
+    assert out["exit"] == 0, out["findings"]
+
+
 def test_parser():
     page = markdown.parse_page("a.md", "---\r\ntype: x\n---\n# A\n\n```\n# not\n- no\n```\n> # quoted\n\n## B\n- one\n    - deeper\n1. two\n\nTitle\n---\n## B\n- three\n".encode())
     assert [(s["heading"], s["depth"], s["address"]) for s in page["sections"]] == [("A", 1, "A#0"), ("B", 2, "A#0/B#0"), ("Title", 2, "A#0/Title#0"), ("B", 2, "A#0/B#1")]
