@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.sources import store
 
 #: BM25 constants, weight of names and headings, fusion constant, name similarity, weights of the ladder.
 K1, B, BOOST, RRF_K, NEAR_LEAST, NEAR_LIMIT = 1.2, 0.75, 3, 60, 0.40, 20
@@ -144,20 +145,23 @@ def ladder(pages: DataFrame, query: str) -> DataFrame:
     return out.select("path", "type", demoted.alias("ladder"), marked.alias("reasons"), band.alias("band"), "retired")
 
 
-def search(pages: DataFrame, query: str, keep: Column | None = None, band: str | None = None, limit: int | None = None) -> DataFrame:
+def search(pages: DataFrame, query: str, keep: Column | None = None, band: str | None = None, limit: int | None = None, kept=None) -> DataFrame:
     """Fused search: (path, band, ladder, lexical, score, reasons, rank) in rank order.
 
     ``keep`` filters pages (columns of ``pages``) after the statistics are taken.
-    Ranks are over all pages that match the query, cut into pieces of the order.
+    Ranks are over all pages that match the query, cut into pieces of the order. The matching pages, without their texts,
+    are written once (``kept``: name and rows to the table read back), so the texts are looked at once and not for each rank.
     """
+    kept = kept or (lambda name, rows: store.kept(rows(), name)[0])
     spark = pages.sparkSession
     asked = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
-    kept = pages if keep is None else pages.filter(keep)
-    lexical = bm25(pages, asked).join(kept.select("path"), "path", "left_semi").select("path", F.col("score").alias("lexical"))
-    names = ladder(kept, query)
-    first = ranked(names.filter("ladder > 0").select("path", "ladder"), ["ladder", "path"], "r1").select("path", "r1")
-    second = ranked(lexical, ["lexical", "path"], "r2")
-    fused = first.join(second, "path", "full").join(names, "path")
+    chosen = pages if keep is None else pages.filter(keep)
+    lexical = bm25(pages, asked).join(chosen.select("path"), "path", "left_semi").select("path", F.col("score").alias("lexical"))
+    names = ladder(chosen, query)
+    found = kept(f"found for {query}", lambda: names.join(lexical, "path", "left").filter("ladder > 0 or lexical is not null").select("path", "band", "ladder", "reasons", "lexical"))
+    first = ranked(found.filter("ladder > 0").select("path", "ladder"), ["ladder", "path"], "r1").select("path", "r1")
+    second = ranked(found.filter("lexical is not null").select("path", F.col("lexical").alias("lex")), ["lex", "path"], "r2").select("path", "r2")
+    fused = kept(f"ranks for {query}", lambda: found.join(first, "path", "left").join(second, "path", "left"))
     part = lambda r: F.coalesce(1 / (RRF_K + F.col(r)), F.lit(0.0))
     why = F.array_compact(F.array(F.concat(F.lit("rrf:identity#"), F.col("r1").cast("string")), F.concat(F.lit("rrf:bm25#"), F.col("r2").cast("string"))))
     out = fused.select("path", "band", "ladder", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.round(part("r1") + part("r2"), 6).alias("score"), F.concat("reasons", why).alias("reasons"))

@@ -11,6 +11,7 @@ import json
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scriptorium.functions.text import fold
 
@@ -158,16 +159,22 @@ def splice(text: str, ops: list[tuple[str, str, str]]) -> str:
 def apply(pages: DataFrame, ops: DataFrame) -> DataFrame:
     """(path, text, refused) of the pages (path, text) that have operations (path, seq, op, key, value)."""
 
-    def run(key, page, own):
-        import pandas as pd
-
-        rows = [(r.op, r.key, r.value) for r in own.sort_values("seq").itertuples()]
-        if page.empty or not rows:
-            return pd.DataFrame([(key[0], None, "no such page")] if rows else [], columns=["path", "text", "refused"])
-        try:
-            return pd.DataFrame([(key[0], splice(page["text"][0], rows), None)], columns=["path", "text", "refused"])
-        except SpliceRefused as e:
-            return pd.DataFrame([(key[0], page["text"][0], str(e))], columns=["path", "text", "refused"])
-
-    touched = pages.select("path", "text").join(ops.select("path").distinct(), "path", "left_semi")
-    return touched.groupBy("path").cogroup(ops.groupBy("path")).applyInPandas(run, "path string, text string, refused string")
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for path, text, own in zip(*(batch[c].to_pylist() for c in ("path", "text", "ops")), strict=True):
+                if text is None:
+                    out.append((path, None, "no such page"))
+                    continue
+                try:
+                    out.append((path, splice(text, [(o["op"], o["key"], o["value"]) for o in own]), None))
+                except SpliceRefused as e:
+                    out.append((path, text, str(e)))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "text", "refused"])
+
+    # a page has as many operations as its author wrote; the rows stay in Arrow batches, no group a page
+    listed = ops.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "key", "value"))).alias("ops"))
+    return listed.join(pages.select("path", "text"), "path", "left").select("path", "text", "ops").mapInArrow(run, "path string, text string, refused string")

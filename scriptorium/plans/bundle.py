@@ -527,7 +527,7 @@ class Bundle:
         new = transitions.multiset_except(dated(now), dated(base), ["path", "section", "text"], ["line"])
         is_open = "grammar = 'claims' and claim is not null and not claim.closed"
         claim = lambda d: d.select("path", F.col("line").alias("pos"), F.concat_ws("\0", F.array_join("section", "\0"), "claim.category").alias("category"), F.concat_ws("\0", "claim.prov_kind", F.coalesce("claim.prov_value", F.lit(""))).alias("provenance"), F.col("claim.core").alias("core"))
-        lost = transitions.claims_lost(claim(base.filter(is_open)), claim(now.filter("grammar = 'claims' and claim is not null")), new.select("path", "text"))
+        lost = transitions.claims_lost(claim(base.filter(is_open)), claim(now.filter("grammar = 'claims' and claim is not null")), new.select("path", "text"), self._kept)
         relation = lambda d: names.resolve_as(d.filter("grammar = 'relations' and relation is not null").select("path", F.array_join("section", "\0").alias("section"), F.col("line").alias("pos"), F.col("relation.label").alias("label"), F.col("relation.target_name").alias("target"), "history"), index, "target", "resolved")
         gone = transitions.relations_removed(relation(base), relation(now))
         quoted = transitions.quoted_relations(new.select(F.concat_ws("\0", "path", F.element_at("section", -1)).alias("path"), "text"))
@@ -718,7 +718,7 @@ class Bundle:
         keep = self.searchable(kind, tag, title) if kind or tag or title else None
         if query is None:
             return search.only_filtered(self.readable(), keep if keep is not None else F.lit(True))
-        return search.search(self.readable(), query, keep=keep, **options)
+        return search.search(self.readable(), query, keep=keep, kept=lambda name, rows: self._kept(f"{name} {kind} {tag} {title}", rows), **options)
 
     def search_report(self, query: str | None, limit: int = 20, near: bool = False, band: str | None = None, statuses: bool = False, **filters) -> dict:
         """Results, how many were found, what was run over how many pages, and near names if asked."""
