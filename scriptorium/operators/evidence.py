@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import refused_path
+from scriptorium.functions import text as T
+from scriptorium.sources import store
 
 # ------------------------------------------------------------------ source facts
 
@@ -67,69 +67,69 @@ def source_status(cited: DataFrame, facts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ citations
 
-_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-_CITED = re.compile(r"([^\s:]*)(?::(\d+)(?:-(\d+))?)?")
+#: A code span (a run of backticks up to the next run of its length), what can't be a path, and a path with lines.
+_SPAN, _NO_PATH, _CITED = r"(?s)(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", r"[*{<$\s]|://", r"^([^\s:]*)(?::([0-9]+)(?:-([0-9]+))?)?$"
 
 
-def scan_citations(text: str, top: set[str], covers: list[tuple[str, str]]) -> tuple[list[tuple[str, int | None]], list[tuple[str, str]], int]:
-    """(citations, problems, outside) of code spans that read as path, path:line, path:from-to, file name or :line.
+def owns(covers: Column, path: Column) -> Column:
+    """Whether one of the covers (array of path, kind) holds the path: all of them below ".", else by its own path, a tree by the start too."""
+    return F.exists(covers, lambda c: (c["path"] == ".") | (c["path"] == path) | ((c["kind"] == "tree") & path.startswith(F.concat(c["path"], F.lit("/")))))
 
-    ``top``: names at the repository's top; ``covers``: (path, blob or tree) of the pin. A bare :line belongs to the last
-    cited file that the covers own; a file outside them closes that. Citations are distinct; problems are (token, reason).
+
+def spans(bodies: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, token, raw, first, last) of the code spans of bodies (keys, body) that can be read as a path, as lines or as both."""
+    token = bodies.select(*keys, F.posexplode(F.regexp_extract_all("body", F.lit(_SPAN), F.lit(2))).alias("pos", "token"))
+    part = lambda k: F.regexp_extract("token", _CITED, k)
+    number = lambda k: F.when(part(k) != "", F.coalesce(part(k).try_cast("long"), F.lit(1 << 62)))  # noqa: E731  more digits than a line number has
+    read = token.filter(~F.col("token").rlike(_NO_PATH) & F.col("token").rlike(_CITED)).select("*", part(1).alias("raw"), number(2).alias("first"), number(3).alias("last"))
+    return read.filter("raw <> '' or first is not null")
+
+
+def placed(read: DataFrame) -> DataFrame:
+    """Spans (raw, first, top, covers) with ``kind`` and ``file``: a citation's own path, what the lines after it belong to ("" for a file outside).
+
+    kind: lines (no path), owned, outside, ambiguous (several covered files have the name); spans of prose are left out.
+    """
+    name = F.regexp_replace("raw", "/+$", "")
+    leaf = F.substring_index(name, "/", -1)
+    by_place = F.array_contains("top", F.substring_index(name, "/", 1)) | F.col("raw").endswith("/") | (name.contains("/") & leaf.contains("."))
+    same = F.transform(F.filter("covers", lambda c: (c["kind"] == "blob") & (F.substring_index(c["path"], "/", -1) == name)), lambda c: c["path"])
+    by_name = ~by_place & ~name.contains("/") & name.contains(".")
+    at = F.when(by_place, name).when(by_name & (F.size(same) == 1), F.get(same, 0))
+    kind = (
+        F.when(name == "", "lines").when(by_place & T.path_refusal(name).isNotNull(), "outside").when(by_name & (F.size(same) > 1), "ambiguous")
+        .when(at.isNotNull(), F.when(owns(F.col("covers"), at), "owned").otherwise("outside"))
+    )
+    tree = F.col("raw").endswith("/") | F.exists("covers", lambda c: (c["kind"] == "tree") & (c["path"] == F.col("at")))
+    rows = read.withColumns({"at": at, "kind": kind}).filter("kind is not null")
+    return rows.withColumn("file", F.when(F.col("kind").isin("outside", "ambiguous"), F.lit("")).when((F.col("kind") == "owned") & ~tree, F.col("at")))
+
+
+def carried(rows: DataFrame, keys: list[str], column: str = "file") -> DataFrame:
+    """Rows with the last known value of the column at or before them, in the order of pos; null before the first."""
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(column, F.last(column, ignorenulls=True).over(w))
+
+
+def citations(read: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, token, cited, line, problem, outside): what each placed span cites, or why it can't be told, or that it is outside the covers.
+
+    Lines alone belong to the file before them; before any file they are unattached. Lines count up from 1.
     """
-    cited: dict[tuple[str, int | None], None] = {}
-    problems: dict[tuple[str, str], None] = {}
-    outside, last = 0, None  # last: None, "" for a file outside, else the owned file
-    trees = {p for p, kind in covers if kind == "tree"}
-    owned = lambda p: any(c in (".", p) or (kind == "tree" and p.startswith(c + "/")) for c, kind in covers)
-    for span in _SPAN.finditer(text):
-        token = span[2]
-        m = None if re.search(r"[*{<$\s]|://", token) else _CITED.fullmatch(token)
-        if not m:
-            continue
-        raw, first, end = m[1], int(m[2]) if m[2] else None, int(m[3]) if m[3] else None
-        path = raw.rstrip("/")
-        if not path:
-            if first is None:
-                continue
-            if not last:
-                outside += last is not None
-                if last is None:
-                    problems[token, "unattached"] = None
-                continue
-            path = last
-        elif path.split("/")[0] in top or raw.endswith("/") or ("/" in path and "." in path.rpartition("/")[2]):
-            if refused_path(path):
-                last, outside = "", outside + 1
-                continue
-        elif "/" not in path and "." in path:
-            found = sorted(c for c, kind in covers if kind == "blob" and c.rpartition("/")[2] == path)
-            if not found:
-                continue
-            if len(found) > 1:
-                last = ""
-                problems[token, "ambiguous"] = None
-                continue
-            path = found[0]
-        else:
-            continue
-        if not owned(path):
-            last, outside = "", outside + 1
-            continue
-        if not raw.endswith("/") and path not in trees:
-            last = path
-        if first is not None and (first < 1 or (end is not None and end < first)):
-            problems[token, "malformed"] = None
-            continue
-        cited[path, end or first] = None
-    return sorted(cited, key=lambda c: (c[0], str(c[1] or ""))), list(problems), outside
+    rows = carried(placed(read), keys)
+    alone = F.col("kind") == "lines"
+    outside = (F.col("kind") == "outside") | (alone & (F.col("file") == ""))
+    malformed = (F.col("first") < 1) | (F.col("last") < F.col("first"))
+    problem = F.when(F.col("kind") == "ambiguous", "ambiguous").when(alone & F.col("file").isNull(), "unattached").when(~outside & F.coalesce(malformed, F.lit(False)), "malformed")
+    told = rows.withColumns({"problem": problem, "outside": F.coalesce(outside, F.lit(False))})
+    cites = F.col("problem").isNull() & ~F.col("outside")
+    return told.select(*keys, "token", F.when(cites, F.when(alone, F.col("file")).otherwise(F.col("at"))).alias("cited"), F.when(cites, F.coalesce("last", "first")).alias("line"), "problem", "outside")
 
 
 # ------------------------------------------------------------------ pins
 
 STATES = ("current", "unchanged", "stale", "unknown", "unmeasured")
 PIN = "struct<commit:string,origin:string,covers:array<string>>"
-MEASURED = "path string, field string, commit string, origin string, head string, state string, reason string, resolved string, behind long, touched array<string>, invalid array<string>, checked long, outside long, unresolved array<struct<path:string,line:int,reason:string>>"
 
 
 def pinned(pages: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
@@ -165,58 +165,93 @@ def repositories(root: str, origins: list[dict]) -> dict[str, dict]:
     return out
 
 
-def _measure(root_of: dict, commit: str, origin: str, covers: list[str], body: str) -> dict:
+_FACTS = "origin string, commit string, resolved string, reached boolean, behind long, changed array<string>, top array<string>"
+_OBJECTS = "origin string, resolved string, path string, kind string, lines long"
+
+
+def _by_origin(frames, of: dict, ask, columns: list[str]):
+    """Rows of ``ask(repository, rows of its origin)`` for the rows of a task: a question to git holds all of an origin's rows."""
+    import pandas as pd
+
+    held = pd.concat([f for f in frames] or [pd.DataFrame({"origin": []})])
+    for origin, rows in held.groupby("origin"):
+        yield pd.DataFrame(ask(of[origin], rows), columns=columns)
+
+
+def commit_facts(named: DataFrame, bound: dict) -> DataFrame:
+    """What the repositories know of the commits (origin, commit): five processes an origin and task, however many there are."""
+    from scriptorium.sources import git
+
+    def ask(at, rows):
+        told = git.commits(at["dir"], sorted(set(rows["commit"])), at["head"])
+        return [(rows["origin"].iloc[0], c, *told[c]) for c in sorted(told)]
+
+    return named.select("origin", "commit").distinct().mapInPandas(lambda frames: _by_origin(frames, bound, ask, ["origin", "commit", "resolved", "reached", "behind", "changed", "top"]), _FACTS)
+
+
+def objects(wanted: DataFrame, bound: dict) -> DataFrame:
+    """Kind (null if missing) and number of lines of the paths (origin, resolved, path) at their commits: two kinds of processes an origin and task."""
     from scriptorium.sources import git
 
-    at = root_of.get(origin)
-    out = {"head": at and at["head"], "state": "unmeasured", "reason": "remote-origin" if at is None else at["reason"]}
-    if out["reason"]:
-        return out
-    top, head = at["dir"], at["head"]
-    full = git.head(top, f"{commit}^{{commit}}")
-    if full is None or not git.is_ancestor(top, full, head):
-        return out | ({"reason": "shallow"} if at["shallow"] else {"state": "unknown"})
-    valid, invalid = [], [] if covers else ["<empty>"]
-    for c in covers:
-        path = c.removesuffix("/")
-        kind = "tree" if c == "." else None if refused_path(path) or path.startswith(":") else git.object_type(top, f"{full}:{path}")
-        if kind in ("blob", "tree") and not (c.endswith("/") and kind != "tree"):
-            valid.append((path, kind))
-        else:
-            invalid.append(c)
-    if invalid:
-        return out | {"state": "unknown", "reason": "coverage-invalid", "resolved": full, "invalid": invalid}
-    touched = git.changed_since(top, full, covers)
-    cited, problems, outside = scan_citations(body, set(git.root_names(top, full)), list(dict.fromkeys(valid)))
-    kinds, lines, lost = {}, {}, {}
-    for path, line in cited:
-        spec = f"{full}:{path}"
-        if path not in kinds:
-            kinds[path] = git.object_type(top, spec)
-            lines[path] = git.line_count(top, spec) if kinds[path] == "blob" else 0
-        if kinds[path] is None:
-            lost[path, None, "missing"] = None
-        elif line is not None and line > lines[path]:
-            lost[path, line, "past-end"] = None
-    lost |= {(token, None, reason): None for token, reason in problems}
-    state = "stale" if touched else "current" if head == full else "unchanged"
-    return out | {"state": state, "resolved": full, "behind": git.commits_behind(top, full, head), "touched": touched, "checked": len(cited), "outside": outside, "unresolved": list(lost)}
-
-
-def measure(rows: DataFrame, root: str, origins: list[dict]) -> DataFrame:
-    """Pins (pinned rows) measured against their repositories; workers read the repositories, so they must reach them."""
-    bound = repositories(root, origins)
-    names = [x.split(" ")[0] for x in re.split(r", (?=[a-z]+ )", MEASURED)]
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            told = [{"path": r.path, "field": r.field, "commit": r.commit, "origin": r.origin} | _measure(bound, r.commit, r.origin, list(r.covers), r.body) for r in f.itertuples()]
-            out = pd.DataFrame([{n: t.get(n) for n in names} for t in told], columns=names)
-            yield out.astype({"behind": "Int64", "checked": "Int64", "outside": "Int64"})
-
-    return rows.mapInPandas(run, MEASURED)
+    def ask(at, rows):
+        pairs = sorted(set(zip(rows["resolved"], rows["path"], strict=True)))
+        told = git.kinds(at["dir"], [f"{c}:{'' if p == '.' else p}" for c, p in pairs])
+        return [(rows["origin"].iloc[0], c, p, kind, lines) for (c, p), (kind, lines) in zip(pairs, told, strict=True)]
+
+    return wanted.select("origin", "resolved", "path").distinct().mapInPandas(lambda frames: _by_origin(frames, bound, ask, ["origin", "resolved", "path", "kind", "lines"]), _OBJECTS)
+
+
+def measure(rows: DataFrame, root: str, origins: list[dict], kept=None) -> DataFrame:
+    """Pins (pinned rows) measured against their repositories, MEASURED; workers ask git, so they must reach the repositories.
+
+    Commits, covers and cited paths are tables: each is asked for once, in batches, and joined with the pins. ``kept``:
+    name and rows to the table read back, as what git says is read several times.
+    """
+    kept = kept or (lambda name, rows: store.kept(rows(), name)[0])
+    bound, spark = repositories(root, origins), rows.sparkSession
+    pin = ["path", "field"]
+    table = spark.createDataFrame([(n, r["head"], r["reason"], r["shallow"]) for n, r in bound.items()], "origin string, head string, why string, shallow boolean")
+    pins = rows.join(F.broadcast(table), "origin", "left").withColumn("why", F.when(F.col("shallow").isNull(), "remote-origin").otherwise(F.col("why")))  # origins: bounded by the law
+    facts = kept("pinned commits", lambda: commit_facts(pins.filter("why is null"), bound))
+    pins = pins.join(facts, ["origin", "commit"], "left")
+    open_ = pins.filter("why is null and reached")
+
+    listed = open_.select(*pin, "origin", "resolved", F.posexplode("covers").alias("k", "cover")).withColumn("at", F.regexp_replace("cover", "/$", ""))
+    sane = (F.col("cover") == ".") | (T.path_refusal(F.col("at")).isNull() & ~F.col("at").startswith(":"))
+    found = kept("covers", lambda: objects(listed.filter(sane).select("origin", "resolved", F.col("at").alias("path")), bound))
+    held = listed.join(found.select("origin", "resolved", F.col("path").alias("at"), "kind"), ["origin", "resolved", "at"], "left")
+    fits = sane & F.coalesce(F.col("kind").isin("blob", "tree") & ((F.col("kind") == "tree") | ~F.col("cover").endswith("/")), F.lit(False))
+    listed_as = lambda c, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("k", c.alias("c"))))), lambda x: x["c"])  # noqa: E731  as many as the pin has
+    covered = held.groupBy(*pin).agg(listed_as(F.struct(F.col("at").alias("path"), "kind"), fits).alias("owned"), listed_as(F.col("cover"), ~fits).alias("bad"))
+    pins = pins.join(covered, pin, "left").withColumn("invalid", F.when(F.size("covers") == 0, F.array(F.lit("<empty>"))).otherwise(F.coalesce("bad", F.array().cast("array<string>"))))
+    good = pins.filter("why is null and reached and size(invalid) = 0").select(*pin, "origin", "resolved", "top", F.array_distinct("owned").alias("covers"), "body")
+
+    read = spans(good, [*pin, "origin", "resolved", "top", "covers"])
+    cited = kept("citations", lambda: citations(read, [*pin, "origin", "resolved"]))
+    places = cited.filter("cited is not null").select(*pin, "origin", "resolved", F.col("cited").alias("at"), "line").distinct()
+    there = kept("cited objects", lambda: objects(places.select("origin", "resolved", F.col("at").alias("path")), bound))
+    judged = places.join(there.withColumnRenamed("path", "at"), ["origin", "resolved", "at"], "left")
+    why = F.when(F.col("kind").isNull(), "missing").when(F.col("line") > F.coalesce("lines", F.lit(0)), "past-end")
+    lost = F.struct(F.col("at").alias("path"), F.when(why == "past-end", F.col("line")).cast("int").alias("line"), why.alias("reason"))
+    by_path = judged.groupBy(*pin).agg(F.count("*").alias("checked"), F.collect_set(F.when(why.isNotNull(), lost)).alias("lost"))
+    odd = F.struct(F.col("token").alias("path"), F.lit(None).cast("int").alias("line"), F.col("problem").alias("reason"))
+    by_span = cited.groupBy(*pin).agg(F.count_if("outside").alias("outside"), F.collect_set(F.when(F.col("problem").isNotNull(), odd)).alias("odd"))
+
+    out = pins.join(by_path, pin, "left").join(by_span, pin, "left")
+    measured = F.col("why").isNull() & F.coalesce(F.col("reached"), F.lit(False))
+    ok = measured & (F.size("invalid") == 0)
+    touched = F.filter("changed", lambda p: owns(F.transform("owned", lambda c: F.struct(c["path"].alias("path"), F.lit("tree").alias("kind"))), p))
+    state = (
+        F.when(F.col("why").isNotNull() | (~measured & F.col("shallow")), "unmeasured").when(~measured | ~ok, "unknown").when(F.size(touched) > 0, "stale")
+        .when(F.col("head") == F.col("resolved"), "current").otherwise("unchanged")
+    )
+    reason = F.coalesce("why", F.when(~measured & F.col("shallow"), "shallow").when(measured & ~ok, "coverage-invalid"))
+    none = F.array().cast("array<struct<path:string,line:int,reason:string>>")
+    only = lambda c, when: F.when(when, c)
+    return out.select(
+        *pin, "commit", "origin", "head", state.alias("state"), reason.alias("reason"), only(F.col("resolved"), measured).alias("resolved"), only(F.col("behind"), ok).alias("behind"), only(touched, ok).alias("touched"), only(F.col("invalid"), measured & ~ok).alias("invalid"),
+        only(F.coalesce("checked", F.lit(0)), ok).cast("long").alias("checked"), only(F.coalesce("outside", F.lit(0)), ok).cast("long").alias("outside"), only(F.array_sort(F.concat(F.coalesce("lost", none), F.coalesce("odd", none))), ok).alias("unresolved"),
+    )
 
 
 def state_counts(pins: DataFrame) -> DataFrame:

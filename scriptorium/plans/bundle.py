@@ -543,7 +543,7 @@ class Bundle:
     def pins(self) -> DataFrame:
         """Measured pins of the pages whose types declare them."""
         fields = {t.name: own for t in self.law.types.values() if (own := [k for k, r in t.refs.items() if r["kind"] == "pin"])}
-        return E.measure(E.pinned(self.judged(), fields), self.root, self.law.engine.get("local_origins", []))
+        return E.measure(E.pinned(self.judged(), fields), self.root, self.law.engine.get("local_origins", []), self._kept)
 
     def evidence_findings(self, pins: DataFrame) -> DataFrame:
         """Stale, unknown and unmeasured pins, citations that don't hold, and pages that name a stale page."""

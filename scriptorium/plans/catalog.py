@@ -434,7 +434,7 @@ def q32_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bare line citations with the last cited file."""
     e = P.table(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").alias("page"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("file"), (F.col("event_id") % 7).cast("string"))).alias("file"), (F.col("event_id") % 50).cast("int").alias("line"))
-    return transitions.carried_paths(rows).select("page", "pos", "line", "file")
+    return evidence.carried(rows, ["page"]).select("page", "pos", "line", "file")
 
 
 # ------------------------------------------------------------------ evidence, folders, states

@@ -194,6 +194,62 @@ def changed_since(root: str, rev: str, covers: list[str]) -> list[str]:
     return _fields(git(root, "diff", "--name-only", "-z", "--no-renames", rev, "HEAD", "--", *specs))
 
 
+def _trees(root: str, specs: list[str]) -> list[str | None]:
+    """Objects of names, None where missing, in one process."""
+    told = parse_batch_check(git(root, "cat-file", "--batch-check", data="".join(f"{x}\n" for x in specs).encode())) if specs else []
+    return [name if kind else None for name, kind, _ in told]
+
+
+def _names_of(raw: bytes, width: int) -> list[str]:
+    """Names in a tree object whose entries end in an object id of so many bytes."""
+    out, at = [], 0
+    while at < len(raw):
+        end = raw.index(b"\0", at)
+        out.append(raw[raw.index(b" ", at) + 1 : end].decode())
+        at = end + 1 + width
+    return out
+
+
+def commits(root: str, names: list[str], tip: str) -> dict[str, tuple]:
+    """Of each name of a commit: (object, whether ``tip`` has it, commits since, paths changed since, names at its top).
+
+    A process for the objects, one for the history, one for the trees, one for all differences and one for all top
+    levels, whatever the number of names.
+    """
+    full = dict(zip(names, _trees(root, [f"{n}^{{commit}}" for n in names]), strict=True))
+    parents = {c: p for c, *p in (line.split(" ") for line in git(root, "rev-list", "--parents", tip).decode().splitlines())}
+    known = sorted({c for c in full.values() if c in parents})
+    trees = dict(zip([*known, tip], _trees(root, [f"{c}^{{tree}}" for c in [*known, tip]]), strict=True))
+    heads = {t: f"{t} {trees[tip]}\n".encode() for t in dict.fromkeys(trees[c] for c in known)}
+    raw, changed, at = git(root, "diff-tree", "-r", "-z", "--name-only", "--no-renames", "--stdin", data=b"".join(heads.values())) if heads else b"", {}, 0
+    for (tree, head_), after in zip(heads.items(), [*list(heads.values())[1:], None], strict=True):
+        if not raw.startswith(head_, at):
+            raise GitAnswerRefused("the differences don't follow the question")
+        end = raw.find(after, at + len(head_)) if after else len(raw)
+        changed[tree], at = _fields(raw[at + len(head_) : end]), end
+    top = blobs(root, [trees[c] for c in known])
+
+    def since(commit: str) -> int:
+        seen, todo = {commit}, [commit]
+        while todo:
+            new = [p for p in parents.get(todo.pop(), ()) if p not in seen]
+            seen.update(new)
+            todo += new
+        return len(parents) - len(seen)
+
+    behind = {c: since(c) for c in known}
+    return {n: (c, True, behind[c], changed[trees[c]], _names_of(top[trees[c]], len(c) // 2)) if c in behind else (c, False, None, None, None) for n, c in full.items()}
+
+
+def kinds(root: str, specs: list[str]) -> list[tuple[str | None, int]]:
+    """(kind, lines) of each commit:path, None where missing: one process for the kinds, one a chunk for the blobs."""
+    told = parse_batch_check(git(root, "cat-file", "--batch-check", data="".join(f"{x}\n" for x in specs).encode())) if specs else []
+    lines = {}
+    for chunk in blob_chunks(root, [name for name, kind, _ in told if kind == "blob"]):
+        lines |= {k: v.count(b"\n") + bool(v and not v.endswith(b"\n")) for k, v in chunk.items() if v is not None}
+    return [(kind, lines.get(name, 0)) for name, kind, _ in told]
+
+
 def pin_state(root: str, commit: str, covers: list[str]) -> tuple[str, int | None]:
     """(state, commits behind): unknown, current, unchanged or stale."""
     if not commit_known(root, commit) or not is_ancestor(root, commit):

@@ -144,6 +144,24 @@ def test_batch_write(spark, root, tmp_path_factory):
     assert not [p for p in (root / "wiki").iterdir() if p.name.startswith(".write-") or p.name == "a.md"]
 
 
+def test_moves_as_a_table(spark, root, tmp_path_factory):
+    drafts = tmp_path_factory.mktemp("drafts")
+    (root / "wiki/Link.md").write_text("---\ntype: crop\n---\n\n[[Rye#x|y]] and [[oats]], [[Barley]].\n")
+    move = lambda a, b: {"from": f"wiki/{a}.md", "to": f"wiki/{b}.md", "reason": "r"}
+    with Bundle(spark, str(root)) as bundle:
+        # Rye goes on by way of Barley, Oats takes Rye's old place
+        (drafts / "ops.json").write_text(json.dumps({"move": [move("Rye", "Barley"), move("Barley", "Spelt"), move("west/Oats", "Rye")]}))
+        b = writing.prepare(bundle, str(drafts), "2025-05-06")
+        assert dict(b.moves) == {"wiki/Rye.md": "wiki/Spelt.md", "wiki/west/Oats.md": "wiki/Rye.md"} and b.get("wiki/west/Oats.md") is None and b.get("wiki/Barley.md") is None
+        assert b.text("wiki/Link.md").endswith("[[Spelt#x|y]] and [[Rye]], [[Spelt]].\n") and "aliases: [Secale, Rye, Barley]" in b.text("wiki/Spelt.md")
+        assert [(x["path"], x["aliased"], "wiki/Link.md" in x["rewritten_links"]) for x in b.applied] == [("wiki/Barley.md", True, True), ("wiki/Spelt.md", True, True), ("wiki/Rye.md", True, True)]
+        for ops, code in (([move("Rye", "Spelt"), move("Rye", "Emmer")], "page-not-found"), ([move("Rye", "Spelt"), move("west/Oats", "SPELT")], "destination-exists")):
+            (drafts / "ops.json").write_text(json.dumps({"move": ops}))
+            with pytest.raises(writing.Refused) as e:
+                writing.prepare(bundle, str(drafts))
+            assert e.value.code == code
+
+
 def test_gate_and_law_changes(spark, root):
     run(root, "init", "-q")
     run(root, "add", "-A")
@@ -235,8 +253,12 @@ def test_text_and_transitions(spark):
     assert T.canonical_json({"b": 1.0, "a": [1e21, 1e-7, 0.1, True, None], "é": "x"}) == '{"a":[1e+21,1e-7,0.1,true,null],"b":1,"é":"x"}'
     assert [T.satisfies("1.2.3", r) for r in ("^1.0.0", "~1.1.0", ">=1.2.0 <2.0.0", "x", "=1.2.3")] == [True, False, True, False, True]
     assert one(T.byte_spans(a), a="é\nab") == ([(1, 0, 2), (2, 3, 5)],) and one(T.pointer_key(a), a="/a~1b/0") == ("a/b",)
-    spans = evidence.scan_citations("`src/a.py:3-5` `:9` `b.py` `x y` ``lib/z.py`` `:2` `README.md` `src/../x`", {"src", "lib"}, [("src", "tree"), ("docs/b.py", "blob")])
-    assert spans == ([("docs/b.py", None), ("src/a.py", 5), ("src/a.py", 9)], [], 3)
+    body = "`src/a.py:3-5` `:9` `b.py` `x y` ``lib/z.py`` `:2` `README.md` `src/../x` `src/a.py:0` `dir/` `src/a.py:4-2` `two.md` `:7` `src/a.py` `:8` `src/` `:10`"
+    covers = "array<struct<path:string,kind:string>>"
+    read = spark.createDataFrame([("p", body, ["src", "lib"], [("src", "tree"), ("docs/b.py", "blob"), ("x/two.md", "blob"), ("y/two.md", "blob")]), ("q", "`:4` `src/a.py`", ["src"], [(".", "tree")])], f"path string, body string, top array<string>, covers {covers}")
+    told = evidence.citations(evidence.spans(read, ["path", "top", "covers"]), ["path"]).collect()
+    assert {(r.cited, r.line) for r in told if r.cited} == {("docs/b.py", None), ("src/a.py", 5), ("src/a.py", 9), ("src/a.py", None), ("src/a.py", 8), ("src/a.py", 10), ("src", None)}
+    assert {(r.token, r.problem) for r in told if r.problem} == {("src/a.py:0", "malformed"), ("src/a.py:4-2", "malformed"), ("two.md", "ambiguous"), (":4", "unattached")} and sum(r.outside for r in told) == 5
     own = spark.createDataFrame([("a", False, None), ("b", True, "pin-stale"), ("c", None, "source-path-missing")], "path string, stale boolean, reason string")
     edges = spark.createDataFrame([("a", "b", "wikilink"), ("a", "c", "wikilink"), ("d", "c", "relation"), ("e", "b", "tagged")], "`from` string, `to` string, kind string")
     pages = spark.createDataFrame([(x,) for x in "abcde"], "path string")
