@@ -7,8 +7,9 @@ room for rounding, so it is replicated to those cells and no other (triangle ine
 join independently. A cell is cut into blocks of at most about a thousand home
 vectors; a block holds its homes and streams the cell's candidates, so memory is
 bounded whatever the label's share. Equal vectors are one beforehand. A block
-returns link counts of its homes and a spanning forest of its links, never all
-pairs; components are joined over all forests.
+returns link counts of its homes and an edge a vector that has the components of its links,
+by labels that spread over the block's matrix, never all pairs; components are joined over
+all blocks.
 """
 
 from __future__ import annotations
@@ -44,45 +45,54 @@ def _homes_and_reach(x, p, r: float):
     return home, reach
 
 
-class _Forest:
-    def __init__(self):
-        self.up, self.edges = {}, []
+def _spread(labels, hit):
+    """(labels of the homes, labels of the columns) after each column that hits joins its homes: the smallest home that each is linked with.
 
-    def find(self, a):
-        root = a
-        while self.up.get(root, root) != root:
-            root = self.up[root]
-        while self.up.get(a, a) != root:
-            self.up[a], a = root, self.up[a]
-        return root
+    ``labels``: for each home one of its component, the smallest. A column's label is the number of homes where it hits none.
+    """
+    import numpy as np
 
-    def join(self, a, b):
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+    n, now = len(labels), labels
+    while True:
+        columns = np.where(hit, now[:, None], n).min(0, initial=n)
+        rows = np.minimum(now, np.where(hit, columns[None, :], n).min(1, initial=n))
+        least = np.full(n, n)
+        np.minimum.at(least, now, rows)  # what one home of a component learns, all do
+        after = least[now]
+        after = np.minimum(after, after[after])
+        if (after == now).all():
+            return now, columns
+        now = after
 
 
 def _block_join(homes, candidates, threshold: float):
-    """homes: (ids, copies, matrix); candidates: iterator of the same. Returns (weights of links per home, forest edges)."""
+    """homes: (ids, copies, matrix); candidates: iterator of the same. Returns (weights of links per home, edges).
+
+    The edges, one a candidate and one a home at most, have the components of the links.
+    """
     import math
 
     import numpy as np
 
     ids, copies, x = homes
-    links, forest = np.asarray(copies, np.int64) - 1, _Forest()
+    links, labels, edges = np.asarray(copies, np.int64) - 1, np.arange(len(ids)), []
+    mine = np.asarray(ids)
     for own, many, y in candidates:
         cos = x @ y.T
         near = np.abs(cos - threshold) < 1e-9
         for a, b in zip(*np.nonzero(near)):
             cos[a, b] = math.fsum((x[a] * y[b]).tolist())
         hit = cos >= threshold
-        hit &= np.asarray(ids)[:, None] != np.asarray(own)[None, :]
+        other = np.asarray(own)
+        hit &= mine[:, None] != other[None, :]
         links += hit @ np.asarray(many, np.int64)
-        for b in np.flatnonzero(hit.any(0)):
-            for a in np.flatnonzero(hit[:, b]).tolist():
-                forest.join(ids[a], own[b])
-    return links, forest.edges
+        labels, columns = _spread(labels, hit)
+        linked = np.flatnonzero(columns < len(ids))
+        edges.append((mine[columns[linked]], other[linked]))
+    away = np.flatnonzero(labels != np.arange(len(ids)))
+    edges.append((mine[labels[away]], mine[away]))
+    u, v = (np.concatenate(side) for side in zip(*edges, strict=True))
+    return links, list(zip(u.tolist(), v.tolist(), strict=True))
 
 
 def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:

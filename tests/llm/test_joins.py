@@ -166,3 +166,44 @@ def test_pivots_that_are_scaled_copies_lose_no_link(spark, monkeypatch):
     rows = [(k, "a", v) for k, v in enumerate(x.tolist())]
     got = {r.vec_id: r.n_links for r in metric_join.link(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert [got[k] for k in range(n)] == ((cos >= 0.93).sum(1) - 1).tolist()
+
+
+def test_block_edges_have_the_components_of_all_links():
+    import numpy as np
+
+    from scriptorium.llm import metric_join
+
+    rng = np.random.default_rng(4)
+    for case in range(60):
+        n, m = rng.integers(1, 30), rng.integers(0, 60)
+        x = metric_join._unit(rng.normal(size=(n, 2)))
+        y = metric_join._unit(np.concatenate([x, rng.normal(size=(m, 2))]))
+        ids, own = np.arange(n).tolist(), np.arange(n + m).tolist()
+        chunks = [(own[k : k + 7], [1] * len(own[k : k + 7]), y[k : k + 7]) for k in range(0, n + m, 7)]
+        links, edges = metric_join._block_join((ids, [1] * n, x), iter(chunks), 0.9 + 0.0999 * (case % 3) / 2)
+        hit = (x @ y.T >= 0.9 + 0.0999 * (case % 3) / 2) & (np.arange(n)[:, None] != np.arange(n + m)[None, :])
+        assert links.tolist() == hit.sum(1).tolist() and len(edges) <= 2 * n + m
+
+        def classes(pairs, total=n + m):
+            label = list(range(total))
+            while True:
+                before = list(label)
+                for a, b in pairs:
+                    label[a] = label[b] = min(label[a], label[b])
+                if label == before:
+                    return label
+
+        assert classes(edges) == classes(list(zip(*(c.tolist() for c in np.nonzero(hit)), strict=True)))
+
+
+def test_a_block_where_all_link_takes_no_step_a_pair():
+    import time
+
+    import numpy as np
+
+    from scriptorium.llm import metric_join
+
+    x = metric_join._unit(1 + 1e-3 * np.random.default_rng(0).normal(size=(3072, 16)))
+    began = time.time()
+    links, edges = metric_join._block_join((list(range(1024)), [1] * 1024, x[:1024]), [(list(range(1024, 3072)), [1] * 2048, x[1024:])], 0.93)
+    assert links.tolist() == [2048] * 1024 and len(edges) == 2048 + 1023 and time.time() - began < 1.5
