@@ -207,10 +207,11 @@ def admit(source: str, config: dict | None = None):
     if most > LIMITS["parentheses"]:
         raise RuleRefused("too many parentheses")
     tree = parse(source)
-    nodes, macros = 0, 0
+    nodes = 0
 
-    def cost(node, bound: set, nested: int) -> int:
-        nonlocal nodes, macros
+    def cost(node, bound: set, nested: int, beside: list) -> int:
+        """``beside``: counts the comprehensions of one level, those in the body of another are of the next."""
+        nonlocal nodes
         nodes += 1
         if node[0] == "call":
             if node[1] in REFUSED:
@@ -218,8 +219,10 @@ def admit(source: str, config: dict | None = None):
             if node[1] == "matches" and node[2][-1][0] == "lit" and re.search(r"\(\?[=!<]|\\[1-9]", str(node[2][-1][1])):
                 raise RuleRefused("lookaround and back references are refused")
         if node[0] != "macro":
-            return sum(cost(x, bound, nested) for x in children(node))
-        macros += 1
+            return sum(cost(x, bound, nested, beside) for x in children(node))
+        beside[0] += 1
+        if beside[0] > LIMITS["siblings"]:
+            raise RuleRefused("too many comprehensions side by side")
         if nested + 1 > LIMITS["nesting"]:
             raise RuleRefused("comprehensions are nested too deeply")
         path = _path(node[2])
@@ -227,13 +230,11 @@ def admit(source: str, config: dict | None = None):
             raise RuleRefused("a comprehension ranges over an interface path")
         named = [x for x in path if x != "*"]
         size = _members(config or {}, path[1:]) if path[0] == "config" else RANGES["ancestry"] if "ancestry" in path else RANGES.get(named[-1], LIST_BOUND)
-        return size + size * cost(node[4], bound | {node[3]}, nested + 1)
+        return size + size * cost(node[4], bound | {node[3]}, nested + 1, [0])
 
-    total = cost(tree, set(), 0)
+    total = cost(tree, set(), 0, [0])
     if nodes > LIMITS["nodes"]:
         raise RuleRefused("too many nodes")
-    if macros > LIMITS["siblings"] * LIMITS["nesting"]:
-        raise RuleRefused("too many comprehensions")
     if total > LIMITS["cost"]:
         raise RuleRefused(f"static cost {total}: iterations over the largest page")
     return tree

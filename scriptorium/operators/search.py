@@ -181,10 +181,11 @@ def only_filtered(pages: DataFrame, keep: Column) -> DataFrame:
     return ranked(pages.filter(keep).select("path", F.lit("relevance").alias("band"), score.alias("ladder"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("score"), why.alias("reasons")), ["ladder", "path"], "rank")
 
 
-def coverage_block(query: str | None, pages: int, limit: int, found: int, near: bool = False) -> dict:
-    """What a search ran: tiers, pages, tokenization, fusion, and whether its limit cut."""
-    tiers = ["filter"] if query is None else [*(k for k in WEIGHTS if k != "filter:match"), "bm25", *(["near"] if near else [])]
-    return {"tiers_executed": tiers, "corpus_size": pages, "tokenization": "words, Han characters and pairs", "fusion": {"method": "rrf", "k": RRF_K, "lists": ["ladder"] if query is None else ["ladder", "bm25"]}, "caps": {"limit": limit, "found": found, "hit": found > limit}}
+def coverage_block(query: str | None, pages: int, limit: int, found: int, near: int | None = None) -> dict:
+    """What a search ran: tiers, pages, tokenization, fusion, and whether its limits cut. ``near``: how many near names there were, None if they weren't asked for."""
+    tiers = ["filter"] if query is None else [*(k for k in WEIGHTS if k != "filter:match"), "bm25", *(["near"] if near is not None else [])]
+    caps = {"limit": limit, "found": found, "hit": found > limit} | ({} if near is None else {"near_limit": NEAR_LIMIT, "near_found": near, "near_hit": near > NEAR_LIMIT})
+    return {"tiers_executed": tiers, "corpus_size": pages, "tokenization": "words, Han characters and pairs", "fusion": {"method": "rrf", "k": RRF_K, "lists": ["ladder"] if query is None else ["ladder", "bm25"]}, "caps": caps}
 
 
 def contains_terms(pages: DataFrame, query: str) -> DataFrame:
@@ -213,31 +214,56 @@ def name_forms(pages: DataFrame) -> DataFrame:
     both = F.concat(names, F.filter(F.transform(names, lambda n: T.strip_qualifier(n)), lambda x: x.isNotNull()))
     forms = pages.select("path", F.posexplode(both).alias("form", "display")).withColumn("normal", T.ident("display"))
     forms = forms.withColumn("_k", F.row_number().over(Window.partitionBy("path", "normal").orderBy("form"))).filter("_k = 1").drop("_k")
-    forms = forms.withColumn("compact", F.regexp_replace("normal", T.SEPARATORS, "")).filter("compact <> ''")
-    return forms.withColumns({"grams": T.trigrams(F.col("compact")), "words": F.array_sort(F.array_distinct(T.tokens("display")))})
+    return _formed(forms.drop("normal"))
+
+
+def bridge(forms: DataFrame) -> DataFrame:
+    """(normal, other, display): the key of a name form, and key and spelling of its page's names in the other of two scripts, Han and the rest.
+
+    A corpus whose pages carry both names is its own table of transliterations; one without them teaches nothing.
+    """
+    own = forms.select("path", "normal", T.has_han("display").alias("han"))
+    other = forms.select(F.col("path").alias("_path"), F.col("normal").alias("other"), "display", (~T.has_han("display")).alias("_han"))
+    return own.join(other, (F.col("path") == F.col("_path")) & (F.col("han") == F.col("_han"))).groupBy("normal", "other").agg(F.min("display").alias("display"))
+
+
+def _formed(names: DataFrame) -> DataFrame:
+    """Names (..., display) with normal, compact, grams and words; those without a letter are left out."""
+    rows = names.withColumn("normal", T.ident("display")).withColumn("compact", F.regexp_replace("normal", T.SEPARATORS, "")).filter("compact <> ''")
+    return rows.withColumns({"grams": T.trigrams(F.col("compact")), "words": F.array_sort(F.array_distinct(T.tokens("display")))})
+
+
+def near_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, path, name, score, reasons) of the pages whose best name form is like a query (query_id, text) or what the corpus calls it in the other script.
+
+    Equal keys and equal sets of words are 1.0, else the trigram Jaccard of the compact forms counts from 0.40 on. Of a
+    page's equally good forms the one of the smallest key is told, the query's own spelling before a bridged one. Every
+    comparison is an equi-join: on the key, on the sorted words, and on trigrams, counted by form.
+    """
+    forms = name_forms(pages).select("path", "display", "normal", "grams", "words")
+    asked = _formed(queries.select("query_id", F.col("text").alias("display"), F.lit(False).alias("bridged")))
+    said = bridge(forms.select("path", "normal", "display")).select("normal", F.col("display").alias("_said"))
+    more = _formed(asked.select("query_id", "normal").join(said, "normal").select("query_id", F.col("_said").alias("display"), F.lit(True).alias("bridged")))
+    asked = asked.unionByName(more).select("query_id", "bridged", F.col("normal").alias("q"), F.col("grams").alias("q_grams"), F.col("words").alias("q_words"))
+    pair = ["query_id", "bridged", "q", "path", "normal"]
+    exact = asked.join(forms, F.col("q") == F.col("normal")).select(*pair, "display", F.lit("name:exact").alias("why"), F.lit(1.0).alias("part"))
+    words = asked.filter("size(q_words) > 0").join(forms.filter("size(words) > 0"), F.col("q_words") == F.col("words")).filter("q <> normal").select(*pair, "display", F.lit("token-set:equal"), F.lit(1.0))
+    left = asked.select("query_id", "bridged", "q", F.size("q_grams").alias("m"), F.explode("q_grams").alias("gram"))
+    right = forms.select("path", "normal", "display", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    shared = left.join(right, "gram").groupBy(*pair, "display", "m", "n").agg(F.count("*").alias("both"))
+    like = F.col("both") / (F.col("m") + F.col("n") - F.col("both"))
+    grams = shared.filter(like >= NEAR_LEAST).select(*pair, "display", F.concat(F.lit("trigram:"), F.format_string("%.2f", like)), like)
+    found = exact.union(words).union(grams).groupBy(*pair).agg(F.max("part").alias("score"), F.array_sort(F.collect_set("why")).alias("why"), F.first("display").alias("name"))
+    best = found.groupBy("query_id", "path").agg(F.min_by(F.struct("name", "score", "why", "bridged"), F.struct(-F.col("score"), "normal", "bridged", "q")).alias("b"))
+    reasons = F.when(F.col("b.bridged"), F.concat(F.array(F.lit("bridge:han-latin")), "b.why")).otherwise(F.col("b.why"))
+    return best.select("query_id", "path", "b.name", F.round("b.score", 6).alias("score"), reasons.alias("reasons"))
 
 
 def near(pages: DataFrame, query: str, limit: int | None = NEAR_LIMIT) -> DataFrame:
-    """(path, name, score) of the pages whose best name form is like the query: equal form or words 1.0, else trigram Jaccard of 0.40 or more."""
-    words = sorted(set(T.tokenize(query)))
-    compact = "".join(T._SEP_PY.split(T.fold(query)))
-    padded = f" {compact} "
-    grams = sorted({padded[k : k + 3] for k in range(len(padded) - 2)}) if compact else []
-    q_compact, q_words, q_grams = F.lit(compact), F.array(*map(F.lit, words)).cast("array<string>"), F.array(*map(F.lit, grams)).cast("array<string>")
-    forms = name_forms(pages)
-    # bound by a lambda: the form's trigrams are made once
-    shared = F.get(F.transform(F.array("grams"), lambda g: T.jaccard(g, q_grams)), 0)
-    like = F.when((F.col("compact") == q_compact) | ((F.col("words") == q_words) & (F.size("words") > 0)), F.lit(1.0)).otherwise(shared)
-    best = forms.withColumn("score", like).filter(F.col("score") >= NEAR_LEAST).groupBy("path").agg(F.max(F.struct("score", (-F.col("form")).alias("f"), "display")).alias("m"))
-    out = best.select("path", F.col("m.display").alias("name"), F.round("m.score", 6).alias("score"))
-    return out.orderBy(F.desc("score"), "path").limit(limit) if limit else out
-
-
-def bridge(pages: DataFrame) -> DataFrame:
-    """(normal, other): names of one page in the other of two scripts, Han and the rest."""
-    forms = name_forms(pages).select("path", "normal", "display", T.has_han("display").alias("han"))
-    other = forms.select(F.col("path").alias("p2"), F.col("display").alias("other"), F.col("han").alias("h2"))
-    return forms.join(other, (F.col("path") == F.col("p2")) & (F.col("han") != F.col("h2"))).select("normal", "other").distinct()
+    """(path, name, score, reasons) of the pages nearest to one query, by score, then path."""
+    asked = pages.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
+    out = near_many(pages, asked).drop("query_id").orderBy(F.desc("score"), "path")
+    return out.limit(limit) if limit else out
 
 
 def items(rows: DataFrame, query: str) -> DataFrame:

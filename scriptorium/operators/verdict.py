@@ -80,13 +80,25 @@ def routes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, severity string, lane string")
 
 
+#: Commands that mend a finding, and the detail that must be true for it; without it the lane stands.
+FIXES = {"folder-tags-present": (["scriptorium", "check", "--fix"], "materialize", "tag-review"), "generated-drift": (["scriptorium", "check", "--write"], None, None)}
+
+
 def route(findings: DataFrame, table: DataFrame, own_lane: str = "rule-review") -> DataFrame:
-    """Findings with severity and queue lane from the table (56 rows); an own rule keeps its severity and goes to ``own_lane``; info has no lane."""
+    """Findings with severity from the table (56 rows), and either the queue lane or the command that mends them (``fix``).
+
+    An own rule keeps its severity and goes to ``own_lane``; info has neither.
+    """
     own = F.col("severity") if "severity" in findings.columns else F.lit("error")
     found = findings.withColumn("_own", own).drop("severity").join(F.broadcast(table), "rule", "left")
     severity = F.coalesce("severity", "_own")
-    lane = F.when(severity == "info", F.lit(None)).when(F.col("lane") == "fix", F.lit(None)).otherwise(F.coalesce("lane", F.lit(own_lane)))
-    return found.withColumn("queue", lane).withColumn("fixable", F.coalesce(F.col("lane") == "fix", F.lit(False))).withColumn("severity", severity).drop("lane", "_own")
+    fix, lane = F.lit(None).cast("array<string>"), F.coalesce("lane", F.lit(own_lane))
+    for rule, (argv, needs, other) in FIXES.items():
+        holds = F.lit(True) if needs is None else F.coalesce(F.col("details")[needs] == "true", F.lit(False)) if "details" in findings.columns else F.lit(False)
+        fix = F.when((F.col("rule") == rule) & holds, F.array(*map(F.lit, argv))).otherwise(fix)
+        lane = F.when(F.col("rule") == rule, F.when(~holds, F.lit(other))).otherwise(lane)
+    found = found.withColumns({"queue": F.when(severity != "info", lane), "fix": F.when(severity != "info", fix), "severity": severity})
+    return found.drop("lane", "_own")
 
 
 def display_order() -> list[Column]:

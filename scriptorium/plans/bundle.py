@@ -278,7 +278,7 @@ class Bundle:
             inside, carried = folders.folder_rows(pages, law.content_roots, aliases), folders.tag_keys(pages)
             out.append(_finding(folders.unregistered(inside, self._entries()), "folder-segment-registered", F.col("segment"), details={"segment": F.col("segment")}))
             lack = folders.missing(inside, carried, self._entries())
-            out.append(_finding(lack, "folder-tags-present", F.array_join("missing", ", "), details={"missing": F.to_json("missing")}))
+            out.append(_finding(lack, "folder-tags-present", F.array_join("missing", ", "), details={"missing": F.to_json("missing"), "materialize": F.lit(law.folder_mode == "materialize-add-only")}))
             if self.has_base:
                 moved = pages.join(self.state.filter("renamed_from is not null").select("path", "renamed_from"), "path")
                 before = folders.folder_rows(moved, law.content_roots, {}, "renamed_from")
@@ -728,9 +728,10 @@ class Bundle:
         shown = found.orderBy("rank").limit(limit)
         if statuses:
             shown = shown.join(self.statuses().withColumnRenamed("reason", "stale_reason"), "path", "left").orderBy("rank")
-        out = {"results": [r.asDict() for r in shown.collect()], "coverage": search.coverage_block(query, self.readable().count(), limit, n, near)}
-        if near and query is not None:
-            out["near"] = [r.asDict() for r in search.near(self.readable(), query).collect()]
+        close = self._kept(f"near {query}", lambda: search.near(self.readable(), query, None)) if near and query is not None else None
+        out = {"results": [r.asDict() for r in shown.collect()], "coverage": search.coverage_block(query, self.readable().count(), limit, n, close.count() if close is not None else None)}
+        if close is not None:
+            out["near"] = [r.asDict() for r in close.orderBy(F.desc("score"), "path").limit(search.NEAR_LIMIT).collect()]
         found.unpersist()
         return out
 

@@ -123,12 +123,12 @@ _NEAR = "The and attion to thanedble the anea"
   FROM (SELECT path, 0 AS f, base AS display FROM pages_ UNION ALL SELECT path, 1, title FROM pages_)),
 uniq_ AS (SELECT * FROM forms_ WHERE c <> '' QUALIFY row_number() OVER (PARTITION BY path, normal ORDER BY f) = 1),
 q_ AS (SELECT regexp_replace({_ident(f"'{_NEAR}'")}, '{_SEP}', '', 'g') AS qc, list_sort(list_distinct({_tokens(f"'{_NEAR}'")})) AS qw),
-sim_ AS (SELECT path, f, display, CASE WHEN c = qc OR w = qw THEN 1.0::DOUBLE ELSE len(list_intersect(g, qg)) / (len(g) + len(qg) - len(list_intersect(g, qg))) END AS s
+sim_ AS (SELECT path, f, display, normal, CASE WHEN c = qc OR w = qw THEN 1.0::DOUBLE ELSE len(list_intersect(g, qg)) / (len(g) + len(qg) - len(list_intersect(g, qg))) END AS s
   FROM (SELECT *, {_GRAMS.format("c")} AS g, {_GRAMS.format("qc")} AS qg FROM uniq_, q_))
-SELECT path, display AS name, round(s, 6) AS score FROM (SELECT * FROM sim_ WHERE s >= 0.4 QUALIFY row_number() OVER (PARTITION BY path ORDER BY s DESC, f) = 1) ORDER BY score DESC, path LIMIT 20""")
+SELECT path, display AS name, round(s, 6) AS score FROM (SELECT * FROM sim_ WHERE s >= 0.4 QUALIFY row_number() OVER (PARTITION BY path ORDER BY s DESC, normal) = 1) ORDER BY score DESC, path LIMIT 20""")
 def q05_near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty pages with the most similar name."""
-    return search.near(P.doc_pages(spark, sf_dir), _NEAR)
+    return search.near(P.doc_pages(spark, sf_dir), _NEAR).drop("reasons")
 
 
 @_query(f"""WITH {_PAGES}, t_ AS (SELECT path, {_tokens("body")} AS w, {_ident("body")} AS i FROM pages_)

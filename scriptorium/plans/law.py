@@ -391,6 +391,33 @@ def _both(old: dict | None, new: dict) -> dict:
     return new if not old else old if old == new else {"allOf": [old, new], **{k: new.get(k, old.get(k)) for k in ("$ref", "type", "default", "format") if k in new or k in old}}
 
 
+#: Keywords of a field's schema by what a descendant may do with them.
+MAY_RISE = "minimum exclusiveMinimum minLength minItems minProperties".split()
+MAY_FALL = "maximum exclusiveMaximum maxLength maxItems maxProperties".split()
+MUST_STAY = "type const".split()
+
+
+def relaxed(old: dict, new: dict) -> list[tuple[str, str, str]]:
+    """(code, keyword, message) where a field's new declaration admits what the old one refuses, by the keywords that both have; nothing is proven beyond them."""
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    out = []
+    for key in sorted(old.keys() & new.keys()):
+        was, now = old[key], new[key]
+        told = f"{json.dumps(now)} after {json.dumps(was)}"
+        if key == "enum" and isinstance(was, list) and isinstance(now, list):
+            known = {json.dumps(x, sort_keys=True) for x in was}
+            more = [x for x in now if json.dumps(x, sort_keys=True) not in known]
+            if more:
+                out.append(("shape-relaxed", key, f"{'no value is left of' if len(more) == len(now) else 'values are added to'} the list: {told}"))
+        elif key in MUST_STAY and json.dumps(was, sort_keys=True) != json.dumps(now, sort_keys=True):
+            out.append(("shape-relaxed", key, f"another value: {told}"))
+        elif number(was) and number(now) and ((key in MAY_RISE and now < was) or (key in MAY_FALL and now > was)):
+            out.append(("shape-relaxed", key, f"a wider bound: {told}"))
+        elif key == "default" and json.dumps(was, sort_keys=True) != json.dumps(now, sort_keys=True):
+            out.append(("default-conflict", key, f"two defaults: {told}"))
+    return out
+
+
 def _compose(name: str, raw: dict, issues: list) -> Type | None:
     chain, at = [], name
     while at:
@@ -403,9 +430,10 @@ def _compose(name: str, raw: dict, issues: list) -> Type | None:
         if up and not at:
             issues.append(("type-invalid", name, f"extends {up}, which isn't declared"))
             return None
-    layers = []
+    layers, inherited = [], 0
     for n in reversed(chain):
         own = raw["types"][n]
+        inherited = len(layers)  # the layers of the ancestors, once the type itself is reached
         for f in own.get("fragments") or []:
             found = _find(raw["fragments"], f, own["_prefix"])
             if found:
@@ -474,6 +502,11 @@ def _compose(name: str, raw: dict, issues: list) -> Type | None:
                         admit(r["expr"], r["config"])
                     except RuleRefused as e:
                         issues.append(("rule-invalid", f"{name}: {rule}", str(e)))
+    declared = lambda layer: {k: v for k, v in ((layer.get("fields") or {}).get("properties") or {}).items() if isinstance(v, dict)}
+    for layer in layers[:inherited]:
+        for key in declared(layer).keys() & declared(own).keys():
+            issues += [(code, name, f"fields/properties/{key}/{keyword}: {message}") for code, keyword, message in relaxed(declared(layer)[key], declared(own)[key])]
+    issues += [("meta-unknown", name, f"meta names {m}, which no field is") for m in out.meta if m not in out.properties and m not in RESERVED]
     out.sections = list(places.values())
     for r in out.rules:
         if r.get("section") is not None and section_path(r["section"]) not in places:

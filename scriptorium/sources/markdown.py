@@ -1,14 +1,15 @@
 """Markdown pages to rows: frontmatter, sections, items, links.
 
 One Arrow function reads a page's bytes once and gives a nested row; all later
-operators are columns. Headings count at document level only, fences, HTML
-blocks and comments are opaque, and an item is a list line at most three spaces
+operators are columns. Headings count at document level only, not inside quotes and
+list items; fences and HTML blocks are opaque, and an item is a list line at most three spaces
 deep whose deeper lines are its rationale. Every item is read by the three record
 grammars; the law's section decides which reading holds.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import json
@@ -30,7 +31,15 @@ _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _BULLET = re.compile(r"^ {0,3}(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]+|$)")
 _THEMATIC = re.compile(r"^ {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-_HTML = re.compile(r"^ {0,3}<(?:[A-Za-z/!?])")
+#: How the seven kinds of HTML blocks begin and end (the CommonMark specification, 4.6); None ends at a blank line.
+_BLOCK_TAGS = "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul".split()
+_TAG = r"<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][A-Za-z0-9_.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>"
+_HTML = [
+    (re.compile(r"<(?:script|pre|style|textarea)(?:[\s>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)), (re.compile(r"<!--"), re.compile(r"-->")), (re.compile(r"<\?"), re.compile(r"\?>")),
+    (re.compile(r"<![A-Za-z]"), re.compile(r">")), (re.compile(r"<!\[CDATA\["), re.compile(r"\]\]>")), (re.compile(rf"</?(?:{'|'.join(_BLOCK_TAGS)})(?:\s|/?>|$)", re.I), None), (re.compile(rf"(?:{_TAG})\s*$"), None),
+]
+_QUOTE = re.compile(r" {0,3}>[ \t]?")
+_ITEM = re.compile(r"( {0,3})([-*+]|[0-9]{1,9}[.)])(?=[ \t]|$)")
 _LINK = re.compile(r"(?<!\\)\[\[([^\[\]|#\n]+?)(?:#([^\[\]|\n]*?))?(?:\|([^\[\]\n]*?))?\]\]")
 _CODE = re.compile(r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)", re.S)
 _CLAIM = re.compile(r"^- \[([a-z0-9]+(?:-[a-z0-9]+)*)\] (.+)$")
@@ -123,6 +132,101 @@ def _too_long(value, at: str = "") -> str | None:
     return None
 
 
+def blocks(lines: list[str], start: int = 0) -> tuple[list[tuple[int, int, str]], set[int], set[int]]:
+    """(headings, opaque, code) of a page: (line, depth, text) of the document's own headings, lines of fences and HTML at any depth, of indented code.
+
+    A line goes through the containers that are open, quotes and list items, as far as it continues them; the rest of it
+    belongs to the innermost. A paragraph takes lines that don't continue its containers if they start nothing. What
+    stands in a container is content of it, so its headings aren't told.
+    """
+    headings, opaque, code = [], set(), set()
+    stack: list[int | None] = []  # None: a quote; a number: the column where an item's content starts
+    leaf, leaf_end, paragraph = "blank", None, start  # blank, paragraph, fence, html or code; what ends a fence or HTML; where the paragraph began
+    for k in range(start, len(lines)):
+        rest, held = lines[k].expandtabs(4) if "\t" in lines[k] else lines[k], 0
+        for box in stack:
+            if box is None:
+                m = _QUOTE.match(rest)
+                if not m:
+                    break
+                rest = rest[m.end() :]
+            elif rest.strip() == "":
+                rest = ""
+            elif len(rest) - len(rest.lstrip(" ")) >= box:
+                rest = rest[box:]
+            else:
+                break
+            held += 1
+        whole = held == len(stack)
+        if not whole and leaf in ("fence", "html", "code"):
+            leaf = "blank"
+        if leaf == "fence":
+            opaque.add(k)
+            m = _FENCE.match(rest)
+            if m and m[1][0] == leaf_end[0] and len(m[1]) >= len(leaf_end) and not rest.strip().strip(leaf_end[0]):
+                leaf = "blank"
+            continue
+        if leaf == "html":
+            if leaf_end is None and not rest.strip():
+                leaf = "blank"
+                continue
+            opaque.add(k)
+            if leaf_end is not None and leaf_end.search(rest):
+                leaf = "blank"
+            continue
+        lazy, opened = leaf == "paragraph" and not whole, False
+        while True:  # containers that the line opens
+            if m := _QUOTE.match(rest):
+                box, rest = None, rest[m.end() :]
+            elif (m := _ITEM.match(rest)) and not _THEMATIC.match(rest) and (leaf != "paragraph" or opened or held < len(stack) or (rest[m.end() :].strip() and m[2] in ("-", "*", "+", "1.", "1)")) or any(x is not None for x in stack)):
+                after = rest[m.end() :]
+                gap = len(after) - len(after.lstrip(" "))
+                gap = gap if after.strip() and 1 <= gap <= 4 else 1
+                box, rest = m.end() + gap, after[gap:] if after.strip() else ""
+            else:
+                break
+            stack[held:] = [box]
+            held, opened, lazy, leaf = held + 1, True, False, "blank"
+        if not rest.strip():
+            if not opened:
+                stack[held:] = []  # a blank line ends the quotes that it doesn't continue
+            leaf = "blank" if leaf != "code" else leaf
+            continue
+        indent = len(rest) - len(rest.lstrip(" "))
+        fence, atx, text = _FENCE.match(rest), _HEADING.match(rest), rest.lstrip(" ")
+        html = None if indent > 3 else next((n for n, (begin, _) in enumerate(_HTML) if begin.match(text) and (n < 6 or leaf != "paragraph")), None)
+        starts = fence or atx or html is not None or _THEMATIC.match(rest)
+        if lazy and not starts:
+            continue  # the paragraph goes on, its containers with it
+        if held < len(stack):
+            stack[held:], leaf = [], "blank"
+        if indent > 3 and leaf != "paragraph":
+            leaf = "code"
+            code.add(k)
+        elif fence:
+            leaf, leaf_end = "fence", fence[1]
+            opaque.add(k)
+        elif html is not None:
+            leaf_end = _HTML[html][1]
+            opaque.add(k)
+            leaf = "blank" if leaf_end is not None and leaf_end.search(text, 2) else "html"
+        elif atx:
+            leaf = "blank"
+            if not stack:
+                headings.append((k, len(atx[1]), (atx[2] or "").strip()))
+        elif leaf == "paragraph" and (m := _SETEXT.match(rest)):
+            leaf = "blank"
+            if not stack:
+                headings.append((paragraph, 1 if m[1][0] == "=" else 2, " ".join(x.strip() for x in lines[paragraph:k])))
+        elif _THEMATIC.match(rest):
+            leaf = "blank"
+        else:
+            if leaf != "paragraph":
+                paragraph = k
+            leaf = "paragraph"
+    return headings, opaque, code
+
+
 def parse_page(path: str, content: bytes, roots: tuple = (), depths: dict | None = None) -> dict:
     """The nested row of one page; ``code`` is set when it can't be read. ``depths``: type to the depth of its sections, 2 for others."""
     page = {"path": path, "code": None, "code_line": None, "message": None, "sections": [], "items": [], "links": [], "tags": [], "aliases": [], "headings": [], "preamble": "", "has_preamble": False}
@@ -158,36 +262,15 @@ def parse_page(path: str, content: bytes, roots: tuple = (), depths: dict | None
         "frontmatter": json.dumps(front, ensure_ascii=False, sort_keys=True, default=str), "key_lines": {str(k): v + 1 for k, v in key_lines.items()}, "body": "\n".join(lines[start:]),
     }
 
-    opaque, headings, k, fence = set(), [], start, None
-    while k < len(lines):
-        line = lines[k]
-        if fence:
-            opaque.add(k)
-            m = _FENCE.match(line)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0]):
-                fence = None
-        elif m := _FENCE.match(line):
-            fence = m[1]
-            opaque.add(k)
-        elif _HTML.match(line):
-            end = "-->" if line.lstrip().startswith("<!--") else None
-            while k < len(lines) and (end or lines[k].strip()):
-                opaque.add(k)
-                if end and end in lines[k]:
-                    break
-                k += 1
-        elif m := _HEADING.match(line):
-            headings.append((k, len(m[1]), (m[2] or "").strip()))
-        elif (m := _SETEXT.match(line)) and k > start and lines[k - 1].strip() and k - 1 not in opaque and not _BULLET.match(lines[k - 1]) and not _HEADING.match(lines[k - 1]) and not lines[k - 1].lstrip().startswith(">") and not _SETEXT.match(lines[k - 1]):
-            headings.append((k - 1, 1 if m[1][0] == "=" else 2, lines[k - 1].strip()))
-        k += 1
+    headings, opaque, code = blocks(lines, start)
     if len(headings) > SECTIONS:
         return page | {"code": "page-too-large", "message": "sections"}
 
-    shown = "\n".join(_blank(x) if i < start or i in opaque else x for i, x in enumerate(lines))
+    shown = "\n".join(_blank(x) if i < start or i in opaque or i in code else x for i, x in enumerate(lines))
     shown = _CODE.sub(lambda m: _blank(m[0]), shown)
+    ends = [m.start() for m in re.finditer("\n", shown)]
     for m in _LINK.finditer(shown):
-        page["links"].append({"target": m[1].strip(), "ident": fold(m[1].strip()), "heading": m[2], "alias": m[3], "line": shown.count("\n", 0, m.start()) + 1})
+        page["links"].append({"target": m[1].strip(), "ident": fold(m[1].strip()), "heading": m[2], "alias": m[3], "line": bisect.bisect_left(ends, m.start()) + 1})
     if len({x["target"] for x in page["links"]}) > LINKS:
         return page | {"code": "page-too-large", "message": "links"}
 

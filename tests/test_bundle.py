@@ -3,6 +3,7 @@ import subprocess
 
 import pytest
 
+from scriptorium.functions import cel
 from scriptorium.plans import law as L
 from scriptorium.plans.bundle import Bundle
 from scriptorium.sources import git, markdown
@@ -192,6 +193,36 @@ def test_parser():
     assert markdown.parse_entry("- 2023-02-29 — x") is None and markdown.parse_entry("- 2024-02 — x")["precision"] == "month"
 
 
+def test_blocks_of_markdown():
+    cases = {
+        "# A\n> # q\n\n- item\n\n  # in item\n  ---\n# B": ["A", "B"], "> para\nlazy\n===\n# C": ["C"], "Title\ntwo\n===": ["Title two"], "1. a\n\n   ```\n   # x\n   ```\n\n# Y": ["Y"], "para\n- item\n---\n# h": ["h"],
+        "<div>\n# no\n\n# yes": ["yes"], "<!-- a\n\n# no\n-->\n# yes": ["yes"], "text\n<b>\n# yes": ["yes"], "<b>\n# no\n\n# yes": ["yes"], "<script>\n\n# no\n</script>\n# y": ["y"], "<?a\n# no\n?>\n# y": ["y"], "<![CDATA[\n# no\n]]>\n# y": ["y"],
+        "    # code\n# h": ["h"], "para\n    # on": [], "> ```\n# out": ["out"], "- a\n    - b\n      # n\n  # m\n# top": ["top"], "* * *\n# x": ["x"], "a\n2. b\n# c": ["c"], "-\n  # in\n# out": ["out"], "- a\n\n\n  # b\n\nc\n---": ["c"],
+    }
+    for text, want in cases.items():
+        assert [t for _, _, t in markdown.blocks(text.split("\n"))[0]] == want, text
+    page = markdown.parse_page("a.md", b"    [[code]]\n\n[[one]] ``[[two]] ` [[three]]``\n> ~~~\n> [[four]]\n> ~~~\n> [[five]]\n<p>\n[[six]]\n\n[[seven]]\n")
+    assert [(x["target"], x["line"]) for x in page["links"]] == [("one", 3), ("five", 7), ("seven", 11)]
+
+
+def test_relaxed_shapes_and_admission(root):
+    (root / "constitution/types/bed-page.yaml").write_text(TYPE.replace("area: { type: integer, minimum: 1 }", "area: { type: integer, minimum: 1, maximum: 9, default: 2 }, kind: { enum: [a, b] }, name: { type: string, minLength: 2 }"))
+    child = "type: {}\nextends: bed-page\nrole: concept\ndescription: x\nmeta: [{}]\nfields: {{ type: object, properties: {{ {} }} }}\n"
+    (root / "constitution/types/narrow.yaml").write_text(child.format("narrow", "area", "area: { type: integer, minimum: 2, maximum: 9, default: 2 }, kind: { enum: [b] }"))
+    L.load(str(root))
+    (root / "constitution/types/wide.yaml").write_text(child.format("wide", "nowhere", "area: { type: number, minimum: 0, maximum: 10, default: 3 }, kind: { enum: [b, c] }, name: { minLength: 1 }"))
+    with pytest.raises(L.LawRefused) as e:
+        L.load(str(root))
+    told = {(c, m.split(":")[0]) for c, w, m in e.value.issues if w == "wide"}
+    assert told == {("shape-relaxed", f"fields/properties/{k}") for k in ("area/type", "area/minimum", "area/maximum", "kind/enum", "name/minLength")} | {("default-conflict", "fields/properties/area/default"), ("meta-unknown", "meta names nowhere, which no field is")}
+    side = " && ".join(f'page.tags.all(t{k}, t{k} != "x")' for k in range(5))
+    cel.admit(side.rpartition(" && ")[0])
+    inner = " && ".join(f"config.b.exists({v}, {v} == x)" for v in "pqrs")
+    cel.admit(f"config.a.all(x, {inner}) && config.a.all(y, y == 1) && config.a.all(z, z == 1)", {"a": [1], "b": [1]})
+    with pytest.raises(cel.RuleRefused):
+        cel.admit(side)
+
+
 def test_yaml():
     assert read_yaml("a: 0o10\nb: 9223372036854775808\nc: yes\nd: ~\ne: 1e3")[0] == {"a": 8, "b": 9223372036854775808.0, "c": "yes", "d": None, "e": 1000.0}
     for bad, code in (("a: 1\na: 2", "duplicate-key"), ("a: [", "malformed-frontmatter"), ("a: &x [*x]", "malformed-frontmatter")):

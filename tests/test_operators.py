@@ -84,8 +84,10 @@ def test_verdict(spark):
     rows = [("b", "item-unparsed", "error", 1, "m"), ("a", "wikilink-unresolved", "error", 2, "m"), ("a", "own", "warning", None, "m"), ("a", "generated-drift", "error", None, "m")]
     found = spark.createDataFrame(rows, "path string, rule string, severity string, line int, message string").withColumns({"heading": F.lit(None).cast("string"), "occurrence": F.lit(None).cast("int")})
     routed = verdict.route(found, verdict.routes(spark))
-    got = {r.rule: (r.severity, r.queue, r.fixable) for r in routed.collect()}
-    assert got == {"item-unparsed": ("error", "grammar-review", False), "wikilink-unresolved": ("warning", "link-review", False), "own": ("warning", "rule-review", False), "generated-drift": ("error", None, True)}
+    got = {r.rule: (r.severity, r.queue, r.fix) for r in routed.collect()}
+    assert got == {"item-unparsed": ("error", "grammar-review", None), "wikilink-unresolved": ("warning", "link-review", None), "own": ("warning", "rule-review", None), "generated-drift": ("error", None, ["scriptorium", "check", "--write"])}
+    tags = spark.createDataFrame([("a", "folder-tags-present", {"materialize": "true"}), ("b", "folder-tags-present", {"materialize": "false"})], "path string, rule string, details map<string,string>")
+    assert {r.path: (r.queue, r.fix) for r in verdict.route(tags, verdict.routes(spark)).collect()} == {"a": (None, ["scriptorium", "check", "--fix"]), "b": ("tag-review", None)}
     assert verdict.routes(spark).count() == 56
     assert [(r.path, r.rule) for r in verdict.cap(routed, 2).collect()] == [("a", "generated-drift"), ("b", "item-unparsed")]
     assert verdict.totals(routed).first().asDict() == {"errors": 2, "warnings": 2, "infos": 0}
@@ -112,3 +114,18 @@ def test_rules(spark, source, want):
 def test_refused_rules(source):
     with pytest.raises(cel.RuleRefused):
         cel.admit(source)
+
+
+def test_near_names_over_scripts(spark):
+    pages = spark.createDataFrame([("wiki/a/紅岩村.md", ["Hongyan Village"]), ("wiki/b/Hong yan villages.md", ["Redrock"]), ("wiki/c/Village Hongyan.md", []), ("wiki/d/Nothing.md", None), ("wiki/e/紅岩.md", None)], "path string, aliases array<string>")
+    got = {r.path: (r.name, r.score, r.reasons) for r in search.near(pages, "紅岩村").collect()}
+    assert got["wiki/a/紅岩村.md"] == ("Hongyan Village", 1.0, ["bridge:han-latin", "name:exact", "trigram:1.00"])  # the smaller key of two equally good forms
+    assert got["wiki/c/Village Hongyan.md"][:2] == ("Village Hongyan", 1.0) and got["wiki/c/Village Hongyan.md"][2][:2] == ["bridge:han-latin", "token-set:equal"]
+    assert got["wiki/b/Hong yan villages.md"][0] == "Hong yan villages" and got["wiki/b/Hong yan villages.md"][2][0] == "bridge:han-latin" and "wiki/d/Nothing.md" not in got
+    asked = spark.createDataFrame([(1, "hongyan village"), (2, "Redrocks"), (3, "..."), (4, "Nothing")], "query_id int, text string")
+    many = {(r.query_id, r.path): r.score for r in search.near_many(pages, asked).collect()}
+    assert many[1, "wiki/a/紅岩村.md"] == 1.0 and (2, "wiki/b/Hong yan villages.md") in many and many[4, "wiki/d/Nothing.md"] == 1.0 and not [k for k in many if k[0] == 3]
+    by_hand = lambda a, b: len(a & b) / len(a | b)
+    grams = lambda x: {f" {x} "[k : k + 3] for k in range(len(x))}
+    assert many[2, "wiki/b/Hong yan villages.md"] == round(by_hand(grams("redrocks"), grams("redrock")), 6)
+    assert search.near_many(pages.limit(0), asked).count() == 0
