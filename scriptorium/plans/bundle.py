@@ -649,20 +649,32 @@ class Bundle:
             staged = lawdiff.law_staged(self.root, law, head_law)
             if git.head(self.root) is None or staged:
                 return other.report(found, limit, rule, path) | {"scoped": False}
+            scoped = other.scoped(listing(git.tree_entries(self.root, "HEAD")))
+            out = other.report(scoped, limit, rule, path) | {"scoped": True, "refusals": {r.rule: r.findings for r in verdict.by_rule(scoped.filter("severity = 'error'")).collect()}}
+        state.unpersist()
+        return out
+
+    def scoped(self, base_sources: DataFrame | None = None) -> DataFrame:
+        """The findings that a change from the base to this state answers for: of changed pages, of what other names and source paths did, of the whole corpus; inherited errors are warnings.
+
+        ``base_sources``: rows (path, kind) of the source roots at the base.
+        """
+
+        def rows() -> DataFrame:
+            state, found = self.state, self.findings()
             lines = lambda c: state.filter(f"{c} is not null").select("path", F.posexplode(F.split(F.regexp_replace(F.regexp_replace(F.decode(c, "UTF-8"), "^﻿", ""), "\r\n", "\n"), "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
             old = transitions.inherited(lines("base_content"), lines("content"), ["path", "text"], ["line"])
             touched = state.filter("base_content is null or base_content <> content or renamed_from is not null").select("path")
             # findings that the same pages didn't have under the base's names are the names' doing
-            users = other.renamed_users()
-            before = other.name_findings(users, other.base_names(), "base names")
-            marked = self._source_caused(verdict.caused_by_names(found, before, users, other.name_readers()), other.sources, listing(git.tree_entries(self.root, "HEAD")))
-            flat = lambda c: other.readable(c).select("path", F.inline("sections")).select("path", "heading", "occurrence", "line", "raw")
+            users = self.renamed_users()
+            before = self.name_findings(users, self.base_names(), "base names")
+            marked = self._source_caused(verdict.caused_by_names(found, before, users, self.name_readers()), self.sources, base_sources)
+            flat = lambda c: self.readable(c).select("path", F.inline("sections")).select("path", "heading", "occurrence", "line", "raw")
             same = transitions.unchanged_sections(flat("content"), flat("base_content"))
-            own = sorted({r for t in law.types.values() for r in other._transition_rules(t)})
-            scoped = other._kept("scoped", lambda: verdict.gate_scope(marked, old, touched, verdict.VAULT_WIDE, same, own))
-            out = other.report(scoped, limit, rule, path) | {"scoped": True, "refusals": {r.rule: r.findings for r in verdict.by_rule(scoped.filter("severity = 'error'")).collect()}}
-        state.unpersist()
-        return out
+            own = sorted({r for t in self.law.types.values() for r in self._transition_rules(t)})
+            return verdict.gate_scope(marked, old, touched, verdict.VAULT_WIDE, same, own)
+
+        return self._kept("scoped", rows)
 
     @staticmethod
     def _source_caused(found: DataFrame, now: DataFrame | None, before: DataFrame | None) -> DataFrame:
