@@ -178,6 +178,11 @@ def _by_origin(frames, of: dict, ask, columns: list[str]):
         yield pd.DataFrame(ask(of[origin], rows), columns=columns)
 
 
+def heads(root: str, origins: list[dict]) -> dict[str, str | None]:
+    """The head of each repository at this moment."""
+    return {name: r["head"] for name, r in repositories(root, origins).items()}
+
+
 def commit_facts(named: DataFrame, bound: dict) -> DataFrame:
     """What the repositories know of the commits (origin, commit): five processes an origin and task, however many there are."""
     from scriptorium.sources import git

@@ -14,12 +14,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium import __version__
 from scriptorium.functions import cel
 from scriptorium.functions import text as T
 from scriptorium.operators import evidence as E
 from scriptorium.operators import folders, names, search, transitions, verdict
 from scriptorium.plans import law as L
-from scriptorium.sources import git, markdown, store
+from scriptorium.sources import git, markdown, states, store
 
 _PLACE = {"line": "int", "heading": "string", "occurrence": "int"}
 #: Fields of the records that rules read.
@@ -49,22 +50,25 @@ def _union(rows: list[DataFrame]) -> DataFrame:
 
 class Bundle:
     """``state``: by default the files under the law's content roots. ``sources``: rows (path, kind) of the source roots, None if not measured.
-    ``removed``: pages (path, content) that the base of the state had and the state has not.
+    ``removed``: pages (path, content) that the base of the state had and the state has not. ``parsed``: a folder that keeps
+    parsed pages from run to run; a page with the same content under the same law isn't parsed again.
 
     Pages are parsed once into a table of the shared folder, as is what several checks read; ``close`` (or the end of a
     ``with`` block) deletes these tables.
     """
 
-    def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None, removed: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None, removed: DataFrame | None = None, parsed: str | None = None):
         self.spark, self.root, self.law = spark, root, law or L.load(root)
         self.source_roots = tuple(self.law.engine.get("source_roots", ()))
+        self._tables: dict[str, tuple[DataFrame, str]] = {}
+        self.parsed = parsed
         if state is None:
-            state = markdown.read_files(spark, root, self.law.content_roots)
+            self._tables["state"] = states.settled(lambda: markdown.read_files(spark, root, self.law.content_roots), spark)
+            state = self._tables["state"][0]
             skipped = markdown.walk(root, self.law.content_roots)[1] if skipped is None else skipped
             state = markdown.without(state, spark.createDataFrame(skipped, "at string, reason string")) if skipped else state
             sources = E.facts_of(spark, E.walk_sources(root, list(self.source_roots))) if sources is None else sources
         self.state, self.sources, self.skipped, self.removed = state, sources, skipped or [], removed
-        self._tables: dict[str, tuple[DataFrame, str]] = {}
 
     def __enter__(self) -> Bundle:
         return self
@@ -89,7 +93,8 @@ class Bundle:
                 own = self.removed if self.removed is not None else self.state.select("path", "content").limit(0)
             else:
                 own = self.state if column == "content" else self.state.filter("base_content is not null").select("path", F.col("base_content").alias("content"))
-            return markdown.parse(own, self.source_roots, {t.name: t.depth for t in self.law.types.values() if t.depth != 2})
+            parse = lambda d: markdown.parse(d, self.source_roots, {t.name: t.depth for t in self.law.types.values() if t.depth != 2})
+            return states.cached_pages(self.spark, own, parse, self.parsed, f"{__version__}-{self.law.digest()}") if self.parsed else parse(own)
 
         return self._kept(f"pages {column}", rows)
 
@@ -543,7 +548,20 @@ class Bundle:
     def pins(self) -> DataFrame:
         """Measured pins of the pages whose types declare them."""
         fields = {t.name: own for t in self.law.types.values() if (own := [k for k, r in t.refs.items() if r["kind"] == "pin"])}
-        return E.measure(E.pinned(self.judged(), fields), self.root, self.law.engine.get("local_origins", []), self._kept)
+        origins = self.law.engine.get("local_origins", [])
+        for k in range(2):  # between two looks at the heads that agree
+            if "pins" in self._tables:
+                break
+            before = E.heads(self.root, origins)
+            rows = E.measure(E.pinned(self.judged(), fields), self.root, origins, lambda name, rows, k=k: self._kept(f"{name} {k}", rows))
+            made = store.kept(rows, "pins")
+            if E.heads(self.root, origins) == before:
+                self._tables["pins"] = made
+            else:
+                store.drop(self.spark, made[1])
+        if "pins" not in self._tables:
+            raise states.StateChanged("a repository moved on while it was read")
+        return self._tables["pins"][0]
 
     def evidence_findings(self, pins: DataFrame) -> DataFrame:
         """Stale, unknown and unmeasured pins, citations that don't hold, and pages that name a stale page."""
@@ -616,7 +634,7 @@ class Bundle:
 
         found = self.findings()
         has_pins = any(r["kind"] == "pin" for t in self.law.types.values() for r in t.refs.values())
-        pins = self.pins().persist() if evidence and has_pins else None
+        pins = self.pins() if evidence and has_pins else None
         parts = [found]
         if pins is not None:
             parts.append(self.evidence_findings(pins))
@@ -629,7 +647,9 @@ class Bundle:
         out |= {"coverage": [r.asDict() for r in self.coverage(found).orderBy("rule").collect()], "scope": self.scope().first().asDict(), "unevaluated": {r.rule: r.reasons for r in verdict.unevaluated_reasons(found.filter("rule = 'unevaluated'").select(F.col("details")["rule"].alias("rule"), F.col("details")["reason"].alias("reason"))).collect()}}
         if pins is not None:
             out["pins"] = {r.state: r.pins for r in E.state_counts(pins).collect()}
-            pins.unpersist()
+            cells = E.page_cells(pins).agg(F.count_if("evaluated").alias("evaluated"), F.count_if(~F.col("evaluated")).alias("unevaluated")).first()
+            rest = self.readable().count() - cells.evaluated - cells.unevaluated
+            out["coverage"] += [{"rule": r, "evaluated": cells.evaluated, "not_applicable": rest, "unevaluated": cells.unevaluated} for r in ("citation-unresolved", "pin-stale", "pin-unknown")]
         return out
 
     def gate(self, limit: int | None = 100, message: str | None = None, rule: str | None = None, path: str | None = None) -> dict:

@@ -329,12 +329,12 @@ PAGE = (
 
 
 def read_files(spark: SparkSession, root: str, content_roots: list[str]) -> DataFrame:
-    """(path, content) of every .md file under the content roots, by Spark's own reader."""
+    """(path, content, modificationTime, length) of every .md file under the content roots, by Spark's own reader; stamps alone read no contents."""
     paths = [f"{root.rstrip('/')}/{r}" for r in content_roots]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(paths)
     plain = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z]+:/*", "/")
     inside = F.length(F.lit(root.rstrip("/"))) + 2
-    return files.select(F.substring(plain, inside, F.length("path")).alias("path"), "content")
+    return files.select(F.substring(plain, inside, F.length("path")).alias("path"), "content", "modificationTime", "length")
 
 
 def walk(root: str, content_roots: list[str]) -> tuple[list[str], list[tuple[str, str]]]:

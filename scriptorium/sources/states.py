@@ -2,59 +2,44 @@
 
 from __future__ import annotations
 
-import hashlib
+import datetime
 import os
-import time
 import unicodedata
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Nanoseconds that a file must have rested for its stamp to be trusted.
-SETTLED = 2_000_000_000
+from scriptorium.sources import store
 
-
-class StateChanged(RuntimeError):
-    """The files changed while they were read, twice."""
-
-
-def stamp(path: str, now: int | None = None) -> tuple | None:
-    """(size, mtime, ctime, inode, device) of a file that has rested; None for one that may still be changing."""
-    s = os.stat(path)
-    moved = max(s.st_mtime_ns, s.st_ctime_ns)
-    return (s.st_size, s.st_mtime_ns, s.st_ctime_ns, s.st_ino, s.st_dev) if (now or time.time_ns()) - moved > SETTLED else None
+#: Seconds that a file must have rested for its stamp to tell that it is unchanged.
+RESTED = 2
 
 
-def capture_digest(root: str, paths: list[str], known: dict | None = None) -> tuple[str, dict]:
-    """Digest over the files' contents, and (stamp, digest) by path; a file whose stamp stands in ``known`` isn't read again."""
-    lines, seen = [], {}
-    for p in paths:
-        full = os.path.join(root, p)
-        at = stamp(full)
-        if at and known and p in known and known[p][0] == at:
-            own = known[p][1]
-        else:
-            with open(full, "rb") as f:
-                own = hashlib.file_digest(f, "sha256").hexdigest()
-        seen[p] = at, own
-        lines.append(f"{p}\0{own}\n".encode())
-    return hashlib.sha256(b"".join(sorted(lines))).hexdigest(), seen
+class StateChanged(RuntimeError):
+    """What was read changed meanwhile, twice."""
 
 
-def settled(root: str, content_roots: list[str], read, tries: int = 2):
-    """``read()`` between two captures of the files that agree; StateChanged if they never do. Returns (result, digest, skipped)."""
-    from scriptorium.sources.markdown import walk
+def settled(files, spark: SparkSession, tries: int = 2) -> tuple[DataFrame, str]:
+    """((path, content), its table): files as they stood at one time.
 
+    ``files()``: rows (path, content, modificationTime, length), listed anew at each call. They are written once; then
+    stamps are listed again, without contents, and must be the same. A file whose stamp is too young to be trusted is
+    read again, and only such ones. StateChanged if something changed in each of the tries.
+    """
     for _ in range(tries):
+        began = datetime.datetime.now(datetime.UTC).timestamp() - RESTED
+        held, path = store.kept(files().withColumn("sha", F.sha2("content", 256)), "state")
+        stamps = files().select("path", F.struct("modificationTime", "length").alias("_now"))
+        young = files().filter(F.col("modificationTime") >= F.timestamp_seconds(F.lit(began))).select("path", F.sha2("content", 256).alias("_sha"))
+        both = held.select("path", "sha", F.struct("modificationTime", "length").alias("_was")).join(stamps, "path", "full").join(young, "path", "left")
         try:
-            paths, skipped = walk(root, content_roots)
-            first, seen = capture_digest(root, paths)
-            out = read()
-            again, skipped_again = walk(root, content_roots)
-            if (again, skipped_again) == (paths, skipped) and capture_digest(root, again, seen)[0] == first:
-                return out, first, skipped
-        except FileNotFoundError:
-            continue
+            if both.filter(~F.col("_was").eqNullSafe(F.col("_now")) | (F.col("_sha") != F.col("sha"))).isEmpty():
+                return held.select("path", "content"), path
+        except (Py4JError, PySparkException):  # a file went while it was read
+            pass
+        store.drop(spark, path)
     raise StateChanged("state-changed-during-read")
 
 
@@ -85,16 +70,32 @@ def overlay(disk: DataFrame, drafts: DataFrame, moves: list[tuple[str, str]] = (
     return now.join(F.broadcast(renamed), "path", "left").join(base, F.coalesce("renamed_from", "path") == F.col("_base"), "left").drop("_base")
 
 
-def cached_pages(spark: SparkSession, files: DataFrame, parse, store: str, key: str) -> DataFrame:
-    """Parsed rows of (path, content), read from ``store`` where the same path, content and key (law and engine) were parsed before.
+def _generations(spark: SparkSession, at: str) -> list[str]:
+    """Complete generations of a store's key, oldest first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in files.listStatus(hadoop(at))) if files.exists(hadoop(at)) else []
+    return [f"{at}/{n}" for n in names if n.startswith("rows-") and files.exists(hadoop(f"{at}/{n}/_SUCCESS"))]
+
+
+def cached_pages(spark: SparkSession, files: DataFrame, parse, folder: str, key: str) -> DataFrame:
+    """Parsed rows of (path, content), read from the store where the same path, content and key (law and engine) were parsed before.
 
-    Only the rest is parsed; its rows are appended to the store, in which nothing is rewritten.
+    Only the rest is parsed and added. Once most rows of the store are of contents that no page has any more, the rows
+    in use are written to a new generation, and the old ones go when the next call has made its own.
     """
     keyed = files.select("path", "content", F.sha2("content", 256).alias("content_sha"))
-    at = f"{store.rstrip('/')}/{key}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    held = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    old = spark.read.parquet(at) if held else None
-    fresh = keyed.join(old.select("path", "content_sha"), ["path", "content_sha"], "left_anti") if held else keyed
-    parse(fresh.select("path", "content")).join(fresh.select("path", "content_sha"), "path").write.mode("append").parquet(at)
-    return spark.read.parquet(at).join(keyed.select("path", "content_sha"), ["path", "content_sha"], "left_semi").dropDuplicates(["path", "content_sha"]).drop("content_sha")
+    at = f"{folder.rstrip('/')}/{key}"
+    held = _generations(spark, at)
+    for old in held[:-1]:
+        store.drop(spark, old)
+    now = held[-1] if held else f"{at}/rows-0000"
+    rows = lambda: spark.read.parquet(now)
+    fresh = keyed.join(rows().select("path", "content_sha"), ["path", "content_sha"], "left_anti") if held else keyed
+    parse(fresh.select("path", "content")).join(fresh.select("path", "content_sha"), "path").write.mode("append").parquet(now)
+    live = lambda: rows().join(keyed.select("path", "content_sha"), ["path", "content_sha"], "left_semi").dropDuplicates(["path", "content_sha"])
+    if held and rows().count() > 2 * keyed.count():
+        after = f"{at}/rows-{int(now[-4:]) + 1:04d}"
+        live().write.parquet(after)
+        return spark.read.parquet(after).drop("content_sha")
+    return live().drop("content_sha")

@@ -67,7 +67,7 @@ def run(root, *args):
 
 def test_verdict_of_a_bundle(spark, root):
     (root / "wiki/link.md").symlink_to(root / "wiki/Rye.md")
-    with Bundle(spark, str(root)) as bundle:
+    with Bundle(spark, str(root), parsed=str(root / ".parsed")) as bundle:
         out = bundle.check(None)
         got = {(f["path"].rpartition("/")[2], f["rule"], (f["details"] or {}).get("kind") or (f["details"] or {}).get("rule")) for f in out["findings"] if f["rule"] != "unevaluated"}
         assert got == {
@@ -218,11 +218,29 @@ def test_pins_and_command_line(spark, root, tmp_path):
 def test_states(spark, tmp_path):
     (tmp_path / "wiki").mkdir()
     (tmp_path / "wiki/a.md").write_text("a")
-    out, digest, skipped = states.settled(str(tmp_path), ["wiki"], lambda: 1)
-    assert (out, skipped) == (1, []) and digest == states.capture_digest(str(tmp_path), ["wiki/a.md"])[0]
+    files = lambda: markdown.read_files(spark, str(tmp_path), ["wiki"])
+    rows, _ = states.settled(files, spark)
+    assert [(r.path, bytes(r.content)) for r in rows.collect()] == [("wiki/a.md", b"a")]
+    calls = []
+
+    def moving():
+        calls.append(1)
+        if len(calls) % 3 == 2:  # between the read and the second look at the stamps
+            (tmp_path / "wiki/a.md").write_text("a" * (len(calls) + 1))
+        return files()
+
     with pytest.raises(states.StateChanged):
-        states.settled(str(tmp_path), ["wiki"], lambda: (tmp_path / "wiki/a.md").write_text((tmp_path / "wiki/a.md").read_text() + "x"))
-    assert states.stamp(str(tmp_path / "wiki/a.md")) is None and states.stamp(str(tmp_path / "wiki/a.md"), os.stat(tmp_path / "wiki/a.md").st_ctime_ns + 3 * 10**9)
+        states.settled(moving, spark)
+    at = os.stat(tmp_path / "wiki/a.md")
+
+    def unstamped():
+        calls.append(1)
+        if len(calls) == 8:  # the same size and time, other bytes: told by its contents, as the stamp is too young
+            (tmp_path / "wiki/a.md").write_text("b" * at.st_size)
+            os.utime(tmp_path / "wiki/a.md", ns=(at.st_atime_ns, at.st_mtime_ns))
+        return files()
+
+    assert {bytes(r.content)[:1] for r in states.settled(unstamped, spark)[0].collect()} == {b"b"}
     disk = spark.createDataFrame([("a", b"1"), ("b", b"2"), ("c", b"3")], "path string, content binary")
     drafts = spark.createDataFrame([("b", b"9"), ("d", b"3")], "path string, content binary")
     got = {r.path: (bytes(r.content), r.base_content and bytes(r.base_content), r.renamed_from) for r in states.overlay(disk, drafts, [("c", "d")]).collect()}
@@ -231,6 +249,10 @@ def test_states(spark, tmp_path):
     parse = lambda rows: (parsed.append(rows.count()), rows.withColumn("body", F.decode("content", "UTF-8")).drop("content"))[1]
     for rows, n in ((disk, 3), (disk.union(drafts.filter("path = 'd'")), 1)):
         assert states.cached_pages(spark, rows, parse, str(tmp_path / "store"), "k").count() == rows.count() and parsed[-1] == n
+    one = disk.filter("path = 'a'")
+    for _ in range(2):  # most rows are of no use any more: a new generation holds the one that is
+        assert [r.body for r in states.cached_pages(spark, one, parse, str(tmp_path / "store"), "k").collect()] == ["1"] and parsed[-1] == 0
+    assert sorted(os.listdir(tmp_path / "store/k")) == ["rows-0001"]
 
 
 def test_text_and_transitions(spark):
