@@ -182,6 +182,11 @@ def refused_path(path: str) -> str | None:
     return next((r for x in path.split("/") if (r := {"": "empty-segment", ".": "dot-segment", "..": "traversal"}.get(x))), None)
 
 
+def code_units(col: Column) -> Column:
+    """Sort key of a text in the order of its UTF-16 code units, which puts characters beyond the first plane before U+E000."""
+    return F.encode(col, "UTF-16BE")
+
+
 def is_content_path(path: Column, roots: list[str]) -> Column:
     under = F.exists(F.array(*map(F.lit, roots)), lambda r: path.startswith(F.concat(r, F.lit("/"))))
     return path_refusal(path).isNull() & under & path.endswith(".md")

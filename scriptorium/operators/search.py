@@ -90,7 +90,7 @@ def ranked(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     Keys at even distances in a sample (the rows of smallest hash) cut the rows into pieces; a row's number is its number
     in its piece plus the rows of the pieces before. Any cuts give the same numbers.
     """
-    at = F.struct(*((-F.col(k)).alias(k) if k != keys[-1] else F.col(k) for k in keys))
+    at = F.struct(*((-F.col(k)).alias(k) if k != keys[-1] else T.code_units(F.col(k)).alias(k) for k in keys))
     keyed = rows.withColumn("_at", at)
     sample = sorted(tuple(r["_at"]) for r in keyed.orderBy(F.xxhash64(keys[-1])).limit(SAMPLE).select("_at").collect())
     cuts = sample[:: SAMPLE // PIECES][1:] if len(sample) == SAMPLE else []
@@ -105,7 +105,7 @@ def ranked(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def top(ranked: DataFrame, k: int, group: str = "query_id", order: str = "score") -> DataFrame:
     """The k best rows of each group, ties by path, with their rank."""
-    w = Window.partitionBy(group).orderBy(F.desc(order), "path")
+    w = Window.partitionBy(group).orderBy(F.desc(order), T.code_units(F.col("path")))
     return ranked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -254,7 +254,7 @@ def near_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
     like = F.col("both") / (F.col("m") + F.col("n") - F.col("both"))
     grams = shared.filter(like >= NEAR_LEAST).select(*pair, "display", F.concat(F.lit("trigram:"), F.format_string("%.2f", like)), like)
     found = exact.union(words).union(grams).groupBy(*pair).agg(F.max("part").alias("score"), F.array_sort(F.collect_set("why")).alias("why"), F.first("display").alias("name"))
-    best = found.groupBy("query_id", "path").agg(F.min_by(F.struct("name", "score", "why", "bridged"), F.struct(-F.col("score"), "normal", "bridged", "q")).alias("b"))
+    best = found.groupBy("query_id", "path").agg(F.min_by(F.struct("name", "score", "why", "bridged"), F.struct(-F.col("score"), T.code_units(F.col("normal")), "bridged", "q")).alias("b"))
     reasons = F.when(F.col("b.bridged"), F.concat(F.array(F.lit("bridge:han-latin")), "b.why")).otherwise(F.col("b.why"))
     return best.select("query_id", "path", "b.name", F.round("b.score", 6).alias("score"), reasons.alias("reasons"))
 
@@ -262,7 +262,7 @@ def near_many(pages: DataFrame, queries: DataFrame) -> DataFrame:
 def near(pages: DataFrame, query: str, limit: int | None = NEAR_LIMIT) -> DataFrame:
     """(path, name, score, reasons) of the pages nearest to one query, by score, then path."""
     asked = pages.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(query).alias("text"))
-    out = near_many(pages, asked).drop("query_id").orderBy(F.desc("score"), "path")
+    out = near_many(pages, asked).drop("query_id").orderBy(F.desc("score"), T.code_units(F.col("path")))
     return out.limit(limit) if limit else out
 
 

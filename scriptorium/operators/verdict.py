@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
+
 #: Every finding code with its severity (E, W or I) and lane ("fix": an attached command).
 ROUTES = """
 source-path-missing E source-review
@@ -102,8 +104,8 @@ def route(findings: DataFrame, table: DataFrame, own_lane: str = "rule-review")
 
 
 def display_order() -> list[Column]:
-    """Path, place (page, then line, then heading and occurrence), rule, message."""
-    return [F.col("path"), F.coalesce("line", F.lit(-1)), F.coalesce("heading", F.lit("")), F.coalesce("occurrence", F.lit(-1)), F.col("rule"), F.col("message")]
+    """Path, place (page, then line, then heading and occurrence), rule, message; texts by code units."""
+    return [T.code_units(F.col("path")), F.coalesce("line", F.lit(-1)), T.code_units(F.coalesce("heading", F.lit(""))), F.coalesce("occurrence", F.lit(-1)), F.col("rule"), T.code_units(F.col("message"))]
 
 
 def band(severity: Column) -> Column:

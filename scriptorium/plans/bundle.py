@@ -763,7 +763,7 @@ class Bundle:
         close = self._kept(f"near {query}", lambda: search.near(self.readable(), query, None)) if near and query is not None else None
         out = {"results": [r.asDict() for r in shown.collect()], "coverage": search.coverage_block(query, self.readable().count(), limit, n, close.count() if close is not None else None)}
         if close is not None:
-            out["near"] = [r.asDict() for r in close.orderBy(F.desc("score"), "path").limit(search.NEAR_LIMIT).collect()]
+            out["near"] = [r.asDict() for r in close.orderBy(F.desc("score"), T.code_units(F.col("path"))).limit(search.NEAR_LIMIT).collect()]
         found.unpersist()
         return out
 

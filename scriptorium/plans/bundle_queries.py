@@ -114,3 +114,31 @@ def q66_bundle_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change answers for: new and edited customers, sections and lines that they inherit, names that a deletion and a rename change elsewhere."""
     found = _bundle(spark, sf_dir, True).scoped().filter("rule <> 'unevaluated'")
     return found.groupBy("path", "rule", "severity", "demoted_from").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_FOUND}, l_ AS (SELECT path, c_nationkey AS n FROM c_ JOIN customer ON c_custkey = k WHERE NOT lost)
+SELECT path AS "from", 'tag:' || lower(seg) AS "to", 'tagged' AS kind, NULL AS label FROM c_ WHERE seg <> 'FURNITURE' UNION ALL SELECT path, 'wiki/nation/NATION_' || n || '.md', 'wikilink', NULL FROM l_
+UNION ALL SELECT path, 'wiki/nation/NATION_' || n || '.md', 'relation', 'in' FROM l_ WHERE path IN (SELECT path FROM c_ WHERE known)""")
+def q67_bundle_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a bundle: registered tags, links, relations of pages whose type declares them."""
+    return _bundle(spark, sf_dir, False).graph()
+
+
+@_query(f"""WITH {_FOUND} SELECT 'tags' AS vocabulary, lower(seg) AS value, count(*) AS uses FROM c_ WHERE known GROUP BY ALL UNION ALL SELECT 'states', s, count(*) FROM o_ WHERE NOT odd GROUP BY ALL""")
+def q68_bundle_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of each entry of the vocabularies in a bundle."""
+    return _bundle(spark, sf_dir, False).census()
+
+
+@_query(f"""WITH {_FOUND}, u_ AS (SELECT count(*) FILTER (NOT odd) AS read, count(*) FILTER (odd) AS unread FROM o_)
+SELECT count(*) FILTER (facts) + count(*) AS governed, 0::BIGINT AS prose, count(*) FILTER (k % 17 = 6) AS unbound, any_value(read) + count(*) AS parsed_records, any_value(unread) AS malformed_items, 0::BIGINT AS unbound_preambles FROM c_, u_ WHERE known""")
+def q69_bundle_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: sections of a bundle by mode, records read and items that can't be read."""
+    return _bundle(spark, sf_dir, False).scope()
+
+
+@_query(f"""WITH {_FOUND} SELECT path, o_orderkey::BIGINT AS order_id FROM orders JOIN c_ ON o_custkey = k WHERE known AND facts AND o_totalprice <= 450000 AND o_orderstatus = 'P'""")
+def q70_bundle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a retired category, by page and the order that each is about."""
+    rows = _bundle(spark, sf_dir, False).records().filter("claim.category = 'p'")
+    return rows.select("path", F.regexp_extract("claim.core", "order ([0-9]+)", 1).cast("long").alias("order_id"))

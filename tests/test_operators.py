@@ -129,3 +129,12 @@ def test_near_names_over_scripts(spark):
     grams = lambda x: {f" {x} "[k : k + 3] for k in range(len(x))}
     assert many[2, "wiki/b/Hong yan villages.md"] == round(by_hand(grams("redrocks"), grams("redrock")), 6)
     assert search.near_many(pages.limit(0), asked).count() == 0
+
+
+def test_code_unit_order(spark):
+    names = ["a", "\ue000", "\U0001f600", "z", "é", "\uffff"]
+    rows = spark.createDataFrame([(n, "r", "error", None, None, None, "m") for n in names], "path string, rule string, severity string, line int, heading string, occurrence int, message string")
+    want = sorted(names, key=lambda n: n.encode("utf-16-be"))
+    assert [r.path for r in verdict.cap(rows, 9).collect()] == want != sorted(names)
+    ranked = search.ranked(spark.createDataFrame([(n, 1) for n in names], "path string, score int"), ["score", "path"], "n")
+    assert [r.path for r in ranked.orderBy("n").collect()] == want
