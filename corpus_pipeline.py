@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in an order that interleaves their sources by weight; a null source is one of its own, ties keep any order in their block."""
+    """All documents in an order that interleaves their sources by weight; a null source counts as the source "", ties keep any order in their block."""
     return mixing.ordered(docs)
 
 

@@ -5,8 +5,8 @@ Lengths fall into reciprocal-capacity classes: class j holds lengths in
 needs only a counter per class and every worker fills its own bins. Documents
 may be cut: whole sequences are cut off first, then the rest gives up pieces of
 C/2, C/4 ... down to ``least_cut`` (which fill their classes without padding), and
-what remains, shorter than ``least_cut``, goes to a class of 2 C / least_cut - 1
-or more pieces a bin. The bins that are still open when a worker's input ends are
+what remains, shorter than ``least_cut``, goes to a class of C / least_cut or more
+pieces a bin. The bins that are still open when a worker's input ends are
 refilled together, largest piece first, so a worker leaves about one bin unfilled.
 
 One pass over the scan's own partitions: no shuffle; a lost task is computed

@@ -118,3 +118,39 @@ def test_sequences_follow_the_slots(spark):
     ranges = [(min(v), max(v)) for _, v in sorted(parts.items())]
     assert {r.doc_id for r in made} == set(slot) and len(ranges) > 1
     assert all(a[1] <= b[0] for a, b in itertools.pairwise(ranges))
+
+
+def _slots_by_simulation(sizes: dict[str, list[int]], weights: dict[str, int], block: int) -> dict[str, list[tuple[int, int]]]:
+    """(block, slot) of every document by taking slot after slot: of the released blocks the one due first. A period that all sources fill is taken whole, else a phase ends with its first source."""
+    ends = {s: sum(v) // block + 1 for s, v in sizes.items()}
+    slot_of, done, t = {}, dict.fromkeys(sizes, 0), 0
+    while live := sorted(s for s in sizes if done[s] < ends[s]):
+        total, began = sum(weights[s] for s in live), t
+        taken = dict.fromkeys(live, 0)
+        whole = all(ends[s] - done[s] >= weights[s] for s in live)
+        while t - began < total if whole else all(done[s] < ends[s] for s in live):
+            ready = [(-(-(taken[s] + 1) * total // weights[s]), s) for s in live if taken[s] * total // weights[s] <= t - began]
+            _, s = min(ready)
+            slot_of[s, done[s]] = t
+            taken[s], done[s], t = taken[s] + 1, done[s] + 1, t + 1
+    out = {}
+    for s, v in sizes.items():
+        at = 0
+        for n in v:
+            out.setdefault(s, []).append((at // block, slot_of[s, at // block]))
+            at += n
+    return out
+
+
+def test_slots_of_mix_by_simulation(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "t" * (k * 37 % 90), f"s{(k * k) % 11 % 4}") for k in range(700)] + [(900, "x" * 1000, "s1"), (901, None, "s2"), (902, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ({"s0": 5, "s1": 2, "s2": 1}, {"s3": 7}):
+        made = mixing.mix(docs, weights, block_chars=150).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(docs.count() // mixing.CHUNK_DOCS + 1))).collect()
+        own: dict = {}
+        for r in sorted(made, key=lambda r: (r.chunk, r.doc_id)):
+            own.setdefault(r.source or "", []).append((len(r.text or ""), r._block, r._slot))
+        want = _slots_by_simulation({s: [x[0] for x in v] for s, v in own.items()}, {s: weights.get(s, 1) for s in own}, 150)
+        assert {s: [x[1:] for x in v] for s, v in own.items()} == want
