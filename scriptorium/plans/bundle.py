@@ -25,7 +25,7 @@ from scriptorium.sources import git, markdown, states, store
 _PLACE = {"line": "int", "heading": "string", "occurrence": "int"}
 #: Fields of the records that rules read.
 _PAGE_OF = {"resolved": None, "path": None, "type": None}
-_AT = {"location": {"line": None}, "raw": None, "rationale": None, "kind": None}
+_AT = {"location": {"line": None, "span": None}, "raw": None, "rationale": None, "kind": None}
 RECORDS = {
     "claims": {"category": None, "core": None, "handle": None, "provenance": {"kind": None, "value": None, "page": _PAGE_OF}, "retracted": {"date": None}, "superseded": {"date": None, "by": None}, **_AT},
     "relations": {"label": None, "target": {"name": None, "heading": None, "alias": None, **_PAGE_OF}, **_AT},
@@ -396,7 +396,7 @@ class Bundle:
 
         def shape(i: Column) -> Column:
             r = i[kind]
-            common = [F.struct(i["line"].alias("line")).alias("location"), i["raw"].alias("raw"), i["rationale"].alias("rationale"), F.lit(kind).alias("kind")]
+            common = [F.struct(i["line"].alias("line"), i["span"].alias("span")).alias("location"), i["raw"].alias("raw"), i["rationale"].alias("rationale"), F.lit(kind).alias("kind")]
             if grammar == "relations":
                 to = of(r["ident"])
                 target = F.struct(r["target_name"].alias("name"), r["target_heading"].alias("heading"), r["target_alias"].alias("alias"), to["resolved"].alias("resolved"), to["path"].alias("path"), to["type"].alias("type"))
@@ -461,9 +461,9 @@ class Bundle:
                     env["section"] = self._section_env(grammar, "_s", F.col("_n"))
                     if "before" in env:
                         was = self._section_env(grammar, "_bs", F.col("_bs.seq"), "_b_items", "_b_resolved")
-                        items, line = cel.as_column(was["items"]), was["location"]["line"]
-                        whole = F.struct(items.alias("items"), F.struct(line.alias("line")).alias("location"), *(was[c].alias(c) for c in ("heading", "raw", "direct", "path", "mode")))
-                        fields = {"items": (RECORDS[grammar],) if grammar in RECORDS else None, "location": {"line": None}, "heading": None, "raw": None, "direct": None, "path": None, "mode": None}
+                        places = {c: F.struct(*(v.alias(n) for n, v in was[c].items())).alias(c) for c in ("location", "directLocation")}
+                        whole = F.struct(cel.as_column(was["items"]).alias("items"), *places.values(), *(was[c].alias(c) for c in ("heading", "raw", "direct", "path", "mode")))
+                        fields = {"items": (RECORDS[grammar],) if grammar in RECORDS else None, **{c: {"line": None, "span": None} for c in places}, "heading": None, "raw": None, "direct": None, "path": None, "mode": None}
                         env["before"]["section"] = cel.Struct(F.when(F.col("_bs").isNotNull(), whole), fields)
                     on = on & (F.col("_policy") == F.array(*map(F.lit, path)))
                 told = lambda rule, severity, message, kind, r=r: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(r["id"]).alias("own"), F.lit(kind).alias("kind"))
@@ -484,7 +484,7 @@ class Bundle:
     def _section_env(self, grammar: str, at: str, seq: Column, items: str = "items", resolved: str = "resolved") -> dict:
         """What rules read of a section: its column, its number, and the items and names of its page."""
         records = cel.Records(self._records(grammar, seq, items, resolved), RECORDS[grammar]) if grammar in RECORDS else F.array().cast("array<string>")
-        return {"items": records, "heading": F.col(f"{at}.heading"), "raw": F.col(f"{at}.raw"), "direct": F.col(f"{at}.direct"), "path": F.col(f"{at}.heading_path"), "mode": F.lit(grammar), "location": {"line": F.col(f"{at}.line")}}
+        return {"items": records, "heading": F.col(f"{at}.heading"), "raw": F.col(f"{at}.raw"), "direct": F.col(f"{at}.direct"), "path": F.col(f"{at}.heading_path"), "mode": F.lit(grammar), "location": {"line": F.col(f"{at}.line"), "span": F.col(f"{at}.span")}, "directLocation": {"line": F.col(f"{at}.line"), "span": F.col(f"{at}.direct_span")}}
 
     def _with_before(self, pages: DataFrame, by_names: bool = True) -> DataFrame:
         """Pages with their base page's columns under the prefix _b_, null for a new page; _base_reads is false where the base isn't a page.

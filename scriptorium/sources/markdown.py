@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import datetime
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -274,6 +275,14 @@ def parse_page(path: str, content: bytes, roots: tuple = (), depths: dict | None
     if len({x["target"] for x in page["links"]}) > LINKS:
         return page | {"code": "page-too-large", "message": "links"}
 
+    starts = [0, *itertools.accumulate(len(x.encode()) + 1 for x in lines)]  # byte at which each line begins
+
+    def written(first: int, after: int) -> tuple[str, list[int]]:
+        """Text and byte span of lines up to the last one that isn't blank, the first in any case."""
+        while after - 1 > first and not lines[after - 1].strip():
+            after -= 1
+        return "\n".join(lines[first:after]), [starts[first], starts[after] - 1]
+
     page["headings"] = [t for _, _, t in headings]
     first = headings[0][0] if headings else len(lines)
     page["preamble"] = "\n".join(lines[start:first]).strip("\n")
@@ -289,14 +298,14 @@ def parse_page(path: str, content: bytes, roots: tuple = (), depths: dict | None
         stack.append((level, title, address))
         deeper = next((a for a, l, _ in headings[n + 1 :] if l <= level), len(lines))
         direct = headings[n + 1][0] if n + 1 < len(headings) else len(lines)
-        page["sections"].append({"seq": n, "occurrence": sum(t == title for _, _, t in headings[:n]), "heading": title, "depth": level, "heading_path": [x[1] for x in stack], "section_path": [x[1] for x in stack if x[0] >= depth], "address": "/".join([*parent, address]), "line": at + 1, "raw": "\n".join(lines[at + 1 : deeper]).strip("\n"), "direct": "\n".join(lines[at + 1 : direct]).strip("\n")})
-        page["items"] += _items(lines, at + 1, direct, opaque, n, roots)
+        page["sections"].append({"seq": n, "occurrence": sum(t == title for _, _, t in headings[:n]), "heading": title, "depth": level, "heading_path": [x[1] for x in stack], "section_path": [x[1] for x in stack if x[0] >= depth], "address": "/".join([*parent, address]), "line": at + 1, **dict(zip(("raw", "span"), written(at, deeper))), **dict(zip(("direct", "direct_span"), written(at, direct)))})
+        page["items"] += _items(lines, at + 1, direct, opaque, n, roots, starts)
         if sum(x["seq"] == n for x in page["items"][-ITEMS - 1 :]) > ITEMS:
             return page | {"code": "page-too-large", "message": "items"}
     return page
 
 
-def _items(lines, start, end, opaque, seq, roots) -> list[dict]:
+def _items(lines, start, end, opaque, seq, roots, starts) -> list[dict]:
     out, now = [], None
     for k in range(start, end):
         line = lines[k]
@@ -306,11 +315,12 @@ def _items(lines, start, end, opaque, seq, roots) -> list[dict]:
             continue
         if not _THEMATIC.match(line) and _BULLET.match(line):
             raw = re.sub(r"^ {0,3}(?:[*+]|[0-9]{1,9}[.)])\s+", "- ", line.strip())
-            now = {"seq": seq, "pos": len(out), "line": k + 1, "raw": raw, "rationale": []}
+            now = {"seq": seq, "pos": len(out), "line": k + 1, "raw": raw, "rationale": [], "span": [starts[k], starts[k + 1] - 1]}
             now |= {"claim": _keyed_claim(parse_claim(raw, roots)), "relation": _keyed_relation(parse_relation(raw)), "entry": parse_entry(raw)}
             out.append(now)
         elif line.startswith((" ", "\t")) and line.strip() and now is not None:
             now["rationale"].append(line.strip())
+            now["span"][1] = starts[k + 1] - 1
         elif line.strip():
             now = None
     return out
@@ -322,8 +332,8 @@ _ENTRY_T = "struct<date: string, precision: string, text: string>"
 PAGE = (
     "path string, code string, code_line int, message string, type string, title string, description string, status string, tags array<string>, aliases array<string>, headings array<string>, "
     "frontmatter string, key_lines map<string, int>, body string, preamble string, "
-    "sections array<struct<seq: int, occurrence: int, heading: string, depth: int, heading_path: array<string>, section_path: array<string>, address: string, line: int, raw: string, direct: string>>, "
-    f"items array<struct<seq: int, pos: int, line: int, raw: string, rationale: array<string>, claim: {_CLAIM_T}, relation: {_REL_T}, entry: {_ENTRY_T}>>, "
+    "sections array<struct<seq: int, occurrence: int, heading: string, depth: int, heading_path: array<string>, section_path: array<string>, address: string, line: int, raw: string, span: array<long>, direct: string, direct_span: array<long>>>, "
+    f"items array<struct<seq: int, pos: int, line: int, raw: string, rationale: array<string>, span: array<long>, claim: {_CLAIM_T}, relation: {_REL_T}, entry: {_ENTRY_T}>>, "
     "links array<struct<target: string, ident: string, heading: string, alias: string, line: int>>"
 )
 

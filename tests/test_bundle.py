@@ -2,6 +2,7 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.functions import cel
 from scriptorium.plans import law as L
@@ -193,6 +194,18 @@ def test_parser():
     assert markdown.parse_entry("- 2023-02-29 — x") is None and markdown.parse_entry("- 2024-02 — x")["precision"] == "month"
 
 
+def test_byte_spans_of_sections_and_records(spark):
+    text = "---\ntype: x\n---\n\n## Ä\n\n- [a] é\n  more\n- [b] z\n\n### In\n\ntext\n\n## End\n"
+    page = markdown.parse_page("a.md", text.replace("\n", "\r\n").encode())
+    cut = lambda s: text.encode()[s[0] : s[1]].decode()
+    assert [cut(s["span"]) for s in page["sections"]] == [s["raw"] for s in page["sections"]] == ["## Ä\n\n- [a] é\n  more\n- [b] z\n\n### In\n\ntext", "### In\n\ntext", "## End"]
+    assert [cut(s["direct_span"]) for s in page["sections"]] == [s["direct"] for s in page["sections"]] and cut(page["sections"][0]["direct_span"]).endswith("z")
+    assert [cut(i["span"]) for i in page["items"]] == ["- [a] é\n  more", "- [b] z"]
+    rows = spark.createDataFrame([([3, 9],)], "span array<long>")
+    env = {"section": {"location": {"span": F.col("span")}}}
+    assert rows.select(cel.compile_rule("section.location.span[1] - section.location.span[0] == 6", env)).first()[0]
+
+
 def test_blocks_of_markdown():
     cases = {
         "# A\n> # q\n\n- item\n\n  # in item\n  ---\n# B": ["A", "B"], "> para\nlazy\n===\n# C": ["C"], "Title\ntwo\n===": ["Title two"], "1. a\n\n   ```\n   # x\n   ```\n\n# Y": ["Y"], "para\n- item\n---\n# h": ["h"],

@@ -12,7 +12,7 @@ def test_splices():
     out = W.splice(PAGE, [("set", "title", "yes"), ("append", "tags", "y: z"), ("append", "aliases", "c"), ("under", "Facts", "- two"), ("replace", "Notes", "New."), ("append", "extra", "q")])
     page = parse_page("p", out.encode())
     assert page["title"] == "yes" and page["tags"] == ["x", "y: z"] and page["aliases"] == ["b", "c"]
-    assert [i["raw"] for i in page["items"]] == ["- one", "- two"] and page["sections"][2]["raw"] == "New."
+    assert [i["raw"] for i in page["items"]] == ["- one", "- two"] and page["sections"][2]["raw"].endswith("\n\nNew.")
     assert W.rename_links(PAGE, "old", "New") == (PAGE.replace("[[Old#h|z]]", "[[New#h|z]]").replace("[[OLD]]", "[[New]]"), 2)
     assert W.close_line("a\nb\r\nc", 2, "retracted 2026-01-01") == "a\nb (retracted 2026-01-01)\r\nc"
     for bad in ([("set", "a", "1"), ("set", "a", "2")], [("remove", "none", "")], [("under", "Nothing", "x")], [("what", "a", "b")]):
