@@ -52,16 +52,17 @@ class Bundle:
     """``state``: by default the files under the law's content roots. ``sources``: rows (path, kind) of the source roots, None if not measured.
     ``removed``: pages (path, content) that the base of the state had and the state has not. ``parsed``: a folder that keeps
     parsed pages from run to run; a page with the same content under the same law isn't parsed again.
+    ``index``: a name index that pages are judged by instead of their own.
 
     Pages are parsed once into a table of the shared folder, as is what several checks read; ``close`` (or the end of a
     ``with`` block) deletes these tables.
     """
 
-    def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None, removed: DataFrame | None = None, parsed: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, state: DataFrame | None = None, law: L.Law | None = None, sources: DataFrame | None = None, skipped: list[tuple[str, str]] | None = None, removed: DataFrame | None = None, parsed: str | None = None, index: DataFrame | None = None):
         self.spark, self.root, self.law = spark, root, law or L.load(root)
         self.source_roots = tuple(self.law.engine.get("source_roots", ()))
         self._tables: dict[str, tuple[DataFrame, str]] = {}
-        self.parsed = parsed
+        self.parsed, self.index = parsed, index
         if state is None:
             self._tables["state"] = states.settled(lambda: markdown.read_files(spark, root, self.law.content_roots), spark)
             state = self._tables["state"][0]
@@ -123,7 +124,7 @@ class Bundle:
         return self._tables[name][0]
 
     def names(self) -> DataFrame:
-        return self._kept("names", lambda: names.name_index(self.readable().select("path", "type", "aliases")))
+        return self.index if self.index is not None else self._kept("names", lambda: names.name_index(self.readable().select("path", "type", "aliases")))
 
     def base_names(self) -> DataFrame:
         """The name index of the base: its pages at the paths that they had there, those among them that are gone by now."""
@@ -132,7 +133,7 @@ class Bundle:
             own = lambda c: self.readable(c).select("path", "type", "aliases")
             return names.name_index(names.base_pages(own("base_content"), self.state.select("path", "renamed_from"), own("removed")))
 
-        return self._kept("names of the base", rows)
+        return self.index if self.index is not None else self._kept("names of the base", rows)
 
     # ---------------------------------------------------------------- sections and records
 

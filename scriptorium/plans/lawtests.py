@@ -56,8 +56,8 @@ def judge(spark: SparkSession, root: str, law: L.Law, pages: dict[str, tuple[byt
     rows = [(p, bytearray(c), bytearray(b) if b is not None else None, None) for p, (c, b) in pages.items()]
     state = spark.createDataFrame(rows, "path string, content binary, base_content binary, renamed_from string")
     out: dict[str, list] = {p: [] for p in pages}
-    with Bundle(spark, root, law=law) as vault, Bundle(spark, root, state, own, vault.sources) as tests:
-        found = tests.findings(vault.names(), "the vault's names").filter(F.col("severity") != "info").filter(~F.col("rule").isin(*verdict.VAULT_WIDE))
+    with Bundle(spark, root, law=law) as vault, Bundle(spark, root, state, own, vault.sources, index=vault.names()) as tests:
+        found = tests.findings().filter(F.col("severity") != "info").filter(~F.col("rule").isin(*verdict.VAULT_WIDE))
         for r in found.orderBy(*verdict.display_order()).collect():
             if r.path in out:
                 out[r.path].append(r)

@@ -93,7 +93,7 @@ def test_reading_search_and_files(spark, root):
         with pytest.raises(reading.NotFound):
             bundle.read("Barley")
         found = bundle.search_report("rye", limit=1, near=True, kind="plant")
-        assert [r["path"] for r in found["results"]] == ["wiki/Rye.md"] and found["coverage"]["caps"] == {"limit": 1, "found": 1, "hit": False} and found["near"]
+        assert [r["path"] for r in found["results"]] == ["wiki/Rye.md"] and found["coverage"]["caps"] == {"limit": 1, "found": 1, "hit": False, "near_limit": 20, "near_found": 1, "near_hit": False} and found["near"]
         assert [r["path"] for r in bundle.search_report(None, tag="EAST")["results"]] == ["wiki/east/Rye field.md"]
         assert bundle.search_items("sandy").first().line == 10
         planned = artifacts.plans(bundle)
