@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.plans import artifacts
 from scriptorium.plans import law as L
 from scriptorium.plans import projections as P
 from scriptorium.plans.bundle import Bundle
@@ -142,3 +143,35 @@ def q70_bundle_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of a retired category, by page and the order that each is about."""
     rows = _bundle(spark, sf_dir, False).records().filter("claim.category = 'p'")
     return rows.select("path", F.regexp_extract("claim.core", "order ([0-9]+)", 1).cast("long").alias("order_id"))
+
+
+#: Edges between pages with the SQL of q67, and their neighbours from both ends; pages with their heads.
+_NEAR = """l_ AS (SELECT path, c_nationkey AS n, known FROM c_ JOIN customer ON c_custkey = k WHERE NOT lost),
+e_ AS MATERIALIZED (SELECT path AS f, 'wiki/nation/NATION_' || n || '.md' AS t, 'wikilink' AS kind, '' AS label FROM l_ UNION ALL SELECT path, 'wiki/nation/NATION_' || n || '.md', 'relation', 'in' FROM l_ WHERE known),
+n_ AS MATERIALIZED (SELECT f AS path, 'outbound' AS side, kind, label, t AS other FROM e_ UNION ALL SELECT t, 'inbound', kind, label, f FROM e_),
+g_ AS (SELECT DISTINCT path, side, kind, label FROM n_),
+p_ AS (SELECT path, CASE WHEN known THEN 'customer' ELSE 'client' END AS type, known, '[' || chr(10) || '        "' || lower(seg) || '"' || chr(10) || '      ]' AS tags FROM c_
+  UNION ALL SELECT 'wiki/nation/' || n_name || '.md', 'nation', true, '[]' FROM nation)"""
+
+
+@_query(f"""WITH {_FOUND}, {_NEAR}
+SELECT path, '    {{' || chr(10) || '      "path": "' || path || '",' || chr(10) || '      "type": "' || type || '",' || chr(10) || '      "role": ' || CASE WHEN known THEN '"concept"' ELSE 'null' END || ',' || chr(10) || '      "ancestry": [],' || chr(10)
+  || '      "title": null,' || chr(10) || '      "description": null,' || chr(10) || '      "tags": ' || tags || ',' || chr(10) || '      "status": "active"' AS line FROM p_
+UNION ALL SELECT path, '    }}' FROM p_
+UNION ALL SELECT path, '      "' || side || '": {{' FROM (SELECT DISTINCT path, side FROM g_) UNION ALL SELECT path, '      }}' FROM (SELECT DISTINCT path, side FROM g_)
+UNION ALL SELECT path, '        "relation": {{' FROM g_ WHERE kind = 'relation' UNION ALL SELECT path, '        }}' FROM g_ WHERE kind = 'relation'
+UNION ALL SELECT path, CASE WHEN kind = 'relation' THEN '          "in": [' ELSE '        "wikilink": [' END FROM g_ UNION ALL SELECT path, CASE WHEN kind = 'relation' THEN '          ]' ELSE '        ]' END FROM g_
+UNION ALL SELECT path, CASE WHEN kind = 'relation' THEN '            "' ELSE '          "' END || other || '"' FROM n_""")
+def q71_manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a bundle's manifest by page, as they stand before they are sorted; nations are linked from a share of all customers each."""
+    return artifacts.manifest_lines(_bundle(spark, sf_dir, False)).select("path", "line")
+
+
+@_query(f"""WITH {_FOUND}, {_NEAR}, a_ AS (SELECT f, t, kind, label FROM e_ UNION ALL SELECT path, 'tag:' || lower(seg), 'tagged', '' FROM c_ WHERE seg <> 'FURNITURE')
+SELECT f AS place, '    {{' || chr(10) || '      "from": "' || f || '",' || chr(10) || '      "to": "' || t || '",' || chr(10) || '      "kind": "' || kind || '"' || CASE WHEN label = '' THEN '' ELSE ',' || chr(10) || '      "label": "' || label || '"' END || chr(10) || '    }}' AS line FROM a_
+UNION ALL SELECT path, '    {{' || chr(10) || '      "id": "' || path || '",' || chr(10) || '      "kind": "page",' || chr(10) || '      "type": "' || type || '",' || chr(10) || '      "title": null' || chr(10) || '    }}' FROM p_
+UNION ALL SELECT 'tag:' || t, '    {{' || chr(10) || '      "id": "tag:' || t || '",' || chr(10) || '      "kind": "tag"' || chr(10) || '    }}' FROM unnest(['building', 'household', 'machinery', 'automobile']) AS u(t)""")
+def q72_graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes and edges of a bundle's graph as the file holds them."""
+    nodes, edges = artifacts.graph_lines(_bundle(spark, sf_dir, False))
+    return nodes.select(F.col("id").alias("place"), "line").union(edges.select("from", "line"))

@@ -61,11 +61,13 @@ def _check(bundle, a) -> dict:
 
             bundle.close()
             bundle = Bundle(bundle.spark, bundle.root, law=bundle.law)
-        planned = {p: c.encode() for p, c in artifacts.plans(bundle).items()} if a.write else {}
-        held = artifacts.held_files(bundle.root)
-        planned = {p: c for p, c in planned.items() if held.get(p, "").encode() != c or p not in held}
+        files = artifacts.plans(bundle) if a.write else {}
+        held = artifacts.held_digests(bundle.root)
+        planned = {p: f for p, f in files.items() if held.get(p) != f.digest()}
         if planned and not a.dry_run:
             writing.land(bundle.root, planned, [], {})
+        for f in files.values():
+            f.drop()
         written = sorted({*fixed, *planned})
     limit = 0 if a.summary else None if a.all else a.limit
     has_files = os.path.isdir(os.path.join(bundle.root, "generated"))

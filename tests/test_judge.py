@@ -1,5 +1,6 @@
 """Checks beyond one page's grammar: references, folders, exceptions, sources, rules with their environment, drafts, law changes."""
 
+import hashlib
 import json
 import os
 import subprocess
@@ -96,8 +97,11 @@ def test_reading_search_and_files(spark, root):
         assert [r["path"] for r in found["results"]] == ["wiki/Rye.md"] and found["coverage"]["caps"] == {"limit": 1, "found": 1, "hit": False, "near_limit": 20, "near_found": 1, "near_hit": False} and found["near"]
         assert [r["path"] for r in bundle.search_report(None, tag="EAST")["results"]] == ["wiki/east/Rye field.md"]
         assert bundle.search_items("sandy").first().line == 10
-        planned = artifacts.plans(bundle)
-        assert {(r.path, r.rule) for r in artifacts.drift_findings(bundle, planned, planned | {"generated/graph.json": "{}"}).collect()} == {("generated/graph.json", "generated-drift")}
+        files = artifacts.plans(bundle)
+        planned = {p: f.text() for p, f in files.items()}
+        digests = {p: f.digest() for p, f in files.items()}
+        assert digests == {p: hashlib.sha256(t.encode()).hexdigest() for p, t in planned.items()}
+        assert {(r.path, r.rule) for r in artifacts.drift_findings(bundle, digests, digests | {"generated/graph.json": "0"}).collect()} == {("generated/graph.json", "generated-drift")}
         manifest = json.loads(planned["generated/manifest.json"])
         assert manifest["totals"] == {"pages": 3, "edges": 6} and manifest["by_label"] == {"relation": {"grows": 1, "near": 1}} and manifest["by_kind"] == {"relation": 2, "tagged": 2, "wikilink": 2}
         assert next(p for p in manifest["pages"] if p["path"] == "wiki/Rye.md")["inbound"] == {"relation": {"grows": ["wiki/east/Rye field.md"]}, "wikilink": ["wiki/east/Rye field.md"]}
@@ -108,6 +112,42 @@ def test_reading_search_and_files(spark, root):
         assert "## Links" in bundle.types("field")[0]["skeleton"] and "### Deep" in bundle.types("field")[0]["skeleton"] and len(bundle.types(concrete=True, brief=True)) == 2
 
 
+def test_rendered_files_are_the_same_whatever_their_ranges(spark, root):
+    for k in range(12):
+        (root / f"wiki/east/Odd {k}.md").write_text(f'---\ntype: field\ntags: [east]\ncrop: Rye\ntitle: "a \\"{k}\\" | \U0001f33e"\n---\n\n## Links\n\n- grows [[Rye]]\n')
+    with Bundle(spark, str(root)) as bundle:
+        files = {lines: (artifacts.graph_file(bundle, lines), artifacts.manifest_file(bundle, lines), artifacts.queue_file(bundle.findings(), "0" * 64, "1" * 64, lines)) for lines in (None, 20)}
+        one, many = ([f.text() for f in own] for own in files.values())
+        assert one == many and files[20][1].pieces[1].count > 20 * 6
+        graph, manifest = json.loads(one[0]), json.loads(one[1])
+        assert one[0] == json.dumps(graph, indent=2, ensure_ascii=False) + "\n" and one[1] == json.dumps(manifest, indent=2, ensure_ascii=False) + "\n"
+        edges = {(e["from"], e["to"], e["kind"], e.get("label")) for e in graph["edges"]}
+        assert edges == {tuple(r) for r in bundle.graph().collect()} and len(graph["edges"]) == len(edges)
+        assert [n["id"] for n in graph["nodes"]] == sorted(r.id for r in bundle.nodes().collect()) and {"id": "tag:east", "kind": "tag"} in graph["nodes"]
+        assert next(n for n in graph["nodes"] if n["id"].endswith("Odd 3.md"))["title"] == 'a "3" | \U0001f33e'
+        told = {(p["path"], e[0], e[1], e[2]) for p in manifest["pages"] for k, v in p.get("outbound", {}).items() for e in ([(o, k, n) for n, own in v.items() for o in own] if k == "relation" else [(o, k, None) for o in v])}
+        pages = {p["path"] for p in manifest["pages"]}
+        assert told == {e for e in edges if {e[0], e[1]} <= pages}
+        hub = next(p for p in manifest["pages"] if p["path"] == "wiki/Rye.md")["inbound"]["relation"]["grows"]
+        assert len(hub) == 13 and hub == sorted(hub)
+        assert artifacts.read_queue(one[2])[2] and one[2].count("\n| ") == len(artifacts.read_queue(one[2])[2]) + 2
+        for own in files.values():
+            for f in own:
+                f.save(str(root / "saved"))
+                assert (root / "saved").read_text() == f.text() and f.digest() == hashlib.sha256(f.text().encode()).hexdigest()
+                f.drop()
+
+
+def test_landing_puts_back_what_it_replaced(spark, root, monkeypatch):
+    before = {p: (root / p).read_bytes() for p in ("wiki/Rye.md", "wiki/west/Oats.md")}
+    real = os.remove
+    monkeypatch.setattr(writing.os, "remove", lambda p: (_ for _ in ()).throw(OSError("full")) if str(p).endswith("Oats.md") else real(p))
+    with pytest.raises(OSError):
+        writing.land(str(root), {"wiki/Rye.md": b"new", "wiki/New.md": b"new"}, ["wiki/west/Oats.md"], {})
+    assert {p: (root / p).read_bytes() for p in before} == before and not (root / "wiki/New.md").exists()
+    assert not [p for p in (root / "wiki").rglob(".write-*")]
+
+
 def test_batch_write(spark, root, tmp_path_factory):
     drafts = tmp_path_factory.mktemp("drafts")
     (drafts / "wiki/east").mkdir(parents=True)
