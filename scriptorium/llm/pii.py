@@ -4,7 +4,7 @@ The patterns give the base spans. The network reads overlapping windows of
 characters, gives each character a score per tag (outside, or one of the kinds),
 and a Viterbi pass with learnt transitions decodes each window; where a span is cut
 and is too long for the neighbours to hold it whole, a window that grows until it
-holds the span is decoded besides. The spans of all windows are then reconciled over the whole text by weighted interval scheduling,
+holds the span is decoded besides; no window is longer than PIECE, as no span beyond LONGEST counts. The spans of all windows are then reconciled over the whole text by weighted interval scheduling,
 so that the set of disjoint spans with the largest total margin stays. Spans that
 touch a base span give way to it.
 
@@ -32,6 +32,8 @@ from scriptorium.llm.common import slices
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and from one start to the next: spans below their difference stand whole in a window.
 WINDOW, STRIDE = 128, 32
+#: Longest span that can be personal data (a mail address takes 320 characters, spaced spellings more), and longest window.
+LONGEST, PIECE = 1024, 8192
 #: Longest text that the network is trained on.
 TRAIN_CHARS = 64
 #: Margin per window, in log units against the all-outside labelling, that a span of the network needs.
@@ -371,6 +373,8 @@ def windows(text: str) -> list[int]:
 
 def plausible(kind: str, text: str) -> bool:
     """Form that a span of the network needs, whatever its margin."""
+    if len(text) > LONGEST:
+        return False
     n = len(_DIGIT.findall(text))
     if kind == "email":
         return "@" in text and "." in text.rpartition("@")[2]
@@ -412,7 +416,7 @@ def reconcile(candidates, base) -> list[tuple[int, str, int]]:
 
 
 def _batches(jobs):
-    """Jobs (row, start, end) of similar length, at most 512 windows' characters at once, or one job."""
+    """Jobs (row, start, end, grows) of similar length, at most 512 windows' characters at once, or one job."""
     some: list = []
     for job in sorted(jobs, key=lambda j: j[2] - j[1]):
         if some and (len(some) + 1) * (job[2] - job[1]) > 512 * WINDOW:
@@ -425,19 +429,30 @@ def _batches(jobs):
 
 def _may_go_on(kind: str, part: str) -> bool:
     """Whether a cut span is part of one that is plausible and that no window of the usual length holds."""
-    if len(part) < WINDOW - STRIDE or not re.search(r"[0-9@]", part):
+    if not WINDOW - STRIDE <= len(part) <= LONGEST or not re.search(r"[0-9@]", part):
         return False
     return kind == "email" or (len(_DIGIT.findall(part)) <= 19 and not re.search(r"[^0-9+() .,;:\n-]", part))
 
 
-def _merged(jobs):
-    """Jobs (row, start, end) with those of a row that overlap as one."""
-    out: list = []
+def _merged(jobs, sizes):
+    """Jobs (row, start, end) with those of a row that overlap as one, and whether it may grow; texts have ``sizes`` characters.
+
+    What would be longer than PIECE becomes pieces that overlap by LONGEST, from LONGEST before it to LONGEST behind it: a
+    span of LONGEST or less lies whole in one of them, so these don't grow.
+    """
+    whole: list = []
     for row, a, b in sorted(jobs):
-        if out and out[-1][0] == row and a < out[-1][2]:
-            out[-1] = (row, out[-1][1], max(b, out[-1][2]))
+        if whole and whole[-1][0] == row and a < whole[-1][2]:
+            whole[-1] = (row, whole[-1][1], max(b, whole[-1][2]))
         else:
-            out.append((row, a, b))
+            whole.append((row, a, b))
+    out = []
+    for row, a, b in whole:
+        if b - a <= PIECE:
+            out.append((row, a, b, True))
+            continue
+        a, b = max(0, a - LONGEST), min(sizes[row], b + LONGEST)
+        out += [(row, at, min(at + PIECE, b), False) for at in range(a, b - LONGEST, PIECE - LONGEST)]
     return out
 
 
@@ -447,19 +462,20 @@ def find(texts: list[str | None], p: dict) -> list[tuple[list, list]]:
     for row, text in enumerate(texts):
         text = text or ""
         out.append((base_spans(text), []))
-        jobs += [(row, a, min(a + WINDOW, len(text))) for a in windows(text)]
+        jobs += [(row, a, min(a + WINDOW, len(text)), True) for a in windows(text)]
+    sizes = [len(text or "") for text in texts]
     candidates: dict[int, list] = {}
     while jobs:
         wider = []
         for some in _batches(jobs):
-            parts = [texts[row][a:b] for row, a, b in some]
-            for (row, a, b), part, spans in zip(some, parts, decode(p, parts)):
+            parts = [texts[row][a:b] for row, a, b, _ in some]
+            for (row, a, b, grows), part, spans in zip(some, parts, decode(p, parts)):
                 text = texts[row]
                 for x, kind, y, margin in spans:
                     # a span at the edge of a window may go on beyond it; a neighbour holds it whole, or a wider window
                     left, right = x == 0 and a > 0, y == len(part) and b < len(text)
                     if left or right:
-                        if _may_go_on(kind, part[x:y]):
+                        if grows and _may_go_on(kind, part[x:y]):
                             wider.append((row, max(0, a - len(part) * left), min(len(text), b + len(part) * right)))
                         continue
                     while x < y and part[x] in " .,;:\n":
@@ -468,7 +484,7 @@ def find(texts: list[str | None], p: dict) -> list[tuple[list, list]]:
                         y -= 1
                     if plausible(kind, part[x:y]):
                         candidates.setdefault(row, []).append((a + x, kind, a + y, margin))
-        jobs = _merged(wider)
+        jobs = _merged(wider, sizes)
     for row, own in candidates.items():
         out[row][1].extend(reconcile(own, out[row][0]))
     return out
