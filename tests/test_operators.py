@@ -34,6 +34,11 @@ def test_formats(spark):
     assert column(spark, ["fix: a\n\nlaw-change: because\n"], T.law_change_reason) == ["because"]
 
 
+def test_lede_cuts_spaces_and_no_digits(spark):
+    values = ["call 555-8630", "# a\n1 is 11", " \n  # h\n\u00a0\u3000 x 20 \u2003\n3", "\n \n", None]
+    assert column(spark, values, T.lede) == ["call 555-8630", "1 is 11", "x 20", None, None]
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [
