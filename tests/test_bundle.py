@@ -194,6 +194,14 @@ def test_parser():
     assert markdown.parse_entry("- 2023-02-29 — x") is None and markdown.parse_entry("- 2024-02 — x")["precision"] == "month"
 
 
+def test_pages_are_parsed_in_bounded_parts(spark):
+    big = b"x" * (markdown.HELD_BYTES // 2)
+    parts = lambda x: [p.stop - p.start for p in markdown._parts(x)]
+    assert parts([b"x"] * 300) == [128, 128, 44] and parts([None, big, big, big + big + b"x", b"x"]) == [3, 1, 1] and parts([]) == []
+    files = spark.createDataFrame([(f"{k}.md", bytearray(b"## A\n- [c] %d\n" % k)) for k in range(300)], "path string, content binary").coalesce(1)
+    assert [(r.path, r["items"][0].claim.core) for r in markdown.parse(files).collect()] == [(f"{k}.md", str(k)) for k in range(300)]
+
+
 def test_byte_spans_of_sections_and_records(spark):
     text = "---\ntype: x\n---\n\n## Ä\n\n- [a] é\n  more\n- [b] z\n\n### In\n\ntext\n\n## End\n"
     page = markdown.parse_page("a.md", text.replace("\n", "\r\n").encode())
