@@ -71,6 +71,14 @@ def test_search(spark, pages):
     assert near and near[0].path == "wiki/a/Rose.md"
 
 
+def test_near_shuffles_no_trigrams(spark, pages):
+    near = search.near(pages, "Rosse")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gram" not in plan
+    asked = spark.createDataFrame([(0, "Rosse")], "query_id int, text string")
+    assert sorted(near.collect()) == sorted(search.near_many(pages, asked).drop("query_id").collect())
+
+
 def test_corrections_are_chosen_in_one_pass(spark):
     schema = "path string, pos int, category string, provenance string, core string"
     pages = [f"p{k}" for k in range(9)]
