@@ -1,3 +1,8 @@
+import math
+import unicodedata
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +178,42 @@ def test_code_unit_order(spark):
     assert [r.path for r in verdict.cap(rows, 9).collect()] == want != sorted(names)
     ranked = search.ranked(spark.createDataFrame([(n, 1) for n in names], "path string, score int"), ["score", "path"], "n")
     assert [r.path for r in ranked.orderBy("n").collect()] == want
+
+
+def test_best_pages_of_many_queries_are_the_first_of_all(spark, monkeypatch):
+    """Blocks and chunks are small here; copies tie, so their order is by path; each block leaves out what can't be among the best."""
+    words = ["oak", "elm", "ash", "fir", "Straße", "茶园", "rose"]
+    rows = [(f"wiki/{p:03}.md", " ".join(words[(p * p + k * p) % 7] for k in range(p % 11))) for p in range(60)] + [(f"wiki/{chr(0xFFFD if p % 2 else 0x10000)}{p:03}.md", "oak elm oak") for p in range(60)]
+    pages = spark.createDataFrame([*rows, ("wiki/none.md", None)], "path string, body string").repartition(3)
+    asked = spark.createDataFrame([(q, f"{words[q % 7]} {words[(q * 3 + 1) % 7]} oak none") for q in range(20)] + [(20, "unheard"), (21, None)], "query_id int, text string")
+    monkeypatch.setattr(search, "CHUNK", 6)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    every = search.bm25(pages, asked).cache()
+    got = search.best(pages, asked, 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.top(every, 4).collect()))
+    assert search.bm25(pages, asked, k=4).count() < every.count() / 2
+
+    docs = {p: Counter(T.tokenize(b or "") + 3 * T.tokenize(p.split("/")[1][:-3])) for p, b in [*rows, ("wiki/none.md", None)]}
+    length = {p: sum(d.values()) for p, d in docs.items()}
+    mean, df = sum(length.values()) / len(docs), Counter(t for d in docs.values() for t in d)
+    plain = {}
+    for r in asked.dropna().collect():
+        for p, d in docs.items():
+            if held := sorted(set(T.tokenize(r.text)) & set(d)):
+                plain[r.query_id, p] = sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * d[t] * 2.2 / (d[t] + 1.2 * (0.25 + 0.75 * length[p] / mean)) for t in held)
+    scores = {(r.query_id, r.path): r.score for r in every.collect()}
+    assert scores.keys() == plain.keys() and all(abs(scores[k] - plain[k]) < 2e-6 for k in plain)
+    monkeypatch.setattr(search, "LOOKED_UP", 2)
+    assert {(r.query_id, r.path): r.score for r in search.bm25(pages, asked).collect()} == scores
+
+
+def test_scores_that_round_alike_are_all_kept():
+    total, order = np.array([1.0000004, 1.0000001, 1.0000001, 1.0000001, 0.5]), np.array([4, 3, 2, 1, 0])
+    assert sorted(search._first(total, np.arange(5), order, 2).tolist()) == [0, 2, 3]
+
+
+def test_latin_texts_fold_as_others(spark):
+    every = "".join(map(chr, range(32, 256)))
+    long = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).casefold())
+    assert T.fold(every) == long(every) and T.fold("Ⅷ" + every) == long("Ⅷ" + every)
+    assert T.tokenize("Foo 茶园記x a-b") == ["foo", "茶", "园", "記", "茶园", "园記", "x", "a", "b"] and T.tokenize("Foo-BAR ß") == ["foo", "bar", "ss"]
