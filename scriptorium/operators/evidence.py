@@ -46,23 +46,37 @@ def listed_sources(entries: DataFrame, roots: list[str]) -> DataFrame:
     return files.union(folders).distinct()
 
 
+#: Rows by which a name or a leading part is frequent: what is known of it goes to its rows, which aren't shuffled by it.
+FREQUENT = 100_000
+
+
 def source_status(cited: DataFrame, facts: DataFrame) -> DataFrame:
     """``cited`` (…, source) with status: unmeasured behind something skipped, else present, missing, or kind (a file cited as a folder).
 
-    All joins are by equal paths; what may be skipped is looked up by each leading part of the cited path.
+    All joins are by equal paths; what may be skipped is looked up by each leading part of the cited path. Of names and
+    leading parts that FREQUENT rows share there are few, so they are broadcast; other rows meet theirs in a hash table and aren't sorted.
     """
     folder = F.col("source").endswith("/")
-    rows = cited.withColumns({"_folder": folder, "_name": F.regexp_replace("source", "/$", "")})
-    names = rows.select("_name").distinct()
+    name = F.coalesce(F.regexp_replace("source", "/$", ""), F.lit("\0"))  # which no path holds
+    rows = cited.withColumns({"_folder": folder, "_name": name})
+    names = rows.groupBy("_name").agg(F.count("*").alias("_n"))
     parts = F.split("_name", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    hidden = names.select("_name", F.explode(prefixes).alias("path")).join(facts.filter("kind = 'skipped'").select("path").distinct(), "path", "left_semi").select("_name").distinct().withColumn("_hidden", F.lit(True))
+    leading = names.select("_name", F.explode(prefixes).alias("path"))
+    often = leading.groupBy("path").agg(F.count("*").alias("_n")).filter(F.col("_n") >= FREQUENT).select("path")
+    skipped = facts.filter("kind = 'skipped'").select("path").distinct()
+    near = leading.join(F.broadcast(often.join(skipped, "path", "left_semi")), "path", "left_semi")
+    far = leading.join(F.broadcast(often), "path", "left_anti").join(skipped.hint("shuffle_hash"), "path", "left_semi")
+    hidden = near.union(far).select("_name").distinct().withColumn("_hidden", F.lit(True))
     held = facts.filter("kind <> 'skipped'").groupBy(F.col("path").alias("_name")).agg(F.min("kind").alias("_kind"))  # a directory wins
+    told = names.join(hidden.hint("shuffle_hash"), "_name", "left").join(held.hint("shuffle_hash"), "_name", "left")
+    common, rare = F.broadcast(told.filter(F.col("_n") >= FREQUENT)), told.filter(F.col("_n") < FREQUENT).hint("shuffle_hash")
+    known = rows.join(common, "_name").unionByName(rows.join(common, "_name", "left_anti").join(rare, "_name"))
     status = (
         F.when(F.col("_hidden").isNotNull(), "unmeasured").when(F.col("_kind") == "directory", "present")
         .when(F.col("_kind") == "file", F.when(F.col("_folder"), "kind").otherwise("present")).otherwise("missing")
     )
-    return rows.join(hidden, "_name", "left").join(held, "_name", "left").withColumn("status", status).drop("_name", "_folder", "_hidden", "_kind")
+    return known.withColumn("status", status).drop("_name", "_folder", "_n", "_hidden", "_kind")
 
 
 # ------------------------------------------------------------------ citations

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import cel
 from scriptorium.functions import text as T
-from scriptorium.operators import names, search, transitions, verdict
+from scriptorium.operators import evidence, names, search, transitions, verdict
 
 
 def column(spark, values, f, kind="string"):
@@ -217,3 +217,25 @@ def test_latin_texts_fold_as_others(spark):
     long = lambda t: unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).casefold())
     assert T.fold(every) == long(every) and T.fold("Ⅷ" + every) == long("Ⅷ" + every)
     assert T.tokenize("Foo 茶园記x a-b") == ["foo", "茶", "园", "記", "茶园", "园記", "x", "a", "b"] and T.tokenize("Foo-BAR ß") == ["foo", "bar", "ss"]
+
+
+def test_frequent_sources_are_not_shuffled(spark, monkeypatch):
+    """Names and leading parts that many rows share are met where the rows are; the statuses don't depend on how many do."""
+    facts = spark.createDataFrame([("src", "directory"), ("src/part", "directory"), ("src/part/1.txt", "file"), ("src/hidden", "skipped"), ("src/gone/7", "skipped"), ("lib/a", "skipped")], "path string, kind string")
+    some = ["src/part/", "src/part/1.txt", "src/part/1.txt/", "src/part/2.txt", "src/hidden", "src/hidden/a/b", "src/hiddenness", "src/gone/7/x", "lib/a/", "", None]
+    cited = spark.createDataFrame([(k, s) for k, s in enumerate(some * 5 + ["src/part/"] * 2000 + [None] * 2000)], "k int, source string").repartition(4)
+    want = dict(zip(some, ["present", "present", "kind", "missing", "unmeasured", "unmeasured", "missing", "unmeasured", "unmeasured", "missing", "missing"]))
+    monkeypatch.setattr(evidence, "FREQUENT", 3)
+    few = evidence.source_status(cited, facts)
+    got = few.collect()
+    assert len(got) == cited.count() and all(r.status == want[r.source] for r in got)
+    monkeypatch.setattr(evidence, "FREQUENT", 1000)
+    at = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(at)
+    spark.conf.set(at, "-1")  # as for large tables
+    try:
+        many = evidence.source_status(cited, facts).withColumn("task", F.spark_partition_id())
+        assert all(r.status == want[r.source] for r in many.collect())
+        assert max(r["count"] for r in many.groupBy("task").count().collect()) < 1500
+    finally:
+        spark.conf.set(at, held)
